@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, pii, secret_scan
+from lorescape.llm import bpe, pii, secret_scan, toxicity
 from lorescape.llm.shared import table
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -24,7 +29,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_secret_scan, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op5_toxicity, op8_secret_scan, op9_pii, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
