@@ -7,15 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, pii, secret_scan, toxicity
+from lorescape.llm import bpe, pii, secret_scan, syncmers, topk, toxicity, warc
 from lorescape.llm.shared import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))[0]
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -29,8 +41,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op8_secret_scan, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op3_warc, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
+
+
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h) payload_bytes, sha1(h) x, min(page_id) over (partition by h) first from p)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') payload_digest,
+  case when first = page_id then 'response' else 'revisit' end record_type,
+  case when first <> page_id then first end refers_to
+from d"""
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, rank::int rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+where rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op7_topk": OP7_SQL}
