@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, pii, secret_scan, syncmers, topk, toxicity, warc
+from lorescape.llm import bpe, mixing, pii, secret_scan, syncmers, topk, toxicity, warc
 from lorescape.llm.shared import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))[0]
 
@@ -41,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
 
 
 OP3_SQL = """
@@ -55,6 +59,43 @@ select page_id, payload_bytes,
 from d"""
 
 
+def _op1_sql() -> str:
+    """The same fitting, unrolled: each step of a margin and each calibration is a common table expression."""
+    steps = "".join(f"when x < {least} then '{name}' " for least, name in mixing.TOPICS)
+    parts = [
+        f"""r as materialized (
+  select doc_id, coalesce(source, '{mixing.NONE}') source, coalesce(lang, '{mixing.NONE}') lang, case {steps}else '{mixing.TOPIC_REST}' end topic,
+    len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::bigint n_tokens
+  from (select *, case when length(t) > 0 then (length(t) - length(regexp_replace(t, '[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]', '', 'g'))) / length(t)::double else 0 end x
+    from (select doc_id, source, lang, coalesce(text, '') t from documents)))""",
+        "c as materialized (select source, lang, topic, sum(n_tokens)::double seen, sum(n_tokens)::double fitted, (select sum(n_tokens)::double from r) total from r group by all)",
+    ]
+    for m in mixing.MARGINS:
+        parts.append(f"t_{m} as materialized (select {m}, sqrt(s) / (select sum(sqrt(s)) from (select sum(seen) s from c group by {m})) share from (select {m}, sum(seen) s from c group by {m}))")
+    last = "c"
+    for i in range(mixing.ROUNDS):
+        for m in mixing.MARGINS:
+            new = f"f{i}_{m}"
+            parts.append(
+                f"{new} as materialized (select source, lang, topic, seen, fitted * case when s > 0 then share * total / s else 0 end fitted, total "
+                f"from (select *, sum(fitted) over (partition by {m}) s from {last}) join t_{m} using ({m}))"
+            )
+            last = new
+    parts.append(f"k as materialized (select *, case when seen > 0 then fitted / seen else 0 end ratio from {last})")
+    parts.append("g0 as materialized (select 1.0::double g)")
+    for i in range(mixing.CALIBRATIONS):
+        parts.append(
+            f"g{i + 1} as materialized (select case when coalesce(sum(seen * least(1, g * ratio)) filter (g * ratio < 1), 0) <= 0 then any_value(g) else any_value(g) * "
+            f"greatest(0, {mixing.BUDGET} * any_value(total) - coalesce(sum(seen) filter (g * ratio >= 1), 0)) / sum(seen * least(1, g * ratio)) filter (g * ratio < 1) end g from k, g{i})"
+        )
+    return (
+        "with " + ",\n".join(parts) + f"""
+select doc_id, source, lang, topic, n_tokens, p probability, round(n_tokens * p, 6) weight,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < p sampled
+from r join (select source, lang, topic, round(least(1.0::double, g * ratio), 9) p from k, g{mixing.CALIBRATIONS}) using (source, lang, topic)"""
+    )
+
+
 OP7_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
@@ -69,4 +110,4 @@ where rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op7_topk": OP7_SQL}
+    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op7_topk": OP7_SQL}
