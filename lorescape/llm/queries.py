@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, mixing, pii, secret_scan, syncmers, topk, toxicity, warc
+from lorescape.llm import bpe, mixing, pii, secret_scan, substring_dedup, syncmers, topk, toxicity, warc
 from lorescape.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))[0]
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_substring_dedup, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
 
 
 OP3_SQL = """
@@ -96,6 +100,18 @@ from r join (select source, lang, topic, round(least(1.0::double, g * ratio), 9)
     )
 
 
+OP4_SQL = """
+with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+p as materialized (select doc_id, w, unnest(range(1, len(w) - 18)) i from w),
+k as materialized (select doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) k from p),
+later as materialized (
+  select doc_id, i from (select *, row_number() over (partition by k order by doc_id, i) r from k) where r > 1),
+gone as (select doc_id, list(distinct j) g from (select doc_id, unnest(range(i, i + 20)) j from later) group by doc_id)
+select w.doc_id, len(w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
+  sha256(coalesce(array_to_string(case when g is null then w else list_filter(w, lambda x, j: not list_contains(g, j)) end, ' '), '')) kept_sha256
+from w left join gone using (doc_id)"""
+
+
 OP7_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
@@ -110,4 +126,4 @@ where rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op7_topk": OP7_SQL}
+    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL}
