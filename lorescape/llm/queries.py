@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, mixing, pii, secret_scan, substring_dedup, syncmers, topk, toxicity, warc
+from lorescape.llm import bpe, dart_minhash, mixing, pii, secret_scan, substring_dedup, syncmers, topk, toxicity, warc
 from lorescape.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))[0]
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_warc, op4_substring_dedup, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_dart_minhash, op3_warc, op4_substring_dedup, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
 
 
 OP3_SQL = """
@@ -100,6 +104,22 @@ from r join (select source, lang, topic, round(least(1.0::double, g * ratio), 9)
     )
 
 
+OP2_SQL = """
+with recursive w as materialized (
+  select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: true) w from documents),
+s as materialized (
+  select doc_id, list_distinct(case when len(w) < 5 then case when len(w) > 0 then [array_to_string(w, ' ')] else [] end
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from w),
+e as materialized (select doc_id, len(s) n, unnest(s) g from s),
+o as materialized (select a.doc_id a, b.doc_id b, count(*) c, any_value(a.n) m, any_value(b.n) n from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from o where c >= 0.8 * (m + n - c)),
+r(doc_id, to_id) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on r.to_id = l.a)
+select doc_id, min(class_id) class_id, min(same_as) same_as from (
+  select doc_id, to_id class_id, doc_id same_as from r
+  union all select s.doc_id, s.doc_id, t.f from s join (select list_sort(s) k, min(doc_id) f from s where len(s) > 0 group by all) t on t.k = list_sort(s.s))
+group by doc_id"""
+
+
 OP4_SQL = """
 with w as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
 p as materialized (select doc_id, w, unnest(range(1, len(w) - 18)) i from w),
@@ -126,4 +146,4 @@ where rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL}
+    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op2_dart_minhash": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL}
