@@ -178,8 +178,8 @@ def sample(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, bu
     rows = mix(docs, given, budget, key=key, text=text)
     cell = rows.select("source", "lang", "topic", "probability").distinct()  # one probability a cell
     n = cell.count()
-    named = {"_s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "_l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "_t": topic(F.col(text))}
-    known = cell.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_p"))
+    named = {"__mix_s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__mix_l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__mix_t": topic(F.col(text))}
+    known = cell.select(F.col("source").alias("__mix_s"), F.col("lang").alias("__mix_l"), F.col("topic").alias("__mix_t"), F.col("probability").alias("__mix_p"))
     known = F.broadcast(known) if n <= CELLS else saved(known, "mix-cells")
     columns = docs.columns
-    return docs.withColumns(named).join(known, ["_s", "_l", "_t"]).where(uniform(F.col(key)) < F.col("_p")).select(*columns)
+    return docs.withColumns(named).join(known, ["__mix_s", "__mix_l", "__mix_t"]).where(uniform(F.col(key)) < F.col("__mix_p")).select(*columns)

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,10 +162,6 @@ def redacted(text: str, least: float = 0.0) -> str:
 
 def redact(docs: DataFrame, least: float = 0.0, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text; a null text stays null."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:

@@ -24,8 +24,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,3 +202,13 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         }
 
     return per_text(docs, SCHEMA, lambda: work, key, text)
+
+
+def reject_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the documents that score below 0.5; a null text counts as empty."""
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: model.score(t or "") < 0.5)
+
+    return docs.where(clean(F.coalesce(F.col(text), F.lit(""))))
