@@ -99,7 +99,8 @@ def fit_local(counted: list, margins: tuple[str, ...], given: dict[str, dict[str
 
 def _calibrated(ratio: np.ndarray, seen: np.ndarray, budget: float) -> np.ndarray:
     """Probabilities in proportion to the ratios, none above 1, with that expected sum of tokens (or as near as can be)."""
-    factor = 1.0
+    scaled = (seen * ratio).sum()
+    factor = budget / scaled if scaled else 0.0  # from below: what the limit of 1 takes away is dealt out again, step by step
     for _ in range(CALIBRATIONS):
         chance = np.minimum(1.0, factor * ratio)
         free = chance < 1
@@ -132,7 +133,8 @@ def fit_distributed(counted: DataFrame, margins: tuple[str, ...], given: dict[st
             at = at.join(sums, m).withColumn("fitted", F.col("fitted") * F.col("by")).drop("by")
         at = saved(at, "mix-cells")
     at = at.withColumn("ratio", F.when(F.col("seen") > 0, F.col("fitted") / F.col("seen")).otherwise(0.0))
-    factor = 1.0
+    scaled = at.agg(F.sum(F.col("seen") * F.col("ratio"))).first()[0]
+    factor = budget * total / scaled if scaled else 0.0
     for _ in range(CALIBRATIONS):
         chance = F.least(F.lit(1.0), F.col("ratio") * factor)
         sums = at.agg(F.sum(F.when(chance < 1, F.col("seen") * chance)).alias("open"), F.sum(F.when(chance >= 1, F.col("seen"))).alias("full")).first()

@@ -90,7 +90,7 @@ def _op1_sql() -> str:
             )
             last = new
     parts.append(f"k as materialized (select *, case when seen > 0 then fitted / seen else 0 end ratio from {last})")
-    parts.append("g0 as materialized (select 1.0::double g)")
+    parts.append(f"g0 as materialized (select coalesce({mixing.BUDGET} * any_value(total) / nullif(sum(seen * ratio), 0), 0) g from k)")
     for i in range(mixing.CALIBRATIONS):
         parts.append(
             f"g{i + 1} as materialized (select case when coalesce(sum(seen * least(1, g * ratio)) filter (g * ratio < 1), 0) <= 0 then any_value(g) else any_value(g) * "

@@ -168,3 +168,38 @@ def remove_repeats(docs: DataFrame, start: int = START, key: str = "doc_id", tex
 def _result(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def longest_repeats(docs: DataFrame, start: int = START, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, longest): the largest of the lengths 2 * start, 4 * start, ... at which a document has a window that repeats.
+
+    Windows of a level are looked at only where both their halves repeat; doubling ends when no candidates survive.
+    """
+    rows = _read(docs, key, text)
+    lone, length, alive = lone_stretches(rows, start), 2 * start, None
+    done = rows.select("doc_id").withColumn("longest", F.lit(0))
+    while True:
+        some = rows.join(lone, "doc_id", "left") if alive is None else rows.join(alive, "doc_id").withColumnRenamed("alive", "lone")
+
+        def candidates(h: np.ndarray, given: np.ndarray | None, first: bool = alive is None, n: int = length) -> np.ndarray:
+            if first:
+                return in_question(h, given, start)
+            at = np.sort(given)
+            return at[np.isin(at + n // 2, at)]
+
+        def run(batches: Iterator[pa.RecordBatch], candidates=candidates, n: int = length) -> Iterator[pa.RecordBatch]:
+            def found():
+                for doc, t, given in _rows(batches):
+                    h = words.hashed(words.split(t))
+                    at = candidates(h, given)
+                    yield doc, (*keys(h, n, at), at.astype(np.int32)) if len(at) else (np.empty(0),)
+
+            yield from _flat(found(), ["a", "b", "at"])
+
+        windows = saved(some.select("doc_id", "text", "lone").mapInArrow(run, "doc_id long, a long, b int, at int"), "substring-level")
+        counted = saved(windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "substring-repeated")
+        alive = saved(windows.join(counted, ["a", "b"]).groupBy("doc_id").agg(F.collect_set("at").alias("alive")), "substring-alive")
+        if not alive.limit(1).count():
+            return done
+        done = done.join(alive.select("doc_id", F.lit(length).alias("_l")), "doc_id", "left").select("doc_id", F.coalesce("_l", "longest").alias("longest"))
+        length *= 2
