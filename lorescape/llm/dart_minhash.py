@@ -11,10 +11,10 @@ occurrences ("count").
 Join. Equal sets become one node first. BANDS bands of ROWS coordinates make keys; documents that share one are candidates. With
 the defaults a pair of similarity 0.8 is missed with probability 8e-5, one of 0.9 with 1e-9. Within a key's bucket no pairs are
 spelled out: all members are compared with a leader (round 1); buckets whose members are still in several
-components are compared with a second leader from outside the first one's component (round 2); what then remains are pairs of
-members of different components, and of these only those are compared that neither their sizes nor the triangle
-inequality of the Jaccard distance (both distances to the first leader are known) exclude. So no link between candidates
-is lost, and a bucket of n copies costs about n comparisons. Comparisons are exact, on sets of 64-bit shingle hashes.
+components are compared with a second leader from outside the first one's component (round 2); for what then remains
+rest_pairs() finds the pairs of different components that can be similar at all by what sets them apart from the leader. So no link
+between candidates is lost, and a bucket of n copies costs about n comparisons. Comparisons are exact, on sets of 64-bit
+shingle hashes.
 
 Defined cases: null and empty texts have no shingles and form classes by themselves; a text of fewer than SHINGLE words has
 one shingle of all its words; rows that repeat an id and its text share a class; an empty table gives an empty table;
@@ -175,12 +175,51 @@ def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def rest_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of members of different components that share a leader and may be similar: (leader, doc_id, size, component).
+
+    Written as its difference from the leader, D, a member x of size n is similar to y only if |Dx| + |Dy| - 2 |Dx & Dy| is at most
+    (nx + ny)(1 - s)/(1 + s). So unless both are similar to the leader, Dx and Dy share elements, and as many that they
+    share one already among the first n(1 - s)/s + 1 of the one with the larger difference and the first n(1 - s)/2s + 1 of the
+    other, in any common order. The rarest come first, and a copy's own edits are rare, so few pairs meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.setxor1d(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair), assume_unique=True).view(np.int64) for pair in zip(b.column("x"), b.column("y"), strict=True)]
+            kept = [b.column(c) for c in ("leader", "doc_id", "size", "component")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.list_(pa.int64()))], names=["leader", "doc_id", "size", "component", "difference"])
+
+    own, other = sets.select("doc_id", F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("leader"), F.col("elements").alias("y"))
+    found = rows.where("doc_id <> leader").join(own, "doc_id").join(other, "leader").select("leader", "doc_id", "size", "component", "x", "y")
+    found = saved(found.mapInArrow(run, "leader long, doc_id long, size int, component long, difference array<long>"), "near-differences")
+    spread = found.select("leader", F.explode("difference").alias("e"))
+    common = saved(spread.groupBy("leader", "e").agg(F.count("*").alias("f")), "near-frequencies")
+    member = ["leader", "doc_id", "size", "component"]
+    each = found.select(*member, F.size("difference").alias("d"), F.explode("difference").alias("e")).join(common, ["leader", "e"])
+    far = F.floor(F.col("size") * (1 - least) / least + 1e-9) + 1
+    near = F.floor(F.col("size") * (1 - least) / (2 * least) + 1e-9) + 1
+    first = each.groupBy(*member, "d").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))  # a member's difference
+    first = first.select(*member, "d", near.alias("near"), F.posexplode(F.slice("s", F.lit(1), far.cast("int"))).alias("at", "s")).where("s.f > 1")
+    first = saved(first.select(*member, "d", "near", "at", F.col("s.e").alias("e")), "near-prefixes")
+    x, y = first.where("at < near").alias("x"), first.alias("y")
+    apart = (F.col("x.size") + F.col("y.size")) * (1 - least) / (1 + least) + 1e-6
+    may = (
+        (F.col("x.leader") == F.col("y.leader"))
+        & (F.col("x.e") == F.col("y.e"))
+        & ((F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.doc_id") < F.col("y.doc_id"))))
+        & (F.col("x.component") != F.col("y.component"))
+        & (2 * F.col("x.at") <= F.col("x.d") - F.col("y.d") + apart)
+        & (2 * F.col("y.at") <= F.col("y.d") - F.col("x.d") + apart)
+    )
+    return x.join(y, may).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, weights: str, least: float) -> DataFrame:
     """Compared pairs (a, b, similarity) that connect all candidates which are similar; nodes: doc_id, size, bands."""
-    slack = 1e-9
     keyed = saved(nodes.select("doc_id", "size", F.explode("bands").alias("key")), "near-keys")
-    order = F.struct(F.xxhash64("doc_id", "key"), F.col("doc_id"))  # another leader for each key
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).getField("doc_id").alias("leader")).where("n > 1").select("key", "leader")
+    order = F.struct(F.xxhash64("doc_id", "key"), F.col("doc_id"))  # another second leader for each key
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1").select("key", "leader")
     members = saved(keyed.join(saved(buckets, "near-buckets"), "key"), "near-members")
     sets = element_sets(docs, members.select("doc_id").distinct(), weights)
 
@@ -199,18 +238,7 @@ def links(docs: DataFrame, nodes: DataFrame, weights: str, least: float) -> Data
             second = outside.groupBy("key").agg(F.min(order).getField("doc_id").alias("second"), F.min_by("component", order).alias("apart"))
             pairs = still.join(saved(second, "near-second"), "key").where("component <> apart").select(*_pair("doc_id", "second")).distinct()
         else:
-            distance = done.select("a", "b", (1 - F.col("similarity")).alias("d"))
-            rows = still.withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")}).join(distance, ["a", "b"], "left")
-            rows = saved(rows.select("key", "doc_id", "size", "component", F.coalesce("d", F.lit(0.0)).alias("d")), "near-rest")
-            x, y = rows.alias("x"), rows.alias("y")
-            may = (
-                (F.col("x.key") == F.col("y.key"))
-                & (F.col("x.doc_id") < F.col("y.doc_id"))
-                & (F.col("x.component") != F.col("y.component"))
-                & (F.least("x.size", "y.size") >= (least - slack) * F.greatest("x.size", "y.size"))
-                & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - least + slack)
-            )
-            pairs = x.join(y, may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+            pairs = rest_pairs(still.select("leader", "doc_id", "size", "component").distinct(), sets, least)
         done = done.unionByName(compared(pairs.join(done, ["a", "b"], "left_anti"), sets))
     return done
 
