@@ -16,13 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from lorescape.llm.shared import per_text
+from lorescape.llm.shared import per_slice, per_text
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
@@ -162,10 +160,9 @@ def redacted(text: str, least: float = 0.0) -> str:
 
 def redact(docs: DataFrame, least: float = 0.0, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text; a null text stays null."""
-    @F.pandas_udf("string")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: None if t is None else redacted(t, least))
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        at = part.schema.get_field_index(text)
+        clean = [None if t is None else redacted(t, least) for t in part.column(at).to_pylist()]
+        return part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
 
-    column: Column = clean(F.col(text))
-    return docs.withColumn(text, column)
+    return per_slice(docs, text, lambda: work)

@@ -95,6 +95,17 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def per_slice(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Runs a function over slices of whole rows; what it returns has the same columns. Output leaves in slices, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for part in slices(batches, text):
+            yield work(part)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

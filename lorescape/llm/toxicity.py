@@ -24,15 +24,14 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorescape.llm.shared import per_text
+from lorescape.llm.shared import per_slice, per_text
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 FOLDS, HELD_OUT = 5, 0
@@ -206,9 +205,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
 
 def reject_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows, with all their columns, of the documents that score below 0.5; a null text counts as empty."""
-    @F.pandas_udf("boolean")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: model.score(t or "") < 0.5)
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array([model.score(t or "") < 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
-    return docs.where(clean(F.coalesce(F.col(text), F.lit(""))))
+    return per_slice(docs, text, lambda: work)
