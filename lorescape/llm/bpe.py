@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from lorescape.llm.shared import per_text
 
-#: Words that a task remembers; when there are as many, it starts anew, so memory stays bounded.
-CACHE_WORDS = 800_000
+#: Words of a generation that a worker remembers. A full one becomes the old one, whose words move on when they are used again.
+CACHE_WORDS = 100_000
 #: Longer words are not remembered.
 CACHE_CHARS = 48
 
@@ -47,6 +47,26 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+class Remembered:
+    """The ids of words seen lately: two generations of at most CACHE_WORDS, so frequent words stay and memory is bounded."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        found = self.young.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.put(word, found)
+        return found
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(word) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+
+
 class WordBpe:
     """A tokenizer of the kind "BPE with word ends": lower case, white space dropped, a suffix marks a word's last symbol."""
 
@@ -66,8 +86,7 @@ class WordBpe:
         self.letters = byte_letters()
         strings = {i: s for s, i in {**self.ids, **self.special}.items()}
         self.strings = np.array([strings.get(i, "").encode() for i in range(max(strings) + 1)], dtype=object)
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        self.known, self.known_pieces = Remembered(), Remembered()
 
     def merged(self, ids: list[int]) -> list[int]:
         """Applies the merges in the order of their ranks, leftmost first among equals."""
@@ -99,7 +118,7 @@ class WordBpe:
             symbols[-1] += self.suffix
             ids = self.merged([i for s in symbols if (i := self.ids.get(s)) is not None])
             found = struct.pack(f"<{len(ids)}I", *ids)
-            self.remember(self.known_pieces, piece, found)
+            self.known_pieces.put(piece, found)
         return found
 
     def word(self, word: str) -> bytes:
@@ -108,16 +127,9 @@ class WordBpe:
         if found is None:
             lower = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))  # letter by letter: no final sigma
             found = b"".join([self.piece(p) for p in self.pieces.findall(lower)])
-            self.remember(self.known, word, found)
+            self.known.put(word, found)
         return found
 
-    @staticmethod
-    def remember(cache: dict[str, bytes], word: str, ids: bytes) -> None:
-        if len(word) <= CACHE_CHARS:
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            cache[word] = ids
-
     def plain(self, text: str) -> bytes:
         words = [w for w in WHITE.split(text) if w] if SEPARATORS.search(text) else text.split()
         return b"".join(map(self.word, words))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a task remembers; then it starts anew.
-MOST = 400_000
+MOST = 200_000
 _known: dict[bytes, int] = {}
 
 A = np.uint64(0x9E3779B97F4A7C15)
