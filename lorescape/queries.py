@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorescape.functions import chunking, markdown, text
-from lorescape.operators import lexical, links, scope, semantic, sessions, store, usage, vault
+from lorescape.operators import lexical, links, postings, scope, semantic, sessions, store, usage, vault
 from lorescape.plans.search import search
 from lorescape.sources import console
 
@@ -171,6 +171,14 @@ def lexical_min_score(spark, d):
     return _shown(search(corpus(spark, d), WORDS, limit=20, min_score=2.3))
 
 
+@query(BM25 + _top_sql(limit=15))
+def lexical_postings_topk(spark, d):
+    docs = corpus(spark, d)
+    found = postings.best(docs, postings.postings(docs), postings.lengths(docs), WORDS, 15)
+    rank = F.row_number().over(Window.orderBy(F.desc("bm25"), "doc_id"))  # of 15 rows
+    return _shown(found.withColumn("rank", rank))
+
+
 @query(f"with {bm25_sql(WORDS.split())} select n documents, round(mean, 6) mean_length, n0 holding_tion, n1 holding_shed from st")
 def lexical_statistics(spark, d):
     s = lexical.statistics(corpus(spark, d), WORDS.split())
@@ -576,6 +584,19 @@ def vault_audit(spark, d):
     return vault.audit(docs, edge_rows(spark, d), physical, f"{ROOT}/src1")
 
 
+@query(
+    f"""with {LINKS}, ins as (select *, starts_with(path, '{ROOT}/src1/') inside from corpus), e as (select * from edge where dst_id <> source_id),
+  w as (select unnest(['external', 'not_indexed', 'missing_on_disk', 'orphans', 'unresolved']) kind, unnest([count(*) filter (not inside), count(*) filter (inside and doc_id % 2 = 0) - count(*) filter (inside), count(*) filter (inside and doc_id % 2 <> 0),
+    count(*) filter (inside and doc_id not in (select source_id from e union select dst_id from e)), (select count(distinct target) from edge where dst_id is null)]) number from ins)
+  select * from w where number > 0"""
+)
+def vault_warnings(spark, d):
+    docs = corpus(spark, d)
+    physical = docs.where(text.under(F.col("path"), f"{ROOT}/src1") & (F.col("doc_id") % 2 == 0))
+    root = f"{ROOT}/src1"
+    return vault.warnings(vault.audit(docs, edge_rows(spark, d), physical, root), store.missing_on_disk(docs, physical, root))
+
+
 @query("select source slug, sha256('---' || chr(10) || 'title: ' || source || ' Project Index' || chr(10) || 'tags:' || chr(10) || '  - project:' || source || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || ' Project Index' || chr(10) || chr(10) || '<!-- lorescape:notes -->' || chr(10) || string_agg('- [[projects/' || source || '/doc-' || doc_id || ']]', chr(10) order by 'projects/' || source || '/doc-' || doc_id) || chr(10) || '<!-- /lorescape:notes -->' || chr(10)) sha from documents group by source")
 def vault_hubs(spark, d):
     docs = _table(spark, d, "documents")

@@ -128,3 +128,15 @@ def test_snippets(spark):
     df = corpus(spark, [(1, "t", [], "needle in text"), (2, "t", [], "no chunk: needle")])
     got = {x["doc_id"]: x["snippet"] for x in search(df, "needle", chunks=chunks).collect()}
     assert got[1].startswith("H — ") and "needle" in got[2]
+
+
+def test_postings_equal_a_scan(spark):
+    from lorescape.operators import postings
+
+    rows = [(i, f"title {i}", ["tag"] * (i % 2), "tion shed " * (i % 4) + "Ünï ing " * (i % 3) + "hed she ion") for i in range(1, 50)]
+    df = corpus(spark, rows)
+    index = postings.postings(df).cache()
+    for q in ("tion shed", "ünï", "tag ing", "zzz", "ab", "shed tion shed"):
+        want = [(r["doc_id"], round(r["bm25"], 9)) for r in lexical.best(df, q, 9).collect()]
+        got = postings.best(df, index, postings.lengths(df), q, 9).collect()
+        assert [(r["doc_id"], round(r["bm25"], 9)) for r in got] == want

@@ -354,3 +354,26 @@ def test_reports(spark):
     assert usage.totals(report).first().asDict() == {"documents": 3, "never_retrieved": 2}
     assert usage.without_orphans(counts, table).count() == 1
     assert usage.recorded(counts, log).where("doc_id = 2").first()["retrieved_count"] == 4
+
+
+def test_vault_import(spark, tmp_path):
+    from lorescape.sources import vault_files
+
+    home, src = tmp_path / "home", tmp_path / "src"
+    (src / "d").mkdir(parents=True)
+    (src / "a.md").write_text("# A\ntext\n")
+    (src / "d/b.md").write_text("---\ntags: x\n---\nb\n")
+    home.mkdir()
+    actions = lambda: {r["target"].removeprefix(str(home)): r["action"] for r in vault_files.plan(spark, str(home), [("p", str(src))]).collect()}
+    first = vault_files.plan(spark, str(home), [("p", str(src))])
+    assert set(actions().values()) == {"create"} and len(actions()) == 4
+    vault_files.apply(first, str(home))
+    hub = (home / "docs/projects/p/index.md").read_text()
+    assert "- [[projects/p/a]]\n- [[projects/p/d/b]]" in hub
+    assert set(actions().values()) == {"unchanged"} and not (home / vault_files.STAGING).exists()
+    (src / "a.md").write_text("# A\nnew\n")
+    assert actions()["/docs/projects/p/a.md"] == "update"
+    (home / "docs/projects/p/a.md").write_text("edited by hand")
+    assert actions()["/docs/projects/p/a.md"] == "conflict"
+    with pytest.raises(VaultError):
+        vault_files.apply(vault_files.plan(spark, str(home), [("p", str(src))]), str(home))
