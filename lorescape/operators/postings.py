@@ -15,9 +15,7 @@ from lorescape.operators import lexical
 
 def grams(c: Column) -> Column:
     """Distinct trigrams of a text in lower case."""
-    low = F.lower(c)
-    n = F.char_length(low) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(.{3}))"), 1))  # one pass over the text
 
 
 def postings(corpus: DataFrame) -> DataFrame:
