@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_ROWS = 256
 #: Characters after which a slice ends early, so that a run of very long texts stays small in memory.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch, and where Spark keeps that number.
+BATCH_ROWS, BATCH_SETTING, DEFAULT_BATCH = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -56,12 +58,23 @@ def _clean() -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors, and lets AQE split skew."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS instead of Spark's default of 10,000, which are tens of MB of text on both sides of the pipe.
+
+    A number that the session has set otherwise stays.
+    """
+    if spark.conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -84,6 +97,7 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list
 
     make is called once for a task and returns the function, which returns a dict of columns of equal length.
     """
+    small_batches(df.sparkSession)
     out = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +105,7 @@ def per_text(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list
         for part in slices(batches, text):
             columns = work(part.column(key).to_pylist(), [x or "" for x in part.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -102,7 +117,9 @@ def per_slice(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBa
         work = make()
         for part in slices(batches, text):
             yield work(part)
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
