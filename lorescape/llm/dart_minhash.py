@@ -17,8 +17,9 @@ between candidates is lost, and a bucket of n copies costs about n comparisons.
 shingle hashes.
 
 Defined cases: null and empty texts have no shingles and form classes by themselves; a text of fewer than SHINGLE words has
-one shingle of all its words; rows that repeat an id and its text share a class; an empty table gives an empty table;
-other columns aren't read.
+one shingle of all its words; rows that repeat an id and its text share a class; rows without an id have no row in the
+result of classes(), and keep_one() tells documents without an id or with a repeated one apart by id and text; an empty table
+gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -259,9 +260,25 @@ def classes(docs: DataFrame, least: float = LEAST, weights: str = "set", bands:
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, weights: str = "set", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of one document of each class, the one with the smallest id; a repeated row of it counts once."""
-    found = saved(classes(docs, least, weights, key=key, text=text), "near-classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if again else kept
+    """The rows of one document of each class, the one with the smallest id; rows equal in id and text count once.
+
+    Where an id is null or repeated, documents are told apart by a hash of id and text instead: rows that share an id but not a text
+    are documents of their own, and so are rows without an id, which come last in their class. Those without an id and
+    without words equal no other document, and all stay.
+    """
+    ids = docs.select(F.col(key).alias("id"))
+    odd = ids.where("id is null").limit(1).count() or ids.groupBy("id").count().where("count > 1").limit(1).count()
+    if not odd:
+        found = saved(classes(docs, least, weights, key=key, text=text), "near-classes")
+        gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
+        return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+    own = F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text), F.col(text).isNull())
+    known = saved(docs.select(own.alias("doc_id"), F.col(key).cast("long").alias("id")).distinct(), "near-ids")
+    found = saved(classes(docs.select(own.alias("doc_id"), F.col(text).alias("text")), least, weights).select("doc_id", "class_id").distinct(), "near-classes")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))
+    first = saved(found.join(known, "doc_id").groupBy("class_id").agg(F.min(order).getField("doc_id").alias("first")), "near-smallest")
+    gone = saved(found.join(first, "class_id").where("doc_id <> first").select(F.col("doc_id").alias("__near_own")), "near-gone")
+    kept = docs.withColumn("__near_own", own).join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "__near_own", "left_anti")
+    wordless = F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = kept.withColumn("__near_row", F.when(wordless, F.monotonically_increasing_id()).otherwise(-1))
+    return kept.dropDuplicates(["__near_own", "__near_row"]).select(*docs.columns)

@@ -13,7 +13,8 @@ gets more than its share. Stretches are compared by 64-bit hashes at level START
 96 bits at level TARGET.
 
 Defined cases: null and empty texts have no words; a text of fewer than TARGET words keeps them all; rows that repeat an id and
-its text are judged alike (neither is earlier); an empty table gives an empty table; other columns aren't read.
+its text are judged alike (neither is earlier); rows without an id have no place among the others and no row in the result; an
+empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -100,6 +100,17 @@ def test_odd_documents(odd_docs, odd_texts, no_docs):
     assert sorted(ids) == sorted(set(brute(odd_texts).values()))
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    a, b, c, d = (prose(800 + i, 40) for i in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, None), (None, ""), (7, c), (7, d), (7, d), (8, c + " end"), (9, a)]
+    left = sorted([(7, c), (7, d), (9, a), (None, b), (None, ""), (None, None), (None, None)], key=repr)
+    schema = "doc_id long, text string"
+    assert sorted(map(tuple, dart_minhash.keep_one(spark.createDataFrame(rows, schema)).collect()), key=repr) == left
+    few = [(None, a), (None, b), (1, c)]  # without a repeated id
+    assert sorted(map(tuple, dart_minhash.keep_one(spark.createDataFrame(few, schema)).collect()), key=repr) == sorted(few, key=repr)
+    assert {r["doc_id"] for r in dart_minhash.classes(spark.createDataFrame(rows, schema)).collect()} == {7, 8, 9}
+
+
 def test_counts_as_weights(spark):
     line = "one two three four five six "
     df = spark.createDataFrame([(0, line * 2), (1, line * 20), (2, line * 19)], "doc_id long, text string")
