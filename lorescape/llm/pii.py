@@ -3,7 +3,8 @@
 Kinds, in the order in which spans with one start are listed: email, ip, card, phone, iban. For each kind matches are
 leftmost and don't overlap; matches of different kinds may. A card needs 14 to 19 digits that pass the Luhn test, an IBAN
 15 to 34 characters that pass mod 97, an ip four parts of at most 255, a phone 10 to 15 digits. A match that fails is
-dropped, and the search goes on behind it. The first four kinds are always reported; an IBAN is when its score reaches
+dropped, and the search goes on behind it; only an IBAN may end before capitals or digits that follow it, at its country's
+length or, of an unknown country, at the last group that lets it pass. The first four kinds are always reported; an IBAN is when its score reaches
 IBAN_SCORE. Offsets count code points, and the end is exclusive.
 
 All patterns need time in proportion to the text, whatever it holds (long runs of digits or letters, too).
@@ -34,6 +35,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # starting inside a run o
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 #: Score of a confirmed span without context, and the words that raise it when they stand within CONTEXT characters before.
 BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.85, "phone": 0.6, "iban": 0.9}
@@ -98,14 +109,28 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if mod97(plain):
-            out.append(m.span())
+    """Behind a match that fails the search goes on at its second character: what it swallowed may hold an account number."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        end = iban_end(m[0])
+        if end:
+            out.append((m.start(), m.start() + end))
+        at = m.start() + (end or 1)
     return out
 
 
+def iban_end(run: str) -> int | None:
+    """Where the account number ends that a run of groups starts with: only the groups up to there pass mod 97.
+
+    Of a known country that is its length, else the whole run; of others the longest run of whole groups that passes.
+    """
+    ends = [i for i in range(len(run), 14, -1) if run[i : i + 1] in ("", " ")]
+    sized = [(i, run[:i].replace(" ", "")) for i in ends]
+    if n := IBAN_LENGTHS.get(run[:2]):
+        sized = [x for x in sized if len(x[1]) == n] + sized[:1]
+    return next((i for i, plain in sized if len(plain) >= 15 and mod97(plain)), None)
+
+
 FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "iban": ibans}
 
 

@@ -73,6 +73,19 @@ def test_iban_and_context():
     assert low < 0.5 < high
 
 
+@pytest.mark.parametrize("behind", [" BIC COBADEFFXXX", " EUR 500", " 12", " A B C D E F", "", ".", " and"])
+@pytest.mark.parametrize("before", ["IBAN ", "AB12 REF NUMBER ", "DE00 "])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_before_capitals_and_numbers(before, iban, behind):
+    assert pii.ibans(before + iban + behind) == [(len(before), len(before + iban))]
+    assert pii.redacted(before + iban + behind) == before + "[IBAN]" + behind
+
+
+def test_iban_of_an_unknown_country_ends_at_a_group():
+    iban = next(t for n in range(100) if pii.mod97((t := f"QQ{n:02d} 1234 5678 9012 3456").replace(" ", "")))
+    assert pii.ibans(iban + " EUR") == [(0, len(iban))]
+
+
 def test_redaction():
     assert pii.redacted("mail a@b.co or +1 555 010 9999!") == "mail [EMAIL] or [PHONE]!"
 
