@@ -14,7 +14,11 @@ others are reported. Short tokens give the tests little power, so a class has it
 randomness, too: its chance under a model of ordinary identifiers (one character class going on with chance STAY) must be at
 most ORDINARY.
 
-The classes' p-values are counted in BINS steps, so what goes to the driver is bounded by classes times bins.
+A run that is no candidate as a whole (it mixes + or / with - or _, or its words hide a key) is cut at - and _, at + and /, and at all
+four; of the pieces that are candidates the longest ones that don't overlap are taken.
+
+The step-up is exact at any number of candidates: from the rate down, a class's threshold becomes the rate times the share of
+p-values up to the threshold before, until that share stays. A pass brings one row a class to the driver.
 
 Defined cases: null and empty texts have no spans; patterns need time in proportion to the text; repeated rows are judged
 each by itself; an empty table gives an empty table; columns other than the two named ones aren't read.
@@ -22,6 +26,7 @@ each by itself; an empty table gives an empty table; columns other than the two
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -32,10 +37,11 @@ from pyspark.sql import functions as F
 from lorescape.llm.shared import per_text, saved
 
 KINDS = ("assign", "access", "hex", "random")
-FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, maybe array<struct<s:int,k:int,e:int,c:int,b:int>>"
+FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, maybe array<struct<s:int,k:int,e:int,c:int,p:double>>"
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+CUTS = tuple(re.compile(f"[^{marks}]{{20,}}") for marks in (r"_-", r"+/", r"+/_-"))
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 
@@ -121,8 +127,26 @@ def length_class(n: int) -> int:
     return sum(n >= least for least in LENGTHS) - 1
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
-    """Base spans (start, place in KINDS, end), and candidates (start, 3, end, length class, bin of the p-value)."""
+def candidate(token: str) -> str | None:
+    """The alphabet of a token that is to be tested."""
+    alphabet = infer(token)
+    return alphabet if alphabet and ordinary(token) <= ORDINARY else None
+
+
+def pieces(run: str) -> list[tuple[int, int, str]]:
+    """The longest pieces between marks that are candidates and don't overlap: start, end, alphabet."""
+    cut = {m.span() for marks in CUTS for m in marks.finditer(run)}
+    out: list[tuple[int, int, str]] = []
+    for a, b in sorted(cut, key=lambda x: (x[0] - x[1], x)):
+        at = bisect.bisect(out, (a,))
+        free = (at == 0 or out[at - 1][1] <= a) and (at == len(out) or out[at][0] >= b)
+        if free and b - a < len(run) and (alphabet := candidate(run[a:b])):
+            out.insert(at, (a, b, alphabet))
+    return out
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, float]]]:
+    """Base spans (start, place in KINDS, end), and candidates (start, 3, end, length class, p-value)."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -130,11 +154,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base.sort()
     maybe = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if (alphabet := infer(token)) and ordinary(token) <= ORDINARY:
+        run, at = m[0], m.start()
+        found = [(0, len(run), alphabet)] if (alphabet := candidate(run)) else pieces(run)
+        for a, b, alphabet in found:
             place = {c: i for i, c in enumerate(alphabet)}
-            p = battery([place[c] for c in token.rstrip("=")], len(alphabet))
-            maybe.append((m.start(), 3, m.end(), length_class(len(token)), min(BINS - 1, int(p * BINS))))
+            p = battery([place[c] for c in run[a:b].rstrip("=")], len(alphabet))
+            maybe.append((at + a, 3, at + b, length_class(b - a), p))
     return base, maybe
 
 
@@ -143,7 +168,7 @@ def listed(spans: list) -> str:
 
 
 def thresholds(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
-    """By length class, the first bin that is kept as random: below it the step-up procedure rejects randomness."""
+    """By length class, the first bin that is kept as random, for p-values that are only known in BINS steps (the query's are exact)."""
     out = {}
     for cls in {c for c, _, _ in histogram}:
         bins = sorted((b, n) for c, b, n in histogram if c == cls)
@@ -156,6 +181,20 @@ def thresholds(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dic
     return out
 
 
+def step_up(tested: DataFrame, rate: float = RATE) -> dict[int, float]:
+    """By length class (c) the largest p-value (p) at which the step-up procedure rejects randomness, or a bit more."""
+    cut: dict[int, float] = {}
+    while True:
+        up_to = F.lit(rate)
+        for cls, most in sorted(cut.items()):
+            up_to = F.when(F.col("c") == cls, F.lit(most)).otherwise(up_to)
+        counts = tested.groupBy("c").agg(F.count("*").alias("n"), F.count(F.when(F.col("p") <= up_to, 1)).alias("k")).collect()
+        now = {r["c"]: rate * r["k"] / r["n"] for r in counts}
+        if now == cut:
+            return cut
+        cut = now
+
+
 def find_secrets(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, counts by base kind, SHA-256 of the base spans, all spans, n_random.
 
@@ -165,12 +204,11 @@ def find_secrets(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text:
     def work(keys: list, texts: list[str]) -> dict:
         found = [scan(t) for t in texts]
         out = {"doc_id": keys, **{f"n_{kind}": [sum(x[1] == k for x in base) for base, _ in found] for k, kind in enumerate(KINDS[:3])}}
-        names = ("s", "k", "e", "c", "b")
+        names = ("s", "k", "e", "c", "p")
         return out | {f: [[dict(zip(names, x, strict=False)) for x in pair[i]] for pair in found] for i, f in enumerate(("base", "maybe"))}
 
     found = saved(per_text(docs, FOUND, lambda: work, key, text), "secrets")
-    one = found.select(F.explode("maybe").alias("m")).groupBy("m.c", "m.b").count()
-    cut = thresholds([(r["c"], r["b"], r["count"]) for r in one.collect()], rate)  # at most length classes times bins
+    cut = step_up(found.select(F.explode("maybe").alias("m")).select("m.c", "m.p"), rate)
     random = F.filter("maybe", lambda x: _kept(x, cut))
     text_of = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"], x["e"])), ",")
     plain = F.transform(random, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
@@ -185,10 +223,10 @@ def find_secrets(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text:
     )
 
 
-def _kept(x, cut: dict[int, int]):
+def _kept(x, cut: dict[int, float]):
     out = F.lit(False)
-    for cls, least in sorted(cut.items()):
-        out = out | ((x["c"] == cls) & (x["b"] >= least))
+    for cls, most in sorted(cut.items()):
+        out = out | ((x["c"] == cls) & (x["p"] > most))
     return out
 
 

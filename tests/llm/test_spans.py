@@ -105,6 +105,27 @@ def test_step_up_procedure():
     assert cut == {0: 1, 1: 0}
 
 
+def test_step_up_is_exact_among_many(spark):
+    r = random.Random(8)
+    texts = ["Q1" * 20] + ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(300)]
+    maybe = [(i, x) for i, t in enumerate(texts) for x in secret_scan.scan(t)[1]]
+    ranked = sorted(x[4] for _, x in maybe)
+    rejected = max((k for k, p in enumerate(ranked, 1) if p <= secret_scan.RATE * k / len(ranked)), default=0)
+    assert rejected >= 1 and maybe[0][0] == 0
+    rows = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = {r["doc_id"] for r in rows if r["n_random"]}
+    assert 0 not in kept and kept == {i for i, x in maybe if rejected == 0 or x[4] > ranked[rejected - 1]}
+
+
+def test_keys_joined_by_marks_are_tested():
+    key, url, rest = "Zq8f7Gh2Kx9Lm3Np0Rt5Vw1Yb4", "Zq8f7Gh2-x9Lm3Np0Rt5V_1Yb4Tk", "Zq8f7Gh2/x9Lm3Np0Rt5V+1Yb4Tk"
+    for before, token, behind in (("/my-site/v1/", key, ""), ("user_name-", key, "+x/y"), ("/some/path/", url, ""), ("my-name_", rest, "==")):
+        text = before + token + behind
+        spans = [(s, e) for s, _, e, *_ in secret_scan.scan(text)[1]]
+        assert len(spans) == 1 and spans[0][0] <= len(before) and spans[0][1] >= len(before + token), text
+    assert secret_scan.scan("see /my-site/v1/path_of/some-page+name/and/so-on_2024/x+y")[1] == []
+
+
 @pytest.mark.parametrize("run,base", [(pii.find_pii, plain_pii), (secret_scan.find_secrets, plain_secrets)])
 def test_odd_documents(spark, odd_docs, odd_texts, no_docs, run, base):
     rows = run(odd_docs).collect()
