@@ -9,8 +9,9 @@ toxic dictionary ends with the ordinary one, so that both give ordinary windows
 
 Windows are about WINDOW bytes in lower case, ended at a space. A document's features are the numbers and shares of windows
 whose difference reaches each of THRESHOLDS, and the mean difference; a logistic regression, fitted to the sample,
-calibrates them for the root of the labels' odds, between even odds and those, so that 0.5 is the threshold. The model is fitted on the driver to a sample of at most SAMPLE labelled
-documents a class and SAMPLE_CHARS characters of each; near copies count once. Scoring reads every window of every whole text.
+calibrates them for the root of the labels' odds, between even odds and those, so that 0.5 is the threshold. The model is fitted on the driver to a sample of whole texts, at most SAMPLE labelled
+documents a class; near copies count once. Fewer are taken if they have more than SAMPLE times SAMPLE_CHARS characters together,
+but one at least. Scoring reads every window of every whole text, too.
 
 Defined cases: null and empty texts have no window and get the score that the regression gives to no hits; repeated rows are
 scored each by itself; an empty table gives an empty table; without labels of both classes every score is 0. Columns other
@@ -24,6 +25,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +167,7 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Model:
     """A model of labelled texts, odds being those of the toxic label; all scores are 0 if a class has none."""
-    toxic, ordinary = one_of_each([t[:SAMPLE_CHARS] for t in toxic]), one_of_each([t[:SAMPLE_CHARS] for t in ordinary])
+    toxic, ordinary = one_of_each(toxic), one_of_each(ordinary)
     if not toxic or not ordinary:
         return Model(b"", b"")
     model = Model(trained([w for t in ordinary for w in windows(t)]), "".join(reversed(telling(toxic, ordinary))).encode())
@@ -177,14 +179,18 @@ def fit(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of at most SAMPLE labelled documents a class, those of the smallest hashes, none of them held out."""
+    """A model of at most SAMPLE labelled whole documents a class, those of the smallest hashes, none of them held out."""
     known = labels.where(~held_out(key) & F.col("toxic").isNotNull()).select(key, "toxic").groupBy(key).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     rows = []
     for label in (1, 0):
-        ids = known.where(F.col("toxic") == label).select(key, F.xxhash64(key).alias("h")).orderBy("h", key).limit(SAMPLE).select(key)
-        short = F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARS).alias("t")
-        rows.append([r["t"] for r in docs.select(key, short).join(F.broadcast(ids), key).select("t").limit(SAMPLE).collect()])
+        ids = known.where(F.col("toxic") == label).select(key, F.xxhash64(key).alias("h")).orderBy("h", key).limit(SAMPLE)
+        t = F.coalesce(F.col(text), F.lit(""))
+        sizes = docs.select(key, F.char_length(t).alias("n")).join(F.broadcast(ids), key).orderBy("h", key, "n").limit(SAMPLE).collect()
+        whole = accumulate(r["n"] for r in sizes)
+        chosen = [(r[key], r["n"]) for i, (r, n) in enumerate(zip(sizes, whole, strict=True)) if i == 0 or n <= SAMPLE * SAMPLE_CHARS]
+        few = docs.sparkSession.createDataFrame(chosen, docs.select(key, F.lit(0).alias("n")).schema).distinct()
+        rows.append([r["t"] for r in docs.select(key, t.alias("t"), F.char_length(t).alias("n")).join(F.broadcast(few), [key, "n"]).select("t").limit(len(chosen)).collect()])
     return fit(*(sorted(x) for x in rows), odds=max(1, counts.get(1, 0)) / max(1, counts.get(0, 0)))
 
 

@@ -49,6 +49,33 @@ def test_held_out_labels_dont_matter(tables):
     assert (a.ordinary, a.toxic, a.weights) == (b.ordinary, b.toxic, b.weights)
 
 
+def long_texts(n):
+    """Rows of labelled texts of more than 10,000 characters, the toxic words of which stand behind the first 10,000."""
+    r = random.Random(10)
+    rows = []
+    for i in range(n):
+        w = prose(5000 + i, 2200).split()
+        if i % 2 == 0:
+            for _ in range(8):
+                w.insert(r.randrange(1900, len(w)), r.choice(BAD))
+        rows.append((i, " ".join(w), 1 - i % 2))
+    return rows
+
+
+def test_texts_are_learnt_from_to_their_end(spark, monkeypatch):
+    rows = long_texts(60)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()}
+    held = [(scored[i]["predicted"], x) for i, _, x in rows if scored[i]["held_out"]]
+    assert len(held) > 5 and sum(p == x for p, x in held) / len(held) > 0.9
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100)  # of 1000 documents a class: about seven whole texts
+    monkeypatch.setattr(toxicity, "fit", lambda *texts, odds: seen.extend(texts))
+    toxicity.train(docs, labels)
+    assert all(4 <= len(x) <= 10 and sum(map(len, x)) <= 100_000 and set(x) <= {t for _, t, _ in rows} for x in seen)
+
+
 def test_windows_cover_the_text():
     text = prose(3, 500) + "x" * 700
     assert b"".join(w.replace(b" ", b"") for w in toxicity.windows(text)) == text.replace(" ", "").encode()
