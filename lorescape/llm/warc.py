@@ -7,8 +7,14 @@ manifest, which Spark commits, count, so a task that is run again leaves no doub
 
 Reading. At each place the reader expects a gzip member or a version line, and checks headers, lengths, the end of the
 record and its digests. After a failed check it searches for the next member or version line that passes, goes on there, and
-reports the bytes between as a gap with the reason. It holds one record and one chunk in memory at a time; a record that
-claims more than RECORD_BYTES is treated as damaged, since its length can't be trusted.
+reports the bytes between as a gap with the reason. What a member inflates to is searched in the same way while it is
+inflated, so a damaged record costs itself alone, and an error of the member what lies behind the last record before it. Two
+records are never taken from a member with an error, since nothing else vouches for them: its only one, and a last one without a
+block digest. It holds two records and some chunks in memory at a time; a record that claims more than RECORD_BYTES is treated as
+damaged, since its length can't be trusted.
+
+Places count bytes of the file. Records of a member start where it does, and stop where it does or at a place before that;
+a gap within a member gives the inflated bytes in its reason.
 
 Defined cases: null and empty HTML have an empty payload, and all of these equal each other; rows that repeat the smallest
 page_id of their payload are all responses; an empty table gives no archive and an empty result; an archive without any valid
@@ -33,6 +39,7 @@ from lorescape.llm.shared import new_path, saved, slices
 ARCHIVE_BYTES = 32 << 20
 RECORD_BYTES = 1 << 30
 CHUNK = 1 << 18
+PIECE = 1 << 14
 HEADER_BYTES = 1 << 16
 #: A side of up to so many rows of about 70 bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -120,10 +127,12 @@ class Source:
             del self.data[: before - self.base]
             self.base = before
 
-    def find_start(self, start: int) -> int | None:
-        """The next place from start on that may begin a member or a record."""
+    def find_start(self, start: int, marks: tuple[bytes, ...] = (MEMBER, VERSION)) -> int | None:
+        """The next place from start on that may begin a member or a record; what lies before it is forgotten."""
+        start = max(start, self.base)
         while True:
-            found = [x for x in (self.data.find(MEMBER, start - self.base), self.data.find(VERSION, start - self.base)) if x >= 0]
+            self.forget(start)
+            found = [x for x in (self.data.find(mark, start - self.base) for mark in marks) if x >= 0]
             if found:
                 return min(found) + self.base
             end = self.base + len(self.data)
@@ -167,76 +176,138 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
 
 
-def inflated(source: Source, start: int) -> tuple[list[Record], int]:
-    """All records of the gzip member at a place, checked, and where it ends."""
-    made, out, at, size = zlib.decompressobj(31), [], start, 0
-    while not made.eof:
-        part = source.get(at, CHUNK)
-        if not part:
-            raise Damaged("member is cut short")
-        try:
-            out.append(made.decompress(part, RECORD_BYTES))
-        except zlib.error:
-            raise Damaged("member can't be inflated") from None
-        size += len(out[-1])
-        if size >= RECORD_BYTES or made.unconsumed_tail:
-            raise Damaged("member is too large")
-        at += len(part)
-    stop = at - len(made.unused_data)
-    inside, records, place = Source(_Once(b"".join(out))), [], 0
-    while place < size:
-        found, place = parsed(inside, place)
-        records.append(found)
-    return records, stop
-
-
-class _Once:
-    """A stream over bytes that are there already."""
-
-    def __init__(self, data: bytes):
-        self.data = data
+class Member:
+    """A stream of what the gzip member at a place inflates to. An error ends it early and is kept as its problem."""
+
+    def __init__(self, source: Source, start: int):
+        self.source, self.at, self.size, self.problem = source, start, 0, None
+        self.made = zlib.decompressobj(31)
+        self.marks = [(start, 0, self.made.copy())]  # places, the inflated bytes up to there, and how to go on
 
     def read(self, n: int = -1) -> bytes:
-        data, self.data = self.data, b""
-        return data
+        while self.problem is None and not self.made.eof:
+            part, before = self.source.get(self.at, PIECE), self.made.copy()
+            if self.at - self.marks[-1][0] >= CHUNK:
+                self.marks.append((self.at, self.size, before))
+            if self.at - self.source.base > RECORD_BYTES:
+                self.source.forget(self.at - RECORD_BYTES)
+            try:
+                if not part:
+                    self.problem = "member is cut short"
+                data = self.made.decompress(part, CHUNK) if part else self.made.flush()
+                self.at += len(part) - len(self.made.unconsumed_tail) - len(self.made.unused_data)
+            except zlib.error:
+                self.problem = "member can't be inflated"
+                data = self._until_error(part, before.copy())
+            self.size += len(data)
+            if data:
+                return data
+        return b""
+
+    def _until_error(self, part: bytes, made) -> bytes:
+        out = []
+        for i in range(len(part)):
+            try:
+                out.append(made.decompress(part[i : i + 1]))
+            except zlib.error:
+                break
+            self.at += 1
+        return b"".join(out)
+
+    def _mark(self, size: int) -> int:
+        return max(i for i, (_, out, _) in enumerate(self.marks) if out <= size)
+
+    def passed(self, size: int) -> int:
+        """A place up to which the member inflates to no more than that many bytes; what lies before it is forgotten."""
+        del self.marks[: self._mark(size)]
+        self.source.forget(self.marks[0][0])
+        return self.marks[0][0]
+
+    def behind(self, size: int) -> int:
+        """The place at which the member has inflated to that many bytes."""
+        at, out, made = self.marks[self._mark(size)]
+        if at < self.source.base:
+            return self.source.base
+        made = made.copy()
+        while out < size:
+            out += len(made.decompress(self.source.get(at, 1)))
+            at += 1
+        return at
 
 
 def salvage(stream: BinaryIO) -> Iterator[Found]:
     """All valid records of an archive in order, and between them the gaps of bytes that hold none."""
-    source, at = Source(stream), 0
+    return _salvaged(Source(stream), (MEMBER, VERSION))
+
+
+def _salvaged(source: Source, marks: tuple[bytes, ...]) -> Iterator[Found]:
+    at = 0
     bad: int | None = None
     why = ""
     while source.have(at, 1):
+        following = at + 1
         try:
             start = source.get(at, len(VERSION))
-            if start.startswith(MEMBER):
-                records, stop = inflated(source, at)
-            elif start == VERSION:
-                found, stop = parsed(source, at)
-                records = [found]
-            else:
-                raise Damaged("neither a member nor a version line")
+            if MEMBER in marks and start.startswith(MEMBER):
+                member = Member(source, at)
+                for f in _of_member(member, at):
+                    if bad is not None:
+                        yield Found(bad, at, None, why)
+                        bad = None
+                    yield f
+                if not member.problem:
+                    at = member.at
+                    source.forget(at)
+                    continue
+                if member.taken:
+                    at = following = member.behind(member.taken)
+                raise Damaged(member.problem)
+            if start != VERSION:
+                raise Damaged("neither a member nor a version line" if MEMBER in marks else "no version line")
+            found, stop = parsed(source, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            following = source.find_start(at + 1)
+            following = source.find_start(following, marks)
             if following is None:
                 at = source.base + len(source.data)
                 break
             at = following
-            source.forget(at)
             continue
         if bad is not None:
             yield Found(bad, at, None, why)
             bad = None
-        for r in records:
-            yield Found(at, stop, r, None)
+        yield Found(at, stop, found, None)
         at = stop
         source.forget(at)
-    if bad is not None:
+    if bad is not None and bad < at:
         yield Found(bad, at, None, why)
 
 
+def _of_member(member: Member, at: int) -> Iterator[Found]:
+    """What a member holds; member.taken becomes the number of inflated bytes up to the last record that counts."""
+    held: list[Found] = []
+    count = member.taken = 0
+
+    def placed(f: Found, stop: int | None = None) -> Found:
+        passed = member.passed(f.stop) if stop is None else stop
+        if f.record is None:
+            return Found(at, passed, None, f"{f.problem} (bytes {f.start} to {f.stop} of what the member inflates to)")
+        member.taken = f.stop
+        return Found(at, passed, f.record, None)
+
+    for f in _salvaged(Source(member), (VERSION,)):
+        count += f.record is not None
+        held.append(f)
+        if count > 1:
+            yield from map(placed, held[:-1])
+            held = held[-1:]
+    if not member.problem:
+        yield from (placed(f, member.at) for f in held)
+    elif count > 1 and held[0].record and held[0].record.headers.get("warc-block-digest", "").startswith("sha1:"):
+        yield placed(held[0])
+
+
 def _opened(path: str):
     from pyarrow import fs
 

@@ -63,6 +63,32 @@ def test_one_member_with_all_records_and_small_reads():
     assert sum(f.record is not None for f in warc.salvage(Slow(b"xx" + b"".join(archive())))) == 6
 
 
+def test_one_member_with_all_records_and_damage():
+    parts = archive(40, gz=False)
+    broken = parts[:7] + [parts[7].replace(b"<p>7", b"<q>7")] + parts[8:]
+    ids, gaps = read(warc.member(b"".join(broken)) + warc.member(parts[0]))
+    assert ids == [i for i in range(40) if i != 7] + [0] and len(gaps) == 1
+    for level in (0, 6):  # stored blocks show the version lines of their records
+        made = zlib.compressobj(level, zlib.DEFLATED, 31)
+        whole = made.compress(b"".join(parts)) + made.flush()
+        ids, gaps = read(whole[: len(whole) // 2] + warc.member(parts[3]))
+        assert ids[-1] == 3 and ids[:-1] == list(range(len(ids) - 1)) and len(ids) > 10 and len(gaps) == 1
+        wrong = whole[:-8] + bytes(4) + whole[-4:]  # its CRC
+        ids, gaps = read(wrong + parts[3])
+        assert ids == [*range(40), 3] and len(gaps) == 1
+
+
+def test_members_larger_than_a_record_may_be(monkeypatch):
+    r = random.Random(7)
+    parts = [warc.record(i, "u", r.randbytes(30_000), None) for i in range(60)]
+    monkeypatch.setattr(warc, "RECORD_BYTES", 200_000)
+    assert read(warc.member(b"".join(parts))) == (list(range(60)), [])
+    monkeypatch.setattr(warc, "CHUNK", 1 << 16)
+    whole = warc.member(b"".join(parts))
+    ids, gaps = read(whole[:1_000_000] + whole[1_000_500:] + parts[5])
+    assert ids[:33] == list(range(33)) and ids[-1] == 5 and len(ids) == len(set(ids)) + (5 in ids[:-1]) and gaps
+
+
 def test_random_damage_never_breaks_the_reader():
     r = random.Random(3)
     for gz in (True, False):
