@@ -40,7 +40,7 @@ ARCHIVE_BYTES = 32 << 20
 RECORD_BYTES = 1 << 30
 CHUNK = 1 << 18
 PIECE = 1 << 14
-HEADER_BYTES = 1 << 16
+FIRST_LINE = 32
 #: A side of up to so many rows of about 70 bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -109,6 +109,7 @@ class Source:
 
     def __init__(self, stream: BinaryIO):
         self.stream, self.data, self.base, self.over = stream, bytearray(), 0, False
+        self.no_blank = (0, 0)  # no blank line begins between these places
 
     def have(self, start: int, n: int) -> bool:
         """Reads on until n bytes from start are there, or the stream ends."""
@@ -127,6 +128,19 @@ class Source:
             del self.data[: before - self.base]
             self.base = before
 
+    def find_blank(self, start: int) -> int | None:
+        """The next end of a header line that an empty one follows, if there is one within a record's bytes."""
+        since, at = self.no_blank if self.no_blank[0] <= start <= self.no_blank[1] else (start, start)
+        while True:
+            found = self.data.find(b"\r\n\r\n", at - self.base)
+            end = self.base + len(self.data)
+            at = found + self.base if found >= 0 else max(at, end - 3)
+            self.no_blank = (since, at)
+            if found >= 0:
+                return at
+            if at - start > RECORD_BYTES or not self.have(end, 1):
+                return None
+
     def find_start(self, start: int, marks: tuple[bytes, ...] = (MEMBER, VERSION)) -> int | None:
         """The next place from start on that may begin a member or a record; what lies before it is forgotten."""
         start = max(start, self.base)
@@ -143,12 +157,14 @@ class Source:
 
 def parsed(source: Source, start: int) -> tuple[Record, int]:
     """The record at a version line, checked, and where it ends."""
-    head = source.get(start, HEADER_BYTES)
-    if not head.startswith(VERSION):
+    head = source.get(start, FIRST_LINE)
+    if not head.startswith(VERSION) or b"\r\n" not in head:
         raise Damaged("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
+    blank = source.find_blank(start)
+    if blank is None or blank - start > RECORD_BYTES:
         raise Damaged("headers don't end")
+    end = blank - start
+    head = source.get(start, end)
     try:
         lines = head[:end].decode().split("\r\n")[1:]
     except UnicodeDecodeError:

@@ -122,6 +122,14 @@ def test_payloads_and_gaps_of_a_damaged_archive(spark, tmp_path):
     assert [(r["problem"] is None, r["payload"]) for r in rows] == [(True, b"<p>0</p>"), (False, None), (True, b"<p>1</p>" * 2)]
 
 
+def test_long_urls(spark):
+    rows = [(1, "http://h/" + "x" * 100_000, "a"), (2, "data:," + "ä" * 300_000, "b"), (3, "u", "c")]
+    records, gaps = warc.round_trip(spark, spark.createDataFrame(rows, PAGES))
+    assert gaps.count() == 0 and {r["page_id"] for r in records.collect()} == {1, 2, 3}
+    plain = b"".join(warc.record(i, u, h.encode(), None) for i, u, h in rows)
+    assert read(plain) == ([1, 2, 3], []) and read(b"WARC/1.1\r\n" * 20_000 + plain)[0] == [1, 2, 3]
+
+
 def test_rotation(spark, monkeypatch):
     pages = spark.range(40).selectExpr("id page_id", "'u' url", "sha2(cast(id as string), 512) html").coalesce(1)
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
