@@ -30,8 +30,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of half the tokens whose margins by source, language and topic are raked to smoothed targets."""
-    return mixing.sample(docs)
+    """A sample of half the tokens, or fewer if need be, whose margins by source, language and topic meet smoothed targets."""
+    return mixing.sample(docs, bounded=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,13 @@ factor for all, is the probability of its documents; the factor is set so that t
 with no probability above 1. A document is sampled if a uniform number made of its id is below its probability, so the
 decision depends on nothing else and can be made anywhere again.
 
+With bounded=True the limit of 1 is part of the fit: a cell's probability is the smaller of 1 and the product of a multiplier for
+each of its margins' values, and the multipliers are scaled in turn until the expected tokens meet the targets with the limit in
+place. Where they can't, the budget is lowered to the largest one at which they are met within TOLERANCE of the sampled tokens (or
+as well as by fitting without the limit, if the targets contradict each other). Without it, tokens that the limit takes away are
+dealt to all other cells alike, and margins drift back towards the table's own; the op1_mixing query does this, as its SQL says.
+achieved() gives each margin's shares beside the targets.
+
 Target shares are given by value for each margin; a margin without given targets gets those proportional to its
 tokens to the power TEMPERATURE, which lifts small values and lowers a dominant one. Values without a target get 0.
 
@@ -32,6 +39,8 @@ TEMPERATURE = 0.5
 BUDGET = 0.5
 CALIBRATIONS = 8
 CELLS = 100_000
+#: Of bounded fits: most rounds, margins' error as a share of the sampled tokens, and steps of the search for a budget.
+RAKES, TOLERANCE, HALVINGS = 400, 1e-3, 10
 NONE = "(none)"
 #: A text's topic is told by the share of its code points that aren't letters or white space, in steps.
 TOPICS = ((0.02, "prose"), (0.05, "punctuated"), (0.12, "listing"))
@@ -144,6 +153,97 @@ def fit_distributed(counted: DataFrame, margins: tuple[str, ...], given: dict[st
     return at.select(*margins, F.least(F.lit(1.0), F.col("ratio") * factor).alias("p"))
 
 
+class _Cells:
+    """Cells in memory or, beyond MOST, in a table: what bounded raking asks about them, by margin and value."""
+
+    def __init__(self, counted: DataFrame, margins: tuple[str, ...], most: int):
+        self.table, self.margins, self.local = counted.select(*margins, F.coalesce(F.col("tokens"), F.lit(0)).cast("double").alias("seen")), margins, counted.count() <= most
+        if self.local:
+            rows = self.table.collect()
+            self.seen = np.array([r["seen"] for r in rows])
+            self.values = [sorted({r[m] for r in rows}) for m in margins]
+            places = [{v: j for j, v in enumerate(x)} for x in self.values]
+            self.codes = [np.array([place[r[m]] for r in rows], dtype=int) for m, place in zip(margins, places, strict=True)]
+            self.keys = [tuple(r[m] for m in margins) for r in rows]
+        else:
+            self.values = [sorted(r[m] for r in self.table.select(m).distinct().collect()) for m in margins]
+            self.table = saved(self.table, "mix-bounded")
+
+    def chances(self, factors: list[np.ndarray]):
+        """The cells' probabilities: an array, or the table with a column p."""
+        if self.local:
+            return np.minimum(1.0, np.prod([f[code] for f, code in zip(factors, self.codes, strict=True)], axis=0))
+        out, p = self.table, F.lit(1.0)
+        for m, values, f in zip(self.margins, self.values, factors, strict=True):
+            known = self.table.sparkSession.createDataFrame(list(zip(values, f.tolist(), strict=True)), f"{m} string, by_{m} double")
+            out, p = out.join(F.broadcast(known), m), p * F.col(f"by_{m}")
+        return out.select(*self.margins, "seen", F.least(F.lit(1.0), p).alias("p"))
+
+    def sums(self, i: int, factors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of margin i's values in cells below the limit, and in those at it."""
+        n, p = len(self.values[i]), self.chances(factors)
+        if self.local:
+            return tuple(np.bincount(self.codes[i], self.seen * p * (part), n) for part in (p < 1, p >= 1))
+        got = p.groupBy(self.margins[i]).agg(*(F.sum(F.when(part, F.col("seen") * F.col("p")).otherwise(0.0)) for part in (F.col("p") < 1, F.col("p") >= 1))).collect()
+        by = {r[0]: (r[1], r[2]) for r in got}
+        return tuple(np.array([by[v][k] for v in self.values[i]]) for k in (0, 1))
+
+
+def fit_bounded(cell: _Cells, given: dict[str, dict[str, float]], budget: float) -> list[np.ndarray] | None:
+    """Multipliers of the margins' values; None if there are no tokens."""
+    ones = [np.ones(len(v)) for v in cell.values]
+    seen = [sum(cell.sums(i, ones)) for i in range(len(ones))]
+    total = seen[0].sum() if seen else 0.0
+    if not total:
+        return None
+    named = zip(cell.margins, cell.values, seen, strict=True)
+    shares = [np.array(list(map(targets(dict(zip(v, s.tolist(), strict=True)), given.get(m)).get, v))) for m, v, s in named]
+
+    def raked(part: float) -> tuple[list[np.ndarray], float]:
+        factors = [np.full(len(x), part if i == 0 else 1.0) for i, x in enumerate(shares)]
+        for _ in range(RAKES):
+            worst = 0.0
+            for i, share in enumerate(shares):
+                want = share * part * total
+                below, full = cell.sums(i, factors)
+                got = below + full
+                worst = max(worst, np.abs(got - want).max() / (part * total))
+                grow = np.divide(want - full, below, out=np.ones_like(want), where=below > 0)
+                shrink = np.divide(want, got, out=np.ones_like(want), where=got > 0)
+                factors[i] = np.minimum(factors[i] * np.where(want > got, grow, shrink), 1e30)
+            if worst < TOLERANCE / 4:
+                break
+        return factors, worst
+
+    if not all(x.sum() for x in shares):
+        return [np.zeros(len(x)) for x in shares]
+    most = min([budget, *(s / (x * total) for margin, of in zip(shares, seen, strict=True) for x, s in zip(margin, of, strict=True) if x > 0)])
+    best, error = raked(most)
+    if error <= TOLERANCE:
+        return best
+    low, high = 0.0, most
+    best, error = raked(most * 2.0**-HALVINGS)  # too small for the limit to matter, unless the targets contradict each other
+    allowed = max(TOLERANCE, 1.01 * error)
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        found, error = raked(middle)
+        if error <= allowed:
+            low, best = middle, found
+        else:
+            high = middle
+    return best
+
+
+def achieved(rows: DataFrame, given: dict[str, dict[str, float]] | None = None) -> list[tuple[str, str, float, float]]:
+    """Of what mix() gives: each margin's values, their target shares, and their shares of the sample's expected tokens."""
+    out = []
+    for m in MARGINS:
+        sums = rows.groupBy(m).agg(F.sum("n_tokens").alias("n"), F.sum("weight").alias("w")).orderBy(m).collect()
+        wanted, whole = targets({r[m]: float(r["n"]) for r in sums}, (given or {}).get(m)), sum(r["w"] for r in sums)
+        out += [(m, r[m], wanted[r[m]], r["w"] / whole if whole else 0.0) for r in sums]
+    return out
+
+
 def mix(
     docs: DataFrame,
     given: dict[str, dict[str, float]] | None = None,
@@ -153,6 +253,7 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     topics: Column | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """A row per document: doc_id, source, lang, topic, n_tokens, probability, weight, sampled.
 
@@ -164,7 +265,15 @@ def mix(
     # the texts are read once: what is written is a few bytes for each document
     rows = saved(docs.select(F.col(key).alias("doc_id"), *named, kind.alias("topic"), tokens(F.col(text)).alias("n_tokens")), "mix-rows")
     counted = saved(cells(rows, margins), "mix-counts")
-    if counted.count() <= most_cells:
+    if bounded:
+        cell = _Cells(counted, margins, most_cells)
+        factors = fit_bounded(cell, given, budget) or [np.zeros(len(v)) for v in cell.values]
+        if cell.local:
+            known = rows.sparkSession.createDataFrame([(*k, p) for k, p in zip(cell.keys, cell.chances(factors).tolist() if cell.keys else [], strict=True)], ", ".join(f"{m} string" for m in margins) + ", p double")
+            known = F.broadcast(known)
+        else:
+            known = saved(cell.chances(factors).drop("seen"), "mix-fitted")
+    elif counted.count() <= most_cells:
         chance = fit_local(counted.collect(), margins, given, rounds, budget)
         known = rows.sparkSession.createDataFrame([(*k, p) for k, p in chance.items()], ", ".join(f"{m} string" for m in margins) + ", p double")
         known = F.broadcast(known)
@@ -175,9 +284,9 @@ def mix(
     return joined.select("doc_id", *margins, "n_tokens", p.alias("probability"), F.round(F.col("n_tokens") * p, 6).alias("weight"), (uniform(F.col("doc_id")) < p).alias("sampled"))
 
 
-def sample(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sample(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", bounded: bool = False) -> DataFrame:
     """The rows of the documents that are sampled, with all their columns."""
-    rows = mix(docs, given, budget, key=key, text=text)
+    rows = mix(docs, given, budget, key=key, text=text, bounded=bounded)
     cell = rows.select("source", "lang", "topic", "probability").distinct()  # one probability a cell
     n = cell.count()
     named = {"__mix_s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__mix_l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__mix_t": topic(F.col(text))}

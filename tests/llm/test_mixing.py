@@ -37,6 +37,23 @@ def test_sampled_tokens_follow_the_budget(docs):
     assert shares["big"] / sum(shares.values()) < 0.6  # two thirds before
 
 
+def test_bounded_fit_meets_margins_at_the_production_budget(spark, docs):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for rows in (mixing.mix(table, bounded=True), mixing.mix(docs, bounded=True)):
+        got = mixing.achieved(rows)
+        assert max(abs(share - target) for _, _, target, share in got) <= mixing.TOLERANCE, got
+        assert 0 < rows.agg(F.sum("weight")).first()[0] <= mixing.BUDGET * rows.agg(F.sum("n_tokens")).first()[0] * 1.001
+        assert rows.agg(F.max("probability")).first()[0] <= 1
+
+
+def test_bounded_fit_on_a_table_equals_the_local_one(docs, odd_docs, no_docs):
+    given = {"source": {"big": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1}, "lang": {"en": 0.4, "de": 0.4, "(none)": 0.2}, "topic": {"prose": 0.3, "symbols": 0.3, "listing": 0.2, "punctuated": 0.2}}
+    few = docs.where("doc_id < 400")
+    local, spread = ({r["doc_id"]: r["probability"] for r in mixing.mix(few, given, budget=0.1, most_cells=n, bounded=True).collect()} for n in (1000, 0))
+    assert spread == pytest.approx(local, abs=1e-7)
+    assert mixing.mix(no_docs, bounded=True).count() == 0 and mixing.sample(odd_docs, bounded=True).columns == odd_docs.columns
+
+
 def test_distributed_fit_equals_the_local_one(docs):
     local = {r["doc_id"]: r["probability"] for r in mixing.mix(docs, rounds=4).collect()}
     spread = {r["doc_id"]: r["probability"] for r in mixing.mix(docs, rounds=4, most_cells=0).collect()}
