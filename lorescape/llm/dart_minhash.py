@@ -49,7 +49,7 @@ PAIRS = "a long, b long, similarity double"
 
 def shingles(text: str) -> np.ndarray:
     """Hashes of all stretches of SHINGLE words of a text, or of all its words if there are fewer."""
-    h = words.hashed(words.split(text))
+    h = words.hashed(text)
     return words.stretches(h, min(SHINGLE, len(h))) if len(h) else np.empty(0, dtype=np.uint64)
 
 

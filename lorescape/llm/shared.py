@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,53 +15,90 @@ SLICE_ROWS = 256
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch, and where Spark keeps that number.
 BATCH_ROWS, BATCH_SETTING, DEFAULT_BATCH = 500, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and driver and executors are one process, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-_made: set[str] = set()
+#: Whether Spark deletes a query's shuffle files when the query has ended.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own for local runs."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own if the session runs in one process."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{LOCAL_CHECKPOINTS}"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder. It is deleted when the driver's process ends."""
+    """A fresh path in the shared folder. It is deleted when the driver's JVM ends, if nobody has done so before."""
     path = f"{shared_dir(spark)}/lorescape/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.add(path)
+    files, where = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes one intermediate table early."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _made.discard(path)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    for path in list(_made):
-        try:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+class Scratch:
+    """Intermediate tables of one call, which are dropped at its end: with Scratch() as temporary: ... temporary.saved(df, name)."""
+
+    def __init__(self):
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.made:
             drop_path(spark, path)
-        except Exception:  # the session may be going down; leftovers are only unused files
-            return
+        self.made = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.made.append((df.sparkSession, path))
+        return out
+
+    def drop(self, count: int = 1) -> None:
+        """Drops the oldest tables early."""
+        for spark, path in self.made[:count]:
+            drop_path(spark, path)
+        del self.made[:count]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors, and lets AQE split skew."""
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors, and lets AQE split skew.
+
+    The table stays until the driver's JVM ends; Scratch.saved() is for those that a call doesn't return.
+    """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A written table needs no shuffle files of its query any more, so Spark is asked to delete them at once."""
     spark = df.sparkSession
     small_batches(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP_SETTING, None)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before) if before is not None else spark.conf.unset(CLEANUP_SETTING)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def small_batches(spark: SparkSession) -> None:

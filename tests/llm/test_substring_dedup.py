@@ -55,3 +55,11 @@ def test_longest_repeats(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["longest"] for r in substring_dedup.longest_repeats(df).collect()}
     assert got == {0: 80, 1: 80, 2: 0, 3: 20}
+
+
+def test_repeated_and_missing_ids(spark):
+    """An id with two texts, a row twice, and rows without an id: (1, p), (2, q), (2, p), (2, p), (null, p), (null, r r)."""
+    p, q, r = prose(31, 40), prose(32, 40), prose(33, 30)
+    rows = [(1, p), (2, q), (2, p), (2, p), (None, p), (None, r + " " + r)]
+    got = sorted(((x["doc_id"] or 0, x["n_words"], x["n_removed"]) for x in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 40, 0), (0, 60, 30), (1, 40, 0), (2, 40, 0), (2, 40, 40), (2, 40, 40)]
