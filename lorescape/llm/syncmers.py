@@ -1,20 +1,25 @@
 """Document fingerprints from closed syncmers, with built-in functions only.
 
-A text is split at spaces into units. A stretch of K units is a closed syncmer if, of the hashes of its K - S + 1 inner
-stretches of S units, the smallest belongs to the first or the last. Whether a stretch is chosen depends on it alone, so
-that equal passages give equal anchors wherever they stand. A fingerprint is the SKETCH smallest distinct 32-bit hashes of a text's
-closed syncmers, in hexadecimal; likeness is the share of common ones among the SKETCH smallest of two fingerprints' union,
-which estimates (with up to SKETCH anchors: is) the resemblance of the two sets of anchors.
+A text's units are its words: maximal stretches without U+0020 and U+0009 to U+000D. The code points of a word of more than UNIT_CHARS
+(scripts without spaces, data) are units each, and so are all of a text of fewer than K words. A stretch of
+K units is a closed syncmer if, of the hashes of its K - S + 1 inner stretches of S units, the smallest belongs to the first or the
+last. Whether a stretch is chosen depends on it alone, so that equal passages give equal anchors wherever they stand, and of
+K - S neighbouring stretches one is chosen at least.
+
+A fingerprint holds all closed syncmers in order: 32 bits of each one's hash, and in a last hexadecimal digit its distance from
+the one before (from the start for the first), which gives all places. Anchors are matched by position: two neighbouring
+anchors of a text match those of another text if both hashes and the distance between them agree, that is, if both anchors
+fall on one offset between the texts. likeness() is the number of such pairs that two texts share over those that either has.
 
 next_document() puts the following row by ascending id beside each one with a single shuffle of the texts: ids are cut into
 buckets of about BUCKET_ROWS at knots of their distribution, a window within each bucket finds the next row, and the last
-row of a bucket takes the first one of the next bucket that has any. Only the knots, KNOTS numbers, come to the driver.
+row of a bucket takes the first one of the next bucket that has any. Only the knots, KNOTS numbers, come to the driver. Anchors of a
+text are computed behind that shuffle, once, so that only texts are exchanged.
 
-Defined cases: a null text counts as empty. A text without a closed syncmer (one of fewer than
-K units has none) has one anchor, the hash of the whole text. Equal
-texts have equal fingerprints and likeness 1. A table's last row is followed by its first, and a single row by itself. Rows
-that repeat an id are ordered by their text. Rows whose id is null come first. An empty table gives an empty one. Other
-columns aren't read.
+Defined cases: a null text counts as empty. A text without a closed syncmer (one of fewer than K code points) has one anchor, the
+hash of the whole text; a text with one anchor matches only another such text, by its hash. Equal texts have equal
+fingerprints and likeness 1. A table's last row is followed by its first, and a single row by itself. Rows that repeat an id
+are ordered by their text. Rows whose id is null come first. An empty table gives an empty one. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 9, 2
-SKETCH = 64
+UNIT_CHARS = 32
+WHITE = "\t\n\x0b\x0c\r"
 BUCKET_ROWS, KNOTS, GROUP = 256, 64, 4096
 
 
@@ -38,6 +44,15 @@ def _from(a: Column, skip: int, n: Column) -> Column:
     return F.slice(a, skip + 1, n)
 
 
+def units(text: Column, k: int = K) -> Column:
+    """What stretches are made of: a text's words, and the code points of long words or of a text of few words."""
+    words = F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
+    points = lambda t: F.array_remove(F.split(t, ""), "")
+    long = lambda w: F.char_length(w) > UNIT_CHARS
+    cut = lambda w: F.flatten(F.transform(w, lambda x: F.when(long(x), points(x)).otherwise(F.array(x))))
+    return let(words, lambda w: F.when(F.size(w) < k, points(text)).when(F.exists(w, long), cut(w)).otherwise(w))
+
+
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Closed syncmers of a text in order: an array of (at: place of its first unit from 0, hash: 64 bits)."""
     if not 1 <= s < k:
@@ -74,23 +89,33 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes))
 
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("hash")))
-    return let(let(F.split(text, " "), of), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+    return let(let(units(text, k), of), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+
+
+def prints(text: Column) -> Column:
+    """The anchors of a text in order, each as 16 times 32 bits of its hash plus its distance from the one before."""
+
+    def of(found: Column) -> Column:
+        distance = lambda a, i: a["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(0))
+        return F.transform(found, lambda a, i: F.shiftleft(F.shiftrightunsigned(a["hash"], 32), 4) + distance(a, i))
 
+    return let(anchors(text), of)
 
-def sketch(text: Column) -> Column:
-    """The smallest anchors of a text as an ascending array of 32-bit numbers; no more than SKETCH."""
-    small = F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(small)), 1, SKETCH)
 
+def links(prints: Column) -> Column:
+    """The distinct pairs of neighbouring anchors with the distance between them, each as a 64-bit hash; of one anchor its own."""
+    n = F.size(prints) - 1
+    pairs = F.zip_with(F.slice(prints, F.lit(1), n), F.slice(prints, F.lit(2), n), lambda a, b: F.xxhash64(F.shiftrightunsigned(a, 4), b))
+    return F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array(F.xxhash64(F.get(prints, F.lit(0)))))
 
-def hexadecimal(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+def hexadecimal(prints: Column) -> Column:
+    return F.array_join(F.transform(prints, F.hex), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the SKETCH smallest numbers of two sketches together, the share that both hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    """The share of two texts' links that both have."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def _bucket(rows: DataFrame, key: str) -> Column:
@@ -114,11 +139,17 @@ def _bucket(rows: DataFrame, key: str) -> Column:
     return F.coalesce(search(0, len(knots) - 1), F.lit(-1)).cast("long")
 
 
-def next_document(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The rows with a struct _next of these columns of the row that follows by ascending key; the first of them breaks ties."""
+def next_document(rows: DataFrame, key: str, columns: list[str], derived: Callable[[DataFrame], DataFrame] = lambda rows: rows, also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with a struct _next of these columns of the row that follows by ascending key; the first of them breaks ties.
+
+    derived adds columns to rows behind the shuffle, and the struct has those named by also, too.
+    """
     dealt = rows.withColumn("_bucket", _bucket(rows, key))
-    inside = Window.partitionBy("_bucket").orderBy(F.asc_nulls_first(key), columns[0])
-    seen = dealt.withColumns({"_lead": F.lead(F.struct(*columns)).over(inside), "_row": F.row_number().over(inside)})
+    order = [F.asc_nulls_first(key), F.asc(columns[0])]
+    inside = Window.partitionBy("_bucket").orderBy(*order)
+    follower = F.struct(*columns, *also)
+    here = derived(dealt.repartition("_bucket").sortWithinPartitions("_bucket", *order))
+    seen = here.withColumn("_lead", F.lead(follower).over(inside))
 
     # which filled bucket follows each one: within groups of buckets, then between the groups, of which there are few
     filled = dealt.select("_bucket").distinct().withColumn("_group", F.floor(F.col("_bucket") / GROUP))
@@ -129,9 +160,9 @@ def next_document(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     after = F.lead("_bucket").over(Window.partitionBy("_group").orderBy("_bucket"))
     behind = filled.withColumn("_after", after).join(groups, "_group").select(F.col("_bucket").alias("_before"), F.coalesce("_after", "_later").alias("_bucket"))
 
-    firsts = seen.where("_row = 1").select("_bucket", F.struct(*columns).alias("_first"))
+    firsts = derived(dealt.withColumn("_row", F.row_number().over(inside)).where("_row = 1").drop("_row")).select("_bucket", follower.alias("_first"))
     edges = behind.join(firsts, "_bucket").select(F.col("_before").alias("_bucket"), "_first")
-    return seen.join(edges, "_bucket", "left").withColumn("_next", F.coalesce("_lead", "_first")).drop("_bucket", "_lead", "_row", "_first")
+    return seen.join(edges, "_bucket", "left").withColumn("_next", F.coalesce("_lead", "_first")).drop("_bucket", "_lead", "_first")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,18 +171,22 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has the last half of its code points replaced by the first as many of the next document.
     """
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    own = own.withColumn("sketch", sketch(F.col("text")))
+
+    def derived(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prints", prints(F.col("text"))).withColumn("links", links(F.col("prints")))
+
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half))
-    both = next_document(own, "doc_id", ["text", "sketch"]).select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("_next.sketch").alias("after"), edited.alias("edited"))
-    both = both.withColumn("edited_sketch", sketch(F.col("edited")))
+    both = next_document(own, "doc_id", ["text"], derived, ("links",))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "prints", "links", F.col("_next.links").alias("after"), edited.alias("edited"))
+    both = both.withColumn("edited_prints", prints(F.col("edited"))).withColumn("edited_links", links(F.col("edited_prints")))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        hexadecimal(F.col("sketch")).alias("fingerprint"),
-        hexadecimal(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("after")).alias("near_next"),
+        hexadecimal(F.col("prints")).alias("fingerprint"),
+        hexadecimal(F.col("edited_prints")).alias("edited_fingerprint"),
+        likeness(F.col("links"), F.col("edited_links")).alias("near_edited"),
+        likeness(F.col("links"), F.col("after")).alias("near_next"),
     )

@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lorescape.llm import syncmers
@@ -14,16 +16,70 @@ def test_anchors_depend_on_their_words_alone(spark):
     assert {(at + 30, h) for at, h in got[1]} <= got[2] and got[1] <= got[3]
 
 
-def test_equals_definition(spark):
-    """By rows: hashes of single and paired words from Spark, the choice in Python."""
-    words = prose(13, 50).split()
-    h = [r["h"] for r in spark.createDataFrame(list(enumerate(words)), "i int, w string").orderBy("i").select(F.xxhash64("w").alias("h")).collect()]
-    pairs = spark.createDataFrame([(i, h[i], h[i + 1]) for i in range(len(h) - 1)], "i int, a long, b long")
-    g = [r["g"] for r in pairs.orderBy("i").select(F.xxhash64("a", "b").alias("g")).collect()]
-    inner = syncmers.K - syncmers.S + 1
-    expected = [i for i in range(len(g) - inner + 1) if min(g[i : i + inner]) in (g[i], g[i + inner - 1])]
-    df = spark.createDataFrame([(" ".join(words),)], "text string")
-    assert [x["at"] for x in df.select(syncmers.anchors(F.col("text")).alias("n")).first()["n"]] == expected
+def hashed(*parts, seed=42):
+    """What xxhash64() of these strings and longs gives, as a number without a sign."""
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def brute(text, k=syncmers.K, s=syncmers.S):
+    """(place, hash) of all closed syncmers by their definition."""
+    units = re.findall("[^\x20\x09-\x0D]+", text)
+    units = list(text) if len(units) < k else [x for u in units for x in (u if len(u) > syncmers.UNIT_CHARS else [u])]
+    h = [hashed(u) for u in units]
+    inner = [hashed(*h[i : i + s]) if s > 1 else h[i] for i in range(len(h) - s + 1)]
+    out = []
+    for i in range(len(units) - k + 1):
+        mine = [signed(x) for x in inner[i : i + k - s + 1]]
+        if min(mine) in (mine[0], mine[-1]):
+            last = k - s
+            at = [*range(0, last + 1, s)] + ([last] if last % s else [])
+            out.append((i, hashed(*(inner[i + j] for j in at))))
+    return out or [(0, hashed(text))]
+
+
+def brute_prints(text):
+    found = brute(text)
+    return [(h >> 32, at - before) for (at, h), before in zip(found, [0] + [x[0] for x in found], strict=False)]
+
+
+def brute_links(text):
+    p = brute_prints(text)
+    return {(a[0], b) for a, b in zip(p, p[1:], strict=False)} if len(p) > 1 else {p[0]}
+
+
+def brute_row(text, other):
+    n = len(text) // 2
+    changed = text[: len(text) - n] + other[:n]
+    like = lambda a, b: len(a & b) / len(a | b)
+    form = lambda t: ",".join(f"{h * 16 + d:X}" for h, d in brute_prints(t))
+    return (len(text), hashlib.sha256(changed.encode()).hexdigest(), form(text), form(changed), like(brute_links(text), brute_links(changed)), like(brute_links(text), brute_links(other)))
+
+
+NAMES = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def test_equals_brute_force(spark):
+    """Every column, over prose, white space of all kinds, texts without spaces, other scripts, copies and edits."""
+    a, b = prose(13, 200), prose(14, 90)
+    texts = [a, a, b, a.replace(" ", "\n"), a + " " + b, b + "\t\x0b " + a, "", "x", "abcdefgh", "abcdefghi", "漢字仮名交じり文𠀀" * 30, "a" * 300, a.replace(" ", ""), " ".join(a.split()[:100] + ["new"] + a.split()[100:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in syncmers.fingerprints(df).collect()}
+    assert got == {i: brute_row(t, o) for i, (t, o) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))}
+    assert got[2][3] != got[2][2] and got[0][5] == 1.0 and got[12][4] > 0.2  # half of the edited text without spaces is its own
+    assert 0.7 < brute_row(texts[0], texts[13])[5] < 1  # a word more moves all that follows by one, and yet it matches
+
+
+def test_whole_table_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in syncmers.fingerprints(docs).collect()}
+    assert got == {i: brute_row(t, o) for (i, t), (_, o) in zip(texts, texts[1:] + texts[:1], strict=True)}
 
 
 def edited(texts):
