@@ -1,19 +1,21 @@
 """Exact top-k search by inner product: a ball tree for each shard, searched by branch and bound.
 
 Rows are dealt to shards of about SHARD_ROWS by a hash of their id, and a ball tree over each is built by one task and
-written to the shared folder. Queries are taken in blocks of at most BLOCK_BYTES: only such a block is ever on the driver or
-broadcast, however many queries there are. A block is first searched in one pilot shard; the k-th scores found there are
-lower bounds that all tasks start from. A task goes through its shards one after another and keeps raising each query's k-th
-score, which all of its shards share. In a tree, nodes are opened in the order of their upper bound
-<q, centre> + |q| radius, and a query leaves a node as soon as the bound is below its k-th score; equal ones stay, since ties
-go to the smaller id. The partial lists, at most k a query and task, meet in a window by query.
+written to the shared folder. Queries are packed into blocks of about BLOCK_BYTES, also in a table: none come to the driver, and the
+number of jobs doesn't depend on theirs. Each block is first searched in one pilot shard; the k-th scores found there are
+lower bounds that all tasks start from. Then blocks and groups of GROUP_SHARDS shards meet by a shuffle, a block and a group in
+one place: the task goes through the group's shards one after another and keeps raising each query's k-th score, which they
+share. In a tree, nodes are opened in the order of their upper bound <q, centre> + |q| radius, and a query leaves a node as soon as
+the bound is below its k-th score; equal ones stay, since ties go to the smaller id. The partial lists, at most k a query and
+group, meet in a window by query.
 
-Scores are exact integers: products run in double precision where all sums stay below 2^53, else as Python's integers. Those
-beyond 64 bits raise an error.
+Scores are exact integers, and so are the k-th scores that they are compared with: products run in double precision where all
+sums stay below 2^53, else as Python's integers. Components and scores beyond 64 bits raise an error.
 
 Defined cases: vectors that are null, or hold null, NaN or infinite components, take no part. Rows that repeat an id count
-once, with the smallest vector. Vectors of unequal widths are compared over the components that both have (an empty one
-scores 0). Fewer than k candidates are all returned; an empty table gives an empty result. Other columns aren't read.
+once, with the smallest vector. Rows without an id take no part. Vectors of unequal widths are compared over the components that
+both have (an empty one scores 0). Fewer than k candidates are all returned; an empty table gives an empty result. Other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorescape.llm.shared import saved
+from lorescape.llm.shared import Scratch, saved
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 256
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Shards that a task searches for one block, sharing its k-th scores.
+GROUP_SHARDS = 16
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 #: Doubles hold all integers up to here.
 EXACT = 2**53
 
@@ -43,7 +48,9 @@ def quantized(vectors: DataFrame, scale: float = 64.0, key: str = "vec_id", vect
     """Ids and vectors with floor(scale * x) for each component; only complete and finite vectors."""
     x = F.col(vector).cast("array<double>")
     sound = F.col(vector).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    whole = F.transform(x, lambda v: F.floor(v * scale))
+    # floor() would cut larger ones to 64 bits without a word
+    fits = lambda v: F.when(F.abs(v * scale) < float(2**63), F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component exceeds 64 bits")))
+    whole = F.transform(x, fits)
     return vectors.where(F.col(key).isNotNull() & sound).select(F.col(key).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -53,13 +60,17 @@ def matrix(vectors: list[list[int]], width: int) -> np.ndarray:
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     if vectors and np.abs(out).max(initial=0) >= EXACT:
-        out = out.astype(object)
+        out = np.zeros((len(vectors), width), dtype=object)
         for i, v in enumerate(vectors):
             out[i, : len(v)] = v
-            out[i, len(v) :] = 0
     return out
 
 
+def whole(x: np.ndarray) -> np.ndarray:
+    """The same numbers as Python's integers."""
+    return np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
+
+
 class BallTree:
     """Rows ordered so that each node is a range of them, with its centre and radius."""
 
@@ -107,7 +118,7 @@ class Best:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None):
         self.ids, self.queries, self.k = ids, queries, k
         self.norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        self.kth = np.full(len(ids), -np.inf) if floor is None else floor.astype(np.float64)
+        self.kth = np.full(len(ids), LOWEST, dtype=np.int64) if floor is None else floor.copy()
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), sorted
 
     def search(self, tree: BallTree) -> None:
@@ -120,7 +131,7 @@ class Best:
         heap = [(-bound[:, 0].max(), 0, np.arange(len(self.ids)))]
         while heap:
             _, node, active = heapq.heappop(heap)
-            active = active[bound[active, node] >= self.kth[active]]
+            active = active[bound[active, node] >= self.kth[active].astype(np.float64)]  # the bound has room for this rounding
             if not len(active):
                 continue
             if tree.left[node] >= 0:
@@ -129,8 +140,8 @@ class Best:
                 continue
             part = slice(tree.start[node], tree.stop[node])
             ids = tree.ids[part]
-            scores = q[active] @ rows[part].T if exact else q[active].astype(object) @ rows[part].T.astype(object)
-            near = (scores >= self.kth[active][:, None]) & (self.ids[active][:, None] != ids[None, :])
+            scores = (q[active] @ rows[part].T).astype(np.int64) if exact else whole(q[active]) @ whole(rows[part]).T
+            near = (scores >= (self.kth[active] if exact else self.kth[active].astype(object))[:, None]) & (self.ids[active][:, None] != ids[None, :])
             lines, columns = np.nonzero(near)
             edges = np.searchsorted(lines, np.arange(len(active) + 1))
             for i in np.unique(lines):
@@ -144,7 +155,7 @@ class Best:
                 both.sort()
                 self.found[who] = both[: self.k]
                 if len(both) >= self.k:
-                    self.kth[who] = max(self.kth[who], -both[self.k - 1][0])
+                    self.kth[who] = max(int(self.kth[who]), min(HIGHEST, max(LOWEST, -both[self.k - 1][0])))
 
     def batch(self) -> pa.RecordBatch:
         rows = [(int(q), i, -s) for q, found in zip(self.ids, self.found, strict=True) for s, i in found]
@@ -171,22 +182,57 @@ def build(rows: DataFrame, shards: int) -> DataFrame:
     return saved(keyed.repartition(shards, "shard").mapInArrow(run, "shard int, tree binary"), "ball-trees")
 
 
-def nearest(trees: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None) -> DataFrame:
-    """The k best candidates of each query in each task's shards."""
-    context = trees.sparkSession.sparkContext
-    block = context.broadcast((ids, queries, floor))
+def blocked(rows: DataFrame, blocks: int) -> DataFrame:
+    """The queries in blocks: (block int, queries binary), written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        all_rows = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("id", "ascending")])
+        block = all_rows.column("block").to_numpy()
+        for s in np.unique(block):
+            a, b = np.searchsorted(block, [s, s + 1])
+            part = all_rows.slice(a, b - a)
+            vectors = part.column("v").to_pylist()
+            data = pickle.dumps((part.column("id").to_numpy(), matrix(vectors, max(1, *map(len, vectors)))))
+            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([data], pa.binary())], names=["block", "queries"])
+
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    return saved(keyed.repartition(blocks, "block").mapInArrow(run, "block int, queries binary"), "query-blocks")
+
+
+def piloted(blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """The blocks with each query's k-th score in the pilot shard (the smallest number of all where it has fewer): kth binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(block.value[0], block.value[1], k, block.value[2])
-        some = False
         for b in batches:
-            for data in b.column("tree"):
-                best.search(BallTree.unpacked(data.as_py()))
-                some = True
-        if some:
-            yield best.batch()
+            for block, queries, tree in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                best = Best(*pickle.loads(queries), k, None)
+                best.search(BallTree.unpacked(tree))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([queries], pa.binary()), pa.array([best.kth.tobytes()], pa.binary())], names=["block", "queries", "kth"])
+
+    first = trees.agg(F.min("shard")).first()[0]
+    pilot = F.broadcast(trees.where(F.col("shard") == first).select("tree"))  # one shard's tree: about SHARD_ROWS vectors
+    return saved(blocks.join(pilot).mapInArrow(run, "block int, queries binary, kth binary"), "query-floors")
+
+
+def nearest(blocks: DataFrame, trees: DataFrame, k: int, shards: int, count: int) -> DataFrame:
+    """The k best candidates of each query in each group of shards."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([Best(np.empty(0, dtype=np.int64), np.empty((0, 1)), k, None).batch()])
+        ids, queries = pickle.loads(left.column("queries")[0].as_py())
+        best = Best(ids, queries, k, np.frombuffer(left.column("kth")[0].as_py(), dtype=np.int64))
+        for tree in right.column("tree"):
+            best.search(BallTree.unpacked(tree.as_py()))
+        return pa.Table.from_batches([best.batch()])
 
-    return trees.select("tree").mapInArrow(run, RESULT)
+    groups = -(-shards // GROUP_SHARDS)
+    asked = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    held = trees.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return asked.groupBy("block", "group").cogroup(held.groupBy("block", "group")).applyInArrow(run, RESULT)
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -199,28 +245,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0
 
     Returns query_id long, rank int from 1, vec_id long, score long.
     """
-    rows = saved(quantized(vectors, scale, key, vector), "vectors")
-    spark = rows.sparkSession
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(F.pmod("id", F.lit(every)) == 0).alias("queries")).first()
-    if not size["queries"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards = max(1, -(-size["n"] // SHARD_ROWS))
-    trees = build(rows, shards)
-    blocks = max(1, -(-size["queries"] * (size["width"] or 1) * 8 // BLOCK_BYTES))
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    parts = []
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b).toArrow().sort_by("id")  # about BLOCK_BYTES
-        if not mine.num_rows:
-            continue
-        ids, queries = mine.column("id").to_numpy(), matrix(mine.column("v").to_pylist(), size["width"] or 1)
-        floor = None
-        if shards > 1:
-            pilot = nearest(trees.where(F.col("shard") == 0), ids, queries, k, None).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
-            known = {r["query_id"]: r["kth"] for r in pilot.collect()}  # a number for each query of the block
-            floor = np.array([known.get(int(i), -np.inf) for i in ids])
-        parts.append(nearest(trees.repartition(shards, "shard"), ids, queries, k, floor))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return merged(out, k)
+    with Scratch() as temporary:
+        rows = temporary.saved(quantized(vectors, scale, key, vector), "vectors")
+        asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(F.pmod("id", F.lit(every)) == 0).alias("queries")).first()
+        if not size["queries"]:
+            return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        shards = max(1, -(-size["n"] // SHARD_ROWS))
+        count = max(1, -(-size["queries"] * (size["width"] or 1) * 8 // BLOCK_BYTES))
+        trees = build(rows, shards)
+        blocks = piloted(blocked(asked, count), trees, k)
+    return merged(nearest(blocks, trees, k, shards, count), k)

@@ -54,3 +54,24 @@ def test_tree_bounds_prune():
     best.search(tree)
     scores = rows @ rows[-1]
     assert [-s for s, _ in best.found[0]] == sorted(scores, reverse=True)[:3]
+
+
+def test_ties_beyond_doubles(spark):
+    """Two scores of 2^53 + 3: the smaller id wins although it is found later."""
+    rows = [(0, [2.0**40, 1.0]), (5, [2.0**13, 3.0]), (3, [2.0**13, 3.0]), (7, [2.0**13, 4.0])]
+    rows = [(i, [a / 64, b / 64]) for i, (a, b) in rows]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    assert result(topk.search(df, k=2)) == brute(rows, 2, 20) == {(0, 1, 7, 2**53 + 4), (0, 2, 3, 2**53 + 3)}
+
+
+def test_kth_score_is_an_exact_integer():
+    rows = np.array([[2**53, 3], [2**53, 2]], dtype=object)
+    best = topk.Best(np.array([0]), np.array([[1, 1]], dtype=object), 1, None)
+    for i, row in ((5, rows[0]), (3, rows[0]), (1, rows[1])):
+        best.search(topk.BallTree(np.array([i]), row[None, :]))
+    assert best.found[0] == [(-(2**53 + 3), 3)] and int(best.kth[0]) == 2**53 + 3
+
+
+def test_too_large_components(spark):
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([(0, [1e30], 0), (1, [1.0], 0)], VECTORS)).collect()
