@@ -1,9 +1,13 @@
 """Personal data and secrets against the contract's patterns, applied as they are."""
 
+import fractions
 import hashlib
+import math
 import random
 import re
+import statistics
 
+import numpy as np
 import pytest
 
 from lorescape.llm import pii, secret_scan
@@ -100,21 +104,79 @@ def test_random_tokens_are_found_and_words_are_not():
     assert secret_scan.battery([0] * 40, 64) < 1e-6
 
 
-def test_step_up_procedure():
-    cut = secret_scan.thresholds([(0, 0, 50), (0, 400, 25), (0, 900, 25), (1, 500, 10)])
-    assert cut == {0: 1, 1: 0}
-
-
-def test_step_up_is_exact_among_many(spark):
+def test_battery_equals_another_computation():
+    """Chi-squared, runs and serial correlation by numpy; the tails by integration."""
+    r = np.random.default_rng(3)
+
+    def tail(x, df):
+        t = np.linspace(0, 1, 200_001)[1:-1]  # x + t / (1 - t) up to infinity
+        y = x + t / (1 - t)
+        return (y ** (df / 2 - 1) * np.exp(-y / 2) / (2 ** (df / 2) * math.gamma(df / 2)) / (1 - t) ** 2).mean()
+
+    def normal(z):
+        return 2 * (1 - statistics.NormalDist().cdf(abs(z)))
+
+    for size, n in ((16, 24), (62, 40), (64, 100), (32, 33)):
+        v = r.integers(0, size, n)
+        cells = min(secret_scan.MAX_CELLS, max(2, n // 5))
+        observed = np.bincount(v * cells // size, minlength=cells)
+        expected = np.bincount(np.arange(size) * cells // size, minlength=cells) * n / size
+        chi = tail(((observed - expected) ** 2 / expected).sum(), cells - 1)
+        high = v > (size - 1) / 2
+        a, b = high.sum(), n - high.sum()
+        mean = 1 + 2 * a * b / n
+        runs = normal(((np.diff(high) != 0).sum() + 1 - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)))
+        d = v - (size - 1) / 2
+        serial = normal((d[1:] * d[:-1]).sum() / ((size**2 - 1) / 12 * math.sqrt(n - 1)))
+        fisher = tail(-2 * (math.log(chi) + math.log(runs) + math.log(serial)), 6)
+        assert secret_scan.battery(v.tolist(), size) == pytest.approx(fisher, abs=6e-3)
+
+
+def test_battery_dismisses_few_random_strings():
+    r = np.random.default_rng(4)
+    for size, n in ((16, 40), (62, 32), (64, 64)):
+        p = [secret_scan.battery(r.integers(0, size, n).tolist(), size) for _ in range(2000)]
+        assert sum(x < secret_scan.DISMISS for x in p) < 2000 * 4 * secret_scan.DISMISS and 0.4 < sum(x < 0.5 for x in p) / 2000 < 0.6
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 399, 400, 401, 2000])
+def test_exact_tail(n):
+    p = fractions.Fraction(1, 10)
+    whole = [math.comb(n, j) * 9 ** (n - j) for j in range(n + 1)]
+    for k in {0, 1, n // 20, n // 10, n // 10 + 1, n // 5, n // 2, n, n + 1}:
+        assert secret_scan.at_least(k, n, float(p)) == pytest.approx(float(fractions.Fraction(sum(whole[k:]), 10**n)), rel=1e-9, abs=1e-300)
+
+
+def test_ordinary_strings():
+    strings = ("some-long-identifier-of-words-2024", "getUserNameFromDatabaseTable2", "/usr/lib/python3/dist-packages/x", "Q1/Q2/Q3/Q4/report_2024-01-31")
+    assert all(secret_scan.ordinary(t) > 0.04 for t in strings)
+    assert secret_scan.ordinary("Zq8f7Gh2Kx9Lm3Np0Rt5Vw1Yb4") < 1e-6
+    one = "q1" * 200
+    assert secret_scan.ordinary(one[:400]) == pytest.approx(secret_scan.ordinary(one[:400] + "q"), abs=1e-9)  # no step at 400 characters
+
+
+def plain_random(texts, rate=secret_scan.RATE):
+    """Reported strings by the step-up procedure over all tests at once, from the largest rank down."""
+    found = [(i, *x) for i, t in enumerate(texts) for x in secret_scan.scan(t)[1]]
+    tests = [sum(x) for x in zip(*(secret_scan.scan(t)[2] for t in texts), strict=True)]
+    out = set()
+    for cls, n in enumerate(tests):
+        p = sorted(x[5] for x in found if x[4] == cls)
+        rank = max((k for k, value in enumerate(p, 1) if value <= rate * k / n), default=0)
+        out |= {(i, s, e) for i, s, _, e, c, value in found if c == cls and rank and value <= p[rank - 1]}
+    return out
+
+
+def test_reported_strings_equal_the_step_up_procedure(spark):
     r = random.Random(8)
-    texts = ["Q1" * 20] + ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(300)]
-    maybe = [(i, x) for i, t in enumerate(texts) for x in secret_scan.scan(t)[1]]
-    ranked = sorted(x[4] for _, x in maybe)
-    rejected = max((k for k, p in enumerate(ranked, 1) if p <= secret_scan.RATE * k / len(ranked)), default=0)
-    assert rejected >= 1 and maybe[0][0] == 0
-    rows = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    kept = {r["doc_id"] for r in rows if r["n_random"]}
-    assert 0 not in kept and kept == {i for i, x in maybe if rejected == 0 or x[4] > ranked[rejected - 1]}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = ["".join(r.choice(letters) for _ in range(r.choice((20, 26, 40, 70)))) for _ in range(60)]
+    names = ["".join(r.choice((letters[:26], letters[26:52], letters[52:])) [r.randrange(10)] * r.randint(1, 12) for _ in range(9)) for _ in range(300)]
+    texts = [" ".join(r.sample(some, 1) + r.sample(names, 6)) for _ in range(60)] + ["Q1" * 20, "plain words only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x["doc_id"], int(s), int(e)) for x in secret_scan.find_secrets(df).collect() for k, s, e in (y.split(":") for y in x["spans"].split(",") if y) if k == "random"}
+    assert got == plain_random(texts) and len(got) > 30
+    assert not any(i == 60 for i, _, _ in got)  # many changes, but not random
 
 
 def test_keys_joined_by_marks_are_tested():
