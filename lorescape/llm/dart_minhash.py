@@ -1,14 +1,17 @@
 """Near duplicates by DartMinHash: weighted signatures from hashed darts, a banded join, and an exact check of each candidate.
 
-Signature. A document is a set of shingles (SHINGLE words in a row) with weights. Darts fall on the strip over each shingle
-and unit of weight at the times of a Poisson process that is a function of the shingle alone; those up to a time T = t / (total
-weight) are thrown, about t = k ln k + 2k for the whole document, whatever its size. Each dart hits one of k coordinates, and the
-earliest on a coordinate is its signature there; should one stay empty, T is doubled for that document. Two documents agree on a
-coordinate with a probability equal to their weighted Jaccard similarity. The cost is one hash a shingle and about t darts, not k
-hashes a shingle. Weights are 1 ("set", for the Jaccard similarity of the sets, which the queries use) or a shingle's number of
-occurrences ("count").
-
-Join. Equal sets become one node first. BANDS bands of ROWS coordinates make keys; documents that share one are candidates. With
+Signature. A document is a set of shingles (SHINGLE words in a row) with positive weights. The axis of weights over each shingle is
+cut into regions [0, 1), [1, 2), [2, 4), [4, 8) and so on; on each region fall darts at the times of a Poisson process with the
+region's width as rate, which is a function of the shingle and the region alone, and each has a height in its region. Those up to a
+time T = t / (total weight) are thrown, about t = k ln k + 2k for the whole document, whatever its size, and those below the
+shingle's weight count. Each dart hits one of k coordinates, and the earliest on a coordinate is its signature there; should one
+stay empty, T is doubled for that document. Two documents agree on a coordinate with a probability equal to their weighted Jaccard
+similarity. The cost is one hash a region, of which a weight w has 1 + log2 w, and at most about 2t darts (more for weights below 1:
+their region is thrown at as a whole), not k hashes a shingle. signatures() takes any positive weights. Documents are compared
+by weights of 1 ("set", for the Jaccard similarity of the sets, which the queries use) or by a shingle's number of occurrences ("count").
+
+Join. Equal sets become one node first. The sets of a pair's members are joined to it by id; an id with more than CHUNK pairs is dealt
+out to parts of about that many, each with a copy of its set. BANDS bands of ROWS coordinates make keys; documents that share one are candidates. With
 the defaults a pair of similarity 0.8 is missed with probability 8e-5, one of 0.9 with 1e-9. Within a key's bucket no pairs are
 spelled out: all members are compared with a leader (round 1); buckets whose members are still in several
 components are compared with a second leader from outside the first one's component (round 2); for what then remains
@@ -17,8 +20,8 @@ between candidates is lost, and a bucket of n copies costs about n comparisons.
 shingle hashes.
 
 Defined cases: null and empty texts have no shingles and form classes by themselves; a text of fewer than SHINGLE words has
-one shingle of all its words; rows that repeat an id and its text share a class; rows without an id have no row in the
-result of classes(), and keep_one() tells documents without an id or with a repeated one apart by id and text; an empty table
+one shingle of all its words; rows that repeat an id and its text share a class, and those that share an id alone are linked by each of their texts and get the
+smallest of its classes; rows without an id have no class (null) in the result of classes(), and keep_one() tells documents without an id or with a repeated one apart by id and text; an empty table
 gives an empty table; other columns aren't read.
 """
 
@@ -35,62 +38,70 @@ from pyspark.sql import functions as F
 
 from lorescape.llm import words
 from lorescape.llm.graph import components
-from lorescape.llm.shared import saved, slices
+from lorescape.llm.shared import Scratch, saved, slices
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 5
 #: A list of ids of up to so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Pairs that meet one copy of a set.
+CHUNK = 256
 
 SIGNED = "doc_id long, digest binary, size int, bands array<long>"
 PAIRS = "a long, b long, similarity double"
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of all stretches of SHINGLE words of a text, or of all its words if there are fewer."""
-    h = words.hashed(text)
-    return words.stretches(h, min(SHINGLE, len(h))) if len(h) else np.empty(0, dtype=np.uint64)
+def shingle_sets(texts: pa.Array, weights: str = "set") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text of an Arrow column in ascending order, and their weights.
+
+    A shingle is the hash of SHINGLE words in a row, or of all words of a text that has fewer.
+    """
+    for h in words.hashed_column(texts):
+        elements, counts = np.unique(words.stretches(h, min(SHINGLE, len(h))) if len(h) else h, return_counts=True)
+        yield elements, counts if weights == "count" else np.ones(len(elements), dtype=np.int64)
 
 
-def weighted(text: str, weights: str = "set") -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct shingles in ascending order, and their weights."""
-    elements, counts = np.unique(shingles(text), return_counts=True)
-    return elements, counts if weights == "count" else np.ones(len(elements), dtype=np.int64)
+def regions(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The regions below these weights: hash, lower end, width, and the weight itself."""
+    count = 1 + np.maximum(0, np.ceil(np.log2(weights))).astype(np.int64)
+    if count.max(initial=1) == 1:
+        return words.mixed(elements), np.zeros(len(elements)), np.ones(len(elements)), weights
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        own = words.mixed(np.repeat(elements, count) + nth.astype(np.uint64) * words.C)
+    width = np.exp2(np.maximum(0, nth - 1))
+    return own, np.where(nth > 0, width, 0.0), width, np.repeat(weights, count)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-    """For each set of elements and whole weights k coordinates; sets must not be empty."""
+    """For each set of elements and positive weights k coordinates; sets must not be empty."""
     out = np.zeros((len(sets), k), dtype=np.uint64)
     darts = k * math.log(k) + 2 * k
-    open_sets, limit = np.arange(len(sets)), np.array([darts / w.sum() for _, w in sets])
+    cut = [regions(e, np.asarray(w, dtype=np.float64)) for e, w in sets]
+    open_sets, limit = np.arange(len(sets)), np.array([darts / np.sum(w) for _, w in sets])
     while len(open_sets):
-        strips, owner = [], []
-        for j, s in enumerate(open_sets):
-            elements, weight = sets[s]
-            if weight.max(initial=1) > 1:  # a strip for each unit of weight
-                unit = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-                with np.errstate(over="ignore"):
-                    elements = np.repeat(elements, weight) + unit.astype(np.uint64) * words.C
-            strips.append(elements)
-            owner.append(np.full(len(elements), j))
-        strip, own = words.mixed(np.concatenate(strips)), np.concatenate(owner)
+        strip, low, width, weight = (np.concatenate([cut[s][i] for s in open_sets]) for i in range(4))
+        own = np.repeat(np.arange(len(open_sets)), [len(cut[s][0]) for s in open_sets])
         time, until = np.zeros(len(strip)), limit[own]
         places, times, darts_hit, n = [], [], [], 0
         while len(strip):
             n += 1
             with np.errstate(over="ignore"):
                 dart = words.mixed(strip + np.uint64(n) * words.A)
-            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
             alive = time < until
-            strip, own, time, until, dart = strip[alive], own[alive], time[alive], until[alive], words.mixed(dart[alive])
-            places.append(own * k + (dart % np.uint64(k)).astype(np.int64))
-            times.append(time)
-            darts_hit.append(dart)
-        place, hit = np.concatenate(places), np.concatenate(darts_hit)
+            strip, own, time, until, low, width, weight = (x[alive] for x in (strip, own, time, until, low, width, weight))
+            dart = words.mixed(dart[alive])
+            height = low + width * ((words.mixed(dart ^ words.C) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+            hit = height < weight
+            places.append((own * k + (dart % np.uint64(k)).astype(np.int64))[hit])
+            times.append(time[hit])
+            darts_hit.append(dart[hit])
+        place, found = np.concatenate(places), np.concatenate(darts_hit)
         order = np.argsort(-np.concatenate(times), kind="stable")  # the earliest is written last
         board, filled = np.zeros(len(open_sets) * k, dtype=np.uint64), np.zeros(len(open_sets) * k, dtype=bool)
-        board[place[order]], filled[place] = hit[order], True
+        board[place[order]], filled[place] = found[order], True
         full = filled.reshape(-1, k).all(1)
         out[open_sets[full]] = board.reshape(-1, k)[full]
         open_sets, limit = open_sets[~full], limit[~full] * 2
@@ -118,8 +129,7 @@ def signed(docs: DataFrame, weights: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             ids, sets = [], []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = weighted(text, weights)
+            for doc, found in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), weights), strict=True):
                 if len(found[0]):
                     ids.append(doc)
                     sets.append(found)
@@ -139,16 +149,15 @@ def signed(docs: DataFrame, weights: str, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def element_sets(docs: DataFrame, ids: DataFrame, weights: str) -> DataFrame:
-    """(doc_id, elements binary) of these documents; a unit of weight is an element."""
+def element_sets(docs: DataFrame, ids: DataFrame, weights: str, tables: Scratch) -> DataFrame:
+    """(doc_id, elements binary) of these documents, whose ids are unique; a unit of weight is an element."""
     n = ids.count()
     some = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             out = []
-            for text in part.column("text").to_pylist():
-                elements, weight = weighted(text, weights)
+            for elements, weight in shingle_sets(part.column("text"), weights):
                 if weight.max(initial=1) > 1:
                     unit = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                     with np.errstate(over="ignore"):
@@ -156,10 +165,23 @@ def element_sets(docs: DataFrame, ids: DataFrame, weights: str) -> DataFrame:
                 out.append(elements.tobytes())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "elements"])
 
-    return saved(some.mapInArrow(run, "doc_id long, elements binary"), "near-sets").dropDuplicates(["doc_id"])
+    return tables.saved(some.mapInArrow(run, "doc_id long, elements binary"), "near-sets")
+
 
+def with_set(rows: DataFrame, sets: DataFrame, at: str, name: str, tables: Scratch) -> DataFrame:
+    """Written rows with the elements of the document whose id is in a column; an id in very many rows is dealt out."""
+    own = sets.select(F.col("doc_id").alias(at), F.col("elements").alias(name))
+    often = tables.saved(rows.groupBy(at).count().where(F.col("count") > CHUNK).select(at, F.ceil(F.col("count") / CHUNK).cast("int").alias("_parts")), "near-often")
+    n = often.count()
+    if not n:
+        return rows.join(own, at)
+    often = F.broadcast(often) if n <= BROADCAST_ROWS else often
+    dealt = rows.join(often, at, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    copies = own.join(often, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return dealt.join(copies, [at, "_part"]).drop("_part")
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def compared(pairs: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
     """The exact similarity of each pair (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,43 +189,50 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             values = [similarity(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    half = pairs.join(left, "a")
-    return saved(half.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, PAIRS), "near-compared")
+    pairs = tables.saved(pairs, "near-pairs")
+    half = with_set(pairs, sets, "a", "x", tables)
+    # pairs of a leader that is the larger id are as many
+    often = tables.saved(pairs.groupBy("b").count().where(F.col("count") > CHUNK).select("b"), "near-often")
+    whole = half.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b") if not often.limit(1).count() else with_set(tables.saved(half, "near-half"), sets, "b", "y", tables)
+    return tables.saved(whole.select("a", "b", "x", "y").mapInArrow(run, PAIRS), "near-compared")
 
 
 def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def rest_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def rest_pairs(rows: DataFrame, sets: DataFrame, least: float, tables: Scratch) -> DataFrame:
     """All pairs (a, b) of members of different components that share a leader and may be similar: (leader, doc_id, size, component).
 
     Written as its difference from the leader, D, a member x of size n is similar to y only if |Dx| + |Dy| - 2 |Dx & Dy| is at most
     (nx + ny)(1 - s)/(1 + s). So unless both are similar to the leader, Dx and Dy share elements, and as many that they
     share one already among the first n(1 - s)/s + 1 of the one with the larger difference and the first n(1 - s)/2s + 1 of the
-    other, in any common order. The rarest come first, and a copy's own edits are rare, so few pairs meet.
+    other, in any common order. The rarest come first, and a copy's own edits are rare, so few pairs meet. The leader's own component,
+    by far the largest as a rule, is never joined with itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [np.setxor1d(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in pair), assume_unique=True).view(np.int64) for pair in zip(b.column("x"), b.column("y"), strict=True)]
-            kept = [b.column(c) for c in ("leader", "doc_id", "size", "component")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.list_(pa.int64()))], names=["leader", "doc_id", "size", "component", "difference"])
-
-    own, other = sets.select("doc_id", F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("leader"), F.col("elements").alias("y"))
-    found = rows.where("doc_id <> leader").join(own, "doc_id").join(other, "leader").select("leader", "doc_id", "size", "component", "x", "y")
-    found = saved(found.mapInArrow(run, "leader long, doc_id long, size int, component long, difference array<long>"), "near-differences")
+            kept = [b.column(c) for c in member]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.list_(pa.int64()))], names=[*member, "difference"])
+
+    member = ["leader", "doc_id", "size", "component", "outside"]
+    rows = tables.saved(rows, "near-rest")
+    home = tables.saved(rows.where("doc_id = leader").select("leader", F.col("component").alias("home")).distinct(), "near-home")
+    home = F.broadcast(home) if home.count() <= BROADCAST_ROWS else home
+    marked = rows.where("doc_id <> leader").join(home, "leader").select(*member[:-1], (F.col("component") != F.col("home")).alias("outside"))
+    half = tables.saved(marked.join(sets.select("doc_id", F.col("elements").alias("x")), "doc_id"), "near-members")
+    found = with_set(half, sets, "leader", "y", tables).select(*member, "x", "y")
+    found = tables.saved(found.mapInArrow(run, "leader long, doc_id long, size int, component long, outside boolean, difference array<long>"), "near-differences")
     spread = found.select("leader", F.explode("difference").alias("e"))
-    common = saved(spread.groupBy("leader", "e").agg(F.count("*").alias("f")), "near-frequencies")
-    member = ["leader", "doc_id", "size", "component"]
+    common = tables.saved(spread.groupBy("leader", "e").agg(F.count("*").alias("f")), "near-frequencies")
     each = found.select(*member, F.size("difference").alias("d"), F.explode("difference").alias("e")).join(common, ["leader", "e"])
     far = F.floor(F.col("size") * (1 - least) / least + 1e-9) + 1
     near = F.floor(F.col("size") * (1 - least) / (2 * least) + 1e-9) + 1
     first = each.groupBy(*member, "d").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))  # a member's difference
     first = first.select(*member, "d", near.alias("near"), F.posexplode(F.slice("s", F.lit(1), far.cast("int"))).alias("at", "s")).where("s.f > 1")
-    first = saved(first.select(*member, "d", "near", "at", F.col("s.e").alias("e")), "near-prefixes")
-    x, y = first.where("at < near").alias("x"), first.alias("y")
+    first = tables.saved(first.select(*member, "d", "near", "at", F.col("s.e").alias("e")), "near-prefixes")
     apart = (F.col("x.size") + F.col("y.size")) * (1 - least) / (1 + least) + 1e-6
     may = (
         (F.col("x.leader") == F.col("y.leader"))
@@ -213,50 +242,73 @@ def rest_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         & (2 * F.col("x.at") <= F.col("x.d") - F.col("y.d") + apart)
         & (2 * F.col("y.at") <= F.col("y.d") - F.col("x.d") + apart)
     )
-    return x.join(y, may).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    short = first.where("at < near")
+    met = [x.alias("x").join(y.alias("y"), may) for x, y in ((short.where("outside"), first), (short.where("not outside"), first.where("outside")))]
+    return met[0].union(met[1]).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, weights: str, least: float) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, weights: str, least: float, tables: Scratch) -> DataFrame:
     """Compared pairs (a, b, similarity) that connect all candidates which are similar; nodes: doc_id, size, bands."""
-    keyed = saved(nodes.select("doc_id", "size", F.explode("bands").alias("key")), "near-keys")
+    keyed = tables.saved(nodes.select("doc_id", "size", F.explode("bands").alias("key")), "near-keys")
     order = F.struct(F.xxhash64("doc_id", "key"), F.col("doc_id"))  # another second leader for each key
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1").select("key", "leader")
-    members = saved(keyed.join(saved(buckets, "near-buckets"), "key"), "near-members")
-    sets = element_sets(docs, members.select("doc_id").distinct(), weights)
+    members = tables.saved(keyed.join(tables.saved(buckets, "near-buckets"), "key"), "near-members")
+    sets = element_sets(docs, members.select("doc_id").distinct(), weights, tables)
 
-    done = compared(members.where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct(), sets)
+    done = compared(members.where("doc_id <> leader").select(*_pair("doc_id", "leader")).distinct(), sets, tables)
     for last in (False, True):
-        parts = components(done.where(F.col("similarity") >= least))
+        parts = components(done.where(F.col("similarity") >= least), keep=tables)
         placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        placed = saved(placed, "near-placed")
+        placed = tables.saved(placed, "near-placed")
         split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        still = saved(placed.join(saved(split.select("key"), "near-split"), "key"), "near-still")
+        still = tables.saved(placed.join(tables.saved(split.select("key"), "near-split"), "key"), "near-still")
         if not still.limit(1).count():
             return done
         if not last:
             home = still.where("doc_id = leader").select("key", F.col("component").alias("home"))
             outside = still.join(home, "key").where("component <> home")
             second = outside.groupBy("key").agg(F.min(order).getField("doc_id").alias("second"), F.min_by("component", order).alias("apart"))
-            pairs = still.join(saved(second, "near-second"), "key").where("component <> apart").select(*_pair("doc_id", "second")).distinct()
+            pairs = still.join(tables.saved(second, "near-second"), "key").where("component <> apart").select(*_pair("doc_id", "second")).distinct()
         else:
-            pairs = rest_pairs(still.select("leader", "doc_id", "size", "component").distinct(), sets, least)
-        done = done.unionByName(compared(pairs.join(done, ["a", "b"], "left_anti"), sets))
+            pairs = rest_pairs(still.select("leader", "doc_id", "size", "component").distinct(), sets, least, tables)
+        done = done.unionByName(compared(pairs.join(done, ["a", "b"], "left_anti"), sets, tables))
     return done
 
 
 def classes(docs: DataFrame, least: float = LEAST, weights: str = "set", bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the smallest doc_id of its class), same_as (the smallest one with an equal set)."""
-    read = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    all_signed = saved(signed(read, weights, bands, rows), "near-signed")
-    firsts = saved(all_signed.groupBy("digest").agg(F.min("doc_id").alias("first")), "near-firsts")
-    firsts_of = all_signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first")
-    nodes = all_signed.join(firsts, (all_signed["doc_id"] == firsts["first"]) & (all_signed["digest"] == firsts["digest"]), "left_semi").select("doc_id", "size", "bands").dropDuplicates(["doc_id"])
-    found = links(read, nodes, weights, least).where(F.col("similarity") >= least)
-    parts = saved(components(found).select(F.col("node").alias("first"), "component"), "near-components")
-    placed = saved(firsts_of, "near-placed").join(parts, "first", "left")
-    known = placed.select("doc_id", F.coalesce("component", "first").alias("class_id"), F.col("first").alias("same_as"))
-    known = known.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("same_as").alias("same_as"))
-    return read.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("same_as", "doc_id").alias("same_as"))
+    every = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    read = every.where("doc_id is not null")
+    if read.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known = _classes_of_texts(read, least, weights, bands, rows)
+    else:
+        known = _classes(read, least, weights, bands, rows)
+    return every.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("same_as", "doc_id").alias("same_as"))
+
+
+def _classes_of_texts(read: DataFrame, least: float, weights: str, bands: int, rows: int) -> DataFrame:
+    """The same where ids repeat: each text of an id is a document of its own, named by a hash of both; what comes back is by id."""
+    with Scratch() as tables:
+        texts = read.select(F.xxhash64("doc_id", "text").alias("own"), "doc_id", "text").dropDuplicates(["own"])
+        found = tables.saved(_classes(texts.select(F.col("own").alias("doc_id"), "text"), least, weights, bands, rows).withColumnRenamed("doc_id", "own"), "near-own")
+        named = tables.saved(found.join(texts.select("own", "doc_id"), "own", "right").select("doc_id", F.coalesce("class_id", "own").alias("c"), F.coalesce("same_as", "own").alias("s")), "near-named")
+        for of in ("c", "s"):  # a class has the name of its smallest id
+            named = named.join(tables.saved(named.groupBy(of).agg(F.min("doc_id").alias(f"{of}_id")), "near-names"), of)
+        return saved(named.groupBy("doc_id").agg(F.min("c_id").alias("class_id"), F.min("s_id").alias("same_as")), "near-classes")
+
+
+def _classes(read: DataFrame, least: float, weights: str, bands: int, rows: int) -> DataFrame:
+    """doc_id, class_id, same_as of documents with shingles; ids are unique."""
+    with Scratch() as tables:
+        all_signed = tables.saved(signed(read, weights, bands, rows), "near-signed")
+        firsts = tables.saved(all_signed.groupBy("digest").agg(F.min("doc_id").alias("first")), "near-firsts")
+        firsts_of = all_signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first")
+        nodes = all_signed.join(firsts, (all_signed["doc_id"] == firsts["first"]) & (all_signed["digest"] == firsts["digest"]), "left_semi").select("doc_id", "size", "bands")
+        found = links(read, nodes, weights, least, tables).where(F.col("similarity") >= least)
+        parts = components(found, keep=tables).select(F.col("node").alias("first"), "component")
+        placed = tables.saved(firsts_of, "near-placed").join(parts, "first", "left")
+        known = placed.select("doc_id", F.coalesce("component", "first").alias("class_id"), F.col("first").alias("same_as"))
+        return saved(known, "near-classes")
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, weights: str = "set", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,12 +321,13 @@ def keep_one(docs: DataFrame, least: float = LEAST, weights: str = "set", key: s
     ids = docs.select(F.col(key).alias("id"))
     odd = ids.where("id is null").limit(1).count() or ids.groupBy("id").count().where("count > 1").limit(1).count()
     if not odd:
-        found = saved(classes(docs, least, weights, key=key, text=text), "near-classes")
+        found = classes(docs, least, weights, key=key, text=text)
         gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
         return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
     own = F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text), F.col(text).isNull())
     known = saved(docs.select(own.alias("doc_id"), F.col(key).cast("long").alias("id")).distinct(), "near-ids")
-    found = saved(classes(docs.select(own.alias("doc_id"), F.col(text).alias("text")), least, weights).select("doc_id", "class_id").distinct(), "near-classes")
+    texts = docs.select(own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+    found = _classes(texts, least, weights, BANDS, ROWS).select("doc_id", "class_id")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))
     first = saved(found.join(known, "doc_id").groupBy("class_id").agg(F.min(order).getField("doc_id").alias("first")), "near-smallest")
     gone = saved(found.join(first, "class_id").where("doc_id <> first").select(F.col("doc_id").alias("__near_own")), "near-gone")
