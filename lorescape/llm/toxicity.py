@@ -1,30 +1,33 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
-A window that holds toxic text compresses shorter with the toxic dictionary. Labels are given for whole documents, most of
-whose words are ordinary, so the toxic dictionary is trained on what sets labelled toxic documents apart: stretches of 4 to
-9 characters of a word (or of the space before it and its start) whose share of toxic documents exceeds their share of
-ordinary ones with a log-likelihood ratio of at least EVIDENCE times the largest one, longer ones first among equals, no
-two with four characters in common. The ordinary dictionary is trained by zstandard on windows of ordinary documents. The
-toxic dictionary ends with the ordinary one, so that both give ordinary windows the same length.
-
-Windows are about WINDOW bytes in lower case, ended at a space. A document's features are the numbers and shares of windows
-whose difference reaches each of THRESHOLDS, and the mean difference; a logistic regression, fitted to the sample,
-calibrates them for the root of the labels' odds, between even odds and those, so that 0.5 is the threshold. The model is fitted on the driver to a sample of whole texts, at most SAMPLE labelled
-documents a class; near copies count once. Fewer are taken if they have more than SAMPLE times SAMPLE_CHARS characters together,
-but one at least. Scoring reads every window of every whole text, too.
+A window that holds toxic text compresses shorter with the toxic dictionary. Windows are about WINDOW bytes in lower case, ended
+at a space. Both dictionaries are made by zstandard's trainer. That for ordinary text gets windows of ordinary documents. Labels
+are given for whole documents, most of whose windows are ordinary, and a trainer that gets all windows of toxic documents keeps
+mostly what these share with others. So windows are labelled first: a stretch of GRAM bytes tells if the share of toxic
+documents that have it exceeds that of ordinary ones with a log-likelihood ratio of at least EVIDENCE times the largest one, and
+the toxic trainer gets those parts of toxic documents' windows that telling stretches cover. In use, the toxic dictionary is
+followed by the ordinary one, so that both give ordinary windows the same length.
+
+Thresholds for the difference of a window's two lengths are calibrated on ordinary documents: the smallest differences
+that no more than each of RATES of their windows reach. A document's features are the numbers and shares of windows that reach
+each threshold, and the mean difference; a logistic regression, fitted to the sample, calibrates them for the root of the
+labels' odds, between even odds and those, so that 0.5 is the threshold of a document.
+
+The model is fitted on the driver to a sample of whole texts, at most SAMPLE labelled documents a class; near copies count once. Fewer
+are taken if they have more than SAMPLE times SAMPLE_CHARS characters together, but one at least. The trainer gets at most
+TRAINING_WINDOWS of their windows, drawn at random. Scoring reads every window of every whole text.
 
 Defined cases: null and empty texts have no window and get the score that the regression gives to no hits; repeated rows are
-scored each by itself; an empty table gives an empty table; without labels of both classes every score is 0. Columns other
-than the named ones are neither read nor returned by score_documents().
+scored each by itself; a row without an id isn't held out; an empty table gives an empty table; without labels of both classes
+every score is 0. Columns other than the named ones are neither read nor returned by score_documents().
 """
 
 from __future__ import annotations
 
 import math
 import random
-import re
+import struct
 import zlib
-from collections import Counter
 from itertools import accumulate
 
 import numpy as np
@@ -39,17 +42,18 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, SAMPLE_CHARS = 1000, 10_000
 WINDOW, LEVEL = 64, 7
-ORDINARY_BYTES, STRETCHES = 8192, 64
-EVIDENCE, SHARE = 0.1, 0.02
-SHORTEST, LONGEST = 4, 9
-THRESHOLDS = (2, 3, 4, 5, 6)
-
-WORD = re.compile(r"\w+")
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+TRAINING_WINDOWS = 30_000
+#: Bytes of a telling stretch (64 bits), the least log-likelihood ratio and its share of the largest one, and the least share of toxic documents.
+GRAM, LEAST, EVIDENCE, SHARE = 8, 12.0, 0.05, 0.01
+RATES = (0.1, 0.03, 0.01, 0.003, 0.001)
+#: What ends the header of a trained dictionary (its repeat offsets); the content follows.
+HEADER_END = struct.pack("<3I", 1, 4, 8)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
     """True for the documents whose labels are never learnt from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
 def windows(text: str) -> list[bytes]:
@@ -74,57 +78,66 @@ def one_of_each(texts: list[str]) -> list[str]:
     return list(seen.values())
 
 
-def pieces(text: str) -> set[str]:
-    """All stretches of SHORTEST to LONGEST characters of the words, each with a space before it."""
-    words = {" " + w for w in WORD.findall(text.lower())}
-    return {w[i:j] for w in words for i in range(len(w)) for j in range(i + SHORTEST, min(len(w), i + LONGEST) + 1)}
+def grams(data: bytes) -> np.ndarray:
+    """Each GRAM bytes in a row as a number."""
+    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+    n = max(0, len(b) - GRAM + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        out = (out << np.uint64(8)) | b[k : k + n]
+    return out
 
 
-def telling(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Stretches that set the toxic documents apart, the most telling first."""
-    m, n = len(toxic), len(ordinary)
-    a = Counter(g for t in toxic for g in pieces(t))
-    a = Counter({g: k for g, k in a.items() if k >= max(2, SHARE * m)})
-    b = Counter(g for t in ordinary for g in pieces(t) if g in a)
+def log_likelihood_ratio(x: np.ndarray, m: int, y: np.ndarray, n: int) -> np.ndarray:
+    """For x of m and y of n how much better two shares describe both than one; 0 where the first share isn't the larger one."""
+
+    def part(k, of, share):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / of / share), 0) + np.where(k < of, (of - k) * np.log((1 - k / of) / (1 - share)), 0)
+
+    share = (x + y) / (m + n)
+    return np.where(x / m > y / n, 2 * (part(x, m, share) + part(y, n, share)), 0)
 
-    def ratio(x: int, y: int) -> float:
-        share = (x + y) / (m + n)
-        if x / m <= y / n or share >= 1:
-            return 0.0
-        part = lambda k, of: (k * math.log(k / of / share) if k else 0) + ((of - k) * math.log((1 - k / of) / (1 - share)) if k < of else 0)
-        return 2 * (part(x, m) + part(y, n))
-
-    found = {g: ratio(x, b[g]) for g, x in a.items()}
-    least = max(10.0, EVIDENCE * max(found.values(), default=0.0))
-    out: list[str] = []
-    taken: set[str] = set()
-    for g in sorted((g for g, r in found.items() if r > least), key=lambda g: (-found[g] * (len(g) - 2), g)):
-        parts = {g[i : i + SHORTEST] for i in range(len(g) - SHORTEST + 1)}
-        if not parts & taken and len(out) < STRETCHES:
-            out.append(g)
-            taken |= parts
-    return out
 
+def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
+    """The stretches, in ascending order, that set the windows of toxic documents apart."""
+    of = lambda windows: np.unique(np.concatenate([grams(w) for w in windows] or [np.empty(0, dtype=np.uint64)]))
+    found, x = np.unique(np.concatenate([of(doc) for doc in toxic]), return_counts=True)
+    found, x = (v[x >= max(3, SHARE * len(toxic))] for v in (found, x))
+    y = np.zeros(len(found), dtype=np.int64)
+    for doc in ordinary:
+        y += np.isin(found, of(doc), assume_unique=True)
+    ratio = log_likelihood_ratio(x, len(toxic), y, len(ordinary))
+    return found[ratio >= max(LEAST, EVIDENCE * ratio.max(initial=0.0))]
 
-def trained(samples: list[bytes]) -> bytes:
-    """The content that zstandard's trainer makes of ordinary windows; of too few of them, the windows themselves."""
-    samples = list(dict.fromkeys(samples))
-    random.Random(0).shuffle(samples)
+
+def told(window: bytes, stretches: np.ndarray) -> list[bytes]:
+    """The parts of a window that telling stretches cover; those that overlap or touch are one."""
+    at = np.flatnonzero(np.isin(grams(window), stretches))
+    parts = np.split(at, np.flatnonzero(np.diff(at) > GRAM) + 1) if len(at) else []
+    return [window[p[0] : p[-1] + GRAM] for p in parts]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of the dictionary that zstandard's trainer makes of samples; of too few of them, the samples themselves."""
+    samples = random.Random(0).sample(samples, min(len(samples), TRAINING_WINDOWS))
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples[:30_000], k=32, d=6, level=LEVEL).as_bytes()[-ORDINARY_BYTES:]
+        made = zstandard.train_dictionary(size, samples, k=32, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[-ORDINARY_BYTES:]
+        return b"".join(dict.fromkeys(samples))[-size:]
+    _, end, content = made.partition(HEADER_END)
+    return content if end else made
 
 
 class Model:
-    """Both dictionaries and the regression; plain values, so that it can be sent to the executors."""
+    """Both dictionaries, the thresholds and the regression; plain values, so that it can be sent to the executors."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: tuple[float, ...] = ()):
-        self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
+    def __init__(self, ordinary: bytes, toxic: bytes, thresholds: tuple[int, ...] = (), weights: tuple[float, ...] = ()):
+        self.ordinary, self.toxic, self.thresholds, self.weights = ordinary, toxic, thresholds, weights
         self.compress = None
 
     def __reduce__(self):
-        return Model, (self.ordinary, self.toxic, self.weights)
+        return Model, (self.ordinary, self.toxic, self.thresholds, self.weights)
 
     def compressors(self):
         if self.compress is None:
@@ -142,7 +155,7 @@ class Model:
         return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], dtype=np.int64)
 
     def features(self, differences: np.ndarray) -> np.ndarray:
-        hits = [(differences >= t).sum() for t in THRESHOLDS]
+        hits = [(differences >= t).sum() for t in self.thresholds]
         n = max(1, len(differences))
         return np.array([*(math.log1p(h) for h in hits), *(10 * h / n for h in hits), differences.sum() / n, 1.0])
 
@@ -165,13 +178,24 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def calibrated(differences: np.ndarray) -> tuple[int, ...]:
+    """For each of RATES the smallest difference, of 1 at least, that no more than that share of these reach."""
+    ordered = np.sort(differences)[::-1]
+    return tuple(max(1, int(ordered[int(rate * len(ordered))]) + 1) if len(ordered) else 1 for rate in RATES)
+
+
 def fit(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Model:
     """A model of labelled texts, odds being those of the toxic label; all scores are 0 if a class has none."""
     toxic, ordinary = one_of_each(toxic), one_of_each(ordinary)
     if not toxic or not ordinary:
         return Model(b"", b"")
-    model = Model(trained([w for t in ordinary for w in windows(t)]), "".join(reversed(telling(toxic, ordinary))).encode())
-    x = np.array([model.features(model.differences(t)) for t in toxic + ordinary])
+    cut = [[windows(t) for t in texts] for texts in (toxic, ordinary)]
+    stretches = telling(*cut)
+    parts = [part for doc in cut[0] for w in doc for part in told(w, stretches)]
+    model = Model(trained(list(dict.fromkeys(w for doc in cut[1] for w in doc)), ORDINARY_BYTES), trained(parts, TOXIC_BYTES))
+    differences = [[model.differences(t) for t in texts] for texts in (toxic, ordinary)]
+    model.thresholds = calibrated(np.concatenate(differences[1]))
+    x = np.array([model.features(d) for of in differences for d in of])
     y = np.array([1] * len(toxic) + [0] * len(ordinary))
     *weights, constant = regression(x, y).tolist()  # for even odds
     model.weights = (*weights, constant + math.log(odds) / 2)
@@ -201,7 +225,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         scores = [model.score(t) for t in texts]
         return {
             "doc_id": keys,
-            "held_out": [zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in keys],
+            "held_out": [k is not None and zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in keys],
             "score": scores,
             "predicted": [int(s >= 0.5) for s in scores],
         }
