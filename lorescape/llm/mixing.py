@@ -1,17 +1,16 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
 
-Documents are counted in cells (source, language, topic). A cell's weight starts as its tokens and is scaled in turn so that
-the sums over each margin agree with its targets, ROUNDS times. The ratio of a cell's fitted tokens to its tokens, times one
-factor for all, is the probability of its documents; the factor is set so that the expected tokens are the budget's share,
-with no probability above 1. A document is sampled if a uniform number made of its id is below its probability, so the
-decision depends on nothing else and can be made anywhere again.
-
-With bounded=True the limit of 1 is part of the fit: a cell's probability is the smaller of 1 and the product of a multiplier for
-each of its margins' values, and the multipliers are scaled in turn until the expected tokens meet the targets with the limit in
-place. Where they can't, the budget is lowered to the largest one at which they are met within TOLERANCE of the sampled tokens (or
-as well as by fitting without the limit, if the targets contradict each other). Without it, tokens that the limit takes away are
-dealt to all other cells alike, and margins drift back towards the table's own; the op1_mixing query does this, as its SQL says.
-achieved() gives each margin's shares beside the targets.
+Documents are counted in cells (source, language, topic). Each cell has a multiplier, and its probability is the smaller of 1 and
+that. Multipliers start at the budget's share and are scaled in turn so that the expected tokens of each margin's values agree with
+their targets, with the limit of 1 inside the fit: what cells at the limit can't give is asked of the other cells of the same value, not
+of all. This is done ROUNDS times. A budget at which a source, language or topic has fewer tokens than its target asks for
+can't meet the targets, so the fit is made for STEPS budgets, equal steps from the one asked for down to 0, and the largest
+one is taken whose margins are within TOLERANCE of the sampled tokens (targets that contradict each other are never met: then within
+1.01 times the smallest error of any budget). A lowered budget and the error are logged, and achieved() gives each margin's
+shares beside the targets.
+
+A document is sampled if a uniform number made of its id is below its probability, so the decision depends on nothing else and
+can be made anywhere again.
 
 Target shares are given by value for each margin; a margin without given targets gets those proportional to its
 tokens to the power TEMPERATURE, which lifts small values and lowers a dominant one. Values without a target get 0.
@@ -21,26 +20,33 @@ the documents; up to CELLS they are fitted in the driver's memory and sent to th
 same steps on a distributed table and joined by a shuffle.
 
 Defined cases: null values of a margin are a value of their own, "(none)"; null and empty texts have no tokens, weight 0, and the
-probability of their cell (0 if the whole cell has no tokens); repeated rows are decided alike; an empty table gives an
-empty table; other columns are kept by sample() and not read otherwise.
+probability of their cell (0 if the whole cell has no tokens); repeated rows are decided alike, and so are all rows without an id; an
+empty table gives an empty table; other columns are kept by sample() and not read otherwise.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescape.llm.shared import saved
+from lorescape.llm.shared import Scratch, saved
+
+log = logging.getLogger(__name__)
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 12
+ROUNDS, STEPS = 200, 20
 TEMPERATURE = 0.5
 BUDGET = 0.5
-CALIBRATIONS = 8
+#: Error of a margin's value, as a share of the sampled tokens, at which its target counts as met.
+TOLERANCE = 1e-3
+#: Largest multiplier.
+MOST = 1e30
 CELLS = 100_000
-#: Of bounded fits: most rounds, margins' error as a share of the sampled tokens, and steps of the search for a budget.
-RAKES, TOLERANCE, HALVINGS = 400, 1e-3, 10
+#: Sums of a margin's values of up to so many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 NONE = "(none)"
 #: A text's topic is told by the share of its code points that aren't letters or white space, in steps.
 TOPICS = ((0.02, "prose"), (0.05, "punctuated"), (0.12, "listing"))
@@ -81,14 +87,24 @@ def targets(sums: dict[str, float], given: dict[str, float] | None) -> dict[str,
     return {v: x / whole if whole else 0.0 for v, x in raw.items()}
 
 
-def fit_local(counted: list, margins: tuple[str, ...], given: dict[str, dict[str, float]], rounds: int, budget: float) -> dict[tuple, float]:
-    """Probability of each cell, fitted in memory."""
+def chosen(budgets: list[float], errors: list[float], short: list[str] = []) -> int:  # noqa: B006
+    """The place of the largest budget that meets the targets, or meets them about as well as any; short: what is too small for the first."""
+    allowed = max(TOLERANCE, 1.01 * min(errors))
+    place = next(j for j, e in enumerate(errors) if e <= allowed)
+    if place or errors[place] > TOLERANCE:
+        why = f"; fewer tokens than asked for: {', '.join(short[:20])}" if short else ""
+        log.warning("budget %.4g instead of %.4g: margins are within %.2g of the sampled tokens there%s", budgets[place], budgets[0], errors[place], why)
+    return place
+
+
+def fit_local(counted: list, margins: tuple[str, ...], given: dict[str, dict[str, float]], budgets: list[float], rounds: int) -> dict[tuple, float]:
+    """Probability of each cell, fitted in memory for all budgets at once."""
     keys = [tuple(r[m] for m in margins) for r in counted]
     seen = np.array([float(r["tokens"] or 0) for r in counted])
-    total, fitted = seen.sum(), seen.copy()
+    total = seen.sum()
     if not total:
         return dict.fromkeys(keys, 0.0)
-    codes, shares = [], []
+    codes, wanted, short = [], [], []
     for i, m in enumerate(margins):
         values = sorted({k[i] for k in keys})
         place = {v: j for j, v in enumerate(values)}
@@ -96,142 +112,65 @@ def fit_local(counted: list, margins: tuple[str, ...], given: dict[str, dict[str
         sums = np.bincount(code, seen, len(values))
         share = targets(dict(zip(values, sums.tolist(), strict=True)), given.get(m))
         codes.append(code)
-        shares.append(np.array([share[v] for v in values]))
-    for _ in range(rounds):
-        for code, share in zip(codes, shares, strict=True):
-            sums = np.bincount(code, fitted, len(share))
-            fitted *= np.divide(share * total, sums, out=np.zeros_like(sums), where=sums > 0)[code]
-    ratio = np.divide(fitted, seen, out=np.zeros_like(seen), where=seen > 0)
-    chance = _calibrated(ratio, seen, budget * total)
-    return dict(zip(keys, chance.tolist(), strict=True))
-
-
-def _calibrated(ratio: np.ndarray, seen: np.ndarray, budget: float) -> np.ndarray:
-    """Probabilities in proportion to the ratios, none above 1, with that expected sum of tokens (or as near as can be)."""
-    scaled = (seen * ratio).sum()
-    factor = budget / scaled if scaled else 0.0  # from below: what the limit of 1 takes away is dealt out again, step by step
-    for _ in range(CALIBRATIONS):
-        chance = np.minimum(1.0, factor * ratio)
-        free = chance < 1
-        open_tokens = (seen * chance)[free].sum()
-        if open_tokens <= 0:
-            break
-        factor *= max(0.0, budget - seen[~free].sum()) / open_tokens
-    return np.minimum(1.0, factor * ratio)
-
-
-def fit_distributed(counted: DataFrame, margins: tuple[str, ...], given: dict[str, dict[str, float]], rounds: int, budget: float) -> DataFrame:
-    """The same on a table of cells, for more of them than fit in memory: margins and p."""
+        wanted.append([share[v] * total for v in values])
+        short += [f"{m} {v}" for v, s in zip(values, sums.tolist(), strict=True) if s < share[v] * total * budgets[0]]
+    multiplier, errors = [], []
+    for budget in budgets:
+        f = np.full(len(keys), budget)
+        sums = lambda code, part: np.bincount(code, np.where(part, seen * np.minimum(f, 1.0), 0.0), int(code.max()) + 1)  # noqa: B023, E731
+        for _ in range(rounds):
+            for code, want in zip(codes, wanted, strict=True):
+                w, below, full = np.array(want) * budget, sums(code, f < 1), sums(code, f >= 1)
+                grow = np.divide(w - full, below, out=np.ones_like(w), where=below > 0)
+                shrink = np.divide(w, below + full, out=np.ones_like(w), where=below + full > 0)
+                f = np.minimum(f * np.where(w > below + full, grow, shrink)[code], MOST)
+        errors.append(max(float(np.abs(sums(code, f >= 0) - np.array(want) * budget).max()) for code, want in zip(codes, wanted, strict=True)) / (budget * total))
+        multiplier.append(f)
+    return dict(zip(keys, np.minimum(multiplier[chosen(budgets, errors, short)], 1.0).tolist(), strict=True))
+
+
+def fit_distributed(counted: DataFrame, margins: tuple[str, ...], given: dict[str, dict[str, float]], budgets: list[float], rounds: int) -> DataFrame:
+    """The same on a table of cells, for more of them than fit in memory: margins and p. A round is written at a time."""
     spark = counted.sparkSession
-    at = counted.select(*margins, F.col("tokens").cast("double").alias("seen")).fillna(0.0, ["seen"])
-    total = at.agg(F.sum("seen")).first()[0] or 0.0
-    shares = {}
-    for m in margins:
-        sums = at.groupBy(m).agg(F.sum("seen").alias("s"))
-        if given.get(m) is None:
-            sums = sums.withColumn("raw", F.when(F.col("s") > 0, F.pow("s", F.lit(TEMPERATURE))).otherwise(0.0))
-        else:
-            wanted = spark.createDataFrame(list(given[m].items()), f"{m} string, w double")
-            sums = sums.join(wanted, m, "left").withColumn("raw", F.when(F.col("s") > 0, F.coalesce("w", F.lit(0.0))).otherwise(0.0))
-        whole = sums.agg(F.sum("raw")).first()[0] or 1.0
-        shares[m] = saved(sums.select(m, (F.col("raw") / whole).alias("share")), "mix-targets")
-    at = at.withColumn("fitted", F.col("seen"))
-    for _ in range(rounds):
+    with Scratch() as tables, Scratch() as states:
+        at = tables.saved(counted.select(*margins, F.coalesce(F.col("tokens"), F.lit(0)).cast("double").alias("seen")), "mix-seen")
+        total = at.agg(F.sum("seen")).first()[0] or 0.0
+        if not total:
+            return saved(at.select(*margins, F.lit(0.0).alias("p")), "mix-fitted")
+        wanted = {}
         for m in margins:
-            sums = at.groupBy(m).agg(F.sum("fitted").alias("sum")).join(shares[m], m).select(m, F.when(F.col("sum") > 0, F.col("share") * total / F.col("sum")).otherwise(0.0).alias("by"))
-            at = at.join(sums, m).withColumn("fitted", F.col("fitted") * F.col("by")).drop("by")
-        at = saved(at, "mix-cells")
-    at = at.withColumn("ratio", F.when(F.col("seen") > 0, F.col("fitted") / F.col("seen")).otherwise(0.0))
-    scaled = at.agg(F.sum(F.col("seen") * F.col("ratio"))).first()[0]
-    factor = budget * total / scaled if scaled else 0.0
-    for _ in range(CALIBRATIONS):
-        chance = F.least(F.lit(1.0), F.col("ratio") * factor)
-        sums = at.agg(F.sum(F.when(chance < 1, F.col("seen") * chance)).alias("open"), F.sum(F.when(chance >= 1, F.col("seen"))).alias("full")).first()
-        if not sums["open"]:
-            break
-        factor *= max(0.0, budget * total - (sums["full"] or 0.0)) / sums["open"]
-    return at.select(*margins, F.least(F.lit(1.0), F.col("ratio") * factor).alias("p"))
-
-
-class _Cells:
-    """Cells in memory or, beyond MOST, in a table: what bounded raking asks about them, by margin and value."""
-
-    def __init__(self, counted: DataFrame, margins: tuple[str, ...], most: int):
-        self.table, self.margins, self.local = counted.select(*margins, F.coalesce(F.col("tokens"), F.lit(0)).cast("double").alias("seen")), margins, counted.count() <= most
-        if self.local:
-            rows = self.table.collect()
-            self.seen = np.array([r["seen"] for r in rows])
-            self.values = [sorted({r[m] for r in rows}) for m in margins]
-            places = [{v: j for j, v in enumerate(x)} for x in self.values]
-            self.codes = [np.array([place[r[m]] for r in rows], dtype=int) for m, place in zip(margins, places, strict=True)]
-            self.keys = [tuple(r[m] for m in margins) for r in rows]
-        else:
-            self.values = [sorted(r[m] for r in self.table.select(m).distinct().collect()) for m in margins]
-            self.table = saved(self.table, "mix-bounded")
-
-    def chances(self, factors: list[np.ndarray]):
-        """The cells' probabilities: an array, or the table with a column p."""
-        if self.local:
-            return np.minimum(1.0, np.prod([f[code] for f, code in zip(factors, self.codes, strict=True)], axis=0))
-        out, p = self.table, F.lit(1.0)
-        for m, values, f in zip(self.margins, self.values, factors, strict=True):
-            known = self.table.sparkSession.createDataFrame(list(zip(values, f.tolist(), strict=True)), f"{m} string, by_{m} double")
-            out, p = out.join(F.broadcast(known), m), p * F.col(f"by_{m}")
-        return out.select(*self.margins, "seen", F.least(F.lit(1.0), p).alias("p"))
-
-    def sums(self, i: int, factors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of margin i's values in cells below the limit, and in those at it."""
-        n, p = len(self.values[i]), self.chances(factors)
-        if self.local:
-            return tuple(np.bincount(self.codes[i], self.seen * p * (part), n) for part in (p < 1, p >= 1))
-        got = p.groupBy(self.margins[i]).agg(*(F.sum(F.when(part, F.col("seen") * F.col("p")).otherwise(0.0)) for part in (F.col("p") < 1, F.col("p") >= 1))).collect()
-        by = {r[0]: (r[1], r[2]) for r in got}
-        return tuple(np.array([by[v][k] for v in self.values[i]]) for k in (0, 1))
-
-
-def fit_bounded(cell: _Cells, given: dict[str, dict[str, float]], budget: float) -> list[np.ndarray] | None:
-    """Multipliers of the margins' values; None if there are no tokens."""
-    ones = [np.ones(len(v)) for v in cell.values]
-    seen = [sum(cell.sums(i, ones)) for i in range(len(ones))]
-    total = seen[0].sum() if seen else 0.0
-    if not total:
-        return None
-    named = zip(cell.margins, cell.values, seen, strict=True)
-    shares = [np.array(list(map(targets(dict(zip(v, s.tolist(), strict=True)), given.get(m)).get, v))) for m, v, s in named]
-
-    def raked(part: float) -> tuple[list[np.ndarray], float]:
-        factors = [np.full(len(x), part if i == 0 else 1.0) for i, x in enumerate(shares)]
-        for _ in range(RAKES):
-            worst = 0.0
-            for i, share in enumerate(shares):
-                want = share * part * total
-                below, full = cell.sums(i, factors)
-                got = below + full
-                worst = max(worst, np.abs(got - want).max() / (part * total))
-                grow = np.divide(want - full, below, out=np.ones_like(want), where=below > 0)
-                shrink = np.divide(want, got, out=np.ones_like(want), where=got > 0)
-                factors[i] = np.minimum(factors[i] * np.where(want > got, grow, shrink), 1e30)
-            if worst < TOLERANCE / 4:
-                break
-        return factors, worst
-
-    if not all(x.sum() for x in shares):
-        return [np.zeros(len(x)) for x in shares]
-    most = min([budget, *(s / (x * total) for margin, of in zip(shares, seen, strict=True) for x, s in zip(margin, of, strict=True) if x > 0)])
-    best, error = raked(most)
-    if error <= TOLERANCE:
-        return best
-    low, high = 0.0, most
-    best, error = raked(most * 2.0**-HALVINGS)  # too small for the limit to matter, unless the targets contradict each other
-    allowed = max(TOLERANCE, 1.01 * error)
-    for _ in range(HALVINGS):
-        middle = (low + high) / 2
-        found, error = raked(middle)
-        if error <= allowed:
-            low, best = middle, found
-        else:
-            high = middle
-    return best
+            sums = at.groupBy(m).agg(F.sum("seen").alias("s"))
+            if given.get(m) is None:
+                sums = sums.withColumn("raw", F.when(F.col("s") > 0, F.pow("s", F.lit(TEMPERATURE))).otherwise(0.0))
+            else:
+                listed = spark.createDataFrame(list(given[m].items()), f"{m} string, w double")
+                sums = sums.join(listed, m, "left").withColumn("raw", F.when(F.col("s") > 0, F.coalesce("w", F.lit(0.0))).otherwise(0.0))
+            whole = sums.agg(F.sum("raw")).first()[0] or 1.0
+            wanted[m] = tables.saved(sums.select(m, (F.col("raw") / whole * total).alias("want")), "mix-targets")
+            wanted[m] = F.broadcast(wanted[m]) if wanted[m].count() <= BROADCAST_ROWS else wanted[m]
+
+        def by_value(state: DataFrame, m: str) -> DataFrame:
+            got = lambda part: F.sum(F.when(part, F.col("seen") * F.least("f", F.lit(1.0))).otherwise(0.0))
+            sums = state.groupBy("budget", m).agg(got(F.col("f") < 1).alias("below"), got(F.col("f") >= 1).alias("full"))
+            return sums.join(wanted[m], m).withColumn("want", F.col("want") * F.col("budget"))
+
+        few = {m: at.select(m).distinct().count() * len(budgets) <= BROADCAST_ROWS for m in margins}
+        state = at.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("f", F.col("budget"))
+        for _ in range(rounds):
+            for m in margins:
+                got = F.col("below") + F.col("full")
+                grow = F.when(F.col("below") > 0, (F.col("want") - F.col("full")) / F.col("below")).otherwise(1.0)
+                shrink = F.when(got > 0, F.col("want") / got).otherwise(1.0)
+                by = by_value(state, m).select("budget", m, F.when(F.col("want") > got, grow).otherwise(shrink).alias("by"))
+                state = state.join(F.broadcast(by) if few[m] else by, ["budget", m]).withColumn("f", F.least(F.col("f") * F.col("by"), F.lit(MOST))).drop("by")
+            state = states.saved(state, "mix-state")
+            states.drop(max(0, len(states.made) - 1))
+        errors = dict.fromkeys(budgets, 0.0)
+        for m in margins:
+            for r in by_value(state, m).groupBy("budget").agg(F.max(F.abs(F.col("below") + F.col("full") - F.col("want"))).alias("e")).collect():
+                errors[r["budget"]] = max(errors[r["budget"]], r["e"] / (r["budget"] * total))
+        best = budgets[chosen(budgets, [errors[b] for b in budgets])]
+        return saved(state.where(F.col("budget") == best).select(*margins, F.least("f", F.lit(1.0)).alias("p")), "mix-fitted")
 
 
 def achieved(rows: DataFrame, given: dict[str, dict[str, float]] | None = None) -> list[tuple[str, str, float, float]]:
@@ -249,48 +188,41 @@ def mix(
     given: dict[str, dict[str, float]] | None = None,
     budget: float = BUDGET,
     rounds: int = ROUNDS,
+    steps: int = STEPS,
     most_cells: int = CELLS,
     key: str = "doc_id",
     text: str = "text",
     topics: Column | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """A row per document: doc_id, source, lang, topic, n_tokens, probability, weight, sampled.
 
     weight is the document's fitted tokens in expectation: n_tokens times its probability.
     """
-    margins, given = MARGINS, given or {}
+    margins, given, budgets = MARGINS, given or {}, [budget * (steps - j) / steps for j in range(steps)]
     named = [F.coalesce(F.col(m).cast("string"), F.lit(NONE)).alias(m) for m in ("source", "lang")]
     kind = topic(F.col(text)) if topics is None else F.coalesce(topics.cast("string"), F.lit(NONE))
     # the texts are read once: what is written is a few bytes for each document
     rows = saved(docs.select(F.col(key).alias("doc_id"), *named, kind.alias("topic"), tokens(F.col(text)).alias("n_tokens")), "mix-rows")
-    counted = saved(cells(rows, margins), "mix-counts")
-    if bounded:
-        cell = _Cells(counted, margins, most_cells)
-        factors = fit_bounded(cell, given, budget) or [np.zeros(len(v)) for v in cell.values]
-        if cell.local:
-            known = rows.sparkSession.createDataFrame([(*k, p) for k, p in zip(cell.keys, cell.chances(factors).tolist() if cell.keys else [], strict=True)], ", ".join(f"{m} string" for m in margins) + ", p double")
+    with Scratch() as tables:
+        counted = tables.saved(cells(rows, margins), "mix-counts")
+        if counted.count() <= most_cells:
+            chance = fit_local(counted.collect(), margins, given, budgets, rounds)
+            known = rows.sparkSession.createDataFrame([(*k, p) for k, p in chance.items()], ", ".join(f"{m} string" for m in margins) + ", p double")
             known = F.broadcast(known)
         else:
-            known = saved(cell.chances(factors).drop("seen"), "mix-fitted")
-    elif counted.count() <= most_cells:
-        chance = fit_local(counted.collect(), margins, given, rounds, budget)
-        known = rows.sparkSession.createDataFrame([(*k, p) for k, p in chance.items()], ", ".join(f"{m} string" for m in margins) + ", p double")
-        known = F.broadcast(known)
-    else:
-        known = saved(fit_distributed(counted, margins, given, rounds, budget), "mix-fitted")
+            known = fit_distributed(counted, margins, given, budgets, rounds)
     joined = rows.join(known, list(margins))
     p = F.round("p", 9)
     return joined.select("doc_id", *margins, "n_tokens", p.alias("probability"), F.round(F.col("n_tokens") * p, 6).alias("weight"), (uniform(F.col("doc_id")) < p).alias("sampled"))
 
 
-def sample(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text", bounded: bool = False) -> DataFrame:
+def sample(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the documents that are sampled, with all their columns."""
-    rows = mix(docs, given, budget, key=key, text=text, bounded=bounded)
-    cell = rows.select("source", "lang", "topic", "probability").distinct()  # one probability a cell
+    rows = mix(docs, given, budget, key=key, text=text)
+    cell = saved(rows.select("source", "lang", "topic", "probability").distinct(), "mix-cells")  # one probability a cell
     n = cell.count()
     named = {"__mix_s": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__mix_l": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__mix_t": topic(F.col(text))}
     known = cell.select(F.col("source").alias("__mix_s"), F.col("lang").alias("__mix_l"), F.col("topic").alias("__mix_t"), F.col("probability").alias("__mix_p"))
-    known = F.broadcast(known) if n <= CELLS else saved(known, "mix-cells")
+    known = F.broadcast(known) if n <= CELLS else known
     columns = docs.columns
     return docs.withColumns(named).join(known, ["__mix_s", "__mix_l", "__mix_t"]).where(uniform(F.col(key)) < F.col("__mix_p")).select(*columns)

@@ -68,39 +68,41 @@ from d"""
 
 
 def _op1_sql() -> str:
-    """The same fitting, unrolled: each step of a margin and each calibration is a common table expression."""
+    """The same fitting: a recursive query makes the rounds, for all budgets at once; a step of a margin is a nested query."""
     steps = "".join(f"when x < {least} then '{name}' " for least, name in mixing.TOPICS)
+    topic = f"case {steps}else '{mixing.TOPIC_REST}' end"
     parts = [
         f"""r as materialized (
-  select doc_id, coalesce(source, '{mixing.NONE}') source, coalesce(lang, '{mixing.NONE}') lang, case {steps}else '{mixing.TOPIC_REST}' end topic,
+  select doc_id, coalesce(source, '{mixing.NONE}') source, coalesce(lang, '{mixing.NONE}') lang, {topic} topic,
     len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::bigint n_tokens
   from (select *, case when length(t) > 0 then (length(t) - length(regexp_replace(t, '[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]', '', 'g'))) / length(t)::double else 0 end x
     from (select doc_id, source, lang, coalesce(text, '') t from documents)))""",
-        "c as materialized (select source, lang, topic, sum(n_tokens)::double seen, sum(n_tokens)::double fitted, (select sum(n_tokens)::double from r) total from r group by all)",
+        "c0 as materialized (select source, lang, topic, sum(n_tokens)::double seen from r group by all)",
+        "whole as materialized (select sum(seen) total from c0)",
     ]
     for m in mixing.MARGINS:
-        parts.append(f"t_{m} as materialized (select {m}, sqrt(s) / (select sum(sqrt(s)) from (select sum(seen) s from c group by {m})) share from (select {m}, sum(seen) s from c group by {m}))")
-    last = "c"
-    for i in range(mixing.ROUNDS):
-        for m in mixing.MARGINS:
-            new = f"f{i}_{m}"
-            parts.append(
-                f"{new} as materialized (select source, lang, topic, seen, fitted * case when s > 0 then share * total / s else 0 end fitted, total "
-                f"from (select *, sum(fitted) over (partition by {m}) s from {last}) join t_{m} using ({m}))"
-            )
-            last = new
-    parts.append(f"k as materialized (select *, case when seen > 0 then fitted / seen else 0 end ratio from {last})")
-    parts.append(f"g0 as materialized (select coalesce({mixing.BUDGET} * any_value(total) / nullif(sum(seen * ratio), 0), 0) g from k)")
-    for i in range(mixing.CALIBRATIONS):
-        parts.append(
-            f"g{i + 1} as materialized (select case when coalesce(sum(seen * least(1, g * ratio)) filter (g * ratio < 1), 0) <= 0 then any_value(g) else any_value(g) * "
-            f"greatest(0, {mixing.BUDGET} * any_value(total) - coalesce(sum(seen) filter (g * ratio >= 1), 0)) / sum(seen * least(1, g * ratio)) filter (g * ratio < 1) end g from k, g{i})"
-        )
+        parts.append(f"t_{m} as materialized (select {m}, sqrt(s) / (select sum(sqrt(s)) from (select sum(seen) s from c0 group by {m})) * total want_{m} from (select {m}, sum(seen) s from c0 group by {m}), whole)")
+    wants = ", ".join(f"want_{m}" for m in mixing.MARGINS)
+    parts.append(f"c as materialized (select c0.*, {wants} from c0 " + " ".join(f"join t_{m} using ({m})" for m in mixing.MARGINS) + ")")
+    parts.append(f"b as materialized (select {float(mixing.BUDGET)!r}::double * ({mixing.STEPS} - j) / {mixing.STEPS} budget from range({mixing.STEPS}) t(j))")
+    inner = "rounds"
+    for m in mixing.MARGINS:
+        sums = f"select *, sum(case when f < 1 then seen * f else 0 end) over w below, sum(case when f >= 1 then seen else 0 end) over w full_ from {inner} window w as (partition by budget, {m})"
+        by = f"case when want_{m} * budget > below + full_ then case when below > 0 then (want_{m} * budget - full_) / below else 1 end when below + full_ > 0 then want_{m} * budget / (below + full_) else 1 end"
+        inner = f"(select i, budget, source, lang, topic, seen, {wants}, least(f * {by}, {mixing.MOST!r}::double) f from ({sums}))"
+    parts.append(
+        f"rounds as (select 0 i, budget, source, lang, topic, seen, {wants}, budget f from c, b union all "
+        f"select i + 1, budget, source, lang, topic, seen, {wants}, f from {inner.replace('from rounds window', f'from rounds where i < {mixing.ROUNDS} window')})"
+    )
+    parts.append(f"fitted as materialized (select budget, source, lang, topic, seen, {wants}, least(f, 1::double) p from rounds where i = {mixing.ROUNDS})")
+    errors = " union all ".join(f"select budget, max(abs(s - w)) e from (select budget, {m}, sum(seen * p) s, any_value(want_{m} * budget) w from fitted group by all) group by budget" for m in mixing.MARGINS)
+    parts.append(f"e as materialized (select budget, max(e / (budget * total)) e from ({errors}), whole group by budget)")
+    parts.append(f"best as (select max(budget) budget from e where e <= greatest({mixing.TOLERANCE}, 1.01 * (select min(e) from e)))")
     return (
-        "with " + ",\n".join(parts) + f"""
+        "with recursive " + ",\n".join(parts) + """
 select doc_id, source, lang, topic, n_tokens, p probability, round(n_tokens * p, 6) weight,
   ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0::double < p sampled
-from r join (select source, lang, topic, round(least(1.0::double, g * ratio), 9) p from k, g{mixing.CALIBRATIONS}) using (source, lang, topic)"""
+from r join (select source, lang, topic, round(p, 9) p from fitted join best using (budget)) using (source, lang, topic)"""
     )
 
 
