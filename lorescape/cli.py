@@ -6,10 +6,11 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorescape.engine import Engine
 from lorescape.errors import LoreError
-from lorescape.operators import sessions, vault
+from lorescape.operators import sessions, usage, vault
 from lorescape.sources import config, console, json_files, vault_files
 from lorescape.sources.embedding import described, loaded
 
@@ -73,10 +74,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         case "show":
             lines(e.document(args.doc_id), "body")
         case "links":
-            e.outgoing(args.doc_id).show()
-            e.backlinks(args.doc_id).show()
+            lines(console.link_lines(e.outgoing(args.doc_id), e.backlinks(args.doc_id), e.table("documents")).orderBy(F.desc("kind"), "place"))
         case "usage":
-            lines(console.usage_lines(e.usage_report().limit(args.limit)))
+            shown = console.usage_split_lines(usage.split_lists(e.usage_report(), args.limit))
+            for kind, title in (("retrieved", "Retrieved"), ("never", "Never retrieved")):
+                print(title)
+                lines(shown.where(F.col("kind") == kind).orderBy("place"))
         case "hook-stats":
             states = json_files.session_states(spark, args.glob).selectExpr("session_id", "dedup_hits", "saved_chars", "cast(floor(saved_chars / 3.5) as long) saved_tokens")
             sessions.shown(states).show()

@@ -1,10 +1,13 @@
 """The library's front: a warehouse folder with the index, and the operations on it.
 
-Each table has a folder of versions and a file that names the current one. A version is written whole before its name changes.
+Each table has a folder of versions, and a manifest names the current version of every table. Versions are written whole first; then
+the next manifest is written aside and renamed to its number. So a change of several tables is seen as one, a crash leaves the
+last manifest in force, and of two writers at a time the second one fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
@@ -12,14 +15,16 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorescape.errors import DocumentNotFoundError
+from lorescape.errors import DocumentNotFoundError, WarehouseError
 from lorescape.functions.text import distinct_tokens
 from lorescape.operators import lexical, links, semantic, store, usage
+from lorescape.operators.durable import durable
 from lorescape.plans.search import search as search_plan
 from lorescape.schemas import schema
 from lorescape.sources import markdown
 from lorescape.sources.embedding import Provider
 
+MANIFEST = "manifests"
 TABLES = ("documents", "links", "chunks", "embeddings", "usage")
 
 
@@ -35,32 +40,60 @@ class Engine:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
+    def _manifest(self) -> tuple[int, dict[str, str]]:
+        """The number of the last manifest, and the versions that it names; 0 and none before the first one."""
+        files, folder = self._files(f"{self.root}/{MANIFEST}")
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not numbers:
+            _, root = self._files(self.root)
+            if files.exists(root) and any(s.getPath().getName() in TABLES for s in files.listStatus(root)):
+                raise WarehouseError(f"{self.root} has tables but no manifest")
+            return 0, {}
+        stream = files.open(self._files(f"{self.root}/{MANIFEST}/{max(numbers):012d}.json")[1])
+        try:
+            return max(numbers), json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
     def table(self, name: str) -> DataFrame:
         """The current version of a table; empty if there is none."""
-        files, current = self._files(f"{self.root}/{name}/current")
-        if not files.exists(current):
+        version = self._manifest()[1].get(name)
+        if version is None:
             return self.spark.createDataFrame([], schema(name))
-        version = self.spark.read.text(f"{self.root}/{name}/current").first()[0]
         return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}/{version}")
 
     def _put(self, **tables: DataFrame) -> None:
-        """Writes the next versions, then names them; readers of the old ones go on with those."""
-        names = {}
+        """Writes the next versions, then names them all at once; readers of the old ones go on with those."""
+        number, names = self._manifest()
+        if number == 0:
+            self._name(1, {})  # before any version, so that tables without a manifest are never a fresh start
+            number = 1
         for name, df in tables.items():
-            names[name] = f"v-{uuid.uuid4().hex}"
-            df.select(*schema(name).fieldNames()).write.parquet(f"{self.root}/{name}/{names[name]}")
-        for name, version in names.items():
-            self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+            version = f"v-{uuid.uuid4().hex}"
+            df.select(*schema(name).fieldNames()).write.parquet(f"{self.root}/{name}/{version}")
+            names = names | {name: version}
+        self._name(number + 1, names)
+
+    def _name(self, number: int, names: dict[str, str]) -> None:
+        files, folder = self._files(f"{self.root}/{MANIFEST}")
+        aside, final = (self._files(f"{self.root}/{MANIFEST}/{n}")[1] for n in (f".{uuid.uuid4().hex}", f"{number:012d}.json"))
+        stream = files.create(aside, False)
+        stream.write(bytearray(json.dumps(names, sort_keys=True).encode()))
+        stream.close()
+        if files.exists(final) or not files.rename(aside, final):
+            files.delete(aside, False)
+            raise WarehouseError(f"{self.root} was changed by another writer")
 
     def vacuum(self) -> None:
-        """Deletes all versions but the current ones; no reader should be at work."""
-        for name in TABLES:
+        """Deletes all versions and manifests but the current ones; no reader should be at work."""
+        number, names = self._manifest()
+        keep = {MANIFEST: f"{number:012d}.json"} | names
+        for name in (*TABLES, MANIFEST):
             files, folder = self._files(f"{self.root}/{name}")
-            if files.exists(folder):
-                version = self.spark.read.text(f"{self.root}/{name}/current").first()[0]
-                for s in files.listStatus(folder):
-                    if s.getPath().getName() not in ("current", version):
-                        files.delete(s.getPath(), True)
+            for s in files.listStatus(folder) if files.exists(folder) else ():
+                if s.getPath().getName() != keep.get(name):
+                    files.delete(s.getPath(), True)
 
     # keeping the index
 
@@ -88,7 +121,7 @@ class Engine:
         """Brings the index in step with the files below a root; returns a row: indexed, deleted, failed."""
         found = markdown.files(self.spark, root)
         good, failed = markdown.documents(found)
-        gone = store.stale(self.table("documents"), found.select("path"), root.removeprefix("file://"))
+        gone = store.stale(self.table("documents"), found.select("path"), markdown.canonical(root).removeprefix("file://"))
         counts = {"indexed": good.count(), "deleted": gone.count(), "failed": failed.count()}
         self._change(good, gone)
         self.refresh_embeddings()
@@ -98,13 +131,17 @@ class Engine:
         return markdown.documents(markdown.files(self.spark, root))[1]
 
     def embed(self) -> DataFrame | None:
-        """Vectors for the chunks that lack one; None without a provider."""
+        """Vectors for the chunks that lack one: embedded, reused, failed, reason (of a failure); None without a provider.
+
+        What a server gave before it failed is kept.
+        """
         if self.provider is None:
             return None
         before, chunks = self.table("embeddings"), self.table("chunks")
-        fresh = semantic.embedded(semantic.pending(chunks, before, self.model), self.provider, self.model)
-        self._put(embeddings=semantic.stored(before, fresh.dropDuplicates(["content_hash", "model"])))
-        return semantic.accounting(chunks, before, self.table("embeddings"), self.model)
+        outcome = durable(semantic.embedded(semantic.pending(chunks, before, self.model), self.provider, self.model))  # the provider runs once
+        self._put(embeddings=semantic.stored(before, semantic.succeeded(outcome).dropDuplicates(["content_hash", "model"])))
+        done = semantic.accounting(chunks, before, self.table("embeddings"), self.model)
+        return done.join(F.broadcast(semantic.reason(outcome)))  # a row each
 
     def refresh_embeddings(self) -> DataFrame | None:
         """Embeds what is pending and prunes what no chunk has; None without a provider."""

@@ -33,3 +33,7 @@ class EmbeddingBackendError(LoreError):
 
 class ColumnTypeError(LoreError):
     """A table lacks a column, or a column has another type than the engine needs."""
+
+
+class WarehouseError(LoreError):
+    """A warehouse has tables without a manifest, or was changed by another writer in the meantime."""

@@ -10,6 +10,8 @@ from lorescape.functions.text import lines, sha256, strip
 CAP = 1200
 HEADING = r"(?U)^(#{1,6})\s+(.*?)\s*#*\s*$"
 FENCE = r"(?U)^\s*(?:```|~~~)"
+#: Between paragraphs of a chunk.
+GAP = "\n\n"
 CHUNK = "array<struct<heading:string,text:string>>"
 
 
@@ -68,17 +70,29 @@ def _pieces(body: Column, budget: Column) -> Column:
         return F.when(n <= budget, F.array(p)).otherwise(F.transform(starts, lambda s: F.substring(p, s + 1, budget)))
 
     paragraphs = F.filter(F.transform(F.split(body, r"(?U)\n\s*\n"), strip), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def step(acc: Column, p: Column) -> Column:
-        longer = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p))
-        fits = F.char_length(longer) <= budget
-        full = F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        return F.struct(full.alias("done"), F.when(fits, longer).otherwise(p).alias("now"))
+    def packed(pieces: Column) -> Column:
+        """First the places where a new chunk begins, from the lengths alone; then each chunk is put together once."""
+        start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("used"), F.lit(0).alias("at"))
 
-    return F.aggregate(
-        F.flatten(F.transform(paragraphs, cut)), start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-    )
+        def step(acc: Column, n: Column) -> Column:
+            longer = acc["used"] + n + len(GAP)
+            fits = (acc["at"] > 0) & (longer <= budget)
+            return F.struct(
+                F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["at"]))).alias("cuts"),
+                F.when(fits, longer).otherwise(n).alias("used"),
+                (acc["at"] + 1).alias("at"),
+            )
+
+        cuts = F.aggregate(F.transform(pieces, F.char_length), start, step, lambda acc: acc["cuts"])
+
+        def joined(cuts: Column) -> Column:
+            until = lambda k: F.coalesce(F.get(cuts, k + 1), F.size(pieces))
+            return F.transform(cuts, lambda c, k: F.array_join(F.slice(pieces, c + 1, until(k) - c), GAP))
+
+        return _let(cuts, joined)
+
+    return _let(F.flatten(F.transform(paragraphs, cut)), packed)
 
 
 def chunks(body: Column, cap: int = CAP) -> Column:

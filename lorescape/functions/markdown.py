@@ -22,8 +22,8 @@ def _let(value: Column, body) -> Column:
 
 def _closing(rows: Column) -> Column:
     """Place (from 0) of the line that ends the frontmatter; -1 if there is no frontmatter or it doesn't end."""
-    rest = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), strip)
-    found = F.array_position(rest, DELIMITER)
+    rest = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(DELIMITER)) & (strip(x) == DELIMITER))
+    found = F.array_position(rest, True)
     return F.when((F.size(rows) >= 2) & (strip(F.get(rows, F.lit(0))) == DELIMITER) & (found > 0), found.cast("int")).otherwise(-1)
 
 
@@ -50,8 +50,14 @@ def _tags(value: Column, following: Column) -> Column:
 
 def heading_title(body: Column) -> Column:
     """The first line that begins with "# ", without it; null if there is none."""
-    found = F.filter(F.transform(lines(body), strip), lambda x: F.startswith(x, F.lit("# ")))
-    return F.when(F.size(found) > 0, strip(F.substring(F.get(found, F.lit(0)), 3, 1 << 30)))
+    return _title_of(lines(body))
+
+
+def _title_of(rows: Column) -> Column:
+    # strip() costs most, so lines without a mark at all are left out first
+    marked = F.filter(rows, lambda x: F.contains(x, F.lit("# ")))
+    found = F.filter(F.transform(marked, strip), lambda x: F.startswith(x, F.lit("# ")))
+    return _let(found, lambda found: F.when(F.size(found) > 0, strip(F.substring(F.get(found, F.lit(0)), 3, 1 << 30))))
 
 
 @F.pandas_udf(StringType())
@@ -83,9 +89,11 @@ def parsed(raw: Column, path: Column) -> Column:
 
         return _let(end, with_end)
 
-    has_front = strip(F.get(lines(raw), F.lit(0))) == DELIMITER
-    plain = F.struct(F.coalesce(heading_title(raw), F.lit("")).alias("title"), F.array().cast("array<string>").alias("tags"), strip(raw).alias("body"))
-    return F.when(has_front & (F.size(lines(raw)) >= 2), _let(lines(raw), of)).otherwise(plain)
+    def either(rows: Column) -> Column:
+        plain = F.struct(F.coalesce(_title_of(rows), F.lit("")).alias("title"), F.array().cast("array<string>").alias("tags"), strip(raw).alias("body"))
+        return F.when((F.size(rows) >= 2) & (strip(F.get(rows, F.lit(0))) == DELIMITER), of(rows)).otherwise(plain)
+
+    return _let(lines(raw), either)
 
 
 def wikilinks(body: Column) -> Column:

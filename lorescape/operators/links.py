@@ -2,7 +2,7 @@
 
 Comparing every target with every path would be a cross join. Instead each path is spelled out as all its ends (as many as it
 has parts), the smallest id for each end is found by one aggregation, and targets are joined with that by equality. A name that a
-third of all links share is a hot key of that join only, where Spark splits it.
+third of all links share is a hot key of that join only; the names are written first, so that Spark can split it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorescape.functions.text import normalized_target
+from lorescape.operators.durable import durable
 
 
 def path_ends(path: Column) -> Column:
@@ -29,7 +30,7 @@ def names(documents: DataFrame) -> DataFrame:
 
 def resolved(links: DataFrame, documents: DataFrame) -> DataFrame:
     """The links with dst_id, null where no document is meant."""
-    known = names(documents)
+    known = durable(names(documents))  # behind an aggregation Spark couldn't split a name that very many links have
     wanted = links.withColumn("_w", normalized_target(F.col("target")))
     wanted = wanted.withColumn("_n", F.element_at(F.split("_w", "/"), -1))
     by_path = known.select(F.col("name").alias("_w"), F.col("by_path"))

@@ -14,6 +14,8 @@ from lorescape.schemas import DDL
 
 CANDIDATES = 20
 BATCH = 64
+#: Batches in a row that may fail before a task gives up, since each may wait for the server's time limit.
+GIVE_UP = 3
 
 
 def cosine(query: Sequence[float], vector: Column) -> Column:
@@ -79,30 +81,47 @@ def coverage(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
 def embedded(rows: DataFrame, provider, model: str) -> DataFrame:
     """Vectors of (content_hash, text): the provider runs on the executors, a batch of texts at a time.
 
-    A batch that the server refuses gives no rows, so that the others are kept and the refused ones stay pending.
+    A batch that the server refuses, or that doesn't reach it, gives one row without a vector but with the reason; the others are
+    kept and the refused texts stay pending. After GIVE_UP such batches in a row a task asks no more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                try:
-                    vectors = provider.embed(part.column("text").to_pylist())
-                except EmbeddingBackendError:
-                    return
+        failed = 0
+        for part in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
+            if failed == GIVE_UP:
+                return
+            vectors, why = [], ""
+            try:
+                vectors = provider.embed(part.column("text").to_pylist())
                 if len(vectors) != part.num_rows:
-                    return
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("content_hash"),
-                        pa.array([model] * part.num_rows),
-                        pa.array([len(v) for v in vectors], pa.int32()),
-                        pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32())),
-                    ],
-                    names=["content_hash", "model", "dimension", "vector"],
-                )
-
-    return rows.select("content_hash", "text").mapInArrow(run, DDL["embeddings"])
+                    vectors, why = [], f"{len(vectors)} vectors for {part.num_rows} texts"
+            except (EmbeddingBackendError, OSError) as e:
+                why = str(e) or type(e).__name__
+            failed = failed + 1 if why else 0
+            hashes = part.column("content_hash") if not why else pa.array([None], pa.string())
+            n = len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    hashes,
+                    pa.array([model] * n),
+                    pa.array([None] if why else [len(v) for v in vectors], pa.int32()),
+                    pa.array([None] if why else [list(map(float, v)) for v in vectors], pa.list_(pa.float32())),
+                    pa.array([why or None] * n, pa.string()),
+                ],
+                names=["content_hash", "model", "dimension", "vector", "reason"],
+            )
+
+    return rows.select("content_hash", "text").mapInArrow(run, DDL["embeddings"] + ", reason string")
+
+
+def succeeded(outcome: DataFrame) -> DataFrame:
+    """The vectors among what embedded() gave."""
+    return outcome.where("reason is null").drop("reason")
+
+
+def reason(outcome: DataFrame) -> DataFrame:
+    """One row: the reason of a failed batch (the first by the alphabet), or null."""
+    return outcome.agg(F.min("reason").alias("reason"))
 
 
 def accounting(chunks: DataFrame, before: DataFrame, after: DataFrame, model: str) -> DataFrame:

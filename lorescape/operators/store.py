@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lorescape.functions.chunking import CAP, chunk_table
 from lorescape.functions.markdown import wikilinks
 from lorescape.functions.text import under
+from lorescape.operators.durable import durable
 
 
 def numbered(rows: DataFrame, after: int, order: Column) -> DataFrame:
@@ -22,7 +23,7 @@ def numbered(rows: DataFrame, after: int, order: Column) -> DataFrame:
     """
     spark = rows.sparkSession
     at = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
-    at = at.checkpoint() if spark.sparkContext.getCheckpointDir() else at.cache()  # both uses have to see the same partitions
+    at = durable(at)  # both uses have to see the same partitions
     part = F.shiftright("_m", 33)
     sizes = sorted(at.groupBy(part.alias("p")).count().collect())  # a row a partition
     offsets, total = {}, after
@@ -42,8 +43,11 @@ def path_order(path: str = "path") -> Column:
 
 
 def upserted(documents: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Documents with the incoming ones (path, title, tags, body) put in by path; known paths keep their ids."""
-    fresh = incoming.groupBy("path").agg(F.max_by(F.struct("title", "tags", "body"), F.lit(1)).alias("d")).select("path", "d.*")
+    """Documents with the incoming ones (path, title, tags, body) put in by path; known paths keep their ids.
+
+    Of rows that repeat a path the one with the largest title, tags and body, in this order, stands.
+    """
+    fresh = incoming.groupBy("path").agg(F.max(F.struct("title", "tags", "body")).alias("d")).select("path", "d.*")
     fresh = fresh.join(documents.select("path", "doc_id"), "path", "left")
     most = documents.agg(F.max("doc_id")).first()[0] or 0
     known = fresh.where("doc_id is not null")

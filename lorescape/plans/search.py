@@ -7,13 +7,14 @@ can return through its vector.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorescape.functions.text import distinct_tokens, tag_text
 from lorescape.operators import lexical, scope, snippets
+from lorescape.operators.durable import durable
 from lorescape.operators.usage import boosted
 
 RRF_K = 60
@@ -39,35 +40,34 @@ def fused(candidates: DataFrame, hits: DataFrame, corpus: DataFrame, limit: int,
     """Reciprocal rank fusion of BM25's candidates with vector hits (doc_id, sem_rank), of which there are few.
 
     Of candidates without a hit only the best can get into the result, since their fused score falls with their rank; so at most
-    2 * limit of them and the hits are looked at, and their exact ranks are counted in one pass.
+    2 * limit of them and the hits are looked at, and their exact ranks are counted in one pass. What is asked of the candidates is
+    asked of a written table of their ids and scores: the corpus is scored once.
     """
     spark = corpus.sparkSession
     hit_rows = hits.select("doc_id", "sem_rank").collect()  # at most semantic.CANDIDATES
-    if not hit_rows:
-        return candidates.withColumns({"lex_rank": F.lit(0), "fused": F.lit(0.0)})
     ranks = {r["doc_id"]: r["sem_rank"] for r in hit_rows}
     ids = list(ranks)
     order = [F.desc("boosted"), F.desc("bm25"), "doc_id"]
-    some = candidates.where(F.col("doc_id").isin(ids))
+    scores = durable(candidates.select("doc_id", "bm25", "boosted", scope.is_draft().alias("draft")))
+    some = scores.where(F.col("doc_id").isin(ids)) if ids else scores.where("false")
     for drafts in (False, True):
-        some = some.unionByName(candidates.where(scope.is_draft() == drafts).orderBy(*order).limit(limit))
-    some = some.dropDuplicates(["doc_id"])
-    looked = some.select("doc_id", "boosted", "bm25").collect()
-    lex = _ahead(candidates, looked)
-    only = corpus.where(F.col("doc_id").isin(ids) & allowed).where(~F.col("doc_id").isin([i for i in ids if i in lex]) if any(i in lex for i in ids) else F.lit(True))
-    only = only.withColumns({"bm25": F.lit(0.0), "boosted": F.lit(0.0)})
-    n_lexical = candidates.count()
-    added = [r["doc_id"] for r in only.select("doc_id").collect()]
+        some = some.unionByName(scores.where(F.col("draft") == drafts).orderBy(*order).limit(limit))
+    looked = {r["doc_id"]: r for r in some.collect()}  # the hits and 2 * limit rows
+    lex = _ahead(scores, list(looked.values()))
+    missing = [i for i in ids if i not in lex]
+    added = {r["doc_id"]: r["draft"] for r in corpus.where(F.col("doc_id").isin(missing) & allowed).select("doc_id", scope.is_draft().alias("draft")).collect()} if missing else {}
+    n_lexical = scores.count()
     pool = n_lexical + len(added)
     place = {i: n_lexical + k for k, i in enumerate(sorted(added, key=ranks.get))}
-    table = [(i, lex.get(i), ranks.get(i), place.get(i, lex.get(i))) for i in {*lex, *added}]
-    known = spark.createDataFrame(table, "doc_id long, lex int, sem int, lex_rank int")
-    rows = some.unionByName(only).join(F.broadcast(known), "doc_id")
-    score = 1 / (RRF_K + F.coalesce("lex", F.lit(pool))) + 1 / (RRF_K + F.coalesce("sem", F.lit(pool)))
-    return rows.withColumn("fused", score).drop("lex", "sem")
+    part = lambda rank: 1 / (RRF_K + (pool if rank is None else rank))
+    table = [(i, r["bm25"], r["boosted"], r["draft"], lex[i], part(lex[i]) + part(ranks.get(i))) for i, r in looked.items()]
+    table += [(i, 0.0, 0.0, draft, place[i], part(None) + part(ranks[i])) for i, draft in added.items()]
+    best = sorted(table, key=lambda r: (r[3], -r[5], r[4], -r[2], -r[1], r[0]))[:limit]
+    known = spark.createDataFrame([(*r, k) for k, r in enumerate(best, 1)], "doc_id long, bm25 double, boosted double, draft boolean, lex_rank int, fused double, rank int")
+    return corpus.where(F.col("doc_id").isin([r[0] for r in best]) if best else F.lit(False)).join(F.broadcast(known), "doc_id")  # limit rows
 
 
-def search(
+def ranked(
     corpus: DataFrame,
     query: str,
     limit: int = 5,
@@ -77,18 +77,13 @@ def search(
     project: str | None = None,
     usage: DataFrame | None = None,
     hits: DataFrame | None = None,
-    chunks: DataFrame | None = None,
     known: lexical.Statistics | None = None,
-) -> DataFrame:
-    """The best documents for a query: rank from 1, doc_id, path, title, tags, bm25, snippet.
-
-    usage: counts (doc_id, retrieved_count); hits: vector hits (doc_id, sem_rank); chunks: for snippets.
-    """
+) -> DataFrame | None:
+    """The best documents with all their columns, rank, bm25 and boosted, and with hits also fused; None if the query asks for nothing."""
     tag = scope.project_tag(project) if project is not None else None
     wanted = lexical.searchable(query)
-    spark = corpus.sparkSession
     if not wanted and (hits is None or not distinct_tokens(query)):
-        return spark.createDataFrame([], RESULT)
+        return None
     allowed = (scope.in_project(tag) if tag else F.lit(True)) & scope.has_all(tags)
     scoped = tag is not None or bool(scope.wanted_tags(tags))
     rows = lexical.scored(corpus, wanted, known)
@@ -100,19 +95,39 @@ def search(
         rows = rows.join(usage.select("doc_id", "retrieved_count"), "doc_id", "left").withColumn("boosted", boosted(F.col("bm25"), F.col("retrieved_count"), usage_weight)).drop("retrieved_count")
     else:
         rows = rows.withColumn("boosted", F.col("bm25"))
-    draft = scope.is_draft()
     if hits is not None:
-        rows = fused(rows, hits, corpus, limit, allowed)
-        order = [draft, F.desc("fused"), "lex_rank", F.desc("boosted"), F.desc("bm25"), "doc_id"]
-    else:
-        order = [draft, F.desc("boosted"), F.desc("bm25"), "doc_id"]
-    top = rows.orderBy(*order).limit(limit)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most limit rows
+        return fused(rows, hits, corpus, limit, allowed)
+    order = [scope.is_draft(), F.desc("boosted"), F.desc("bm25"), "doc_id"]
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most limit rows
+
+
+def search(
+    corpus: DataFrame,
+    query: str,
+    limit: int = 5,
+    min_score: float = 0.0,
+    usage_weight: float = 0.0,
+    tags: Sequence[str] = (),
+    project: str | None = None,
+    usage: DataFrame | None = None,
+    hits: DataFrame | None = None,
+    chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    known: lexical.Statistics | None = None,
+) -> DataFrame:
+    """The best documents for a query: rank from 1, doc_id, path, title, tags, bm25, snippet.
+
+    usage: counts (doc_id, retrieved_count); hits: vector hits (doc_id, sem_rank); chunks: for snippets, a table or a
+    function that makes the chunks of some documents (doc_id).
+    """
+    top = ranked(corpus, query, limit, min_score, usage_weight, tags, project, usage, hits, known)
+    if top is None:
+        return corpus.sparkSession.createDataFrame([], RESULT)
     tokens = distinct_tokens(query)
     top = top.select("rank", "doc_id", "path", "title", tag_text(F.col("tags")).alias("tags"), "bm25", snippets.body_snippet(F.col("body"), tokens).alias("_body"))
     if chunks is None:
         return top.withColumnRenamed("_body", "snippet").orderBy("rank")
-    mine = chunks.join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")  # limit rows
+    ids = top.select("doc_id")
+    mine = chunks.join(F.broadcast(ids), "doc_id", "left_semi") if isinstance(chunks, DataFrame) else chunks(ids)  # limit rows
     found = snippets.best_chunks(mine, tokens).select("doc_id", snippets.rendered(F.col("heading"), F.col("text"), tokens).alias("_chunk"))
     top = top.join(found, "doc_id", "left").withColumn("snippet", F.coalesce(F.nullif("_chunk", F.lit("")), "_body"))
     return top.select("rank", "doc_id", "path", "title", "tags", "bm25", "snippet").orderBy("rank")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorescape.functions import chunking, markdown, text
 from lorescape.operators import lexical, links, postings, scope, semantic, sessions, store, usage, vault
-from lorescape.plans.search import search
+from lorescape.plans.search import ranked, search
 from lorescape.sources import console
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,18 +246,17 @@ def _rrf_sql(scoped: str, keep: str, limit: int) -> str:
 
 
 def _hybrid(spark, d, limit, **more):
-    found = search(corpus(spark, d), WORDS, limit=limit, hits=hits(spark, d), **more)
-    return found
+    return ranked(corpus(spark, d), WORDS, limit=limit, hits=hits(spark, d), **more).select("rank", "doc_id", F.round("fused", 9).alias("fused"))
 
 
-@query(_rrf_sql("scored order by bm25 desc, doc_id limit 40", "true", 10).replace(", round(f, 9) fused", ""))
+@query(_rrf_sql("scored order by bm25 desc, doc_id limit 40", "true", 10))
 def hybrid_rrf(spark, d):
-    return _hybrid(spark, d, 10).select("rank", "doc_id")
+    return _hybrid(spark, d, 10)
 
 
-@query(_rrf_sql("scored", PROJECT, 10).replace(", round(f, 9) fused", ""))
+@query(_rrf_sql("scored", PROJECT, 10))
 def hybrid_rrf_scoped(spark, d):
-    return _hybrid(spark, d, 10, project="src3").select("rank", "doc_id")
+    return _hybrid(spark, d, 10, project="src3")
 
 
 @query(f"with {CHUNKS} select distinct content_hash from chunk where content_hash not in (select content_hash from emb where model = '{MODEL}')")
@@ -278,10 +277,13 @@ def embed_coverage(spark, d):
     return semantic.coverage(*chunk_store(spark, d))
 
 
-@query(f"with {CHUNKS}, h as (select distinct content_hash from chunk) select 0::bigint embedded, count(*) filter (content_hash in (select content_hash from emb where model = '{MODEL}')) reused, count(*) filter (content_hash not in (select content_hash from emb where model = '{MODEL}')) failed from h")
+@query(f"""with {CHUNKS}, h as (select distinct content_hash from chunk), has as (select content_hash from emb where model = '{MODEL}'),
+  had as (select content_hash from has where content_hash in (select content_hash from chunk where doc_id % 5 = 0))
+  select count(*) filter (content_hash in (select * from has) and content_hash not in (select * from had)) embedded, count(*) filter (content_hash in (select * from had)) reused, count(*) filter (content_hash not in (select * from has)) failed from h""")
 def embed_accounting(spark, d):
-    chunks, emb = chunk_store(spark, d)
-    return semantic.accounting(chunks, emb, emb, MODEL)
+    chunks, after = chunk_store(spark, d)
+    before = after.join(chunks.where("doc_id % 5 = 0").select("content_hash"), "content_hash", "left_semi")
+    return semantic.accounting(chunks, before, after, MODEL)
 
 
 # chunks and snippets
@@ -310,9 +312,55 @@ def chunk_hashes(spark, d):
     return chunking.chunk_table(headed(spark, d), 1 << 30).select("doc_id", "ordinal", "content_hash")
 
 
-@query()
+# of every 64 lines the first, a third and two thirds are headings of levels 1 to 3, one is a heading in a fence, the others are paragraphs
+HEADS, FENCED = ((0, 1), (22, 2), (43, 3)), 30
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as Markdown with nested headings, fenced code and blank lines between paragraphs."""
+
+    def line(x, i):
+        out = F.when(i % 64 == FENCED, F.concat(F.lit("```\n# "), x, F.lit("\n```")))
+        for at, level in HEADS:
+            out = out.when(i % 64 == at, F.concat(F.lit("#" * level + " "), x))
+        return out.otherwise(F.concat(F.lit("\n"), x, F.lit("\n")))
+
+    return _table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("body"))
+
+
+def _nested_sql(cap: int) -> str:
+    """ch: the chunks of those texts; a recursive query packs the paragraphs of a section one after another."""
+    level = " ".join(f"when i % 64 = {at} then {n}" for at, n in HEADS)
+    last = lambda n: f"max(case when l = {n} then s end) over (partition by doc_id order by s rows unbounded preceding)"
+    return rf"""ln as (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from documents),
+  lv as (select *, case {level} end l from ln), hd as (select *, count(l) over (partition by doc_id order by i) s from lv),
+  sec as (select doc_id, s, max(l) l, regexp_replace(regexp_replace(max(case when l is not null then x end), '^\s+', ''), '\s*#*\s*$', '') title,
+    regexp_replace(coalesce(string_agg(case when l is null then case when i % 64 = {FENCED} then '```' || chr(10) || '# ' || x || chr(10) || '```' else chr(10) || x || chr(10) end end, chr(10) order by i), ''), '^\s+|\s+$', '', 'g') body from hd group by all),
+  up as (select *, {last(1)} s1, {last(2)} s2 from sec),
+  path as (select u.doc_id, u.s, u.body, case u.l when 1 then u.title when 2 then a.title || ' > ' || u.title else a.title || ' > ' || b.title || ' > ' || u.title end heading
+    from up u left join sec a on a.doc_id = u.doc_id and a.s = u.s1 left join sec b on b.doc_id = u.doc_id and b.s = u.s2 where u.body <> ''),
+  pre as (select *, case when heading = '' then '' else heading || chr(10) || chr(10) end prefix from path),
+  pc as (select *, greatest(1, {cap} - length(prefix)) budget, list_filter(list_transform(regexp_split_to_array(body, '
+\s*
+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') ps from pre),
+  pieces as (select *, flatten(list_transform(ps, lambda p: case when length(p) <= budget then [p] else list_transform(range(0, length(p), budget), lambda a: substr(p, a + 1, budget)) end)) p from pc where length(prefix || body) > {cap}),
+  pack as (select doc_id, s, prefix, p, budget, 1 k, p[1] now, []::varchar[] done from pieces union all
+    select doc_id, s, prefix, p, budget, k + 1, case when length(now) + 2 + length(p[k + 1]) <= budget then now || chr(10) || chr(10) || p[k + 1] else p[k + 1] end,
+      case when length(now) + 2 + length(p[k + 1]) <= budget then done else list_append(done, now) end from pack where k < len(p)),
+  cut as (select doc_id, s, heading, [prefix || body] t from pc where length(prefix || body) <= {cap} union all
+    select pack.doc_id, pack.s, heading, list_transform(list_append(done, now), lambda x: pack.prefix || x) from pack join pre using (doc_id, s) where k = len(p)),
+  one as (select doc_id, s, heading, unnest(t) text, generate_subscripts(t, 1) j from cut),
+  ch as (select doc_id, (row_number() over (partition by doc_id order by s, j) - 1)::int ordinal, heading, text from one)"""
+
+
+@query(f"with recursive {_nested_sql(chunking.CAP)} select doc_id, ordinal, heading, length(text)::int n_chars, sha256(text) content_hash from ch")
 def chunk_packed(spark, d):
-    return chunking.chunk_table(headed(spark, d)).select("doc_id", "ordinal", "heading", F.char_length("text").alias("n_chars"), "content_hash")
+    return chunking.chunk_table(nested(spark, d)).select("doc_id", "ordinal", "heading", F.char_length("text").alias("n_chars"), "content_hash")
+
+
+@query(f"with recursive {_nested_sql(1 << 30)} select doc_id, ordinal, heading, sha256(text) content_hash from ch")
+def chunk_nested(spark, d):
+    return chunking.chunk_table(nested(spark, d), 1 << 30).select("doc_id", "ordinal", "heading", "content_hash")
 
 
 @query(f"with {SECTIONS} select doc_id, ordinal, heading, text from ch where doc_id = 5")
@@ -325,26 +373,34 @@ def show_document(spark, d):
     return corpus(spark, d).where("doc_id = 5").withColumn("tags", text.tag_text(F.col("tags")))
 
 
-@query(
-    f"with {bm25_sql(WORDS.split())}, {SECTIONS}"
-    + r""", top as (select *, row_number() over (order by list_contains(tags, 'draft'), bm25 desc, doc_id) rank from (select * from scored order by bm25 desc, doc_id limit 3)),
+def _ask_sql(ch: str) -> str:
+    """answer: the three best documents with their snippets."""
+    return (
+        f"{bm25_sql(WORDS.split())}, {ch}"
+        + r""", top as (select *, row_number() over (order by list_contains(tags, 'draft'), bm25 desc, doc_id) rank from (select * from scored order by bm25 desc, doc_id limit 3)),
   best as (select doc_id, arg_max(struct_pack(h := heading, t := text), [contains(lower(text), 'tion')::int + contains(lower(text), 'shed')::int, -ordinal]) c from ch where doc_id in (select doc_id from top) group by 1),
   line as (select doc_id, c.h h, regexp_replace(regexp_replace(case when c.h <> '' and starts_with(c.t, c.h) then substr(c.t, length(c.h) + 1) else c.t end, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') l from best),
-  cut as (select *, case when length(l) <= 220 then 0 else greatest(0, coalesce(least(nullif(strpos(lower(l), 'tion'), 0), nullif(strpos(lower(l), 'shed'), 0)) - 41, 0)) end a from line)
-  select rank::int rank, doc_id, path, case when h = '' then '' else h || ' — ' end || case when a > 0 then '... ' else '' end || substr(l, a + 1, 220) || case when a + 220 < length(l) then ' ...' else '' end snippet from top join cut using (doc_id)
-  union all select rank::int, doc_id, path, case when b > 0 then ' ... ' else '' end || substr(l, b + 1, 20) || case when b + 20 < length(l) then ' ... ' else '' end
+  shown as (select *, case when length(l) <= 220 then 0 else greatest(0, coalesce(least(nullif(strpos(lower(l), 'tion'), 0), nullif(strpos(lower(l), 'shed'), 0)) - 41, 0)) end a from line),
+  answer as (select rank::int rank, doc_id, path, title, case when h = '' then '' else h || ' — ' end || case when a > 0 then '... ' else '' end || substr(l, a + 1, 220) || case when a + 220 < length(l) then ' ...' else '' end snippet from top join shown using (doc_id)
+  union all select rank::int, doc_id, path, title, case when b > 0 then ' ... ' else '' end || substr(l, b + 1, 20) || case when b + 20 < length(l) then ' ... ' else '' end
     from (select *, greatest(0, coalesce(least(nullif(strpos(lower(l), 'tion'), 0), nullif(strpos(lower(l), 'shed'), 0)) - 1, 0) - 6) b
-      from (select *, regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') l from top where doc_id not in (select doc_id from cut)))"""
-)
+      from (select *, regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') l from top where doc_id not in (select doc_id from shown))))"""
+    )
+
+
+def _chunks_of(texts: DataFrame, cap: int = chunking.CAP) -> Callable[[DataFrame], DataFrame]:
+    """Chunks of some documents: only these are cut."""
+    return lambda ids: chunking.chunk_table(texts.join(F.broadcast(ids), "doc_id", "left_semi"), cap)
+
+
+@query(f"with {_ask_sql(SECTIONS)} select rank, doc_id, path, snippet from answer")
 def ask_context(spark, d):
-    chunks = chunking.chunk_table(headed(spark, d), 1 << 30)
-    return search(corpus(spark, d), WORDS, limit=3, chunks=chunks).select("rank", "doc_id", "path", "snippet")
+    return search(corpus(spark, d), WORDS, limit=3, chunks=_chunks_of(headed(spark, d), 1 << 30)).select("rank", "doc_id", "path", "snippet")
 
 
-@query()
+@query(f"with recursive {_ask_sql(_nested_sql(chunking.CAP))} select '{console.HEADER}:' || chr(10) || string_agg('[' || doc_id || '] ' || title || chr(10) || snippet, chr(10) || chr(10) order by rank) context from answer")
 def context_block(spark, d):
-    chunks = chunking.chunk_table(headed(spark, d))
-    return console.context_block(search(corpus(spark, d), WORDS, limit=3, chunks=chunks))
+    return console.context_block(search(corpus(spark, d), WORDS, limit=3, chunks=_chunks_of(nested(spark, d))))
 
 
 # links
@@ -375,9 +431,9 @@ def link_unresolved(spark, d):
     return links.unresolved(edge_rows(spark, d)).select("target", F.col("first.source_id").alias("source_id"))
 
 
-@query(f"with {LINKS} select doc_id from corpus where doc_id not in (select source_id from edge where dst_id <> source_id union select dst_id from edge where dst_id <> source_id)")
+@query(f"with {LINKS}, few as (select * from edge where source_id % 3 = 0 and dst_id <> source_id) select doc_id from corpus where doc_id not in (select source_id from few union select dst_id from few)")
 def orphan_documents(spark, d):
-    return links.orphans(corpus(spark, d), edge_rows(spark, d)).select("doc_id")
+    return links.orphans(corpus(spark, d), edge_rows(spark, d).where("source_id % 3 = 0")).select("doc_id")  # a vault in which few notes have links
 
 
 @query("select page_id, list_distinct(regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)).len() n_links from pages")
@@ -508,10 +564,10 @@ def reindex_upsert(spark, d):
     return store.upserted(docs.where("doc_id % 3 <> 0"), incoming).select("doc_id", "path", "title")
 
 
-@query(f"with {CORPUS} select doc_id, path from corpus where starts_with(path, '{ROOT}/src1/') and doc_id % 2 = 0")
+@query(f"with {CORPUS} select doc_id, path from corpus where starts_with(path, '{ROOT}/src1/') and doc_id % 3 = 0")
 def reindex_stale(spark, d):
     docs = corpus(spark, d)
-    return store.stale(docs, docs.where("doc_id % 2 <> 0"), f"{ROOT}/src1").select("doc_id", "path")
+    return store.stale(docs, docs.where("doc_id % 3 <> 0"), f"{ROOT}/src1").select("doc_id", "path")
 
 
 @query("select doc_id, case when doc_id % 9 = 0 then 'not UTF-8' end reason from documents")
@@ -575,24 +631,24 @@ def vault_owned_state(spark, d):
 
 @query(
     f"""with {LINKS}, ins as (select *, starts_with(path, '{ROOT}/src1/') inside from corpus), e as (select * from edge where dst_id <> source_id)
-  select (select count(*) from ins where inside and doc_id % 2 = 0) markdown_files, count(*) indexed_documents, count(*) filter (not inside) external_documents, (select count(*) from e) resolved_edges,
+  select (select count(*) from ins where inside and doc_id % 3 = 0) markdown_files, count(*) indexed_documents, count(*) filter (not inside) external_documents, (select count(*) from e) resolved_edges,
     count(*) filter (inside and doc_id not in (select source_id from e union select dst_id from e)) orphans, (select count(distinct target) from edge where dst_id is null) unresolved_targets from ins"""
 )
 def vault_audit(spark, d):
     docs = corpus(spark, d)
-    physical = docs.where(text.under(F.col("path"), f"{ROOT}/src1") & (F.col("doc_id") % 2 == 0))
+    physical = docs.where(text.under(F.col("path"), f"{ROOT}/src1") & (F.col("doc_id") % 3 == 0))
     return vault.audit(docs, edge_rows(spark, d), physical, f"{ROOT}/src1")
 
 
 @query(
     f"""with {LINKS}, ins as (select *, starts_with(path, '{ROOT}/src1/') inside from corpus), e as (select * from edge where dst_id <> source_id),
-  w as (select unnest(['external', 'not_indexed', 'missing_on_disk', 'orphans', 'unresolved']) kind, unnest([count(*) filter (not inside), count(*) filter (inside and doc_id % 2 = 0) - count(*) filter (inside), count(*) filter (inside and doc_id % 2 <> 0),
+  w as (select unnest(['external', 'not_indexed', 'missing_on_disk', 'orphans', 'unresolved']) kind, unnest([count(*) filter (not inside), count(*) filter (inside and doc_id % 3 = 0) - count(*) filter (inside), count(*) filter (inside and doc_id % 3 <> 0),
     count(*) filter (inside and doc_id not in (select source_id from e union select dst_id from e)), (select count(distinct target) from edge where dst_id is null)]) number from ins)
   select * from w where number > 0"""
 )
 def vault_warnings(spark, d):
     docs = corpus(spark, d)
-    physical = docs.where(text.under(F.col("path"), f"{ROOT}/src1") & (F.col("doc_id") % 2 == 0))
+    physical = docs.where(text.under(F.col("path"), f"{ROOT}/src1") & (F.col("doc_id") % 3 == 0))
     root = f"{ROOT}/src1"
     return vault.warnings(vault.audit(docs, edge_rows(spark, d), physical, root), store.missing_on_disk(docs, physical, root))
 

@@ -39,17 +39,22 @@ def home(given: Path | None = None) -> Path:
 
 
 def warehouse(given: str | None = None, start: Path | None = None) -> str:
-    """Where the tables are. A project in isolated mode keeps its own; else: given, environment, project's setting, home."""
-    if given:
-        return given
+    """Where the tables are: given, else the environment's, an isolated project's own, the home file's, or the home folder's.
+
+    Only a project in isolated mode has a warehouse of its own, and has to name it.
+    """
+    if place := given or os.environ.get(ENV + "WAREHOUSE"):
+        return place
     found = nearest(start or Path.cwd())
     values = read(found) if found else {}
-    own = text(values, "warehouse")
-    if found and values.get("mode") == "isolated":
-        return str((found.parent / (own or "warehouse")).resolve())
-    if env := os.environ.get(ENV + "WAREHOUSE"):
-        return env
-    return str((found.parent / own).resolve()) if found and own else str(home() / "warehouse")
+    if values.get("mode") == "isolated":
+        own = text(values, "warehouse")
+        if not own:
+            raise ConfigReadError(f"{found}: an isolated project has to name its warehouse")
+        return str((found.parent / Path(own).expanduser()).resolve())
+    file = home() / FILE
+    own = text(read(file), "warehouse") if file.is_file() else None
+    return str((file.parent / Path(own).expanduser()).resolve()) if own else str(home() / "warehouse")
 
 
 def project(start: Path | None = None) -> str | None:

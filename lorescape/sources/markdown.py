@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,24 +29,59 @@ def included(relative):
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative, mtime, content) of the Markdown files below a root; hidden and vendored folders are left out.
 
-    Spark lists the folders. A symbolic link is listed under its own name, so one that leads out of the root is left out where
-    the driver can tell (a local root).
+    A local root is made canonical first (~, .. and links), so that a file has one path however the root is spelled. Spark lists
+    the folders, but for files and folders whose names begin with "_", which it hides: these are listed by the driver and read on
+    the executors. A symbolic link is listed under its own name, so one that leads out of the root is left out where the
+    driver can tell (a local root).
     """
-    base = root.rstrip("/")
+    base = canonical(root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
     path = plain_path(F.col("path"))
     prefix = base.removeprefix("file://")
     relative = F.substring(path, len(prefix) + 2, 1 << 30)
     rows = rows.select(path.alias("path"), relative.alias("relative"), F.col("modificationTime").cast("double").alias("mtime"), "content")
     outside = links_out(prefix)
-    rows = rows.where(included(F.col("relative")))
+    rows = rows.unionByName(underscored(spark, base)).where(included(F.col("relative")))
     return rows.where(~F.col("path").isin(outside)) if outside else rows
 
 
+def canonical(root: str) -> str:
+    """A root without a slash at its end; a local one without ~, .. and symbolic links."""
+    local = root.removeprefix("file://") if root.startswith("file://") else root
+    if "://" in local:
+        return root.rstrip("/")
+    return root[: len(root) - len(local)] + os.path.realpath(os.path.expanduser(local))
+
+
+def underscored(spark: SparkSession, base: str) -> DataFrame:
+    """(path, relative, mtime, content) of the Markdown files with a part of their path that begins with "_"."""
+    from pyarrow import fs
+
+    system, top = fs.FileSystem.from_uri(base)
+    names = []
+    if isinstance(system, fs.LocalFileSystem):
+        for folder, _, files in os.walk(top):
+            paths = (os.path.join(folder, f) for f in files if f.endswith(".md"))
+            names += [(p, p[len(top) + 1 :], os.path.getmtime(p)) for p in paths if os.path.exists(p)]
+    else:
+        found = system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+        names = [(f.path, f.path[len(top) + 1 :], f.mtime_ns / 1e9) for f in found if f.is_file and f.path.endswith(".md")]
+    hidden = [(base + "/" + relative, relative, mtime) for _, relative, mtime in names if any(part.startswith("_") for part in relative.split("/"))]
+    listed = spark.createDataFrame(hidden, "path string, relative string, mtime double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, path in enumerate(b.column("path").to_pylist()):
+                files, where = fs.FileSystem.from_uri(path)
+                with files.open_input_stream(where) as f:
+                    yield b.slice(i, 1).append_column("content", pa.array([f.read()], pa.binary()))
+
+    read = listed.mapInArrow(run, "path string, relative string, mtime double, content binary")
+    return read.withColumn("path", plain_path(F.col("path")))
+
+
 def links_out(root: str) -> list[str]:
     """Symbolic links below a local root that lead out of it."""
-    import os
-
     real, out = os.path.realpath(root), []
     for folder, folders, names in os.walk(root) if os.path.isdir(root) else ():
         for name in [*folders, *names]:

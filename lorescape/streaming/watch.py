@@ -32,10 +32,10 @@ class Watcher:
     def poll(self) -> bool:
         now = self._listing()
         changes = snapshot_diff(self.last, now)
-        self.last = now
         if changes.isEmpty():
             return False
         self.on_change(changes)
+        self.last = now  # only then: a change whose handling failed is seen again
         return True
 
     def start(self, interval: str = INTERVAL) -> StreamingQuery:

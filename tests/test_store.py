@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import shutil
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorescape.engine import Engine
-from lorescape.errors import ColumnTypeError, ConfigReadError, DocumentNotFoundError, EmbeddingBackendError, VaultError
+from lorescape.errors import ColumnTypeError, ConfigReadError, DocumentNotFoundError, EmbeddingBackendError, VaultError, WarehouseError
 from lorescape.operators import links, semantic, sessions, store, usage, vault
 from lorescape.schemas import checked
 from lorescape.sources import config, console, embedding, json_files, markdown
@@ -77,7 +78,7 @@ def test_vectors_are_kept_by_hash(spark):
     chunks = spark.createDataFrame([(1, 0, "", "a", "ha"), (2, 0, "", "a", "ha"), (3, 0, "", "b", "hb")], "doc_id long, ordinal int, heading string, text string, content_hash string")
     vectors = spark.createDataFrame([("ha", "m", 1, [1.0]), ("old", "m", 1, [1.0]), ("hb", "n", 1, [1.0])], "content_hash string, model string, dimension int, vector array<float>")
     assert [r["content_hash"] for r in semantic.pending(chunks, vectors, "m").collect()] == ["hb"]
-    fresh = semantic.embedded(semantic.pending(chunks, vectors, "m"), embedding.HashProvider(4), "m")
+    fresh = semantic.succeeded(semantic.embedded(semantic.pending(chunks, vectors, "m"), embedding.HashProvider(4), "m"))
     after = semantic.stored(vectors, fresh)
     assert semantic.accounting(chunks, vectors, after, "m").first().asDict() == {"embedded": 1, "reused": 1, "failed": 0}
     assert {r["content_hash"] for r in semantic.pruned(after, chunks).collect()} == {"ha", "hb"}
@@ -88,7 +89,31 @@ def test_vectors_are_kept_by_hash(spark):
         def embed(self, texts):
             raise EmbeddingBackendError("down")
 
-    assert semantic.embedded(semantic.pending(chunks, vectors, "m"), Broken(), "m").count() == 0
+    outcome = semantic.embedded(semantic.pending(chunks, vectors, "m"), Broken(), "m")
+    assert semantic.succeeded(outcome).count() == 0 and semantic.reason(outcome).first()["reason"] == "down"
+
+
+class Shaky:
+    """Fails for batches with certain texts, in two ways."""
+
+    def embed(self, texts):
+        if "text 64" in texts:
+            raise ConnectionResetError("reset")
+        if "text 128" in texts:
+            raise EmbeddingBackendError("refused")
+        return [[1.0]] * len(texts)
+
+
+def test_batches_behind_a_failed_one_are_embedded(spark, tmp_path):
+    rows = spark.createDataFrame([(f"h{i}", f"text {i}") for i in range(300)], "content_hash string, text string").coalesce(1)
+    outcome = semantic.embedded(rows, Shaky(), "m")
+    good = {r["content_hash"] for r in semantic.succeeded(outcome).collect()}
+    assert good == {f"h{i}" for i in range(300) if not 64 <= i < 192}
+    assert semantic.reason(outcome).first()["reason"] == "refused"
+    e = Engine(spark, str(tmp_path / "w"), Shaky(), "m")
+    e.add(spark.createDataFrame([("/a.md", "a", [], "text 64"), ("/b.md", "b", [], "other")], "path string, title string, tags array<string>, body string").coalesce(1))
+    report = e.embed().first()
+    assert report["failed"] + report["embedded"] == 2 and (report["reason"] == "reset") == (report["failed"] > 0)
 
 
 def test_schemas_are_checked(spark):
@@ -221,14 +246,23 @@ def test_settings(tmp_path, monkeypatch):
     project = tmp_path / "p" / ".lorescape"
     project.mkdir(parents=True)
     file = project / "config.toml"
-    file.write_text('warehouse = "w"\nproject = "mine"\n[embedding]\nmodel = "m"\ndimension = 8\n')
+    file.write_text('mode = "isolated"\nwarehouse = "w"\nproject = "mine"\n[embedding]\nmodel = "m"\ndimension = 8\n')
     inside = tmp_path / "p" / "deep"
     inside.mkdir()
     assert config.warehouse(start=inside) == str(project / "w") and config.project(inside) == "project:mine"
     monkeypatch.setenv("LORESCAPE_WAREHOUSE", "/env")
     assert config.warehouse(start=inside) == "/env" and config.warehouse("/given", inside) == "/given"
-    file.write_text(file.read_text().replace('warehouse = "w"', 'mode = "isolated"'))
-    assert config.warehouse(start=inside) == str(project / "warehouse")
+    monkeypatch.delenv("LORESCAPE_WAREHOUSE")
+    file.write_text(file.read_text().replace('warehouse = "w"\n', ""))
+    with pytest.raises(ConfigReadError, match="warehouse"):
+        config.warehouse(start=inside)  # an isolated project without one
+    file.write_text('warehouse = "w"\n' + file.read_text().replace("isolated", "global"))
+    home = tmp_path / "home"
+    assert config.warehouse(start=inside) == str(home / "warehouse")  # a global project has none of its own
+    home.mkdir()
+    (home / "config.toml").write_text('warehouse = "shared"\n')
+    assert config.warehouse(start=inside) == str(home / "shared") == config.warehouse(start=tmp_path)
+    (home / "config.toml").unlink()
     monkeypatch.setenv("LORESCAPE_EMBED_ENDPOINT", "http://example.org/v1")
     s = config.embedding(inside)
     assert (s.model, s.dimension, s.is_blocked) == ("m", 8, True) and embedding.loaded(s) is None
@@ -344,6 +378,80 @@ def test_watch(spark, notes):
     assert w.poll() and sorted(changes) == [("b.md", "deleted"), ("new.md", "added")]
     assert not w.poll()
 
+    def fail(_):
+        raise RuntimeError("busy")
+
+    w.on_change = fail
+    (notes / "newer.md").write_text("n")
+    with pytest.raises(RuntimeError):
+        w.poll()
+    changes.clear()
+    w.on_change = lambda df: changes.extend(r["change"] for r in df.collect())
+    assert w.poll() and changes == ["added"]  # the change is seen again
+
+
+def test_names_that_spark_hides_are_found(spark, tmp_path):
+    root = tmp_path / "r"
+    for name in ("a.md", "_b.md", "_drafts/c.md", "d/_e.md", ".hidden/_f.md", "node_modules/_g.md", "_x.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"# {name}")
+    found = {r["relative"]: (r["path"], bytes(r["content"])) for r in markdown.files(spark, str(root)).collect()}
+    assert found == {n: (str(root / n), f"# {n}".encode()) for n in ("a.md", "_b.md", "_drafts/c.md", "d/_e.md")}
+    e = Engine(spark, str(tmp_path / "w"))
+    spelled = f"{root}/d/../../r"
+    (tmp_path / "link").symlink_to(root)
+    assert [e.reindex(x).first().asDict() for x in (str(root), spelled, f"{tmp_path}/link")] == [{"indexed": 4, "deleted": 0, "failed": 0}] * 3
+    assert e.table("documents").count() == 4
+    (root / "_b.md").unlink()
+    assert e.reindex(str(root)).first()["deleted"] == 1
+
+
+def test_a_change_of_tables_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "w"))
+    row = lambda body: spark.createDataFrame([("/a.md", "a", ["t"], body)], "path string, title string, tags array<string>, body string")
+    e.add(row("first [[b]]"))
+    state = lambda: (e.table("documents").first()["body"], [r["target"] for r in e.table("links").collect()], e.table("chunks").first()["text"])
+    before = state()
+
+    class Stop(Exception):
+        pass
+
+    real = type(row("").write).parquet
+
+    def killed(self, path, *a, **b):
+        if "/links/" in path:
+            raise Stop
+        return real(self, path, *a, **b)
+
+    monkeypatch.setattr(type(row("").write), "parquet", killed)
+    with pytest.raises(Stop):
+        e.add(row("second [[c]]"))
+    monkeypatch.undo()
+    assert state() == before == ("first [[b]]", ["b"], "first [[b]]")
+    e.add(row("second [[c]]"))
+    assert state() == ("second [[c]]", ["c"], "second [[c]]")
+    e.vacuum()
+    assert state() == ("second [[c]]", ["c"], "second [[c]]")
+    number, names = e._manifest()
+    with pytest.raises(WarehouseError):  # another writer was faster
+        e._name(number, names)
+    shutil.rmtree(tmp_path / "w" / "manifests")
+    with pytest.raises(WarehouseError):  # a lost manifest isn't an empty index
+        e.table("documents")
+
+
+def test_repeated_paths_and_lines(spark, tmp_path):
+    new = spark.createDataFrame([("/a.md", t, [], b) for t, b in (("x", "1"), ("y", "0"), ("y", "2"))], "path string, title string, tags array<string>, body string")
+    none = spark.createDataFrame([], "doc_id long, path string, title string, tags array<string>, body string")
+    assert [(r["title"], r["body"]) for r in store.upserted(none, new).collect()] == [("y", "2")]
+    e = Engine(spark, str(tmp_path / "w"))
+    e.add(spark.createDataFrame([("/a.md", "A", [], "[[b]] [[c]]"), ("/b.md", "B", [], "[[a]]"), ("/c.md", "C", [], "")], "path string, title string, tags array<string>, body string"))
+    found = console.link_lines(e.outgoing(1), e.backlinks(1), e.table("documents")).orderBy("kind", "place").collect()
+    assert [r["line"] for r in found] == ["<- [2] B (/b.md)", "-> [2] B (/b.md)", "-> [3] C (/c.md)"]
+    e.record([3, 3], datetime(2026, 1, 2, 3, 4))
+    shown = console.usage_split_lines(usage.split_lists(e.usage_report(), 20)).orderBy("kind", "place").collect()
+    assert [(r["kind"], r["line"]) for r in shown] == [("never", "[1] A"), ("never", "[2] B"), ("retrieved", "2 x [3] C, 2026-01-02 03:04")]
+
 
 def test_reports(spark):
     table = docs(spark, (1, "/a", ""), (2, "/b", ""), (3, "/c", ""))
