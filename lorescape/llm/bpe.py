@@ -3,6 +3,10 @@
 A word's symbols form a doubly linked list; a heap holds the ranks of mergeable neighbours. The lowest rank is merged
 first, and entries whose neighbours have changed meanwhile are skipped as stale. Decoding concatenates vocabulary strings.
 
+Which code points are letters, numbers and capitals depends on the version of Unicode, and the tokenizers library, Python and the regex
+module each have their own. Only for code points that Python doesn't know yet the library is asked, once a process, what they are;
+normalizing, splitting, merging and decoding are done here.
+
 Defined cases: a null or empty text has no ids and decodes to the empty string. Words have no length limit: one of n
 letters costs n log n. Repeated rows are encoded each by itself, an empty table gives an empty table, and only the two
 named columns of the input are read, so other columns can have any name.
@@ -14,6 +18,7 @@ import hashlib
 import heapq
 import json
 import struct
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -47,6 +52,39 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+def ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def unicode_differences() -> tuple[dict[str, str], dict[str, str]]:
+    """Where the library has other Unicode data than Python's and regex's: by class what regex wrongly puts in, and lower-case letters.
+
+    Only code points without a name in Python can differ; of those the library is asked about the ones that regex calls letters
+    or numbers.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    wrong = {}
+    for kind in (r"\p{L}", r"\p{N}"):
+        asked = regex.findall(kind, unknown)
+        split = pre_tokenizers.Split(Regex(kind), "removed")
+        left = "".join(part for part, _ in split.pre_tokenize_str("".join("!" + c for c in asked)))
+        if rest := sorted(ord(c) for c in left if c != "!"):
+            wrong[kind] = ranges(rest)
+    lower = normalizers.Lowercase()
+    found = {c: lower.normalize_str(c) for c in regex.findall(r"\p{Lu}", unknown)}
+    return wrong, {c: x for c, x in found.items() if x != c.lower()}
+
+
 class Remembered:
     """The ids of words seen lately: two generations of at most CACHE_WORDS, so frequent words stay and memory is bounded."""
 
@@ -82,7 +120,12 @@ class WordBpe:
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        wrong, self.lower = unicode_differences()
+        for kind, points in wrong.items():
+            pattern = pattern.replace(kind, f"[{kind}--[{points}]]")
+        self.other_pieces = regex.compile(pattern, regex.V1)
         self.letters = byte_letters()
         strings = {i: s for s, i in {**self.ids, **self.special}.items()}
         self.strings = np.array([strings.get(i, "").encode() for i in range(max(strings) + 1)], dtype=object)
@@ -125,8 +168,11 @@ class WordBpe:
         """The ids of a stretch without white space, packed likewise."""
         found = self.known.get(word)
         if found is None:
-            lower = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))  # letter by letter: no final sigma
-            found = b"".join([self.piece(p) for p in self.pieces.findall(lower)])
+            if word.isascii():
+                pieces = self.pieces.findall(word.lower())
+            else:  # letter by letter: no final sigma
+                pieces = self.other_pieces.findall("".join(self.lower.get(c) or c.lower() for c in unicodedata.normalize("NFC", word)))
+            found = b"".join([self.piece(p) for p in pieces])
             self.known.put(word, found)
         return found
 
