@@ -10,15 +10,17 @@ record and its digests. After a failed check it searches for the next member or
 reports the bytes between as a gap with the reason. What a member inflates to is searched in the same way while it is
 inflated, so a damaged record costs itself alone, and an error of the member what lies behind the last record before it. Two
 records are never taken from a member with an error, since nothing else vouches for them: its only one, and a last one without a
-block digest. It holds two records and some chunks in memory at a time; a record that claims more than RECORD_BYTES is treated as
-damaged, since its length can't be trusted.
+block digest. It holds two records and some chunks in memory at a time; a record that claims more than RECORD_BYTES, more than a
+row of any table can hold, is treated as damaged, since its length can't be trusted. round_trip() compares the number of records read
+with that of the manifest and fails if they differ.
 
 Places count bytes of the file. Records of a member start where it does, and stop where it does or at a place before that;
 a gap within a member gives the inflated bytes in its reason.
 
 Defined cases: null and empty HTML have an empty payload, and all of these equal each other; rows that repeat the smallest
 page_id of their payload are all responses; an empty table gives no archive and an empty result; an archive without any valid
-record is one gap; other columns aren't read, and a null url is written as an empty one.
+record is one gap; other columns aren't read, and a null url is written as an empty one; a row without a page_id has a record
+whose id is empty, which is read as null, and never is what others refer to.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorescape.llm.shared import new_path, saved, slices
+from lorescape.llm.shared import drop_path, new_path, saved, slices
 
 ARCHIVE_BYTES = 32 << 20
-RECORD_BYTES = 1 << 30
+#: No row of a table can hold more bytes, so no record of one is longer, but for its headers.
+RECORD_BYTES = (1 << 31) + (1 << 20)
 CHUNK = 1 << 18
 PIECE = 1 << 14
 FIRST_LINE = 32
@@ -58,8 +61,8 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _named(page_id: int) -> str:
-    return f"<urn:lorescape:page:{page_id}>"
+def _named(page_id: int | None) -> str:
+    return f"<urn:lorescape:page:{'' if page_id is None else page_id}>"
 
 
 def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -335,10 +338,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     # equal digests: payloads themselves are never shuffled for this
     keyed = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     groups = keyed.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = saved(groups.where("n > 1").select("digest", "first"), "warc-firsts")
+    firsts = saved(groups.where("n > 1 and first is not null").select("digest", "first"), "warc-firsts")
     firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     joined = keyed.join(firsts, "digest", "left")
-    refers = F.when((F.col("size") >= least_bytes) & (F.col("first") != F.col("page_id")), F.col("first"))
+    refers = F.when((F.col("size") >= least_bytes) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     rows = joined.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), refers.cast("long").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,8 +419,17 @@ def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Writes pages to archives in the shared folder and reads them back: the records, and the log of gaps."""
-    manifest = write_archives(pages, new_path(spark, "warc"), least_bytes)
-    n = manifest.count()
-    rows = read_archives(manifest.repartition(max(1, n), "path"))  # an archive a task, however small the manifest's file is
+    """Writes pages to archives in the shared folder and reads them back: the records, and the log of gaps.
+
+    An error is raised if any record that was written isn't read.
+    """
+    folder = new_path(spark, "warc")
+    manifest = write_archives(pages, folder, least_bytes)
+    n, written = manifest.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0))).first()
+    # an archive a task, however small the manifest's file is; what is read is a few numbers for each record
+    rows = saved(read_archives(manifest.repartition(max(1, n), "path")).drop("url", "payload"), "warc-read")
+    read = rows.where("problem is null").count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written to {folder} and {read} read")
+    drop_path(spark, folder)
     return rows.where("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), rows.where("problem is not null").select("path", "start", "stop", "problem")

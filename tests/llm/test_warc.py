@@ -137,3 +137,16 @@ def test_rotation(spark, monkeypatch):
     assert manifest.agg({"records": "sum"}).first()[0] == 40
     assert warc.read_archives(manifest).where("problem is null").count() == 40
     assert zlib is not None
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "u", "same"), (4, "u", "same"), (None, "u", "other"), (None, "u", "other"), (6, "u", "same")]
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.round_trip(spark, spark.createDataFrame(rows, PAGES))[0].collect())
+    assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 4), (4, "response", 0), (6, "revisit", 4)]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    real = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda paths: real(paths).where("page_id <> 2"))
+    with pytest.raises(RuntimeError, match="3 records were written .* 2 read"):
+        warc.round_trip(spark, spark.createDataFrame([(i, "u", f"{i}") for i in range(3)], PAGES))
