@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lorescape.errors import DocumentNotFoundError, WarehouseError
 from lorescape.functions.text import distinct_tokens
-from lorescape.operators import lexical, links, semantic, store, usage
+from lorescape.operators import lexical, links, postings, semantic, store, usage
 from lorescape.operators.durable import durable
 from lorescape.plans.search import search as search_plan
 from lorescape.schemas import schema
@@ -25,7 +25,7 @@ from lorescape.sources import markdown
 from lorescape.sources.embedding import Provider
 
 MANIFEST = "manifests"
-TABLES = ("documents", "links", "chunks", "embeddings", "usage")
+TABLES = ("documents", "links", "chunks", "postings", "lengths", "embeddings", "usage")
 
 
 class Engine:
@@ -113,6 +113,10 @@ class Engine:
         for name, (fresh, key) in tables.items():
             kept = self.table(name) if gone is None else store.without(self.table(name), gone, key)
             out[name] = store.replaced(kept, fresh, changed, key)
+        fresh = postings.pairs(changed)
+        kept = self.table("postings") if gone is None else store.without(self.table("postings"), gone)
+        out["postings"] = postings.in_order(store.replaced(kept, fresh, changed))
+        out["lengths"] = postings.lengths(new)
         if gone is not None:
             out["usage"] = usage.without_orphans(self.table("usage"), new)
         self._put(**out)
@@ -167,7 +171,10 @@ class Engine:
     def search(self, query: str, limit: int = 5, min_score: float = 0.0, usage_weight: float = 0.0, tags: Sequence[str] = (), project: str | None = None) -> DataFrame:
         if not 1 <= limit <= 20:
             raise ValueError("limit should be from 1 to 20")
-        return search_plan(self.table("documents"), query, limit, min_score, usage_weight, tags, project, self.table("usage"), self.hits(query) if distinct_tokens(query) else None, self.table("chunks"))
+        documents = self.table("documents")
+        hits = self.hits(query) if distinct_tokens(query) else None
+        known, candidates = postings.found(documents, self.table("postings"), self.table("lengths"), query) or (None, None)
+        return search_plan(documents, query, limit, min_score, usage_weight, tags, project, self.table("usage"), hits, self.table("chunks"), known, candidates)
 
     def ask_context(self, query: str, limit: int = 3, usage_weight: float = 0.3, now: datetime | None = None, **scope) -> DataFrame:
         """A search whose results are recorded as retrieved."""

@@ -18,11 +18,19 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("(?s)(?=(.{3}))"), 1))  # one pass over the text
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(gram, doc_id), each pair once, sorted by gram within ranges: ready to be written."""
+def pairs(corpus: DataFrame) -> DataFrame:
+    """(gram, doc_id), each pair once."""
     parts = [grams(c) for c in (F.col("title"), F.col("body"), F.array_join("tags", ", "))]
-    rows = corpus.select("doc_id", F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
-    return rows.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").select("gram", "doc_id")
+    return corpus.select(F.explode(F.array_distinct(F.concat(*parts))).alias("gram"), "doc_id")
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """The pairs sorted by gram within ranges: ready to be written."""
+    return pairs.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").select("gram", "doc_id")
+
+
+def postings(corpus: DataFrame) -> DataFrame:
+    return in_order(pairs(corpus))
 
 
 def lengths(corpus: DataFrame) -> DataFrame:
@@ -41,16 +49,24 @@ def holding(postings: DataFrame, token: str) -> DataFrame:
     return found.where(F.col("n") == len(wanted)).select("doc_id")
 
 
-def best(corpus: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, limit: int) -> DataFrame:
-    """lexical.best() without a scan of the corpus: candidates by postings, then exact counts and scores on those."""
+def found(corpus: DataFrame, postings: DataFrame, lengths: DataFrame, query: str) -> tuple[lexical.Statistics, DataFrame] | None:
+    """The statistics of a query, exact, and the ids of the documents that may match; None if the query asks for nothing."""
     wanted = lexical.searchable(query)
     if not wanted:
-        return lexical.scored(corpus, wanted).limit(0)
+        return None
     whole, counts = lengths.first(), {}
     candidates = None
     for t in dict.fromkeys(wanted):
         some = holding(postings, t)
         counts[t] = corpus.join(some, "doc_id", "left_semi").agg(F.count_if(lexical.holds(t))).first()[0]
         candidates = some if candidates is None else candidates.join(some, "doc_id", "left_semi")
-    known = lexical.Statistics(whole["documents"], whole["mean_length"] or 0.0, counts)
-    return lexical.scored(corpus.join(candidates, "doc_id", "left_semi"), wanted, known).orderBy(F.desc("bm25"), "doc_id").limit(limit)
+    return lexical.Statistics(whole["documents"] if whole else 0, (whole["mean_length"] if whole else 0.0) or 0.0, counts), candidates
+
+
+def best(corpus: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, limit: int) -> DataFrame:
+    """lexical.best() without a scan of the corpus: candidates by postings, then exact counts and scores on those."""
+    some = found(corpus, postings, lengths, query)
+    if some is None:
+        return lexical.scored(corpus, []).limit(0)
+    known, candidates = some
+    return lexical.scored(corpus.join(candidates, "doc_id", "left_semi"), lexical.searchable(query), known).orderBy(F.desc("bm25"), "doc_id").limit(limit)

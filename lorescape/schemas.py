@@ -11,6 +11,8 @@ DDL = {
     "documents": "doc_id long, path string, title string, tags array<string>, body string",
     "links": "source_id long, ordinal int, target string",
     "chunks": "doc_id long, ordinal int, heading string, text string, content_hash string",
+    "postings": "gram string, doc_id long",
+    "lengths": "documents long, mean_length double",
     "embeddings": "content_hash string, model string, dimension int, vector array<float>",
     "usage": "doc_id long, retrieved_count long, last_retrieved_at timestamp",
     "retrievals": "doc_id long, retrieved_at timestamp",

@@ -485,3 +485,29 @@ def test_vault_import(spark, tmp_path):
     assert actions()["/docs/projects/p/a.md"] == "conflict"
     with pytest.raises(VaultError):
         vault_files.apply(vault_files.plan(spark, str(home), [("p", str(src))]), str(home))
+
+
+def test_postings_are_kept_and_searched(spark, tmp_path):
+    """After each change the engine's results equal those of a scan, and only documents that hold all trigrams are read."""
+    from lorescape.plans.search import search
+
+    e = Engine(spark, str(tmp_path / "w"))
+    columns = "path string, title string, tags array<string>, body string"
+    corpus = [(f"/n/{i}.md", f"note {i}", ["en"], f"reactor {'fuel rod' if i % 3 else 'coolant'} number {i} " * (1 + i % 4)) for i in range(30)]
+
+    def same():
+        for q in ("reactor fuel", "coolant", "zzzz", "of", "note 7"):
+            scan = search(e.table("documents"), q, 5, chunks=e.table("chunks")).collect()
+            assert e.search(q, 5).collect() == scan, q
+        n = e.table("documents").count()
+        assert e.table("lengths").first()["documents"] == n and e.table("postings").select("doc_id").distinct().count() == n
+        assert e.table("postings").count() == e.table("postings").distinct().count()
+
+    e.add(spark.createDataFrame(corpus, columns))
+    same()
+    e.add(spark.createDataFrame([(p, t, g, "new text about coolant" if i % 2 else b) for i, (p, t, g, b) in enumerate(corpus)], columns))
+    same()
+    gone = e.table("documents").where("doc_id % 4 = 0")
+    e._change(spark.createDataFrame([], columns), gone)
+    same()
+    assert e.table("postings").where("gram = 'fue'").count() == e.table("documents").where("contains(body, 'fuel')").count()
