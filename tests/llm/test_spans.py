@@ -90,6 +90,43 @@ def test_iban_of_an_unknown_country_ends_at_a_group():
     assert pii.ibans(iban + " EUR") == [(0, len(iban))]
 
 
+def plain_ibans(text):
+    """Account numbers by trying every start and, from the longest, every end at a group's border."""
+    out, at = [], 0
+    while at < len(text):
+        m = re.match(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", text[at:])
+        end = None
+        if m and (at == 0 or not re.match("[A-Za-z0-9]", text[at - 1])):
+            borders = [e for e in range(m.end(), 14, -1) if e == m.end() or text[at + e] == " "]
+            size = lambda e: len(text[at : at + e].replace(" ", ""))  # noqa: B023, E731
+            own = pii.IBAN_LENGTHS.get(text[at : at + 2])
+            tried = [e for e in borders if size(e) == own] + borders[:1] if own else borders
+            number = lambda e: int("".join(str(int(c, 36)) for c in (lambda x: x[4:] + x[:4])(text[at : at + e].replace(" ", ""))))  # noqa: B023, E731
+            end = next((e for e in tried if size(e) >= 15 and number(e) % 97 == 1), None)
+        if end:
+            out.append((at, at + end))
+        at += end or 1
+    return out
+
+
+def test_account_numbers_and_scores_equal_plain_versions():
+    r = random.Random(12)
+    good = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    words = ["iban", "account", "version", "EUR", "BIC COBADEFFXXX", "DE89 3704", "order", "sample", "card", "AB12", "x"]
+    other = ["a@b.co", "10.1.2.3", "4111 1111 1111 1111", "+1 555 010 9999", "DE89 3704 0044 0532 0130 01"]
+    for _ in range(400):
+        text = " ".join(r.choice(r.choice((good, words, words, other))) for _ in range(r.randint(1, 8)))
+        assert pii.ibans(text) == plain_ibans(text), text
+        for start, kind, end, score in pii.find(text):
+            near = [w.lower() for w in re.findall(r"[\w-]+", text[max(0, start - 48) : start])]
+            up = {"iban": {"iban", "account"}, "card": {"card"}, "email": set(), "ip": set(), "phone": set()}[pii.KINDS[kind]]
+            want = pii.BASE_SCORE[pii.KINDS[kind]] + pii.STEP * bool(up & set(near)) - pii.STEP * bool({"version", "order", "sample"} & set(near))
+            cut = text[max(0, start - 49) : max(0, start - 48)]  # a word that the context begins within may be another one
+            if not cut.strip():
+                assert score == round(min(1.0, max(0.0, want)), 2), (text, start)
+        assert all(pii.KINDS[k] != "iban" or s >= pii.IBAN_SCORE for _, k, _, s in pii.find(text))
+
+
 def test_redaction():
     assert pii.redacted("mail a@b.co or +1 555 010 9999!") == "mail [EMAIL] or [PHONE]!"
 
