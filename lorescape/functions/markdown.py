@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column
@@ -125,31 +126,25 @@ def _bare(tag: str) -> str:
 
 
 def tags_ensured(raw: str, required: Sequence[str]) -> str:
-    """A text whose frontmatter lists its tags and the required ones, one a line; all its other lines stay as they are."""
-    rows = raw.split("\n")
-    if rows[-1] == "":
-        del rows[-1]
-    end = next((i for i, x in enumerate(rows) if i and x.strip() == DELIMITER), None) if len(rows) >= 2 and rows[0].strip() == DELIMITER else None
-    listed = lambda tags: ["tags:", *(f"  - {t}" for t in dict.fromkeys(tags))]
-    if end is None:
-        title = next((x.strip()[2:].strip() for x in rows if x.strip().startswith("# ")), "")
-        return "\n".join([DELIMITER, *([f"title: {title}"] if title else []), *listed(required), DELIMITER, "", *rows]) + "\n"
-    for at in range(1, end):
-        key, colon, value = rows[at].partition(":")
-        if colon and key.strip().lower() == "tags":
-            break
+    """A text whose frontmatter lists its tags and the required ones, one a line; all its other lines stay as they are.
+
+    A text without (complete) frontmatter gets one, with its heading as title.
+    """
+    rows = raw.removesuffix("\n").split("\n") if raw else []
+    marks = [i for i, x in enumerate(rows) if x.strip() == DELIMITER]
+    if marks[:1] == [0] and len(marks) > 1:
+        head, rest = rows[1 : marks[1]], rows[marks[1] + 1 :]
     else:
-        return "\n".join([*rows[:end], *listed(required), *rows[end:]]) + "\n"
-    after = at + 1
-    if value.strip():
-        inline = value.strip()
-        inline = inline[1:] if inline.startswith("[") else inline
-        tags = [_bare(t) for t in inline.removesuffix("]").split(",")]
-    else:
-        while after < end and rows[after].strip().startswith("- "):
-            after += 1
-        tags = [_bare(x.strip()[2:]) for x in rows[at + 1 : after]]
-    return "\n".join([*rows[:at], *listed([*(t for t in tags if t), *required]), *rows[after:]]) + "\n"
+        heading = next((x[2:].strip() for x in map(str.strip, rows) if x.startswith("# ")), "")
+        head, rest = [f"title: {heading}"] * bool(heading), ["", *rows]
+    fields = [x.partition(":") for x in head]
+    at = next((i for i, (key, colon, _) in enumerate(fields) if colon and key.strip().lower() == "tags"), len(head))
+    value = fields[at][2].strip() if at < len(head) else "none"
+    items = [] if value else [*takewhile(lambda x: x.startswith("- "), map(str.strip, head[at + 1 :]))]
+    inline = value.removeprefix("[").removesuffix("]").split(",") if at < len(head) else []
+    tags = filter(None, map(_bare, [x[2:] for x in items] or inline))
+    head[at : at + 1 + len(items)] = ["tags:", *(f"  - {t}" for t in dict.fromkeys([*tags, *required]))]
+    return "\n".join([DELIMITER, *head, DELIMITER, *rest, ""])
 
 
 @F.pandas_udf(StringType())

@@ -6,17 +6,29 @@ import hashlib
 import json
 import urllib.error
 import urllib.request
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Protocol
+from typing import NamedTuple, Protocol
 from urllib.parse import urlparse, urlunparse
 
 from lorescape.errors import EmbeddingBackendError
 
 BATCH, TIMEOUT = 32, 60.0
-#: Routes and hosts; fixed values.
-ROUTES = {"openai": "/v1/embeddings", "ollama": "/api/embed"}
-SUFFIXES = ("/embeddings", "/embed")
+
+
+class Dialect(NamedTuple):
+    """How a kind of server is asked: the route, a part of it that endpoints may end with, and the field of the reply with the vectors."""
+
+    route: str
+    given: str
+    field: str
+    one: str | None  # the field of one vector in a list of objects
+
+
+# fixed values
+DIALECTS = {"openai": Dialect("/v1/embeddings", "/v1", "data", "embedding"), "ollama": Dialect("/api/embed", "", "embeddings", None)}
+LAST_PARTS = ("embeddings", "embed")
 LOCAL = ("localhost", "127.0.0.1", "::1")
 
 
@@ -48,14 +60,14 @@ class Settings:
 
     @property
     def url(self) -> str:
-        base = (self.endpoint or "").rstrip("/")
-        if not base:
-            raise EmbeddingBackendError("no endpoint")
-        if urlparse(base).scheme not in ("http", "https"):
-            raise EmbeddingBackendError(f"{urlparse(base).scheme!r} isn't http")
-        if base.endswith(SUFFIXES):
-            return base
-        return base.removesuffix("/v1") + ROUTES["openai"] if self.dialect == "openai" else base + ROUTES["ollama"]
+        parts = urlparse(self.endpoint or "")
+        if parts.scheme not in ("http", "https"):
+            raise EmbeddingBackendError(f"{parts.scheme!r} isn't http" if self.endpoint else "no endpoint")
+        path = parts.path.rstrip("/")
+        if not path.endswith(LAST_PARTS):  # else the endpoint is a route already
+            dialect = DIALECTS.get(self.dialect, DIALECTS["ollama"])
+            path = path.removesuffix(dialect.given) + dialect.route
+        return urlunparse(parts._replace(path=path))
 
 
 def shown(endpoint: str) -> str:
@@ -78,16 +90,16 @@ def described(settings: Settings | None) -> str:
 
 def vectors_of(reply: object) -> list[list[float]]:
     """The vectors of a reply in the order of the texts, whichever dialect it is in."""
-    found: list | None = None
-    if isinstance(reply, dict):
-        if isinstance(reply.get("embeddings"), list):
-            found = reply["embeddings"]
-        elif isinstance(reply.get("data"), list):
-            place = lambda x: x["index"] if isinstance(x, dict) and type(x.get("index")) is int else 0
-            found = [x.get("embedding") if isinstance(x, dict) else None for x in sorted(reply["data"], key=place)]
-    if found is None or not all(isinstance(v, list) and all(isinstance(x, int | float) for x in v) for v in found):
-        raise EmbeddingBackendError("malformed reply")
-    return [list(map(float, v)) for v in found]
+    try:
+        dialect = next(d for d in reversed(DIALECTS.values()) if isinstance(reply.get(d.field), list))
+        rows = reply[dialect.field]
+        if dialect.one:
+            rows = [x[dialect.one] for x in sorted(rows, key=lambda x: x["index"] if type(x.get("index")) is int else 0)]
+        if not all(isinstance(v, list) for v in rows):
+            raise TypeError
+        return [list(array("d", v)) for v in rows]  # takes numbers only
+    except (StopIteration, TypeError, KeyError, AttributeError) as e:
+        raise EmbeddingBackendError("malformed reply") from e
 
 
 class HttpProvider:
