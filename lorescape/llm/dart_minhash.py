@@ -45,6 +45,8 @@ LEAST = 0.8
 BANDS, ROWS = 24, 5
 #: A list of ids of up to so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Shingles whose darts are thrown at once; a larger document is alone.
+STRIPS = 1 << 17
 #: Pairs that meet one copy of a set.
 CHUNK = 256
 
@@ -76,12 +78,19 @@ def regions(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     """For each set of elements and positive weights k coordinates; sets must not be empty."""
+    group = np.cumsum([len(e) for e, _ in sets]) // STRIPS
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sets)]
+    return np.concatenate([_signatures(sets[a:b], k) for a, b in zip(edges, edges[1:], strict=False)]) if sets else np.empty((0, k), dtype=np.uint64)
+
+
+def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     out = np.zeros((len(sets), k), dtype=np.uint64)
     darts = k * math.log(k) + 2 * k
-    cut = [regions(e, np.asarray(w, dtype=np.float64)) for e, w in sets]
+    plain = all(w.min() == w.max() == 1 for _, w in sets)  # then every dart of a shingle's one region counts
+    cut = [(words.mixed(e),) if plain else regions(e, np.asarray(w, dtype=np.float64)) for e, w in sets]
     open_sets, limit = np.arange(len(sets)), np.array([darts / np.sum(w) for _, w in sets])
     while len(open_sets):
-        strip, low, width, weight = (np.concatenate([cut[s][i] for s in open_sets]) for i in range(4))
+        strip, *more = (np.concatenate([cut[s][i] for s in open_sets]) for i in range(len(cut[0])))
         own = np.repeat(np.arange(len(open_sets)), [len(cut[s][0]) for s in open_sets])
         time, until = np.zeros(len(strip)), limit[own]
         places, times, darts_hit, n = [], [], [], 0
@@ -89,12 +98,15 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
             n += 1
             with np.errstate(over="ignore"):
                 dart = words.mixed(strip + np.uint64(n) * words.A)
-            time = time - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
+            step = np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            time = time - (step if plain else step / more[1])
             alive = time < until
-            strip, own, time, until, low, width, weight = (x[alive] for x in (strip, own, time, until, low, width, weight))
+            strip, own, time, until, *more = (x[alive] for x in (strip, own, time, until, *more))
             dart = words.mixed(dart[alive])
-            height = low + width * ((words.mixed(dart ^ words.C) >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-            hit = height < weight
+            hit = slice(None)
+            if not plain:
+                low, width, weight = more
+                hit = low + width * ((words.mixed(dart ^ words.C) >> np.uint64(11)).astype(np.float64) * 2.0**-53) < weight
             places.append((own * k + (dart % np.uint64(k)).astype(np.int64))[hit])
             times.append(time[hit])
             darts_hit.append(dart[hit])

@@ -13,7 +13,7 @@ C = np.uint64(0x94D049BB133111EB)
 #: Base of the polynomial modulo 2**64, and base and modulus (a prime) of the other one.
 RADIX, PRIME_RADIX, PRIME = np.uint64(0xD1342543DE82EF95), 1_103_515_245, 2**31 - 1
 #: Bytes of text hashed at once; a longer word makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

@@ -157,3 +157,15 @@ def test_components(spark, shape):
         assert got == dict.fromkeys(range(n), 0) | {100: 100, 101: 100}
     else:
         assert got == dict.fromkeys(range(n), 0)
+
+
+def test_groups_of_sets_change_nothing(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = [(np.unique(r.integers(1, 2**62, n).astype(np.uint64)), np.ones(n, dtype=np.int64)) for n in (3, 400, 1, 90, 1000, 5)]
+    whole = dart_minhash.signatures(sets, 120)
+    monkeypatch.setattr(dart_minhash, "STRIPS", 100)
+    assert (dart_minhash.signatures(sets, 120) == whole).all()
+    other = [sets[0], (sets[1][0], sets[1][1] * 1.0)]
+    mixed = dart_minhash.signatures([*other, (sets[3][0], sets[3][1] * 2.5)], 120)  # the general way gives the same for weights of 1
+    assert (mixed[:2] == whole[:2]).all()
+    assert dart_minhash.signatures([], 8).shape == (0, 8)
