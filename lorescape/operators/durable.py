@@ -3,19 +3,46 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where driver and executors are one process and the session names no folder, as in tests.
 LOCAL = "file:///tmp/checkpoints"
 
 
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL).rstrip("/")
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, object, object]:
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/lorescape/rows-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), files, where
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that spark.checkpoint.dir names, and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or LOCAL)
-    return df.checkpoint()
+    """The rows, written to the shared folder that spark.checkpoint.dir names; they stay until the driver's JVM ends."""
+    return _written(df)[0]
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows, written likewise, for as long as the context lasts."""
+    rows, files, where = _written(df)
+    try:
+        yield rows
+    finally:
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorescape.functions.text import distinct_tokens, tag_text
 from lorescape.operators import lexical, scope, snippets
-from lorescape.operators.durable import durable
+from lorescape.operators.durable import written
 from lorescape.operators.usage import boosted
 
 RRF_K = 60
@@ -48,15 +48,15 @@ def fused(candidates: DataFrame, hits: DataFrame, corpus: DataFrame, limit: int,
     ranks = {r["doc_id"]: r["sem_rank"] for r in hit_rows}
     ids = list(ranks)
     order = [F.desc("boosted"), F.desc("bm25"), "doc_id"]
-    scores = durable(candidates.select("doc_id", "bm25", "boosted", scope.is_draft().alias("draft")))
-    some = scores.where(F.col("doc_id").isin(ids)) if ids else scores.where("false")
-    for drafts in (False, True):
-        some = some.unionByName(scores.where(F.col("draft") == drafts).orderBy(*order).limit(limit))
-    looked = {r["doc_id"]: r for r in some.collect()}  # the hits and 2 * limit rows
-    lex = _ahead(scores, list(looked.values()))
+    with written(candidates.select("doc_id", "bm25", "boosted", scope.is_draft().alias("draft"))) as scores:
+        some = scores.where(F.col("doc_id").isin(ids)) if ids else scores.where("false")
+        for drafts in (False, True):
+            some = some.unionByName(scores.where(F.col("draft") == drafts).orderBy(*order).limit(limit))
+        looked = {r["doc_id"]: r for r in some.collect()}  # the hits and 2 * limit rows
+        lex = _ahead(scores, list(looked.values()))
+        n_lexical = scores.count()
     missing = [i for i in ids if i not in lex]
     added = {r["doc_id"]: r["draft"] for r in corpus.where(F.col("doc_id").isin(missing) & allowed).select("doc_id", scope.is_draft().alias("draft")).collect()} if missing else {}
-    n_lexical = scores.count()
     pool = n_lexical + len(added)
     place = {i: n_lexical + k for k, i in enumerate(sorted(added, key=ranks.get))}
     part = lambda rank: 1 / (RRF_K + (pool if rank is None else rank))
