@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorescape.llm import bpe, dart_minhash, mixing, pii, secret_scan, substring_dedup, syncmers, topk, toxicity, warc
+from lorescape.llm import bpe, collocations, dart_minhash, mixing, pii, pivots, secret_scan, substring_dedup, syncmers, topk, toxicity, variants, warc
 from lorescape.llm.shared import table
 
 
@@ -52,8 +52,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_dart_minhash, op3_warc, op4_substring_dedup, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe)}
+    made = (op1_mixing, op2_dart_minhash, op3_warc, op4_substring_dedup, op5_toxicity, op6_syncmers, op7_topk, op8_secret_scan, op9_pii, op10_bpe, op11_pivots, op12_variants, op13_collocations)
+    return {f.__name__: f for f in made}
 
 
 OP3_SQL = """
@@ -147,5 +160,68 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= 20"""
 
 
+OP11_SQL = """
+with recursive v as materialized (
+  select vec_id, list_transform(embedding, lambda x: x::double) e,
+    embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 sound
+  from embeddings),
+l as materialized (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id where a.sound and b.sound and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, to_id) as (select vec_id, vec_id from v union select r.vec_id, l.b from r join l on r.to_id = l.a)
+select vec_id, coalesce(n_links, 0) n_links, component_id, vec_id = component_id kept
+from (select vec_id, min(to_id) component_id from r group by vec_id) left join (select a vec_id, count(*) n_links from l group by a) using (vec_id)"""
+
+
+#: crc32 is a reduction of a word's bytes by a table, and a table's entry one of eight steps of a bit.
+OP12_SQL = """
+with recursive t as materialized (
+  select list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, x)) t),
+o as materialized (
+  select coalesce(doc_id::varchar, '') || ':' || run s, run, count(*) c from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) run from documents)
+  where length(run) >= 6 group by all),
+b as (select run, c, flatten(list_transform(string_split(s, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [192::bigint + (ord(x) >> 6), 128::bigint + (ord(x) & 63)] end)) b from o),
+h as (select run, c, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(1 + (xor(h, x) & 255))::int]), 4294967295::bigint), 4294967295::bigint) h from b, t),
+w as materialized (
+  select word, sum(c)::bigint n from (select c, case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word from h)
+  where length(word) >= 6 group by word having sum(c) >= 5),
+d as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) cut from (select *, unnest(range(0, length(word))) i from w)),
+p as materialized (
+  select a.word, b.word near, b.n from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word and length(a.word) = length(b.word)
+  union select d.word, w.word, w.n from d join w on w.word = d.cut
+  union select w.word, d.word, d.n from d join w on w.word = d.cut),
+f as materialized (select word, count(*) n_near, max(n) best, min(near) filter (n = m) form from (select *, max(n) over (partition by word) m from p) group by word),
+k as materialized (select w.word, w.n, coalesce(n_near, 0) n_near, case when best >= 5 * w.n then form end form, case when best >= 5 * w.n then best end form_n from w left join f using (word)),
+r(word, root, step) as (select word, coalesce(form, word), 0 from k union all select r.word, k.form, step + 1 from r join k on k.word = r.root where k.form is not null)
+select word, form, root, n, n_near, form_n from k join (select word, arg_max(root, step) root from r group by word) using (word)"""
+
+
+OP13_SQL = """
+with p as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+w as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+t as (select lang, sum(len(w))::bigint n from w group by lang),
+f as materialized (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, range(1, 4) s(k)) group by all having count(*) >= 10),
+c as materialized (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1),
+s as (
+  select c.lang, c.phrase, c.a, x.f l, y.f r, (1000000::hugeint * c.a * c.a // (x.f::hugeint * y.f))::bigint score, j
+  from (select *, unnest(range(1, k)) j from c) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1:], ' ')),
+m as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+g as (select distinct c.lang, c.phrase from c join (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) phrase from c where k = 3) x on x.lang = c.lang and x.phrase = c.phrase where 100 * x.a >= 50 * c.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score
+from m anti join g using (lang, phrase) join t using (lang)
+qualify rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _op1_sql(), "op3_warc": OP3_SQL, "op2_dart_minhash": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_topk": OP7_SQL}
+    return {
+        "op1_mixing": _op1_sql(),
+        "op2_dart_minhash": OP2_SQL,
+        "op3_warc": OP3_SQL,
+        "op4_substring_dedup": OP4_SQL,
+        "op7_topk": OP7_SQL,
+        "op11_pivots": OP11_SQL,
+        "op12_variants": OP12_SQL,
+        "op13_collocations": OP13_SQL,
+    }
