@@ -1,157 +1,216 @@
 """The library's front: a warehouse folder with the index, and the operations on it.
 
-Each table has a folder of versions, and a manifest names the current version of every table. Versions are written whole first; then
-the next manifest is written aside and renamed to its number. So a change of several tables is seen as one, a crash leaves the
-last manifest in force, and of two writers at a time the second one fails.
+The index is kept in segments (segments.py): a change of some documents writes their rows and stones for what they replace, and one
+manifest names all of it, so that a change of several tables is seen whole or not at all.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorescape.errors import DocumentNotFoundError, WarehouseError
-from lorescape.functions.text import distinct_tokens
-from lorescape.operators import lexical, links, postings, semantic, store, usage
-from lorescape.operators.durable import durable
+from lorescape.errors import DocumentNotFoundError
+from lorescape.functions.text import distinct_tokens, normalized_target
+from lorescape.operators import blocks, lexical, links, postings, semantic, store, usage
+from lorescape.operators.durable import written
 from lorescape.plans.search import search as search_plan
 from lorescape.schemas import schema
+from lorescape.segments import FEW, Change, State, Store, packed
 from lorescape.sources import markdown
 from lorescape.sources.embedding import Provider
 
-MANIFEST = "manifests"
-TABLES = ("documents", "links", "chunks", "postings", "lengths", "embeddings", "usage")
+#: Texts that are embedded, and committed, at once.
+ROUND = 50_000
+
+
+def digest() -> Column:
+    """What tells one version of a document from another."""
+    return F.md5(F.to_json(F.struct("title", "tags", "body")))
+
+
+def among(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose column is one of the values (a column): a filter that Parquet can use where they are few, else a join."""
+    few = [r[0] for r in values.distinct().limit(FEW + 1).collect()]
+    return rows.where(F.col(column).isin(few) if few else F.lit(False)) if len(few) <= FEW else rows.join(values.toDF(column), column, "left_semi")
 
 
 class Engine:
     """The index in a warehouse folder, on any file system that Spark reaches."""
 
-    def __init__(self, spark: SparkSession, warehouse: str, provider: Provider | None = None, model: str = ""):
-        self.spark, self.root, self.provider, self.model = spark, warehouse.rstrip("/"), provider, model
+    def __init__(self, spark: SparkSession, warehouse: str, provider: Provider | None = None, model: str = "", round_size: int = ROUND):
+        self.spark, self.root, self.provider, self.model, self.round_size = spark, warehouse.rstrip("/"), provider, model, round_size
+        self.store = Store(spark, warehouse)
 
     # tables
 
-    def _files(self, path: str):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def _manifest(self) -> tuple[int, dict[str, str]]:
-        """The number of the last manifest, and the versions that it names; 0 and none before the first one."""
-        files, folder = self._files(f"{self.root}/{MANIFEST}")
-        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
-        if not numbers:
-            _, root = self._files(self.root)
-            if files.exists(root) and any(s.getPath().getName() in TABLES for s in files.listStatus(root)):
-                raise WarehouseError(f"{self.root} has tables but no manifest")
-            return 0, {}
-        stream = files.open(self._files(f"{self.root}/{MANIFEST}/{max(numbers):012d}.json")[1])
-        try:
-            return max(numbers), json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
-
     def table(self, name: str) -> DataFrame:
-        """The current version of a table; empty if there is none."""
-        version = self._manifest()[1].get(name)
-        if version is None:
-            return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}/{version}")
-
-    def _put(self, **tables: DataFrame) -> None:
-        """Writes the next versions, then names them all at once; readers of the old ones go on with those."""
-        number, names = self._manifest()
-        if number == 0:
-            self._name(1, {})  # before any version, so that tables without a manifest are never a fresh start
-            number = 1
-        for name, df in tables.items():
-            version = f"v-{uuid.uuid4().hex}"
-            df.select(*schema(name).fieldNames()).write.parquet(f"{self.root}/{name}/{version}")
-            names = names | {name: version}
-        self._name(number + 1, names)
-
-    def _name(self, number: int, names: dict[str, str]) -> None:
-        files, folder = self._files(f"{self.root}/{MANIFEST}")
-        aside, final = (self._files(f"{self.root}/{MANIFEST}/{n}")[1] for n in (f".{uuid.uuid4().hex}", f"{number:012d}.json"))
-        stream = files.create(aside, False)
-        stream.write(bytearray(json.dumps(names, sort_keys=True).encode()))
-        stream.close()
-        if files.exists(final) or not files.rename(aside, final):
-            files.delete(aside, False)
-            raise WarehouseError(f"{self.root} was changed by another writer")
+        """A table as it is now; empty if there is none."""
+        if name == "lengths":
+            state = self.store.state()
+            rows = [(state.documents, state.length / state.documents if state.documents else None)]
+            return self.spark.createDataFrame(rows, schema("lengths"))
+        return self.store.rows(name)
 
     def vacuum(self) -> None:
-        """Deletes all versions and manifests but the current ones; no reader should be at work."""
-        number, names = self._manifest()
-        keep = {MANIFEST: f"{number:012d}.json"} | names
-        for name in (*TABLES, MANIFEST):
-            files, folder = self._files(f"{self.root}/{name}")
-            for s in files.listStatus(folder) if files.exists(folder) else ():
-                if s.getPath().getName() != keep.get(name):
-                    files.delete(s.getPath(), True)
+        """Deletes all segments and manifests but the current ones; no reader or writer should be at work."""
+        self.store.vacuum()
 
     # keeping the index
 
     def add(self, documents: DataFrame) -> None:
-        """Puts documents (path, title, tags, body) into the index by path."""
+        """Puts documents (path, title, tags, body) into the index by path; those that are in it as they are cost nothing."""
         self._change(documents, None)
 
-    def _change(self, incoming: DataFrame, gone: DataFrame | None) -> None:
-        old = self.table("documents")
-        if gone is not None:
-            old = store.without(old, gone)
-        new = store.upserted(old, incoming)
-        changed = new.join(incoming.select("path"), "path", "left_semi")
-        chunks, edges = store.derived(changed)
-        tables = {"chunks": (chunks, "doc_id"), "links": (edges, "source_id")}
-        out = {"documents": new}
-        for name, (fresh, key) in tables.items():
-            kept = self.table(name) if gone is None else store.without(self.table(name), gone, key)
-            out[name] = store.replaced(kept, fresh, changed, key)
-        fresh = postings.pairs(changed)
-        kept = self.table("postings") if gone is None else store.without(self.table("postings"), gone)
-        out["postings"] = postings.in_order(store.replaced(kept, fresh, changed))
-        out["lengths"] = postings.lengths(new)
-        if gone is not None:
-            out["usage"] = usage.without_orphans(self.table("usage"), new)
-        self._put(**out)
-
-    def reindex(self, root: str) -> DataFrame:
-        """Brings the index in step with the files below a root; returns a row: indexed, deleted, failed."""
-        found = markdown.files(self.spark, root)
-        good, failed = markdown.documents(found)
-        gone = store.stale(self.table("documents"), found.select("path"), markdown.canonical(root).removeprefix("file://"))
-        counts = {"indexed": good.count(), "deleted": gone.count(), "failed": failed.count()}
-        self._change(good, gone)
-        self.refresh_embeddings()
-        return self.spark.createDataFrame([tuple(counts.values())], "indexed long, deleted long, failed long")
+    def delete(self, gone: DataFrame) -> None:
+        """Takes documents (doc_id) out of the index."""
+        self._change(None, gone)
+
+    def _change(self, incoming: DataFrame | None, gone: DataFrame | None) -> None:
+        """Writes what is new of the incoming documents and what follows from it, and stones for the rest, in one commit."""
+        s = self.store
+        with self._fresh(incoming) as fresh, written((gone if gone is not None else self.store.rows("paths").where("false")).select("doc_id").distinct()) as lost:
+
+            def make(state: State) -> Change | None:
+                known = s.rows("paths", state).select("path", "doc_id", F.col("digest").alias("old"))
+                marked = fresh.select("path", "digest").join(known, "path", "left").where("old is null or old <> digest").select("path", "doc_id")
+                with written(marked) as changed:
+                    return self._written_change(state, fresh, changed, lost)
+
+            s.retried(make)
+        s.merge()
+
+    @contextmanager
+    def _fresh(self, incoming: DataFrame | None) -> Iterator[DataFrame]:
+        """The incoming documents with their digests, a row a path, written; of rows that repeat a path the largest stands."""
+        if incoming is None:
+            incoming = self.spark.createDataFrame([], "path string, title string, tags array<string>, body string")
+        one = incoming.groupBy("path").agg(F.max(F.struct("title", "tags", "body")).alias("d")).select("path", "d.*")
+        with written(one.withColumn("digest", digest())) as rows:
+            yield rows
+
+    def _written_change(self, state: State, fresh: DataFrame, changed: DataFrame, lost: DataFrame) -> Change | None:
+        """Segments of a change: fresh documents, of which changed (path, doc_id) are new (without an id) or differ, and lost ones (doc_id)."""
+        s, change = self.store, Change(state)
+        count = changed.where("doc_id is null").count()
+        ids = changed.where("doc_id is not null")
+        if count:
+            new = store.numbered(changed.where("doc_id is null").select("path"), s.lease(count) - 1, store.path_order())
+            ids = ids.unionByName(new.select("path", "doc_id"))
+        documents = s.add(change, "documents", fresh.join(ids, "path"))
+        stones = changed.where("doc_id is not null").select("doc_id", F.lit(False).alias("final")).unionByName(lost.select("doc_id", F.lit(True).alias("final")))
+        dead = s.add(change, "gone", stones.withColumn("at", F.lit(None).cast("long")))
+        if dead is not None:
+            before = among(s.rows("paths", state), "doc_id", dead.select("doc_id")).agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
+            change.documents, change.length = -before["n"], -(before["length"] or 0)
+        paths = named = None
+        if documents is not None:
+            name = links.file_name(normalized_target(F.col("path")))
+            paths = s.add(change, "paths", documents.select(name.alias("name"), "doc_id", "path", digest().alias("digest"), lexical.length().cast("long").alias("length")))
+            after = paths.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
+            change.documents, change.length = change.documents + after["n"], change.length + after["length"]
+            chunks, edges = store.derived(documents)
+            s.add(change, "chunks", chunks)
+            w = normalized_target(F.col("target"))
+            named = s.add(change, "links", edges.withColumns({"w": w, "n": links.file_name(w)}))
+            s.add(change, "postings", packed(postings.pairs(documents)))
+        if documents is None and dead is None:
+            return None
+        self._aimed(change, paths, lost, named)
+        return change
+
+    def _aimed(self, change: Change, paths: DataFrame | None, lost: DataFrame, named: DataFrame | None) -> None:
+        """Keeps what targets mean: only targets whose last part is the file name of a new or lost document, and targets that are new, are resolved."""
+        s, state = self.store, change.base
+        before = s.rows("paths", state)
+        none = before.select("name").where("false")
+        known = among(before, "doc_id", lost).select("name")
+        if paths is not None:  # a document that only has another text keeps its names
+            known = known.unionByName(paths.join(before.select("doc_id"), "doc_id", "left_anti").select("name"))
+        targets = s.rows("targets", state)
+        with written(known.distinct()) as names, written(among(targets, "n", names)) as touched:
+            asked = none.select(F.col("name").alias("n"), F.col("name").alias("w")) if named is None else named.select("n", "w").distinct()
+            fresh = asked.join(among(targets, "n", asked.select("n")).select("w"), "w", "left_anti").select("n", "w")
+            with written(touched.select("n", "w").unionByName(fresh).distinct()) as asked:
+                if not asked.limit(1).count():
+                    return
+                now = before.join(lost, "doc_id", "left_anti").select("name", "doc_id", "path")
+                if paths is not None:
+                    now = now.unionByName(paths.select("name", "doc_id", "path"))
+                with written(links.meanings(asked, among(now, "name", asked.select("n")).select("doc_id", "path").distinct())) as found:
+                    old = touched.select("w", F.col("dst_id").alias("old"), F.lit(True).alias("had"))
+                    moved = found.join(old, "w", "left").where("had is null or not (dst_id <=> old)")
+                    s.add(change, "targets", moved)
+                    s.add(change, "moved", moved.where("had").select("w", F.lit(True).alias("final"), F.lit(None).cast("long").alias("at")))
+
+    def reindex(self, root: str, embed: bool = True) -> DataFrame:
+        """Brings the index in step with the files below a root; returns a row: indexed, deleted, failed.
+
+        Every file is read and parsed once; what it gave is written for the time of the call, and only documents that differ go into the index.
+        """
+        with written(markdown.read(markdown.files(self.spark, root))) as found:
+            gone = store.stale(self.table("paths"), found.select("path"), markdown.canonical(root).removeprefix("file://")).select("doc_id")
+            with written(gone) as lost:
+                counts = found.agg(F.count_if(F.col("reason").isNull()).alias("i"), F.count_if(F.col("reason").isNotNull()).alias("f")).first()
+                row = (counts["i"], lost.count(), counts["f"])
+                self._change(found.where("reason is null").drop("reason"), lost)
+        if embed:
+            self.refresh_embeddings()
+        return self.spark.createDataFrame([row], "indexed long, deleted long, failed long")
 
     def failures(self, root: str) -> DataFrame:
         return markdown.documents(markdown.files(self.spark, root))[1]
 
-    def embed(self) -> DataFrame | None:
+    def embed(self, rounds: int | None = None) -> DataFrame | None:
         """Vectors for the chunks that lack one: embedded, reused, failed, reason (of a failure); None without a provider.
 
-        What a server gave before it failed is kept.
+        Pending texts are dealt to rounds of about round_size by their hash, and each round is committed by itself: a run that is killed
+        has lost its last round at most, since what has a vector isn't pending any more. What a server gave before it failed
+        is kept. rounds: to stop after so many.
         """
         if self.provider is None:
             return None
-        before, chunks = self.table("embeddings"), self.table("chunks")
-        outcome = durable(semantic.embedded(semantic.pending(chunks, before, self.model), self.provider, self.model))  # the provider runs once
-        self._put(embeddings=semantic.stored(before, semantic.succeeded(outcome).dropDuplicates(["content_hash", "model"])))
-        done = semantic.accounting(chunks, before, self.table("embeddings"), self.model)
-        return done.join(F.broadcast(semantic.reason(outcome)))  # a row each
+        s, reasons = self.store, []
+        with written(self.table("embeddings").where(F.col("model") == self.model).select("content_hash", "model")) as before:
+            with written(semantic.pending(self.table("chunks"), self.table("embeddings"), self.model)) as pending:
+                parts = -(-pending.count() // self.round_size)
+                for k in range(parts)[:rounds]:
+                    reasons.append(self._round(pending.where(semantic.round_of(parts) == k)))
+            done = semantic.accounting(self.table("chunks"), before, self.table("embeddings"), self.model).first()
+        s.merge()
+        reason = min((r for r in reasons if r), default=None)
+        return self.spark.createDataFrame([(*done, reason)], "embedded long, reused long, failed long, reason string")
+
+    def _round(self, texts: DataFrame) -> str | None:
+        """Embeds texts and commits what came; the reason if some failed."""
+        s = self.store
+        with written(semantic.embedded(texts, self.provider, self.model)) as outcome:  # the provider runs once
+
+            def make(state: State) -> Change | None:
+                change = Change(state)
+                had = s.rows("embeddings", state).where(F.col("model") == self.model).select("content_hash")
+                fresh = semantic.succeeded(outcome).dropDuplicates(["content_hash", "model"]).join(had, "content_hash", "left_anti")
+                return change if s.add(change, "embeddings", fresh) is not None else None
+
+            s.retried(make)
+            return semantic.reason(outcome).first()["reason"]
 
     def refresh_embeddings(self) -> DataFrame | None:
         """Embeds what is pending and prunes what no chunk has; None without a provider."""
         done = self.embed()
         if done is not None:
-            self._put(embeddings=semantic.pruned(self.table("embeddings"), self.table("chunks")))
+            s = self.store
+
+            def make(state: State) -> Change | None:
+                change = Change(state)
+                lost = semantic.orphans(s.rows("embeddings", state), s.rows("chunks", state)).select("content_hash").distinct()
+                stones = lost.select("content_hash", F.lit(True).alias("final"), F.lit(None).cast("long").alias("at"))
+                return change if s.add(change, "pruned", stones) is not None else None
+
+            s.retried(make)
         return done
 
     # asking
@@ -171,10 +230,10 @@ class Engine:
     def search(self, query: str, limit: int = 5, min_score: float = 0.0, usage_weight: float = 0.0, tags: Sequence[str] = (), project: str | None = None) -> DataFrame:
         if not 1 <= limit <= 20:
             raise ValueError("limit should be from 1 to 20")
-        documents = self.table("documents")
+        state, wanted = self.store.state(), lexical.searchable(query)
         hits = self.hits(query) if distinct_tokens(query) else None
-        known, candidates = postings.found(documents, self.table("postings"), self.table("lengths"), query) or (None, None)
-        return search_plan(documents, query, limit, min_score, usage_weight, tags, project, self.table("usage"), hits, self.table("chunks"), known, candidates)
+        known, matching = blocks.matching(self.store, state, wanted) if wanted else (None, None)
+        return search_plan(self.store.rows("documents", state), query, limit, min_score, usage_weight, tags, project, self.table("usage"), hits, self.table("chunks"), known, matching)
 
     def ask_context(self, query: str, limit: int = 3, usage_weight: float = 0.3, now: datetime | None = None, **scope) -> DataFrame:
         """A search whose results are recorded as retrieved."""
@@ -186,10 +245,18 @@ class Engine:
         """Counts a retrieval for each id; one that comes twice counts twice."""
         if doc_ids:
             log = self.spark.createDataFrame([(i, now or datetime.now(UTC)) for i in doc_ids], schema("retrievals"))
-            self._put(usage=usage.recorded(self.table("usage"), log))
+            s = self.store
+
+            def make(state: State) -> Change:
+                change = Change(state)
+                s.add(change, "usage", usage.counted(log))
+                return change
+
+            s.retried(make)
+            s.merge()
 
     def document(self, doc_id: int) -> DataFrame:
-        found = self.table("documents").where(F.col("doc_id") == doc_id)
+        found = self.store.at(self.spark.createDataFrame([(doc_id,)], "doc_id long"), self.store.state())
         if found.isEmpty():
             raise DocumentNotFoundError(f"no document {doc_id}")
         return found
@@ -198,15 +265,27 @@ class Engine:
         return self.table("chunks").where(F.col("doc_id") == doc_id).orderBy("ordinal")
 
     def edges(self) -> DataFrame:
-        return links.resolved(self.table("links"), self.table("documents"))
+        """All links with dst_id, null where no document is meant."""
+        return self._edges(lambda rows: rows)
+
+    def _edges(self, some: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The same of some links, by the kept meanings of their targets."""
+        state = self.store.state()
+        rows = self.store.raw("links", state)
+        if rows is None:
+            return self.spark.createDataFrame([], schema("links")).withColumn("dst_id", F.lit(None).cast("long"))
+        own = some(self.store.live(rows, "links", state))
+        meant = self.store.rows("targets", state).select("w", "dst_id")
+        return own.join(meant, "w", "left").select("source_id", "ordinal", "target", "dst_id")
 
     def outgoing(self, doc_id: int) -> DataFrame:
         self.document(doc_id)
-        return links.outgoing(self.edges(), doc_id).orderBy("ordinal")
+        return links.outgoing(self._edges(lambda rows: rows.where(F.col("source_id") == doc_id)), doc_id).orderBy("ordinal")
 
     def backlinks(self, doc_id: int) -> DataFrame:
         self.document(doc_id)
-        return links.backlinks(self.edges(), doc_id).orderBy("source_id")
+        meant = self.store.rows("targets").where(F.col("dst_id") == doc_id).select("w")
+        return links.backlinks(self._edges(lambda rows: among(rows, "w", meant)), doc_id).orderBy("source_id")
 
     def usage_report(self) -> DataFrame:
         return usage.in_order(usage.report(self.table("documents"), self.table("usage")))

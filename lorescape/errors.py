@@ -37,3 +37,7 @@ class ColumnTypeError(LoreError):
 
 class WarehouseError(LoreError):
     """A warehouse has tables without a manifest, or was changed by another writer in the meantime."""
+
+
+class Clash(WarehouseError):
+    """A change can't stand on what another writer has done in the meantime; it has to be made anew."""

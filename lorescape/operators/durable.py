@@ -21,13 +21,19 @@ def _folder(spark: SparkSession) -> str:
     return (folder or LOCAL).rstrip("/")
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, object, object]:
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> tuple[str, object, object]:
+    """A new folder in the shared one, with its file system and path; it is deleted when the driver's JVM ends."""
     path = f"{_folder(spark)}/lorescape/rows-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(where)
     files.deleteOnExit(where)
+    return path, files, where
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, object, object]:
+    spark = df.sparkSession
+    path, files, where = folder(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), files, where
 

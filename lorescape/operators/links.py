@@ -28,6 +28,19 @@ def names(documents: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.min("doc_id").alias("by_path"), F.min(F.when(F.col("name") == last, F.col("doc_id"))).alias("by_name"))
 
 
+def file_name(normalized: Column) -> Column:
+    """The last part of a normalized target or path. What a target means depends on the documents with its last part as file name alone."""
+    return F.element_at(F.split(normalized, "/"), -1)
+
+
+def meanings(targets: DataFrame, paths: DataFrame) -> DataFrame:
+    """(n, w, dst_id) for normalized targets (n, w: the last part and the whole), given the documents (doc_id, path) with these names."""
+    known = names(paths)
+    found = targets.join(known.select(F.col("name").alias("w"), "by_path"), "w", "left")
+    found = found.join(known.where("by_name is not null").select(F.col("name").alias("n"), "by_name"), "n", "left")
+    return found.select("n", "w", F.when(F.col("w") != "", F.coalesce("by_path", "by_name")).alias("dst_id"))
+
+
 def resolved(links: DataFrame, documents: DataFrame) -> DataFrame:
     """The links with dst_id, null where no document is meant."""
     known = durable(names(documents))  # behind an aggregation Spark couldn't split a name that very many links have

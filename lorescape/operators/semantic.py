@@ -114,6 +114,11 @@ def embedded(rows: DataFrame, provider, model: str) -> DataFrame:
     return rows.select("content_hash", "text").mapInArrow(run, DDL["embeddings"] + ", reason string")
 
 
+def round_of(rounds: int, content_hash: str = "content_hash") -> Column:
+    """The round of a text, by the first digits of its hash."""
+    return F.conv(F.substring(content_hash, 1, 8), 16, 10).cast("long") % rounds
+
+
 def succeeded(outcome: DataFrame) -> DataFrame:
     """The vectors among what embedded() gave."""
     return outcome.where("reason is null").drop("reason")

@@ -78,11 +78,11 @@ def ranked(
     usage: DataFrame | None = None,
     hits: DataFrame | None = None,
     known: lexical.Statistics | None = None,
-    candidates: DataFrame | None = None,
+    matching: DataFrame | None = None,
 ) -> DataFrame | None:
     """The best documents with all their columns, rank, bm25 and boosted, and with hits also fused; None if the query asks for nothing.
 
-    candidates: ids (doc_id) of all documents that may match, if they are known; then only these are read and scored.
+    matching: all documents that may match, if they are known; then only these are read and scored.
     """
     tag = scope.project_tag(project) if project is not None else None
     wanted = lexical.searchable(query)
@@ -90,7 +90,7 @@ def ranked(
         return None
     allowed = (scope.in_project(tag) if tag else F.lit(True)) & scope.has_all(tags)
     scoped = tag is not None or bool(scope.wanted_tags(tags))
-    rows = lexical.scored(corpus if candidates is None else corpus.join(candidates, "doc_id", "left_semi"), wanted, known)
+    rows = lexical.scored(corpus if matching is None else matching, wanted, known)
     most = window(limit, scoped, usage_weight > 0 or hits is not None)
     if most is not None:
         rows = rows.orderBy(F.desc("bm25"), "doc_id").limit(most)
@@ -117,14 +117,14 @@ def search(
     hits: DataFrame | None = None,
     chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     known: lexical.Statistics | None = None,
-    candidates: DataFrame | None = None,
+    matching: DataFrame | None = None,
 ) -> DataFrame:
     """The best documents for a query: rank from 1, doc_id, path, title, tags, bm25, snippet.
 
     usage: counts (doc_id, retrieved_count); hits: vector hits (doc_id, sem_rank); chunks: for snippets, a table or a
-    function that makes the chunks of some documents (doc_id); known, candidates: from postings, instead of a scan.
+    function that makes the chunks of some documents (doc_id); known, matching: from postings, instead of a scan.
     """
-    top = ranked(corpus, query, limit, min_score, usage_weight, tags, project, usage, hits, known, candidates)
+    top = ranked(corpus, query, limit, min_score, usage_weight, tags, project, usage, hits, known, matching)
     if top is None:
         return corpus.sparkSession.createDataFrame([], RESULT)
     tokens = distinct_tokens(query)

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorescape.functions import chunking, markdown, text
-from lorescape.operators import lexical, links, postings, scope, semantic, sessions, store, usage, vault
+from lorescape.engine import Engine
+from lorescape.operators import blocks, lexical, links, postings, scope, semantic, sessions, store, usage, vault
+from lorescape.operators.durable import folder
 from lorescape.plans.search import ranked, search
-from lorescape.sources import console
+from lorescape.segments import Change, Store
+from lorescape.sources import console, embedding
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -730,6 +733,73 @@ def session_keys(spark, d):
     return _table(spark, d, "events").select(sid.alias("session_id"), key.alias("k"))
 
 
+# the kept index after changes
+
+
+def changed_engine(spark: SparkSession, docs: DataFrame) -> Engine:
+    """An index made in four changes, merged as it grew: most documents, the others, new texts for some, and some deleted."""
+    engine = Engine(spark, folder(spark)[0])
+    engine.store = Store(spark, engine.root, fan=2)
+    parts = [docs.where("doc_id % 10 <> 9"), docs.where("doc_id % 10 = 9"), docs.where("doc_id % 13 = 0").withColumn("body", F.concat("body", F.lit(" shedding tion")))]
+    for part in parts:
+        engine.add(part.drop("doc_id"))
+    lost = docs.where("doc_id % 11 = 0").select("path")
+    engine.delete(engine.table("paths").join(lost, "path", "left_semi").select("doc_id"))
+    return engine
+
+
+CHANGED = "changed as (select doc_id, case when doc_id % 13 = 0 then text || ' shedding tion' else text end text, lang, source from documents where doc_id % 11 <> 0)"
+CHANGED_CORPUS = CHANGED + ", " + CORPUS.replace("from documents)", "from changed)")
+
+
+@query(
+    f"""with {CHANGED_CORPUS}, g as (select distinct doc_id, t[i:i + 2] gram from (select doc_id, t, unnest(range(1, length(t) - 1)) i from (
+    select doc_id, unnest([lower(title), lower(body), lower(array_to_string(tags, ', '))]) t from corpus)))
+  select gram, count(*) documents, count(*) filter (doc_id % 13 = 0) renewed from g group by gram"""
+)
+def postings_after_changes(spark, d):
+    engine = changed_engine(spark, corpus(spark, d))
+    paths = engine.table("paths").select("doc_id", (F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 13 == 0).alias("renewed"))
+    return engine.table("postings").join(paths, "doc_id").groupBy("gram").agg(F.count("*").alias("documents"), F.count_if("renewed").alias("renewed"))
+
+
+@query("with " + CHANGED + ", " + bm25_sql("shed ding tion".split()).replace("from documents)", "from changed)") + "select rank::int rank, path, round(bm25, 6) bm25 from (select *, row_number() over (order by bm25 desc, path) rank from scored) where rank <= 25")
+def lexical_blocks_topk(spark, d):
+    engine = changed_engine(spark, corpus(spark, d))
+    wanted = lexical.searchable("shed ding tion")
+    known, rows = blocks.matching(engine.store, engine.store.state(), wanted)
+    best = lexical.scored(rows, wanted, known).orderBy(F.desc("bm25"), "path").limit(25)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("bm25"), "path")).alias("rank"), "path", F.round("bm25", 6).alias("bm25"))  # of 25 rows
+
+
+@query(
+    "with " + LINKS.replace("text body from documents)", "text body from documents where doc_id % 11 <> 0)").replace("target from documents)", "target from documents where doc_id % 11 <> 0)")
+    + " select distinct s.path source, target, t.path meant from edge join corpus s on s.doc_id = source_id left join corpus t on t.doc_id = dst_id"
+)
+def links_after_changes(spark, d):
+    bodies = link_rows(spark, d).groupBy(F.col("source_id").alias("doc_id")).agg(F.array_join(F.transform(F.collect_list("target"), lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ").alias("body"))  # three links each
+    engine = changed_engine(spark, corpus(spark, d).drop("body").join(bodies, "doc_id"))
+    paths = engine.table("paths")
+    edges = engine.edges().join(paths.select(F.col("doc_id").alias("source_id"), F.col("path").alias("source")), "source_id")
+    return edges.join(paths.select(F.col("doc_id").alias("dst_id"), F.col("path").alias("meant")), "dst_id", "left").select("source", "target", "meant").distinct()
+
+
+@query(
+    """with h as (select distinct sha256(text) h from documents), n as (select count(*) n from h), p as (select ceil(n / ceil(n / 4))::bigint p from n),
+  r as (select ('0x' || substr(h, 1, 8))::bigint % p r from h, p) select count(*) filter (r > 1) embedded, count(*) filter (r <= 1) reused, 0 failed from r"""
+)
+def embed_resume(spark, d):
+    """Vectors in four rounds, of which a first run gets to two."""
+    chunks = chunk_store(spark, d)[0]
+    texts = chunks.select("content_hash").distinct().count()
+    engine = Engine(spark, folder(spark)[0], embedding.HashProvider(8), MODEL, round_size=-(-texts // 4))
+    change = Change(engine.store.state())
+    engine.store.add(change, "chunks", chunks)
+    engine.store.commit(change)
+    engine.embed(rounds=2)
+    return engine.embed().drop("reason")
+
+
 # an extension: retrievals by time
 
 

@@ -12,6 +12,8 @@ DDL = {
     "links": "source_id long, ordinal int, target string",
     "chunks": "doc_id long, ordinal int, heading string, text string, content_hash string",
     "postings": "gram string, doc_id long",
+    "paths": "name string, doc_id long, path string, digest string, length long",
+    "targets": "n string, w string, dst_id long",
     "lengths": "documents long, mean_length double",
     "embeddings": "content_hash string, model string, dimension int, vector array<float>",
     "usage": "doc_id long, retrieved_count long, last_retrieved_at timestamp",
@@ -23,6 +25,17 @@ DDL = {
 }
 
 
+#: What segments of the warehouse hold, where it isn't the table's own columns.
+SEGMENTS = {
+    "links": "source_id long, ordinal int, target string, w string, n string",
+    "postings": "gram string, block long, n int, ids array<smallint>",
+    "gone": "doc_id long, final boolean, at long",
+    "moved": "w string, final boolean, at long",
+    "pruned": "content_hash string, final boolean, at long",
+}
+DDL |= {f"{name}_segment": SEGMENTS.get(name, DDL.get(name)) for name in ("documents", "paths", "links", "targets", "chunks", "postings", "embeddings", "usage", "gone", "moved", "pruned")}
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(DDL[name])
 

@@ -96,10 +96,15 @@ def decoded(content):
     return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "\r\n?", "\n")
 
 
-def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files' documents (path, title, tags, body), and (path, reason) of those that can't be read."""
+def read(files: DataFrame) -> DataFrame:
+    """The files' documents in one pass: path, title, tags, body and reason, which is null unless the file can't be read."""
     rows = files.withColumn("raw", decoded(F.col("content")))
-    good = rows.where("raw is not null").select("path", parsed(F.col("raw"), F.col("path")).alias("d"))
+    rows = rows.select("path", F.col("raw").isNull().alias("bad"), parsed(F.coalesce("raw", F.lit("")), F.col("path")).alias("d"))
     title = F.when(F.col("d.title") != "", F.col("d.title")).otherwise(title_case(stem(F.col("path"))))
-    failed = rows.where("raw is null").select("path", F.lit("not UTF-8").alias("reason"))
-    return good.select("path", title.alias("title"), "d.tags", "d.body"), failed
+    return rows.select("path", title.alias("title"), "d.tags", "d.body", F.when(F.col("bad"), "not UTF-8").alias("reason"))
+
+
+def documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files' documents (path, title, tags, body), and (path, reason) of those that can't be read."""
+    rows = read(files)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "reason")
