@@ -8,9 +8,9 @@ manifest, which Spark commits, count, so a task that is run again leaves no doub
 Reading. At each place the reader expects a gzip member or a version line, and checks headers, lengths, the end of the
 record and its digests. After a failed check it searches for the next member or version line that passes, goes on there, and
 reports the bytes between as a gap with the reason. What a member inflates to is searched in the same way while it is
-inflated, so a damaged record costs itself alone, and an error of the member what lies behind the last record before it. Two
-records are never taken from a member with an error, since nothing else vouches for them: its only one, and a last one without a
-block digest. It holds two records and some chunks in memory at a time; a record that claims more than RECORD_BYTES, more than a
+inflated, so a damaged record costs itself alone, and an error of the member what lies behind the last record before it. Of a
+member with an error a record is taken if its own block digest passes or a valid record follows it; only a last one without a
+digest, for which nothing vouches, is left to the gap. It holds two records and some chunks in memory at a time; a record that claims more than RECORD_BYTES, more than a
 row of any table can hold, is treated as damaged, since its length can't be trusted. round_trip() compares the number of records read
 with that of the manifest and fails if they differ.
 
@@ -20,7 +20,8 @@ a gap within a member gives the inflated bytes in its reason.
 Defined cases: null and empty HTML have an empty payload, and all of these equal each other; rows that repeat the smallest
 page_id of their payload are all responses; an empty table gives no archive and an empty result; an archive without any valid
 record is one gap; other columns aren't read, and a null url is written as an empty one; a row without a page_id has a record
-whose id is empty, which is read as null, and never is what others refer to.
+whose id is empty, which is read as null, and never is what others refer to. Archives are opened by Arrow, for which s3a, s3n, wasb and
+wasbs paths are spelled as it knows those stores; tables are read by Spark.
 """
 
 from __future__ import annotations
@@ -102,6 +103,9 @@ class Found(NamedTuple):
     record: Record | None
     problem: str | None
 
+#: Hadoop's names of object stores, and Arrow's; fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
 
 class Damaged(Exception):
     """A check failed at the current place."""
@@ -304,7 +308,10 @@ def _salvaged(source: Source, marks: tuple[bytes, ...]) -> Iterator[Found]:
 
 
 def _of_member(member: Member, at: int) -> Iterator[Found]:
-    """What a member holds; member.taken becomes the number of inflated bytes up to the last record that counts."""
+    """What a member holds; member.taken becomes the number of inflated bytes up to the last record that counts.
+
+    If the member turns out to be damaged, a record counts if its own block digest has passed, or if a valid record follows it.
+    """
     held: list[Found] = []
     count = member.taken = 0
 
@@ -323,14 +330,23 @@ def _of_member(member: Member, at: int) -> Iterator[Found]:
             held = held[-1:]
     if not member.problem:
         yield from (placed(f, member.at) for f in held)
-    elif count > 1 and held[0].record and held[0].record.headers.get("warc-block-digest", "").startswith("sha1:"):
-        yield placed(held[0])
+        return
+    vouched = [i for i, f in enumerate(held) if f.record and f.record.headers.get("warc-block-digest", "").startswith("sha1:")]
+    yield from map(placed, held[: vouched[-1] + 1] if vouched else [])
 
 
 def _opened(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
+    return fs.FileSystem.from_uri(uri(path))
+
+
+def uri(path: str) -> str:
+    """A path as Arrow's file systems spell it: Hadoop's names of object stores are others'."""
+    if "://" not in path and not path.startswith("/"):
+        path = path.replace(":/", ":///", 1)
+    scheme, mark, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest.replace('.blob.', '.dfs.', 1) if scheme in ('wasb', 'wasbs') else rest}" if mark else path
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

@@ -39,7 +39,8 @@ def test_damage_costs_one_record(gz):
 def test_garbage_cut_and_lost_bytes(gz):
     parts = archive(gz=gz)
     assert read(b"junk\x1f\x8b\x08WARC/1.1 no" + b"".join(parts))[0] == list(range(6))
-    assert read(b"".join(parts)[:-7])[0] == list(range(5))
+    assert read(b"".join(parts)[:-7])[0] == list(range(6 if gz else 5))  # a member that lacks its checksum alone has a whole record
+    assert read(b"".join(parts)[:-40])[0] == list(range(5))
     lost = parts[:1] + [parts[1][: len(parts[1]) // 2]] + parts[2:]  # the second record lacks its end
     assert read(b"".join(lost))[0] == [0, 2, 3, 4, 5]
     assert read(b"") == ([], []) and read(b"nothing") == ([], [(0, 7)])
@@ -78,6 +79,33 @@ def test_one_member_with_all_records_and_damage():
         assert ids == [*range(40), 3] and len(gaps) == 1
 
 
+def test_records_whose_digests_pass_are_never_dropped():
+    parts = archive(3)
+    wrong = [p[:-8] + bytes([p[-8] ^ 1]) + p[-7:] for p in parts]  # one bit of each member's CRC
+    ids, gaps = read(b"".join(wrong))
+    assert ids == [0, 1, 2] and len(gaps) == 3 and sum(b - a for a, b in gaps) <= 3 * 16
+    r = random.Random(1)
+    bodies = [warc.record(i, "u", r.randbytes(2000), None) for i in range(6)]
+    whole = warc.member(b"".join(bodies))
+    for first in range(5):  # a byte behind record first
+        flipped = bytearray(whole)
+        flipped[len(warc.member(b"".join(bodies[: first + 1]))) + 900] ^= 255
+        ids, gaps = read(bytes(flipped) + parts[2])
+        assert ids[: first + 1] == list(range(first + 1)) and ids[-1] == 2 and gaps
+
+
+def test_records_without_a_digest_need_one_behind_them():
+    plain = [b"\r\n".join(line for line in p.split(b"\r\n") if not line.lower().startswith((b"warc-block-digest", b"warc-payload-digest"))) for p in archive(3, gz=False)]
+    cut = lambda n: warc.member(b"".join(plain[:n]))[:-8]  # noqa: E731  without the checksum
+    assert read(cut(1))[0] == [] and read(cut(3))[0] == [0, 1]
+    assert read(warc.member(b"".join(plain)))[0] == [0, 1, 2]
+
+
+def test_paths_of_object_stores():
+    assert warc.uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.uri("hdfs://h:1/x") == "hdfs://h:1/x" and warc.uri("file:/tmp/x") == "file:///tmp/x"
+    assert warc.uri("wasbs://c@a.blob.core.windows.net/x") == "abfss://c@a.dfs.core.windows.net/x" and warc.uri("/tmp/x") == "/tmp/x"
+
+
 def test_members_larger_than_a_record_may_be(monkeypatch):
     r = random.Random(7)
     parts = [warc.record(i, "u", r.randbytes(30_000), None) for i in range(60)]
