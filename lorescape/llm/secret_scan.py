@@ -9,9 +9,12 @@ characters suit one of the ENCODINGS (the smallest that holds them all, with eno
 tested, and that has to be rejected before anything is reported, is "this is an ordinary string": a name or path in which
 one character class goes on with chance STAY (the marks of paths, and a capital that begins a word, are no change). Its p-value is
 the exact chance of at least as many changes of class. A string of which the battery says that it isn't random either counts as
-ordinary, with p-value 1. The battery has three tests of "its characters were drawn independently and evenly from the
-encoding's alphabet": chi-squared over up to MAX_CELLS cells of the alphabet, the number of runs above and below the alphabet's
-middle, and the correlation of neighbouring characters. Fisher's sum combines them; below DISMISS the string isn't random.
+ordinary, with p-value 1; of the others the p-value is divided by the battery's, so that both enter the control and a string has to look
+random, too. The division makes p-values larger, so that they stay valid. The battery has tests of "its characters were drawn
+independently and evenly from the encoding's alphabet": chi-squared over up to MAX_CELLS cells of the alphabet, the number of runs above
+and below the alphabet's middle, and the correlation of neighbouring characters, which Fisher's sum combines; and a test of steps, how
+often the commonest difference of characters one or two places apart comes, which sees strings that count up within any cell. The smaller
+p-value counts, after a Bonferroni correction that leaves the test of steps a tenth; below DISMISS the string isn't random.
 
 The candidates of one length class over all documents are judged together by the step-up procedure for false discoveries at
 rate RATE: of the strings reported in a class, no more than that share is ordinary in expectation, under the model of ordinary
@@ -34,6 +37,7 @@ import bisect
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +70,10 @@ ENCODINGS = (
 )
 MIN_CHARS = 20
 MAX_CELLS = 8
+#: Distances at which the test of steps compares characters.
+LAGS = (1, 2)
+#: Share of the battery's level that the test of steps has.
+STEPS_SHARE = 0.1
 LENGTHS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 RATE = 0.05
 STAY = 0.9
@@ -120,7 +128,17 @@ def battery(values: list[int], size: int) -> float:
     spread = (size * size - 1) / 12
     serial = sum((x - middle) * (y - middle) for x, y in zip(values, values[1:], strict=False)) / (spread * math.sqrt(n - 1))
     tests = [chi, run, two_sided(serial)]
-    return upper_tail(-2 * sum(math.log(max(p, 1e-300)) for p in tests), 2 * len(tests))
+    fisher = upper_tail(-2 * sum(math.log(max(p, 1e-300)) for p in tests), 2 * len(tests))
+    return min(1.0, fisher / (1 - STEPS_SHARE), steps(values, size) / STEPS_SHARE)
+
+
+def steps(values: list[int], size: int) -> float:
+    """p-value of the commonest difference (modulo size) between values one or two places apart, for all differences and both distances together."""
+    least = 1.0
+    for lag in LAGS:
+        often = Counter((y - x) % size for x, y in zip(values, values[lag:], strict=False))
+        least = min(least, size * len(LAGS) * at_least(max(often.values()), len(values) - lag, 1 / size))
+    return least
 
 
 def at_least(k: int, n: int, chance: float) -> float:
@@ -164,8 +182,8 @@ def tested(token: str) -> tuple[float, bool] | None:
     if p > RATE:
         return p, False
     place = {c: i for i, c in enumerate(alphabet)}
-    random = battery([place[c] for c in token.rstrip("=")], len(alphabet)) >= DISMISS
-    return (p if random else 1.0), True
+    random = battery([place[c] for c in token.rstrip("=")], len(alphabet))
+    return (min(1.0, p / random) if random >= DISMISS else 1.0), True
 
 
 def pieces(run: str, counts: list[int]) -> list[tuple[int, int, float]]:
