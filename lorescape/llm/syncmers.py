@@ -1,7 +1,10 @@
 """Document fingerprints from closed syncmers, with built-in functions only.
 
-A text's units are its words: maximal stretches without U+0020 and U+0009 to U+000D. The code points of a word of more than UNIT_CHARS
-(scripts without spaces, data) are units each, and so are all of a text of fewer than K words. A stretch of
+A text of at least SHORT units has a fingerprint of words: its units are maximal stretches without U+0020 and U+0009 to U+000D, and
+the code points of words of more than UNIT_CHARS (scripts without spaces, data). A text of fewer than REACH units has one of code points, with
+stretches of POINTS, since a few words hold too few stretches of words. Texts in between have both, and two texts are compared by code points
+if both have them, else by words; so texts whose lengths differ by less than the factor REACH / SHORT always share a kind, and texts that share none
+have at most a quarter of their units in common (likeness 0). A stretch of
 K units is a closed syncmer if, of the hashes of its K - S + 1 inner stretches of S units, the smallest belongs to the first or the
 last. Whether a stretch is chosen depends on it alone, so that equal passages give equal anchors wherever they stand, and of
 K - S neighbouring stretches one is chosen at least.
@@ -16,7 +19,7 @@ buckets of about BUCKET_ROWS at knots of their distribution, a window within eac
 row of a bucket takes the first one of the next bucket that has any. Only the knots, KNOTS numbers, come to the driver. Anchors of a
 text are computed behind that shuffle, once, so that only texts are exchanged.
 
-Defined cases: a null text counts as empty. A text without a closed syncmer (one of fewer than K code points) has one anchor, the
+Defined cases: a null text counts as empty. A text without a closed syncmer (one of fewer than POINTS code points) has one anchor, the
 hash of the whole text; a text with one anchor matches only another such text, by its hash. Equal texts have equal
 fingerprints and likeness 1. A table's last row is followed by its first, and a single row by itself. Rows that repeat an id
 are ordered by their text. Rows whose id is null come first. An empty table gives an empty one. Other columns aren't read.
@@ -30,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 9, 2
+#: Code points of a stretch; units from which on a text has a fingerprint of words, and up to which it has one of code points.
+POINTS, SHORT, REACH = 6, 40, 160
 UNIT_CHARS = 32
 WHITE = "\t\n\x0b\x0c\r"
 BUCKET_ROWS, KNOTS, GROUP = 256, 64, 4096
@@ -44,17 +49,21 @@ def _from(a: Column, skip: int, n: Column) -> Column:
     return F.slice(a, skip + 1, n)
 
 
-def units(text: Column, k: int = K) -> Column:
-    """What stretches are made of: a text's words, and the code points of long words or of a text of few words."""
+def units(text: Column) -> Column:
+    """A text's words, and the code points of long words."""
     words = F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
-    points = lambda t: F.array_remove(F.split(t, ""), "")
     long = lambda w: F.char_length(w) > UNIT_CHARS
     cut = lambda w: F.flatten(F.transform(w, lambda x: F.when(long(x), points(x)).otherwise(F.array(x))))
-    return let(words, lambda w: F.when(F.size(w) < k, points(text)).when(F.exists(w, long), cut(w)).otherwise(w))
+    return let(words, lambda w: F.when(F.exists(w, long), cut(w)).otherwise(w))
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Closed syncmers of a text in order: an array of (at: place of its first unit from 0, hash: 64 bits)."""
+def points(text: Column) -> Column:
+    """A text's code points."""
+    return F.array_remove(F.split(text, ""), "")
+
+
+def anchors(units: Column, k: int = K, s: int = S) -> Column:
+    """Closed syncmers of an array of units in order: an array of (at: place of its first unit from 0, hash: 64 bits)."""
     if not 1 <= s < k:
         raise ValueError("an inner stretch must be shorter than its syncmer")
     inner = k - s + 1
@@ -86,36 +95,54 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
             return let(g, with_inner)
 
-        return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes))
+        return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("hash")))
-    return let(let(units(text, k), of), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+    return let(units, of)
 
 
 def prints(text: Column) -> Column:
-    """The anchors of a text in order, each as 16 times 32 bits of its hash plus its distance from the one before."""
+    """The anchors of a text in order, each as 16 times 32 bits of its hash plus its distance from the one before: a struct (words, points).
+
+    Either is null where a text has no such fingerprint.
+    """
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("hash")))
 
     def of(found: Column) -> Column:
         distance = lambda a, i: a["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(0))
         return F.transform(found, lambda a, i: F.shiftleft(F.shiftrightunsigned(a["hash"], 32), 4) + distance(a, i))
 
-    return let(anchors(text), of)
+    def both(words: Column) -> Column:
+        fine = let(anchors(points(text), POINTS), lambda found: of(F.when(F.size(found) > 0, found).otherwise(whole)))
+        return F.struct(F.when(F.size(words) >= SHORT, let(anchors(words), of)).alias("words"), F.when(F.size(words) < REACH, fine).alias("points"))
+
+    return let(units(text), both)
 
 
 def links(prints: Column) -> Column:
-    """The distinct pairs of neighbouring anchors with the distance between them, each as a 64-bit hash; of one anchor its own."""
-    n = F.size(prints) - 1
-    pairs = F.zip_with(F.slice(prints, F.lit(1), n), F.slice(prints, F.lit(2), n), lambda a, b: F.xxhash64(F.shiftrightunsigned(a, 4), b))
-    return F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array(F.xxhash64(F.get(prints, F.lit(0)))))
+    """For words and for points the distinct pairs of neighbouring anchors with the distance between them, each as a 64-bit hash; of one anchor its own."""
+
+    def of(p: Column) -> Column:
+        n = F.size(p) - 1
+        pairs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.xxhash64(F.shiftrightunsigned(a, 4), b))
+        return F.when(p.isNotNull(), F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array(F.xxhash64(F.get(p, F.lit(0))))))
+
+    return F.struct(of(prints["words"]).alias("words"), of(prints["points"]).alias("points"))
 
 
 def hexadecimal(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, F.hex), ",")
+    """Both fingerprints as text."""
+    of = lambda kind: F.concat(F.lit(kind[0] + ":"), F.array_join(F.transform(prints[kind], F.hex), ","))
+    return F.concat_ws(";", of("words"), of("points"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of two texts' links that both have."""
-    return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    """The share of two texts' links that both have, in the finest kind that both have."""
+
+    def share(kind: str) -> Column:
+        x, y = a[kind], b[kind]
+        return F.when(x.isNotNull() & y.isNotNull(), let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n)))
+
+    return F.coalesce(share("points"), share("words"), F.lit(0.0))
 
 
 def _bucket(rows: DataFrame, key: str) -> Column:

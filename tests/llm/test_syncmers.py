@@ -11,7 +11,7 @@ from tests.llm.conftest import prose
 def test_anchors_depend_on_their_words_alone(spark):
     a, b = prose(11, 80), prose(12, 30)
     df = spark.createDataFrame([(1, a), (2, b + " " + a), (3, a + " " + b)], "doc_id long, text string")
-    got = {r["doc_id"]: {(x["at"], x["hash"]) for x in r["n"]} for r in df.select("doc_id", syncmers.anchors(F.col("text")).alias("n")).collect()}
+    got = {r["doc_id"]: {(x["at"], x["hash"]) for x in r["n"]} for r in df.select("doc_id", syncmers.anchors(syncmers.units(F.col("text"))).alias("n")).collect()}
     assert 8 < len(got[1]) < 40
     assert {(at + 30, h) for at, h in got[1]} <= got[2] and got[1] <= got[3]
 
@@ -27,10 +27,12 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def brute(text, k=syncmers.K, s=syncmers.S):
+def units(text):
+    return [x for u in re.findall("[^\x20\x09-\x0D]+", text) for x in (u if len(u) > syncmers.UNIT_CHARS else [u])]
+
+
+def brute(units, k, s=syncmers.S):
     """(place, hash) of all closed syncmers by their definition."""
-    units = re.findall("[^\x20\x09-\x0D]+", text)
-    units = list(text) if len(units) < k else [x for u in units for x in (u if len(u) > syncmers.UNIT_CHARS else [u])]
     h = [hashed(u) for u in units]
     inner = [hashed(*h[i : i + s]) if s > 1 else h[i] for i in range(len(h) - s + 1)]
     out = []
@@ -40,24 +42,32 @@ def brute(text, k=syncmers.K, s=syncmers.S):
             last = k - s
             at = [*range(0, last + 1, s)] + ([last] if last % s else [])
             out.append((i, hashed(*(inner[i + j] for j in at))))
-    return out or [(0, hashed(text))]
+    return out
 
 
 def brute_prints(text):
-    found = brute(text)
-    return [(h >> 32, at - before) for (at, h), before in zip(found, [0] + [x[0] for x in found], strict=False)]
+    """By kind, w or p, for those that a text has."""
+    u, out = units(text), {}
+    if len(u) >= syncmers.SHORT:
+        out["w"] = brute(u, syncmers.K)
+    if len(u) < syncmers.REACH:
+        out["p"] = brute(list(text), syncmers.POINTS) or [(0, hashed(text))]
+    return {kind: [(h >> 32, at - before) for (at, h), before in zip(found, [0] + [x[0] for x in found], strict=False)] for kind, found in out.items()}
 
 
 def brute_links(text):
-    p = brute_prints(text)
-    return {(a[0], b) for a, b in zip(p, p[1:], strict=False)} if len(p) > 1 else {p[0]}
+    return {kind: {(a[0], b) for a, b in zip(p, p[1:], strict=False)} if len(p) > 1 else {p[0]} for kind, p in brute_prints(text).items()}
 
 
 def brute_row(text, other):
     n = len(text) // 2
     changed = text[: len(text) - n] + other[:n]
-    like = lambda a, b: len(a & b) / len(a | b)
-    form = lambda t: ",".join(f"{h * 16 + d:X}" for h, d in brute_prints(t))
+
+    def like(a, b):
+        kind = next((k for k in "pw" if k in a and k in b), None)
+        return len(a[kind] & b[kind]) / len(a[kind] | b[kind]) if kind else 0.0
+
+    form = lambda t: ";".join(f"{kind}:" + ",".join(f"{h * 16 + d:X}" for h, d in p) for kind, p in brute_prints(t).items())
     return (len(text), hashlib.sha256(changed.encode()).hexdigest(), form(text), form(changed), like(brute_links(text), brute_links(changed)), like(brute_links(text), brute_links(other)))
 
 
@@ -71,7 +81,7 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in syncmers.fingerprints(df).collect()}
     assert got == {i: brute_row(t, o) for i, (t, o) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))}
-    assert got[2][3] != got[2][2] and got[0][5] == 1.0 and got[12][4] > 0.2  # half of the edited text without spaces is its own
+    assert got[2][3] != got[2][2] and got[0][5] == 1.0 and got[12][4] > 0.2 and got[8][5] > 0.2  # half of the edited text without spaces is its own
     assert 0.7 < brute_row(texts[0], texts[13])[5] < 1  # a word more moves all that follows by one, and yet it matches
 
 
@@ -82,6 +92,22 @@ def test_whole_table_equals_brute_force(spark):
     assert got == {i: brute_row(t, o) for (i, t), (_, o) in zip(texts, texts[1:] + texts[:1], strict=True)}
 
 
+def test_short_texts_are_alike(spark):
+    """From 20 code points on a text of which half is kept is like itself, and so is one that lacks its last word, at any length."""
+    long = prose(31, 400).split()
+    texts = [" ".join(long[:n]) for n in (3, 4, 5, 8, 9, 10, 15, 30, 39, 40, 41, 80, 159, 160, 161, 300)]
+    rows = [t for t in texts for t in (t, t.rpartition(" ")[0])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in syncmers.fingerprints(df).collect()}
+    assert all(got[i][0] > 0 for i, t in enumerate(rows) if len(t) >= 20)
+    assert all(got[i][1] > 0.4 for i in range(0, len(rows), 2) if len(rows[i]) >= 40)
+
+
+def test_halves_of_the_table_are_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert syncmers.fingerprints(docs).where("n_chars >= 24 and near_edited = 0").count() == 0
+
+
 def edited(texts):
     t = [x or "" for x in texts]
     return [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(t, t[1:] + t[:1], strict=True)]
