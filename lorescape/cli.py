@@ -85,6 +85,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             sessions.shown(states).show()
             sessions.totals(states).show()
         case "vault-import":
+            for name in vault_files.recover(str(config.home())):
+                print("finished", name)
             entries = vault_files.plan(spark, str(config.home()), [vault.parse_source(s) for s in args.source])
             vault.action_counts(entries).show()
             if args.apply:

@@ -1,115 +1,86 @@
-"""Chunks of a document: one for each section, under a path of headings, cut to a size; with built-in functions, no shuffle."""
+"""Chunks of a document: one for each section, under a path of headings, cut to a size.
+
+The rule is sequential, line by line and then paragraph by paragraph, which nested array functions could only interpret at several times the
+cost; so a body is cut in one pass of an Arrow function. Nothing is shuffled.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorescape.functions.text import lines, sha256, strip
+from lorescape.functions.text import sha256
 
 CAP = 1200
-HEADING = r"(?U)^(#{1,6})\s+(.*?)\s*#*\s*$"
-FENCE = r"(?U)^\s*(?:```|~~~)"
+HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*")
+FENCES = ("```", "~~~")
+BLANK = re.compile(r"\n\s*\n")
 #: Between paragraphs of a chunk.
 GAP = "\n\n"
-CHUNK = "array<struct<heading:string,text:string>>"
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def sections(body: Column) -> Column:
-    """Sections that aren't empty, in order: an array of (heading, body). What precedes the first heading has heading ""."""
-
-    def of(rows: Column) -> Column:
-        fences = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(FENCE), i)), lambda i: i.isNotNull())
-
-        def with_fences(fences: Column) -> Column:
-            def heading(x: Column, i: Column) -> Column:
-                outside = F.size(F.filter(fences, lambda f: f < i)) % 2 == 0
-                return F.when(
-                    F.startswith(x, F.lit("#")) & x.rlike(HEADING) & outside,
-                    F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title")),
-                )
-
-            found = F.filter(F.transform(rows, heading), lambda h: h.isNotNull())
-            return _let(F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"), F.lit("").alias("title"))), found), with_headings)
-
-        def with_headings(heads: Column) -> Column:
-            start = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("open"), F.array().cast("array<string>").alias("paths"))
-
-            def step(acc: Column, h: Column) -> Column:
-                above = F.filter(acc["open"], lambda o: o["level"] < h["level"])
-                now = F.concat(above, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))
-                path = F.array_join(F.transform(now, lambda o: o["title"]), " > ")
-                return F.struct(now.alias("open"), F.concat(acc["paths"], F.array(path)).alias("paths"))
-
-            paths = F.aggregate(F.slice(heads, F.lit(2), F.size(heads) - 1), start, step, lambda acc: F.concat(F.array(F.lit("")), acc["paths"]))
-
-            def section(h: Column, k: Column) -> Column:
-                until = F.coalesce(F.get(heads, k + 1)["at"], F.size(rows))
-                text = F.array_join(F.slice(rows, h["at"] + 2, until - h["at"] - 1), "\n")
-                return F.struct(h["at"].alias("at"), strip(text).alias("body"))
-
-            bodies = F.transform(heads, section)
-            both = F.zip_with(paths, bodies, lambda p, b: F.struct(p.alias("heading"), b["body"].alias("body")))
-            return F.filter(both, lambda s: s["body"] != "")
-
-        return _let(fences, with_fences)
-
-    return _let(lines(body), of)
-
-
-def _pieces(body: Column, budget: Column) -> Column:
+CHUNKS = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
+
+
+def sections(body: str) -> Iterator[tuple[str, str]]:
+    """Sections that aren't empty, in order: (path of headings, body). What precedes the first heading has path ""."""
+    above: list[tuple[int, str]] = []
+    path, held, fenced = "", [], False
+
+    for line in body.splitlines():
+        if line.lstrip().startswith(FENCES):
+            fenced = not fenced
+        elif not fenced and line.startswith("#") and (found := HEADING.fullmatch(line)):
+            if text := "\n".join(held).strip():
+                yield path, text
+            held = []
+            level = len(found[1])
+            while above and above[-1][0] >= level:
+                above.pop()
+            above.append((level, found[2]))
+            path = " > ".join(title for _, title in above)
+            continue
+        held.append(line)
+    if text := "\n".join(held).strip():
+        yield path, text
+
+
+def packed(body: str, budget: int) -> Iterator[str]:
     """Paragraphs packed greedily into pieces of at most so many characters; longer paragraphs are cut."""
-
-    def cut(p: Column) -> Column:
-        n = F.char_length(p)
-        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), budget)
-        return F.when(n <= budget, F.array(p)).otherwise(F.transform(starts, lambda s: F.substring(p, s + 1, budget)))
-
-    paragraphs = F.filter(F.transform(F.split(body, r"(?U)\n\s*\n"), strip), lambda p: p != "")
-
-    def packed(pieces: Column) -> Column:
-        """First the places where a new chunk begins, from the lengths alone; then each chunk is put together once."""
-        start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("used"), F.lit(0).alias("at"))
-
-        def step(acc: Column, n: Column) -> Column:
-            longer = acc["used"] + n + len(GAP)
-            fits = (acc["at"] > 0) & (longer <= budget)
-            return F.struct(
-                F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["at"]))).alias("cuts"),
-                F.when(fits, longer).otherwise(n).alias("used"),
-                (acc["at"] + 1).alias("at"),
-            )
-
-        cuts = F.aggregate(F.transform(pieces, F.char_length), start, step, lambda acc: acc["cuts"])
-
-        def joined(cuts: Column) -> Column:
-            until = lambda k: F.coalesce(F.get(cuts, k + 1), F.size(pieces))
-            return F.transform(cuts, lambda c, k: F.array_join(F.slice(pieces, c + 1, until(k) - c), GAP))
-
-        return _let(cuts, joined)
-
-    return _let(F.flatten(F.transform(paragraphs, cut)), packed)
+    held, size = [], 0
+    for paragraph in filter(None, map(str.strip, BLANK.split(body))):
+        for at in range(0, len(paragraph), budget):
+            piece = paragraph[at : at + budget]
+            longer = size + len(GAP) + len(piece)
+            if held and longer > budget:
+                yield GAP.join(held)
+                held = []
+            size = longer if held else len(piece)
+            held.append(piece)
+    if held:
+        yield GAP.join(held)
+
+
+def chunked(body: str, cap: int = CAP) -> list[dict[str, str]]:
+    """All chunks of a body, whose texts begin with their heading and have at most cap characters."""
+    out = []
+    for heading, text in sections(body):
+        prefix = heading + GAP if heading else ""
+        parts = [text] if len(prefix) + len(text) <= cap else packed(text, max(1, cap - len(prefix)))
+        out += [{"heading": heading, "text": prefix + p} for p in parts]
+    return out
 
 
 def chunks(body: Column, cap: int = CAP) -> Column:
-    """All chunks of a body: an array of (heading, text) whose texts begin with their heading and have at most cap characters."""
-
-    def of(s: Column) -> Column:
-        prefix = F.when(s["heading"] == "", "").otherwise(F.concat(s["heading"], F.lit("\n\n")))
-
-        def with_prefix(prefix: Column) -> Column:
-            whole = F.concat(prefix, s["body"])
-            budget = F.greatest(F.lit(1), F.lit(cap) - F.char_length(prefix))
-            texts = F.when(F.char_length(whole) <= cap, F.array(whole)).otherwise(F.transform(_pieces(s["body"], budget), lambda p: F.concat(prefix, p)))
-            return F.transform(texts, lambda t: F.struct(s["heading"].alias("heading"), t.alias("text")))
+    """The same for a column: an array of (heading, text); null for null."""
 
-        return _let(prefix, with_prefix)
+    @F.arrow_udf("array<struct<heading:string,text:string>>")
+    def cut(bodies: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else chunked(b, cap) for b in bodies.to_pylist()], CHUNKS)
 
-    return F.flatten(F.transform(sections(body), of))
+    return cut(body)
 
 
 def chunk_table(documents: DataFrame, cap: int = CAP) -> DataFrame:

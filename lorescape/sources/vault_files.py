@@ -1,23 +1,29 @@
 """The vault as files: planning copies of projects' notes below a home folder, and writing them.
 
-Plans are tables; the files themselves are moved by the process that holds the file system, as in any installer: staged first,
-then renamed one by one, with a manifest before and after.
+Plans are tables. Texts are staged by the executors; then a manifest is written ahead, from which an import that was cut off can be
+finished, the staged files are renamed one by one, and the manifest is marked as applied.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import shutil
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorescape.errors import VaultError
 from lorescape.functions.text import sha256
 from lorescape.operators import vault
-from lorescape.sources.json_files import manifest_entries, write_manifest
+from lorescape.operators.durable import written
+from lorescape.sources.json_files import manifest_entries, marked_applied, write_manifest
 from lorescape.sources.markdown import decoded, files
 
 STAGING, MANIFESTS = ".staging", "migrations"
@@ -74,22 +80,96 @@ def plan(spark: SparkSession, home: str, sources: list[tuple[str, str]]) -> Data
 
 
 def apply(entries: DataFrame, home: str) -> str:
-    """Writes what a plan without conflicts creates or updates; returns the manifest's name."""
+    """Writes what a plan without conflicts creates or updates; returns the manifest's name.
+
+    Executors stage the texts below the home folder, which they have to reach; the planned manifest is the log from which recover()
+    goes on if the process dies between any two renames.
+    """
     home = os.path.realpath(home)
-    rows = entries.collect()  # files of a vault on this machine
-    if n := sum(r["action"] == "conflict" for r in rows):
-        raise VaultError(f"{n} conflicts keep the plan from being applied")
-    staging = Path(home, STAGING)
-    shutil.rmtree(staging, ignore_errors=True)
-    held = entries.sparkSession.createDataFrame(rows, ENTRY)
-    pending = [(staging / Path(r["target"]).relative_to(home), Path(r["target"]), r["rendered"]) for r in rows if r["action"] in ("create", "update")]
-    for staged, _, text in pending:
-        staged.parent.mkdir(parents=True, exist_ok=True)
-        staged.write_text(text, encoding="utf-8")
-    name = write_manifest(Path(home, MANIFESTS), held, "planned")
-    for staged, target, _ in pending:
-        target.parent.mkdir(parents=True, exist_ok=True)
-        staged.replace(target)
-    write_manifest(Path(home, MANIFESTS), held, "applied", name)
-    shutil.rmtree(staging, ignore_errors=True)
+    recover(home)
+    with written(entries) as held:  # planned once
+        if n := held.where("action = 'conflict'").count():
+            raise VaultError(f"{n} conflicts keep the plan from being applied")
+        staging = f"{STAGING}/{uuid.uuid4().hex}"
+        with written(staged(held.where(F.col("action").isin("create", "update")).select("target", "rendered"), f"{home}/{staging}")) as before:
+            name = write_manifest(Path(home, MANIFESTS), held.join(before, "target", "left"), "planned", staging=staging)
+    finished(home, name)
     return name
+
+
+def staged(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes texts (target, rendered) into a folder, under a hash of the target; returns what the target holds now: target, previous_sha256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for target, text in zip(b.column("target").to_pylist(), b.column("rendered").to_pylist(), strict=True):
+                aside = f"{_staged(folder, target)}.{uuid.uuid4().hex}"  # a task may run twice
+                Path(aside).write_text(text, encoding="utf-8", newline="")
+                os.replace(aside, _staged(folder, target))
+            yield pa.RecordBatch.from_arrays([b.column("target"), pa.array([_sha(t) for t in b.column("target").to_pylist()], pa.string())], names=["target", "previous_sha256"])
+
+    return texts.mapInArrow(run, "target string, previous_sha256 string")
+
+
+def _staged(folder: str, target: str) -> str:
+    return f"{folder}/{hashlib.sha256(target.encode()).hexdigest()}"
+
+
+def _sha(path: str) -> str | None:
+    try:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+    except FileNotFoundError:
+        return None
+
+
+def finished(home: str, name: str) -> None:
+    """Renames what a planned manifest has staged, as far as that hasn't been done, and marks the manifest as applied.
+
+    A target that somebody has changed since the plan is left alone, and so is the manifest: an error names it.
+    """
+    path = Path(home, MANIFESTS, name)
+    log = json.loads(path.read_text(encoding="utf-8"))
+    folder, edited = f"{home}/{log['staging']}", []
+    for e in log["entries"]:
+        text = _staged(folder, e["target"])
+        if not os.path.exists(text):
+            continue  # unchanged, or renamed before
+        if _sha(e["target"]) not in (e.get("previous_sha256"), e["rendered_sha256"]):
+            edited.append(e["target"])
+            continue
+        Path(e["target"]).parent.mkdir(parents=True, exist_ok=True)
+        _rename(text, e["target"])
+    if edited:
+        raise VaultError(f"changed since the plan: {', '.join(edited)}")
+    marked_applied(path)
+    shutil.rmtree(folder, ignore_errors=True)
+    if not any(Path(home, STAGING).glob("*")):
+        shutil.rmtree(Path(home, STAGING), ignore_errors=True)
+
+
+def _rename(staged: str, target: str) -> None:
+    os.replace(staged, target)
+
+
+def recover(home: str) -> list[str]:
+    """Finishes imports that were cut off: rolls planned manifests with staged texts forward, drops texts without one; the manifests' names."""
+    home, done, known = os.path.realpath(home), [], set()
+    for path in sorted(Path(home, MANIFESTS).glob("*.json")):
+        with path.open(encoding="utf-8") as f:
+            first = f.readline().rstrip().removesuffix('"entries": [').rstrip().removesuffix(",")
+        try:
+            head = json.loads(first + "}")
+        except ValueError:
+            continue  # not one of ours
+        if head.get("status") == "planned" and head.get("staging") and Path(home, head["staging"]).is_dir():
+            known.add(Path(home, head["staging"]))
+            finished(home, path.name)
+            done.append(path.name)
+    for folder in Path(home, STAGING).glob("*"):
+        if folder not in known:
+            shutil.rmtree(folder, ignore_errors=True)
+    if Path(home, STAGING).is_dir() and not any(Path(home, STAGING).iterdir()):
+        Path(home, STAGING).rmdir()
+    return done

@@ -486,6 +486,66 @@ def test_vault_import(spark, tmp_path):
         vault_files.apply(vault_files.plan(spark, str(home), [("p", str(src))]), str(home))
 
 
+@pytest.mark.parametrize("renamed", range(4))
+def test_a_vault_import_that_is_cut_off_is_finished(spark, tmp_path, monkeypatch, renamed):
+    from lorescape.sources import vault_files
+
+    home, src = tmp_path / "home", tmp_path / "src"
+    src.mkdir()
+    (src / "a.md").write_text("# A\r\ntext\n")
+    (src / "b.md").write_text("# B\n")
+    home.mkdir()
+    plain, left = vault_files._rename, [renamed]
+
+    def killed(*a):
+        if not left[0]:
+            raise KeyboardInterrupt
+        left[0] -= 1
+        plain(*a)
+
+    monkeypatch.setattr(vault_files, "_rename", killed)
+    with pytest.raises(KeyboardInterrupt):
+        vault_files.apply(vault_files.plan(spark, str(home), [("p", str(src))]), str(home))
+    monkeypatch.undo()
+    there = lambda: {str(p.relative_to(home)) for p in (home / "docs").rglob("*.md")}
+    assert len(there()) == renamed
+    (home / vault_files.STAGING / "left-by-a-run-that-never-planned").mkdir()
+    if renamed == 0:  # somebody writes a target meanwhile: nothing of it is lost
+        (home / "docs/projects/p").mkdir(parents=True)
+        (home / "docs/projects/p/a.md").write_text("by hand")
+        with pytest.raises(VaultError, match="a.md"):
+            vault_files.recover(str(home))
+        assert (home / "docs/projects/p/a.md").read_text() == "by hand"
+        (home / "docs/projects/p/a.md").unlink()
+    assert vault_files.recover(str(home)) == ["000001.json"] and vault_files.recover(str(home)) == []
+    assert there() == {"docs/index.md", "docs/projects/p/index.md", "docs/projects/p/a.md", "docs/projects/p/b.md"} and not (home / vault_files.STAGING).exists()
+    assert {r["action"] for r in vault_files.plan(spark, str(home), [("p", str(src))]).collect()} == {"unchanged"}
+
+
+def test_sessions_end_and_their_state_goes(spark, tmp_path):
+    import time
+
+    from lorescape.streaming.dedup import ended
+
+    rows = [(f"s{i % 3}", i, float(i), "h", 5, 0.0) for i in range(30)]
+    for k, part in enumerate(itertools.batched(rows, 10)):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = deduplicated(stream, 450, keep=20).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    most, until = 0, time.time() + 240
+    while time.time() < until:
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        most = max([most, *state])
+        if most == 3 and state[-1] == 0:
+            break
+        time.sleep(1)
+    q.stop()
+    assert most == 3 and state[-1] == 0
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.where("event_id is not null").count() == 30
+    assert sorted(tuple(r) for r in ended(out).collect()) == [(f"s{i}", 9, 45) for i in range(3)]
+
+
 def test_postings_are_kept_and_searched(spark, tmp_path):
     """After each change the engine's results equal those of a scan, and only documents that hold all trigrams are read."""
     from lorescape.plans.search import search
