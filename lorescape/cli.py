@@ -60,7 +60,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         case "watch":
             from lorescape.streaming.watch import Watcher
 
-            Watcher(spark, args.root, lambda changes: (changes.show(truncate=False), e.reindex(args.root, embed=False))).start().awaitTermination()
+            Watcher(spark, args.root, lambda changes: (changes.show(truncate=False), e.follow(args.root, changes))).start().awaitTermination()
         case "embed":
             done = e.refresh_embeddings()
             print("not configured" if done is None else done.first().asDict())

@@ -161,6 +161,14 @@ class Engine:
             self.refresh_embeddings()
         return self.spark.createDataFrame([row], "indexed long, deleted long, failed long")
 
+    def follow(self, root: str, changes: DataFrame) -> None:
+        """Takes over changes of files (path, change) below a root, as a watcher finds them: only files that are new or modified are read."""
+        some = changes.where("change <> 'deleted'").select("path")
+        listed = markdown.listing(self.spark, root).join(some, "path", "left_semi")
+        with written(markdown.read(markdown.read_contents(listed))) as found:
+            lost = self.table("paths").join(changes.where("change = 'deleted'").select("path"), "path", "left_semi")
+            self._change(found.where("reason is null").drop("reason"), lost.select("doc_id"))
+
     def failures(self, root: str) -> DataFrame:
         return markdown.documents(markdown.files(self.spark, root))[1]
 

@@ -52,3 +52,14 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     finally:
         files.delete(where, True)
         files.cancelDeleteOnExit(where)
+
+
+class Kept:
+    """The rows, written likewise, until their owner drops them."""
+
+    def __init__(self, df: DataFrame):
+        self.rows, self._files, self._where = _written(df)
+
+    def drop(self) -> None:
+        self._files.delete(self._where, True)
+        self._files.cancelDeleteOnExit(self._where)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,9 @@ from lorescape.functions.text import stem
 
 #: Folders of other people's files; fixed values.
 VENDORED = ("venv", "node_modules", "__pycache__")
-
-
-def plain_path(path):
-    """A file's path without a scheme."""
-    return F.regexp_replace(path, "^file:/+", "/")
+#: Levels of folders that are dealt to tasks, and bytes of files that a task holds at once.
+FANNED, BATCH_BYTES = 2, 8 << 20
+WALKED = "path string, mtime double, folder boolean"
 
 
 def included(relative):
@@ -29,20 +29,27 @@ def included(relative):
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative, mtime, content) of the Markdown files below a root; hidden and vendored folders are left out.
 
-    A local root is made canonical first (~, .. and links), so that a file has one path however the root is spelled. Spark lists
-    the folders, but for files and folders whose names begin with "_", which it hides: these are listed by the driver and read on
-    the executors. A symbolic link is listed under its own name, so one that leads out of the root is left out where the
-    driver can tell (a local root).
+    A local root is made canonical first (~, .. and links), and so are files that are links, so that a file has one path however it is
+    spelled; links that lead out of the root, and links to folders, are left out. Roots with a scheme are read by Spark, with its own
+    settings for that file system; Spark doesn't see names there that begin with "_".
     """
+    return read_contents(listing(spark, root))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """The same without contents, for a local root; no file is opened. For others with contents, which Spark reads only if they are asked for."""
     base = canonical(root)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
-    path = plain_path(F.col("path"))
-    prefix = base.removeprefix("file://")
-    relative = F.substring(path, len(prefix) + 2, 1 << 30)
-    rows = rows.select(path.alias("path"), relative.alias("relative"), F.col("modificationTime").cast("double").alias("mtime"), "content")
-    outside = links_out(prefix)
-    rows = rows.unionByName(underscored(spark, base)).where(included(F.col("relative")))
-    return rows.where(~F.col("path").isin(outside)) if outside else rows
+    top = base.removeprefix("file://")
+    if "://" in top:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
+        relative = F.substring("path", len(base) + 2, 1 << 30)
+        return rows.select("path", relative.alias("relative"), F.col("modificationTime").cast("double").alias("mtime"), "content").where(included(F.col("relative")))
+    found = spark.createDataFrame([(top, 0.0, True)], WALKED)
+    for levels in [1] * FANNED + [None]:  # the first levels one by one, so that their folders are dealt to tasks, which go down from there
+        found = found.mapInArrow(partial(_walked, levels=levels), WALKED)
+        found = found.repartition("path") if levels else found
+    walked = found.where("not folder").mapInArrow(partial(_resolved, top=top), "path string, relative string, mtime double")
+    return walked.groupBy("path").agg(F.min("relative").alias("relative"), F.max("mtime").alias("mtime"))
 
 
 def canonical(root: str) -> str:
@@ -53,42 +60,62 @@ def canonical(root: str) -> str:
     return root[: len(root) - len(local)] + os.path.realpath(os.path.expanduser(local))
 
 
-def underscored(spark: SparkSession, base: str) -> DataFrame:
-    """(path, relative, mtime, content) of the Markdown files with a part of their path that begins with "_"."""
-    from pyarrow import fs
-
-    system, top = fs.FileSystem.from_uri(base)
-    names = []
-    if isinstance(system, fs.LocalFileSystem):
-        for folder, _, files in os.walk(top):
-            paths = (os.path.join(folder, f) for f in files if f.endswith(".md"))
-            names += [(p, p[len(top) + 1 :], os.path.getmtime(p)) for p in paths if os.path.exists(p)]
-    else:
-        found = system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
-        names = [(f.path, f.path[len(top) + 1 :], f.mtime_ns / 1e9) for f in found if f.is_file and f.path.endswith(".md")]
-    hidden = [(base + "/" + relative, relative, mtime) for _, relative, mtime in names if any(part.startswith("_") for part in relative.split("/"))]
-    listed = spark.createDataFrame(hidden, "path string, relative string, mtime double")
+def _walked(batches: Iterator[pa.RecordBatch], levels: int | None) -> Iterator[pa.RecordBatch]:
+    """Puts what folders hold in their place, down to so many levels; files pass."""
+    for b in batches:
+        out = []
+        todo = [(p, 0) for p, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist(), strict=True) if folder]
+        while todo:
+            at, depth = todo.pop()
+            if depth == levels:
+                out.append((at, 0.0, True))
+                continue
+            try:
+                with os.scandir(at) as entries:
+                    for e in entries:
+                        if e.name.startswith(".") or e.name in VENDORED:
+                            continue
+                        if e.is_dir(follow_symlinks=False):
+                            todo.append((e.path, depth + 1))
+                        elif e.name.endswith(".md") and e.is_file():
+                            out.append((e.path, e.stat().st_mtime, False))
+            except FileNotFoundError:
+                continue  # gone since its folder was listed
+        yield b.filter(pc.invert(b.column("folder")))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], b.schema.field(i).type) for i in range(3)], names=b.schema.names)
+
+
+def _resolved(batches: Iterator[pa.RecordBatch], top: str) -> Iterator[pa.RecordBatch]:
+    """Files under their canonical names, without those outside the root."""
+    for b in batches:
+        rows = [(os.path.realpath(p), p[len(top) :].lstrip("/"), m) for p, m in zip(b.column("path").to_pylist(), b.column("mtime").to_pylist(), strict=True)]
+        rows = [r for r in rows if r[0].startswith(top.rstrip("/") + "/")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["path", "relative", "mtime"])
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """A listing with the files' contents; those that are gone since then are left out."""
+    if "content" in listed.columns:
+        return listed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            kept, contents, size = [], [], 0
             for i, path in enumerate(b.column("path").to_pylist()):
-                files, where = fs.FileSystem.from_uri(path)
-                with files.open_input_stream(where) as f:
-                    yield b.slice(i, 1).append_column("content", pa.array([f.read()], pa.binary()))
-
-    read = listed.mapInArrow(run, "path string, relative string, mtime double, content binary")
-    return read.withColumn("path", plain_path(F.col("path")))
-
-
-def links_out(root: str) -> list[str]:
-    """Symbolic links below a local root that lead out of it."""
-    real, out = os.path.realpath(root), []
-    for folder, folders, names in os.walk(root) if os.path.isdir(root) else ():
-        for name in [*folders, *names]:
-            path = os.path.join(folder, name)
-            if os.path.islink(path) and not os.path.realpath(path).startswith(real + os.sep):
-                out.append(path)
-    return out
+                try:
+                    with open(path, "rb") as f:
+                        contents.append(f.read())
+                except FileNotFoundError:
+                    continue
+                kept.append(i)
+                size += len(contents[-1])
+                if size > BATCH_BYTES:
+                    yield b.take(pa.array(kept)).append_column("content", pa.array(contents, pa.binary()))
+                    kept, contents, size = [], [], 0
+            if kept:
+                yield b.take(pa.array(kept)).append_column("content", pa.array(contents, pa.binary()))
+
+    return listed.mapInArrow(run, "path string, relative string, mtime double, content binary")
 
 
 def decoded(content):

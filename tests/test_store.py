@@ -390,6 +390,37 @@ def test_watch(spark, notes):
     assert w.poll() and changes == ["added"]  # the change is seen again
 
 
+def test_a_watcher_takes_over_changed_files_alone(spark, notes, tmp_path):
+    e = Engine(spark, str(tmp_path / "w"))
+    e.reindex(str(notes))
+    w = Watcher(spark, str(notes), lambda changes: e.follow(str(notes), changes))
+    (notes / "new.md").write_text("neptunium")
+    (notes / "a.md").write_text("# Alpha\n\nthorium")
+    (notes / "d/b.md").unlink()
+    assert w.poll() and not w.poll()
+    assert {r["path"].removeprefix(str(notes)): r["body"] for r in e.table("documents").collect()} == {"/a.md": "# Alpha\n\nthorium", "/new.md": "neptunium"}
+    assert [s["rows"] for s in e.store.state().of("documents")] == [2, 2] and e.table("embeddings").count() == 0
+
+
+def test_links_and_deep_folders(spark, tmp_path):
+    """A file has one path whatever links lead to it; links out of the root and links to folders aren't followed."""
+    root = tmp_path / "r"
+    deep = root / "a/b/c/d/e"
+    deep.mkdir(parents=True)
+    (deep / "x.md").write_text("deep")
+    (root / "top.md").write_text("top")
+    (root / ".store").mkdir()
+    (root / ".store/kept.md").write_text("kept")
+    (root / "a/alias.md").symlink_to(deep / "x.md")
+    (root / "a/kept.md").symlink_to(root / ".store/kept.md")
+    (root / "again").symlink_to(root / "a")
+    (tmp_path / "out.md").write_text("out")
+    (root / "a/out.md").symlink_to(tmp_path / "out.md")
+    (root / "a/lost.md").symlink_to(tmp_path / "nowhere.md")
+    found = {r["path"].removeprefix(str(root)): bytes(r["content"]) for r in markdown.files(spark, str(root)).collect()}
+    assert found == {"/a/b/c/d/e/x.md": b"deep", "/top.md": b"top", "/.store/kept.md": b"kept"}
+
+
 def test_names_that_spark_hides_are_found(spark, tmp_path):
     root = tmp_path / "r"
     for name in ("a.md", "_b.md", "_drafts/c.md", "d/_e.md", ".hidden/_f.md", "node_modules/_g.md", "_x.txt"):
