@@ -37,6 +37,21 @@ def numbered(rows: DataFrame, after: int, order: Column) -> DataFrame:
     return at.withColumn("_p", part).join(F.broadcast(known), "_p").withColumn("doc_id", F.col("_o") + inside + 1).drop("_m", "_p", "_o")
 
 
+def placed(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, item, place): the distinct items of each group numbered from 0 in order.
+
+    A range shuffle sorts all groups; a place is the offset of a group's part, of which there is a number a partition, plus the place
+    in it. No task sees a group that is larger than a partition.
+    """
+    at = rows.select(group, item).distinct().repartitionByRange(group, item).sortWithinPartitions(group, item)
+    at = durable(at.withColumn("_m", F.monotonically_increasing_id()))  # both uses have to see the same partitions
+    at = at.withColumn("_p", F.shiftright("_m", 33))
+    sizes = at.groupBy(group, "_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    earlier = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    sizes = sizes.select(group, "_p", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return at.join(sizes, [group, "_p"]).select(group, item, (F.col("_m") - F.col("_first") + F.col("_before")).alias("place"))
+
+
 def path_order(path: str = "path") -> Column:
     """Paths as a sorted walk lists them: by their parts, not by their characters."""
     return F.split(path, "/")

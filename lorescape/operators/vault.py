@@ -10,9 +10,12 @@ from lorescape.functions.markdown import backlink_block, managed_block, with_tag
 from lorescape.functions.text import under
 from lorescape.operators import links as graph
 from lorescape.operators.scope import SLUG
+from lorescape.operators.store import placed
 
 ACTIONS = ("create", "update", "unchanged", "conflict")
 GLOBAL_INDEX = "# Global Index\n"
+#: Lines of a part of a long list, and what holds its place in the text around it.
+PART_LINES, SPOT = 10_000, "\x00list\x00"
 
 
 def parse_source(spec: str) -> tuple[str, str]:
@@ -74,12 +77,11 @@ def bullets(link: str = "link") -> Column:
 def hubs(notes: DataFrame, bases: DataFrame) -> DataFrame:
     """A hub for each project: its own index (slug, raw), or a template, with the project's tag and the list of its notes (slug, link).
 
-    A hub lists all notes of a project by nature; it is a text of one row.
+    Each is a text of one row; hub_parts() has them in parts.
     """
     listed = notes.groupBy("slug").agg(bullets().alias("list"))
-    base = F.coalesce("raw", F.concat(F.lit("# "), F.col("slug"), F.lit(" Project Index\n")))
-    tagged = with_tags(base, F.array(F.concat(F.lit("project:"), F.col("slug"))))
-    return bases.join(listed, "slug", "full_outer").select("slug", managed_block(tagged, "notes", F.coalesce("list", F.lit(""))).alias("rendered"))
+    known = hub_bases(bases.join(listed.select("slug"), "slug", "full_outer"))
+    return known.join(listed, "slug", "left").select("slug", managed_block(F.col("raw"), "notes", F.coalesce("list", F.lit(""))).alias("rendered"))
 
 
 def global_index(hub_links: DataFrame, base: str | None) -> DataFrame:
@@ -88,6 +90,36 @@ def global_index(hub_links: DataFrame, base: str | None) -> DataFrame:
     return listed.select(managed_block(F.lit(base if base is not None else GLOBAL_INDEX), "projects", F.col("list")).alias("rendered"))
 
 
+def in_parts(bases: DataFrame, links: DataFrame, name: str, lines: int = PART_LINES) -> DataFrame:
+    """(slug, part, text): texts (slug, raw) with a list of links (slug, link) in a managed block, in parts of at most so many lines.
+
+    The parts in order, one behind another, are the whole text: what stands before the list is part 0, what stands behind it the last one. However
+    long a list is, no row and no task holds it.
+    """
+    listed = placed(links, "slug", "link")
+    part = F.floor(F.col("place") / lines)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "link"))), lambda x: F.concat(F.lit("- [["), x["link"], F.lit("]]"))), "\n")
+    body = listed.groupBy("slug", part.alias("at")).agg(text.alias("text"))  # at most so many lines a row
+    body = body.select("slug", (F.col("at") + 1).alias("part"), F.concat(F.when(F.col("at") > 0, "\n").otherwise(""), F.col("text")).alias("text"))
+    count = body.groupBy("slug").agg(F.max("part").alias("parts"))
+    framed = bases.join(count, "slug", "left").withColumn("frame", managed_block(F.col("raw"), name, F.when(F.col("parts").isNull(), "").otherwise(SPOT)))
+    ends = framed.select("slug", F.coalesce("parts", F.lit(0)).alias("parts"), F.split("frame", SPOT).alias("ends"))
+    head = ends.select("slug", F.lit(0).cast("long").alias("part"), F.get("ends", F.lit(0)).alias("text"))
+    tail = ends.select("slug", (F.col("parts") + 1).alias("part"), F.coalesce(F.get("ends", F.lit(1)), F.lit("")).alias("text"))
+    return head.unionByName(body).unionByName(tail.where("text <> ''"))
+
+
+def hub_bases(bases: DataFrame) -> DataFrame:
+    """(slug, raw): each project's own index, or a template, with the project's tag."""
+    base = F.coalesce("raw", F.concat(F.lit("# "), F.col("slug"), F.lit(" Project Index\n")))
+    return bases.select("slug", with_tags(base, F.array(F.concat(F.lit("project:"), F.col("slug")))).alias("raw"))
+
+
+def hub_parts(notes: DataFrame, bases: DataFrame, lines: int = PART_LINES) -> DataFrame:
+    """hubs() in parts, for projects of any size: slug, part, text."""
+    return in_parts(hub_bases(bases), notes, "notes", lines)
+
+
 def skipped(all_files: DataFrame, included: DataFrame) -> DataFrame:
     """Files of a source that the scan leaves out."""
     return all_files.select("path").join(included.select("path"), "path", "left_anti")

@@ -268,6 +268,12 @@ def embed_pending(spark, d):
     return semantic.pending(chunks, emb, MODEL).select("content_hash")
 
 
+@query(f"with {CHUNKS} select doc_id, count(*) vectors from chunk join emb using (content_hash) where model = '{MODEL}' group by doc_id")
+def chunk_vectors(spark, d):
+    chunks, emb = chunk_store(spark, d)
+    return semantic.chunk_vectors(chunks, emb, MODEL).groupBy("doc_id").agg(F.count("vector").alias("vectors"))
+
+
 @query(f"with {CHUNKS} select count(*) filter (content_hash in (select content_hash from chunk)) kept, count(*) filter (content_hash not in (select content_hash from chunk)) orphans from emb")
 def embed_prune(spark, d):
     chunks, emb = chunk_store(spark, d)
@@ -478,6 +484,14 @@ def usage_totals(spark, d):
     return usage.totals(usage.report(corpus(spark, d), usage.counted(retrievals(spark, d))))
 
 
+@query("select event_id % (select count(*) from documents) doc_id, count(*) retrieved_count, strftime(max(ts), '%Y-%m-%dT%H:%M:%S+00:00') last_retrieved_at from events where event_type in ('view', 'click') group by 1")
+def usage_recorded(spark, d):
+    n = _table(spark, d, "documents").count()
+    more = _table(spark, d, "events").where("event_type = 'click'").select((F.col("event_id") % n).alias("doc_id"), F.col("ts").cast("timestamp").alias("retrieved_at"))
+    both = usage.recorded(usage.counted(retrievals(spark, d)), more)
+    return both.withColumn("last_retrieved_at", text.timestamp_text(F.col("last_retrieved_at")))
+
+
 @query("select event_id, case when event_id % 4 = 0 then 0 when event_id % 4 = 1 then 0 when event_id % 4 = 2 then event_id else 0 end::bigint n from events")
 def usage_corrupt_counts(spark, d):
     raw = F.when(F.col("event_id") % 4 == 0, "corrupt").when(F.col("event_id") % 4 == 1, F.concat(F.lit("-"), F.col("event_id"))).when(F.col("event_id") % 4 == 2, F.col("event_id").cast("string"))
@@ -664,6 +678,34 @@ def vault_hubs(spark, d):
     return vault.hubs(notes, bases).select("slug", text.sha256(F.col("rendered")).alias("sha"))
 
 
+HUB = "'---' || chr(10) || 'title: ' || source || ' Project Index' || chr(10) || 'tags:' || chr(10) || '  - project:' || source || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || ' Project Index' || chr(10) || chr(10) || '<!-- lorescape:notes -->' || chr(10)"
+
+
+@query(
+    f"""with l as (select source, link, row_number() over (partition by source order by link) - 1 place from (select source, 'projects/' || source || '/doc-' || doc_id link from documents)),
+  b as (select source slug, place // 16 + 1 part, case when place // 16 > 0 then chr(10) else '' end || string_agg('- [[' || link || ']]', chr(10) order by place) t from l group by source, place // 16)
+  select slug, part, sha256(t) sha from b union all select distinct source, 0, sha256({HUB}) from documents
+  union all select slug, max(part) + 1, sha256(chr(10) || '<!-- /lorescape:notes -->' || chr(10)) from b group by slug"""
+)
+def vault_hub_parts(spark, d):
+    docs = _table(spark, d, "documents")
+    notes = docs.select(F.col("source").alias("slug"), vault.note_link(F.col("source"), F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".md"))).alias("link"))
+    bases = docs.select(F.col("source").alias("slug"), F.lit(None).cast("string").alias("raw")).distinct()
+    return vault.hub_parts(notes, bases, 16).select("slug", "part", text.sha256(F.col("text")).alias("sha"))
+
+
+@query("select sha256('# Global Index' || chr(10) || chr(10) || '<!-- lorescape:projects -->' || chr(10) || string_agg('- [[projects/' || source || '/index]]', chr(10) order by 'projects/' || source || '/index') || chr(10) || '<!-- /lorescape:projects -->' || chr(10)) sha from (select distinct source from documents)")
+def vault_global_index(spark, d):
+    hubs = _table(spark, d, "documents").select(F.concat(F.lit("projects/"), F.col("source"), F.lit("/index")).alias("link"))
+    return vault.global_index(hubs, None).select(text.sha256(F.col("rendered")).alias("sha"))
+
+
+@query(f"with {CORPUS} select path from corpus where doc_id % 4 = 0")
+def vault_skipped(spark, d):
+    docs = corpus(spark, d)
+    return vault.skipped(docs, docs.where("doc_id % 4 <> 0"))
+
+
 # sessions
 
 

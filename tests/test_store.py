@@ -170,6 +170,17 @@ def test_manifests(spark, tmp_path):
     assert [(r["target"], r["last_sha"]) for r in vault.owned_state(json_files.manifest_entries(spark, str(tmp_path))).collect()] == [("t", "3")]
 
 
+def test_lists_in_parts_are_the_whole_texts(spark):
+    r = random.Random(6)
+    notes = spark.createDataFrame([(s, f"projects/{s}/{r.randrange(500)}") for s, n in (("big", 300), ("p", 4), ("q", 5)) for _ in range(n)], "slug string, link string")
+    bases = spark.createDataFrame([("big", None), ("p", "---\ntitle: x\n---\n<!-- lorescape:notes -->\nold\n<!-- /lorescape:notes -->\nbehind\n"), ("q", "# own"), ("none", None)], "slug string, raw string")
+    whole = {x["slug"]: x["rendered"] for x in vault.hubs(notes, bases).collect()}
+    for lines in (1, 4, 1000):
+        parts = vault.hub_parts(notes, bases, lines).orderBy("slug", "part").collect()
+        got = {s: "".join(x["text"] for x in rows) for s, rows in itertools.groupby(parts, key=lambda x: x["slug"])}
+        assert got == whole and max(x["text"].count("[[") for x in parts) <= lines
+
+
 # sessions
 
 
