@@ -1,4 +1,4 @@
-"""Markdown with frontmatter: parsing with built-in functions, and the rewriting of tags and managed blocks."""
+"""Markdown with frontmatter: parsing in one Arrow pass, links with built-in functions, and the rewriting of tags and managed blocks."""
 
 from __future__ import annotations
 
@@ -6,59 +6,64 @@ from collections.abc import Iterator, Sequence
 from itertools import takewhile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from lorescape.functions.text import condensed, lines, stem, strip  # noqa: F401
+from lorescape.functions.text import strip
 
 DELIMITER = "---"
 LINK = r"\[\[([^\[\]]+?)\]\]"
 FENCED, INLINE = r"(?s)```.*?```", r"`[^`\n]*`"
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+PARSED = pa.struct([("title", pa.string()), ("tags", pa.list_(pa.string())), ("body", pa.string())])
 
 
-def _closing(rows: Column) -> Column:
-    """Place (from 0) of the line that ends the frontmatter; -1 if there is no frontmatter or it doesn't end."""
-    rest = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(DELIMITER)) & (strip(x) == DELIMITER))
-    found = F.array_position(rest, True)
-    return F.when((F.size(rows) >= 2) & (strip(F.get(rows, F.lit(0))) == DELIMITER) & (found > 0), found.cast("int")).otherwise(-1)
+def front_and_rest(rows: list[str]) -> tuple[list[str] | None, list[str]]:
+    """The lines of the frontmatter, or None if there is none or it doesn't end, and the lines behind it."""
+    if rows and rows[0].strip() == DELIMITER:
+        end = next((i for i, row in enumerate(rows[1:], 1) if row.strip() == DELIMITER), None)
+        if end is not None:
+            return rows[1:end], rows[end + 1 :]
+    return None, rows
 
 
-def _field(row: Column) -> Column:
-    """The lower-case key and the value of a frontmatter line."""
-    return F.struct(F.lower(strip(F.substring_index(row, ":", 1))).alias("key"), strip(F.substring(row, F.locate(":", row) + 1, F.length(row))).alias("value"))
+def front_fields(front: list[str]) -> dict[str, tuple[str, int]]:
+    """The fields by lower-case key, each with its value and its line; the last one of a key counts."""
+    split = ((row.partition(":"), i) for i, row in enumerate(front))
+    return {key.strip().lower(): (value.strip(), i) for (key, colon, value), i in split if colon}
 
 
-def unquoted(tag: Column) -> Column:
-    t = strip(tag)
-    quoted = (F.char_length(t) >= 2) & F.substring(t, 1, 1).isin('"', "'") & (F.substring(t, 1, 1) == F.substring(t, -1, 1))
-    return F.when(quoted, strip(F.substring(t, F.lit(2), F.char_length(t) - 2))).otherwise(t)
+def tags_of(front: list[str]) -> list[str]:
+    """The tags of the field of that name: a list on its line, or the "- " lines that follow an empty one."""
+    value, at = front_fields(front).get("tags", ("[]", 0))
+    if value:
+        items = value.removeprefix("[").removesuffix("]").split(",")
+    else:
+        items = [x[2:] for x in takewhile(lambda x: x.startswith("- "), map(str.strip, front[at + 1 :]))]
+    return [t for t in map(_bare, items) if t]
 
 
-def _tags(value: Column, following: Column) -> Column:
-    """Tags of a field's value, or of the "- " lines that follow an empty one."""
-    inline = F.transform(F.split(F.regexp_replace(F.regexp_replace(value, r"^\[", ""), r"\]$", ""), ","), unquoted)
-    items = F.transform(following, strip)
-    stop = F.array_position(F.transform(items, lambda x: F.startswith(x, F.lit("- "))), False)
-    block = F.when(stop > 0, F.slice(items, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(items)
-    block = F.transform(block, lambda x: unquoted(F.substring(x, F.lit(3), F.length(x))))
-    return F.filter(F.when(value == "", block).otherwise(inline), lambda t: t != "")
+def heading_title(rows: list[str]) -> str:
+    """The first line that begins with "# ", without it; empty if there is none."""
+    return next((x.strip()[2:].strip() for x in rows if "# " in x and x.strip().startswith("# ")), "")
 
 
-def heading_title(body: Column) -> Column:
-    """The first line that begins with "# ", without it; null if there is none."""
-    return _title_of(lines(body))
+def document(raw: str) -> dict:
+    """Title, tags and body of a Markdown text; the title is empty where only the file's name can give it."""
+    rows = raw.splitlines()
+    front, rest = front_and_rest(rows)
+    named = front_fields(front).get("title", ("", 0))[0] if front is not None else ""
+    body = raw if rest is rows and not (rows and rows[0].strip() == DELIMITER) else "\n".join(rest)
+    return {"title": named or heading_title(rest), "tags": tags_of(front) if front is not None else [], "body": body.strip()}
 
 
-def _title_of(rows: Column) -> Column:
-    # strip() costs most, so lines without a mark at all are left out first
-    marked = F.filter(rows, lambda x: F.contains(x, F.lit("# ")))
-    found = F.filter(F.transform(marked, strip), lambda x: F.startswith(x, F.lit("# ")))
-    return _let(found, lambda found: F.when(F.size(found) > 0, strip(F.substring(F.get(found, F.lit(0)), 3, 1 << 30))))
+@F.arrow_udf(StructType().add("title", StringType()).add("tags", ArrayType(StringType())).add("body", StringType()))
+def parsed(raw: pa.Array) -> pa.Array:
+    """document() for a column, in one pass over each text; null for null."""
+    return pa.array([None if t is None else document(t) for t in raw.to_pylist()], PARSED)
 
 
 @F.pandas_udf(StringType())
@@ -68,35 +73,6 @@ def title_case(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda s: None if s is None else s.replace("-", " ").replace("_", " ").title())
 
 
-def parsed(raw: Column, path: Column) -> Column:
-    """A struct (title, tags, body) of a Markdown text; title is empty where only the file's name can give it."""
-
-    def of(rows: Column) -> Column:
-        end = _closing(rows)
-
-        def with_end(end: Column) -> Column:
-            head = F.slice(rows, F.lit(2), F.greatest(end - 1, F.lit(0)))
-            fields = F.filter(F.transform(head, lambda x, i: F.struct(F.contains(x, F.lit(":")).alias("is"), _field(x).alias("f"), i.alias("i"))), lambda x: x["is"])
-            titles = F.filter(fields, lambda x: x["f"]["key"] == "title")
-            tags = F.filter(fields, lambda x: x["f"]["key"] == "tags")
-            body = F.when(end > 0, F.array_join(F.slice(rows, end + 2, F.greatest(F.size(rows) - end - 1, F.lit(0))), "\n")).otherwise(F.array_join(rows, "\n"))
-            last = F.when(F.size(tags) > 0, F.element_at(tags, -1))
-            after = F.slice(head, last["i"] + 2, F.greatest(F.size(head) - last["i"] - 1, F.lit(0)))
-            named = F.when((end > 0) & (F.size(titles) > 0), F.element_at(titles, -1)["f"]["value"]).otherwise("")
-            tag_list = F.when((end > 0) & (F.size(tags) > 0), _tags(last["f"]["value"], after)).otherwise(F.array().cast("array<string>"))
-            # without complete frontmatter the title is sought in the whole text
-            title = F.when(named != "", named).otherwise(F.coalesce(heading_title(body), F.lit("")))
-            return F.struct(title.alias("title"), tag_list.alias("tags"), strip(body).alias("body"))
-
-        return _let(end, with_end)
-
-    def either(rows: Column) -> Column:
-        plain = F.struct(F.coalesce(_title_of(rows), F.lit("")).alias("title"), F.array().cast("array<string>").alias("tags"), strip(raw).alias("body"))
-        return F.when((F.size(rows) >= 2) & (strip(F.get(rows, F.lit(0))) == DELIMITER), of(rows)).otherwise(plain)
-
-    return _let(lines(raw), either)
-
-
 def wikilinks(body: Column) -> Column:
     """Distinct link targets in the order of their first appearance; links in code don't count."""
     scrubbed = F.regexp_replace(F.regexp_replace(body, FENCED, " "), INLINE, " ")

@@ -516,7 +516,7 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).select("doc_id", markdown.parsed(F.col("raw"), F.lit("")).alias("p"))
+    return _raw(spark, d).select("doc_id", markdown.parsed(F.col("raw")).alias("p"))
 
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

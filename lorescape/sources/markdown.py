@@ -126,7 +126,7 @@ def decoded(content):
 def read(files: DataFrame) -> DataFrame:
     """The files' documents in one pass: path, title, tags, body and reason, which is null unless the file can't be read."""
     rows = files.withColumn("raw", decoded(F.col("content")))
-    rows = rows.select("path", F.col("raw").isNull().alias("bad"), parsed(F.coalesce("raw", F.lit("")), F.col("path")).alias("d"))
+    rows = rows.select("path", F.col("raw").isNull().alias("bad"), parsed(F.coalesce("raw", F.lit(""))).alias("d"))
     title = F.when(F.col("d.title") != "", F.col("d.title")).otherwise(title_case(stem(F.col("path"))))
     return rows.select("path", title.alias("title"), "d.tags", "d.body", F.when(F.col("bad"), "not UTF-8").alias("reason"))
 

@@ -76,7 +76,7 @@ RAW = {
 
 
 def test_frontmatter(spark):
-    got = column(spark, list(RAW), lambda c: markdown.parsed(c, F.lit("")))
+    got = column(spark, list(RAW), markdown.parsed)
     assert [(r["title"], r["tags"], r["body"]) for r in got] == list(RAW.values())
 
 
