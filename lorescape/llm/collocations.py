@@ -18,7 +18,6 @@ length are taken whole, in one segment; an empty table gives an empty result. Ot
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,12 +30,15 @@ from pyspark.sql import functions as F
 from lorescape.llm.shared import Scratch, saved, slices, small_batches
 
 UNKNOWN = "und"
-PIECES = re.compile(rb"[.,;:!?\x0A-\x0D]+")
+#: A-Z in lower case, and a line feed for all that ends a piece.
+FOLDED = bytes(0x0A if x in b".,;:!?\x0a\x0b\x0c\x0d" else x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
 LONGEST, LEAST, SCALE, SHARE, TOP = 3, 10, 1_000_000, 50, 2000
 #: Words of a segment, and rows of a batch that leaves it.
-SEGMENT, ROWS = 1_000_000, 20_000
+SEGMENT, ROWS = 500_000, 20_000
 #: Bits of a bitmap, as powers of 2, for words and for longer phrases.
 WORD_BITS, PHRASE_BITS = 24, 26
+#: A phrase's checksum is a polynomial, modulo a power of 2, of its words' checksums; all numbers stay below 2 ** 63.
+FACTOR, MASK = 1_103_515_245, (1 << 31) - 1
 
 COUNTS = "lang string, phrase string, f long"
 
@@ -47,7 +49,7 @@ class Segment:
     def __init__(self, lang: str, texts: list[bytes]):
         self.lang, words, sizes = lang.encode(), [], []
         for text in texts:
-            for piece in PIECES.split(text.lower()):  # of bytes: A-Z alone
+            for piece in text.translate(FOLDED).split(b"\n"):
                 found = piece.split()
                 if found:
                     words += found
@@ -59,34 +61,41 @@ class Segment:
         self.place = np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)
 
     def lists(self, length: int, bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The phrases of a length with their lists: names, the phrase of each occurrence, and where it begins."""
+        """The phrases of a length with their lists: names, the phrase of each occurrence, and where it begins (in ascending order)."""
         names, of, start = self.names, self.word, self.place
         if length == 1:
             return names, of, start
-        names, of, start = self.frequent(names, of, start, bitmaps[0])
-        postings, words, own = start, of, names
+        sums = np.fromiter(map(zlib.crc32, names), dtype=np.int64, count=len(names))
+        check = following(np.int64(zlib.crc32(self.lang)) & MASK, sums)[of]
+        kept = known(bitmaps[0], check)
+        of, start, check = of[kept], start[kept], check[kept]
+        postings, words, last = start, of, np.arange(len(start))  # last: the posting of a phrase's last word
         for k in range(1, length):
-            # the merge join: a phrase's occurrences, moved by its length, with the adjacent words' postings
-            at = np.minimum(np.searchsorted(postings, start + k), max(0, len(postings) - 1))
-            met = postings[at] == start + k if len(postings) else np.zeros(0, dtype=bool)
-            if k > 1:
-                rest = np.minimum(np.searchsorted(start, start + 1), max(0, len(start) - 1))
-                met &= start[rest] == start + 1  # what remains without the first word is frequent, too
-            both, list_of = np.unique(of[met] * len(own) + words[at[met]], return_inverse=True)
-            names = [names[i] + b" " + own[j] for i, j in zip((both // max(1, len(own))).tolist(), (both % max(1, len(own))).tolist(), strict=True)]
-            of, start = list_of, start[met]
+            # the merge join: a phrase's occurrences, moved by its length, with the postings behind those of its last word
+            then = np.minimum(last + 1, len(postings) - 1)
+            met = postings[then] == start + k
+            if k > 1:  # what remains without the first word is frequent, too
+                met[:-1] &= start[1:] == start[:-1] + 1
+                met[-1:] = False
+            of, start, last, check = of[met], start[met], then[met], check[met]
+            check = following(check, sums[words[last]])
             if k + 1 < length:
-                names, of, start = self.frequent(names, of, start, bitmaps[k])
+                kept = known(bitmaps[k], check)
+                of, start, last, check = of[kept], start[kept], last[kept], check[kept]
+            both, of = np.unique(of * len(self.names) + words[last], return_inverse=True)
+            names = [names[i] + b" " + self.names[j] for i, j in zip((both // max(1, len(self.names))).tolist(), (both % max(1, len(self.names))).tolist(), strict=True)]
         return names, of, start
 
-    def frequent(self, names: list[bytes], of: np.ndarray, start: np.ndarray, bitmap: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The lists of those phrases that the bitmap knows."""
-        before = zlib.crc32(self.lang + b" ")
-        bits = np.fromiter((zlib.crc32(x, before) for x in names), dtype=np.int64, count=len(names)) & (64 * len(bitmap) - 1)
-        kept = (bitmap[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        number = np.cumsum(kept) - 1
-        some = kept[of]
-        return [names[i] for i in np.flatnonzero(kept)], number[of[some]], start[some]
+
+def following(check: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The checksum of a phrase and a word behind it."""
+    return (check * FACTOR + word) & MASK
+
+
+def known(bitmap: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which checksums have their bit in a bitmap."""
+    bit = check & (64 * len(bitmap) - 1)
+    return (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def counted(docs: DataFrame, length: int, bitmaps: list[np.ndarray]) -> DataFrame:
@@ -120,7 +129,9 @@ def counted(docs: DataFrame, length: int, bitmaps: list[np.ndarray]) -> DataFram
 
 def bitmap(frequent: DataFrame, power: int) -> np.ndarray:
     """A bit for the checksum of each phrase; at most 2 ** (power - 6) numbers come to the driver."""
-    bit = F.crc32(F.concat("lang", F.lit(" "), "phrase").cast("binary")).bitwiseAND(F.lit((1 << power) - 1))
+    sums = F.transform(F.split("phrase", " "), lambda w: F.crc32(w.cast("binary")))
+    check = F.aggregate(sums, F.crc32(F.col("lang").cast("binary")).bitwiseAND(F.lit(MASK)), lambda check, word: (check * F.lit(FACTOR) + word).bitwiseAND(F.lit(MASK)))
+    bit = check.bitwiseAND(F.lit((1 << power) - 1))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = frequent.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(1 << (power - 6), dtype=np.uint64)
