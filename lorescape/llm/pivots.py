@@ -42,7 +42,7 @@ PREFIX, SHARED = 12, 2
 #: Pivots for n nodes: PIVOT_FACTOR * sqrt(n), of which a sample twice as large comes to the driver, in at most SAMPLE_BYTES.
 PIVOT_FACTOR, FEWEST, SAMPLE_BYTES = 4, 32, 64 << 20
 CHUNK = 4096
-#: Cells of the table of counts that a task holds at once.
+#: Cells of a table of counts or products that a task holds at once.
 COUNTS = 1 << 22
 #: What rounding may do to an angle.
 SLACK = 1e-6
@@ -105,9 +105,8 @@ def placed(nodes: DataFrame, pivots: np.ndarray, prefix: int, least: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, half = given.value, math.acos(least) / 2 - SLACK
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(1, COUNTS // len(p))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             near = matrix(b.column("v").to_pylist(), p.shape[1])[:, : p.shape[1]] @ p.T
             first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
             order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
