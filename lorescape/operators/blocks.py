@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,21 +12,21 @@ from lorescape.operators.postings import token_grams
 from lorescape.segments import FEW, State, Store, opened
 
 
-def holding(store: Store, state: State, token: str) -> DataFrame:
+#: Postings of a token from which on it pays to ask for the blocks of its rarest gram first.
+WORTH = 1_000_000
+
+
+def holding(store: Store, state: State, lists: DataFrame, sizes: dict[str, int], token: str) -> DataFrame:
     """(doc_id) of the documents that hold all trigrams of a token: a superset of those that hold it, or equal for one trigram.
 
-    The sizes of the grams' lists come first. The other grams' lists are read in the blocks of the rarest one only, as a filter that Parquet
-    can use where these blocks are few; within a block the shortest lists are intersected first.
+    lists: the raw postings; sizes: how long the lists of its grams are. Where they are long, the other grams' lists are read in the blocks of the rarest one
+    only, as a filter that Parquet can use if these blocks are few; within a block the shortest lists are intersected first.
     """
     wanted = token_grams(token)
-    lists = store.raw("postings", state)
-    if lists is None:
+    if any(g not in sizes for g in wanted):
         return store.spark.createDataFrame([], "doc_id long")
     lists = lists.where(F.col("gram").isin(wanted))
-    sizes = {r["gram"]: r["n"] for r in lists.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row a gram
-    if len(sizes) < len(wanted):
-        return store.spark.createDataFrame([], "doc_id long")
-    if len(wanted) > 1:
+    if len(wanted) > 1 and sum(sizes[g] for g in wanted) > WORTH:
         rarest = min(wanted, key=lambda g: (sizes[g], g))
         blocks = [r[0] for r in lists.where(F.col("gram") == rarest).select("block").distinct().limit(FEW + 1).collect()]
         if len(blocks) <= FEW:
@@ -39,13 +41,18 @@ def holding(store: Store, state: State, token: str) -> DataFrame:
 def matching(store: Store, state: State, wanted: list[str]) -> tuple[lexical.Statistics, DataFrame]:
     """A query's statistics, exact, and the documents that may hold all its tokens, read from the files that have such documents."""
     distinct = list(dict.fromkeys(wanted))
-    some = {t: holding(store, state, t) for t in distinct}
-    counts = {}
-    for t, ids in some.items():
-        # the only gram of a token is the token; else the documents say whether its grams stand in a row
-        counts[t] = ids.count() if len(t) == lexical.SHORTEST else store.at(ids, state).agg(F.count_if(lexical.holds(t))).first()[0]
-    ids = some[distinct[0]]
-    for t in distinct[1:]:
-        ids = ids.join(some[t], "doc_id", "left_semi")
     mean = state.length / state.documents if state.documents else 0.0
-    return lexical.Statistics(state.documents, mean, counts), store.at(ids, state)
+    lists = store.raw("postings", state)
+    if lists is None:
+        return lexical.Statistics(state.documents, mean, dict.fromkeys(distinct, 0)), store.rows("documents", state)
+    grams = sorted({g for t in distinct for g in token_grams(t)})
+    sizes = {r["gram"]: r["n"] for r in lists.where(F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row a gram
+    some = {t: holding(store, state, lists, sizes, t) for t in distinct}
+    # the only gram of a token is the token; else the documents say whether its grams stand in a row
+    counts = {t: ids.count() for t, ids in some.items() if len(t) == lexical.SHORTEST}
+    if long := [t for t in distinct if t not in counts]:
+        ids = reduce(DataFrame.union, [some[t] for t in long])
+        row = store.at(ids.distinct() if len(long) > 1 else ids, state).agg(*[F.count_if(lexical.holds(t)).alias(f"n{i}") for i, t in enumerate(long)]).first()
+        counts |= {t: row[f"n{i}"] for i, t in enumerate(long)}
+    ids = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), [some[t] for t in distinct])
+    return lexical.Statistics(state.documents, mean, {t: counts[t] for t in distinct}), store.at(ids, state)
