@@ -79,23 +79,19 @@ def anchors(units: Column, k: int = K, s: int = S) -> Column:
         return m
 
     def of(words: Column) -> Column:
-        def with_hashes(h: Column) -> Column:
-            g = h
-            for extra in range(1, s):
-                n = F.size(h) - extra
-                g = F.zip_with(_from(g, 0, n), _from(h, extra, n), lambda a, b: F.xxhash64(a, b))
-
-            def with_inner(g: Column) -> Column:
-                def chosen(x: Column, i: Column) -> Column:
-                    parts = [F.get(g, i + j) for j in range(0, inner, s)] + ([F.get(g, i + inner - 1)] if (inner - 1) % s else [])
-                    hit = (x == F.get(g, i)) | (x == F.get(g, i + inner - 1))
-                    return F.when(hit, F.struct(i.alias("at"), F.xxhash64(*parts).alias("hash")))
-
-                return F.array_compact(F.transform(smallest(g, F.size(g)), chosen))
-
-            return let(g, with_inner)
-
-        return F.when(F.size(words) >= k, let(F.transform(words, lambda w: F.xxhash64(w)), with_hashes)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+        def with_stretches(g: Column) -> Column:
+            def chosen(x: Column, i: Column) -> Column:
+                parts = [F.get(g, i + j) for j in range(0, inner, s)] + ([F.get(g, i + inner - 1)] if (inner - 1) % s else [])
+                hit = (x == F.get(g, i)) | (x == F.get(g, i + inner - 1))
+                return F.when(hit, F.struct(i.alias("at"), F.xxhash64(*parts).alias("hash")))
+
+            return F.array_compact(F.transform(smallest(g, F.size(g)), chosen))
+
+        g = words if s > 1 else F.transform(words, lambda w: F.xxhash64(w))
+        for extra in range(1, s):  # hashes of inner stretches, a unit longer at a time
+            n = F.size(words) - extra
+            g = F.zip_with(_from(g, 0, n), _from(words, extra, n), lambda a, b: F.xxhash64(a, b))
+        return F.when(F.size(words) >= k, let(g, with_stretches)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
     return let(units, of)
 

@@ -33,8 +33,7 @@ def units(text):
 
 def brute(units, k, s=syncmers.S):
     """(place, hash) of all closed syncmers by their definition."""
-    h = [hashed(u) for u in units]
-    inner = [hashed(*h[i : i + s]) if s > 1 else h[i] for i in range(len(h) - s + 1)]
+    inner = [hashed(*units[i : i + s]) for i in range(len(units) - s + 1)]
     out = []
     for i in range(len(units) - k + 1):
         mine = [signed(x) for x in inner[i : i + k - s + 1]]
