@@ -1,15 +1,27 @@
-"""The passage of a document that answers a query best: its chunk with most distinct tokens, cut around the first one."""
+"""The passage of a document that answers a query best: its chunk with most distinct tokens, cut around the first one.
+
+A document without chunks is quoted as the full-text index would quote it: the window of its body with most distinct phrases. Either
+is made for the documents that are shown, no others.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorescape.functions.text import condensed
 
 CHARS, LEAD = 220, 40
+#: Trigrams of a window, and what stands for text that is left out.
+GRAMS, LEFT_OUT = 18, " ... "
+#: What the first occurrence of a phrase counts in a window, a repeated one counting 1, and what a window gains that begins the text or a sentence.
+FRESH, OPENING, SENTENCE = 1000, 120, 100
+SENTENCE_END = re.compile(r"[.:][ \t\n\r]+")
 
 
 def matched(text: Column, tokens: Sequence[str]) -> Column:
@@ -42,9 +54,60 @@ def rendered(heading: Column, text: Column, tokens: Sequence[str]) -> Column:
     return F.when(heading == "", excerpt(text, tokens)).otherwise(F.concat(heading, F.lit(" — "), excerpt(bare, tokens)))
 
 
-def body_snippet(body: Column, tokens: Sequence[str]) -> Column:
-    """What stands for a document without chunks: about twenty characters around the first token."""
-    line = condensed(body)
-    places = [F.nullif(F.instr(F.lower(line), t), F.lit(0)) for t in tokens]
-    start = F.greatest(F.lit(0), F.coalesce(F.array_min(F.array(*places)) - 1 if places else None, F.lit(0)) - 6)
-    return F.concat(F.when(start > 0, " ... ").otherwise(""), F.substring(line, start + 1, F.lit(20)), F.when(start + 20 < F.char_length(line), " ... ").otherwise(""))
+def _folded(text: str) -> str:
+    """The text in lower case, code point by code point, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
+def _places(text: str, phrase: str) -> Iterator[int]:
+    at = text.find(phrase)
+    while at >= 0:
+        yield at
+        at = text.find(phrase, at + 1)
+
+
+def quoted(text: str, phrases: Sequence[str]) -> str:
+    """The window of GRAMS trigrams that SQLite's snippet() takes from a text for these phrases, on both sides of which others may be left out.
+
+    For each occurrence two windows are weighed: the one that begins there, which is then moved until its phrases lie in the middle, and the one that
+    begins with the sentence. The first of the best wins; a text without any of the phrases is quoted from its beginning. Place i
+    is that of the trigram which begins with code point i.
+    """
+    size = max(0, len(text) - 2)
+    folded = _folded(text)
+    hits = sorted((at, k) for k, p in enumerate(phrases) for at in _places(folded, p))
+    starts = [0, *(i for m in SENTENCE_END.finditer(text) for i in range(m.start() + 2, m.end() + 1))]
+
+    def inside(start: int) -> list[tuple[int, int]]:
+        return hits[bisect_left(hits, (start,)) : bisect_left(hits, (start + GRAMS,))]
+
+    def worth(found: list[tuple[int, int]]) -> int:
+        fresh = len({k for _, k in found})
+        return FRESH * fresh + len(found) - fresh
+
+    best, start = 0, 0
+    for at, _ in hits:
+        found = inside(at)
+        if worth(found) > best:
+            last, k = found[-1]
+            span = last + len(phrases[k]) - 2 - at
+            best, start = worth(found), max(0, min(at - int((GRAMS - span) / 2), size - GRAMS))
+        sentence = starts[bisect_right(starts, at) - 1]
+        if size > GRAMS and sentence < at:
+            gain = SENTENCE if sentence else OPENING
+            if worth(inside(sentence)) + gain > best:
+                best, start = worth(inside(sentence)) + gain, sentence
+    whole = start + GRAMS >= size
+    return (LEFT_OUT if start else "") + (text[start:] if whole else text[start : start + GRAMS + 2] + LEFT_OUT)
+
+
+def body_snippet(body: Column, phrases: Sequence[str]) -> Column:
+    """What stands for a document without chunks: its window; phrases are the query's searchable tokens, repeats kept."""
+    wanted = list(phrases)
+
+    @F.arrow_udf("string")
+    def run(bodies: pa.Array) -> pa.Array:
+        return pa.array([quoted(b or "", wanted) for b in bodies.to_pylist()], pa.string())
+
+    return run(body)

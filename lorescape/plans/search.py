@@ -128,7 +128,8 @@ def search(
     if top is None:
         return corpus.sparkSession.createDataFrame([], RESULT)
     tokens = distinct_tokens(query)
-    top = top.select("rank", "doc_id", "path", "title", tag_text(F.col("tags")).alias("tags"), "bm25", snippets.body_snippet(F.col("body"), tokens).alias("_body"))
+    body = F.when(F.col("bm25") > 0, snippets.body_snippet(F.col("body"), lexical.searchable(query))).otherwise("")  # a vector hit has nothing to quote
+    top = top.select("rank", "doc_id", "path", "title", tag_text(F.col("tags")).alias("tags"), "bm25", body.alias("_body"))
     if chunks is None:
         return top.withColumnRenamed("_body", "snippet").orderBy("rank")
     ids = top.select("doc_id")

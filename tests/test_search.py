@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sqlite3
 
 import pytest
@@ -130,6 +131,39 @@ def test_snippets(spark):
     assert got[1].startswith("H — ") and "needle" in got[2]
 
 
+def test_quotes_equal_sqlite(spark):
+    """Windows of bodies as SQLite's snippet() cuts them: sentences, repeats, overlaps, long phrases, ends, other scripts."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.execute("create virtual table f using fts5(title, body, tokenize='trigram')")
+    except sqlite3.OperationalError:
+        pytest.skip("this SQLite has no trigram index")
+    r = random.Random(3)
+    words = ["tion", "Shed", "ing", "Nation", "stations", "한국어 문서", "Éclair", "x", "internationalisation", "end.", "note:", ".", "a.b", "\n", "\t", "  "]
+    bodies = ["", "ab", "tion", "a tion", "no match at all. " * 4, "TION" * 30, "one: two. tion", ".  tion shed", "tion" + " x" * 40 + " shed"]
+    bodies += [" ".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(400)]
+    queries = ["tion", "tion shed", "ation", "nation ation", "shed tion shed", "éclair", "한국어", "internationalisation ing", "ing tion nation stations"]
+    for q in queries:
+        phrases = lexical.searchable(q)
+        db.execute("delete from f")
+        # every title holds all phrases, so that bodies without them are quoted, too
+        db.executemany("insert into f(rowid, title, body) values (?, ?, ?)", [(i, q, b) for i, b in enumerate(bodies)])
+        want = dict(db.execute("select rowid, snippet(f, 1, '', '', ' ... ', 18) from f where f match ?", (" ".join(f'"{p}"' for p in phrases),)))
+        assert len(want) == len(bodies)
+        assert {i: snippets.quoted(b, phrases) for i, b in enumerate(bodies)} == want
+    df = spark.createDataFrame(list(enumerate([*bodies[:20], None])), "doc_id long, body string")
+    got = {x["doc_id"]: x["s"] for x in df.select("doc_id", snippets.body_snippet(F.col("body"), phrases).alias("s")).collect()}
+    assert got == {i: want[i] for i in range(20)} | {20: ""}
+    # neighbours that share characters but no trigram, where some versions of SQLite repeat text
+    assert snippets.quoted("b " * 30 + "aaaa" + " c" * 30, ["aaa"]) == " ... b b b b aaaa c c c c ... "
+
+
+def test_vector_hits_without_chunks_quote_nothing(spark):
+    df = corpus(spark, [(1, "t", [], "omega in the text"), (2, "t", [], "else")])
+    hits = spark.createDataFrame([(2, 0)], "doc_id long, sem_rank int")
+    assert {x["doc_id"]: x["snippet"] for x in search(df, "omega", hits=hits).collect()} == {1: "omega in the text", 2: ""}
+
+
 def test_postings_equal_a_scan(spark):
     from lorescape.operators import postings
 
