@@ -22,6 +22,8 @@ GRAMS, LEFT_OUT = 18, " ... "
 #: What the first occurrence of a phrase counts in a window, a repeated one counting 1, and what a window gains that begins the text or a sentence.
 FRESH, OPENING, SENTENCE = 1000, 120, 100
 SENTENCE_END = re.compile(r"[.:][ \t\n\r]+")
+#: Code points before the first phrase in a fixed window, and all of them.
+FIXED_LEAD, FIXED = 6, 20
 
 
 def matched(text: Column, tokens: Sequence[str]) -> Column:
@@ -111,3 +113,13 @@ def body_snippet(body: Column, phrases: Sequence[str]) -> Column:
         return pa.array([quoted(b or "", wanted) for b in bodies.to_pylist()], pa.string())
 
     return run(body)
+
+
+def fixed_window(body: Column, phrases: Sequence[str]) -> Column:
+    """A plainer window that SQL can state, for callers that ask for it: FIXED code points of the body on one line, from FIXED_LEAD before the first phrase."""
+    line = F.trim(F.regexp_replace(body, r"[\t\n\f\r ]+", " "))
+    places = [F.nullif(F.instr(F.lower(line), p), F.lit(0)) for p in phrases]
+    first = F.array_min(F.array(*places)) - 1 if places else F.lit(0)
+    start = F.greatest(F.lit(0), F.coalesce(first, F.lit(0)) - FIXED_LEAD)
+    window = F.substring(line, start + 1, F.lit(FIXED))
+    return F.concat(F.when(start > 0, LEFT_OUT).otherwise(""), window, F.when(start + FIXED < F.char_length(line), LEFT_OUT).otherwise(""))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorescape.functions.text import distinct_tokens, tag_text
@@ -118,17 +118,18 @@ def search(
     chunks: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     known: lexical.Statistics | None = None,
     matching: DataFrame | None = None,
+    quote: Callable[[Column, Sequence[str]], Column] = snippets.body_snippet,
 ) -> DataFrame:
     """The best documents for a query: rank from 1, doc_id, path, title, tags, bm25, snippet.
 
     usage: counts (doc_id, retrieved_count); hits: vector hits (doc_id, sem_rank); chunks: for snippets, a table or a
-    function that makes the chunks of some documents (doc_id); known, matching: from postings, instead of a scan.
+    function that makes the chunks of some documents (doc_id); known, matching: from postings, instead of a scan; quote: the window of a body without chunks.
     """
     top = ranked(corpus, query, limit, min_score, usage_weight, tags, project, usage, hits, known, matching)
     if top is None:
         return corpus.sparkSession.createDataFrame([], RESULT)
     tokens = distinct_tokens(query)
-    body = F.when(F.col("bm25") > 0, snippets.body_snippet(F.col("body"), lexical.searchable(query))).otherwise("")  # a vector hit has nothing to quote
+    body = F.when(F.col("bm25") > 0, quote(F.col("body"), lexical.searchable(query))).otherwise("")  # a vector hit has nothing to quote
     top = top.select("rank", "doc_id", "path", "title", tag_text(F.col("tags")).alias("tags"), "bm25", body.alias("_body"))
     if chunks is None:
         return top.withColumnRenamed("_body", "snippet").orderBy("rank")
