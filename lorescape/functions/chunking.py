@@ -1,17 +1,18 @@
 """Chunks of a document: one for each section, under a path of headings, cut to a size.
 
 The rule is sequential, line by line and then paragraph by paragraph, which nested array functions could only interpret at several times the
-cost; so a body is cut in one pass of an Arrow function. Nothing is shuffled.
+cost; so a body is cut in one pass over Arrow batches. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorescape.functions.text import sha256
 
@@ -21,6 +22,8 @@ FENCES = ("```", "~~~")
 BLANK = re.compile(r"\n\s*\n")
 #: Between paragraphs of a chunk.
 GAP = "\n\n"
+#: Characters of a batch that Python gives back, in which each piece counts for so many besides its own.
+BATCH_CHARS, PIECE = 1 << 21, 48
 CHUNKS = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
 
 
@@ -63,14 +66,16 @@ def packed(body: str, budget: int) -> Iterator[str]:
         yield GAP.join(held)
 
 
+def cuts(body: str, cap: int = CAP) -> Iterator[tuple[str, list[str]]]:
+    """Each section's heading and the pieces of its body, which with the heading before each have at most cap characters."""
+    for heading, text in sections(body):
+        prefix = len(heading) + len(GAP) if heading else 0
+        yield heading, [text] if prefix + len(text) <= cap else list(packed(text, max(1, cap - prefix)))
+
+
 def chunked(body: str, cap: int = CAP) -> list[dict[str, str]]:
     """All chunks of a body, whose texts begin with their heading and have at most cap characters."""
-    out = []
-    for heading, text in sections(body):
-        prefix = heading + GAP if heading else ""
-        parts = [text] if len(prefix) + len(text) <= cap else packed(text, max(1, cap - len(prefix)))
-        out += [{"heading": heading, "text": prefix + p} for p in parts]
-    return out
+    return [{"heading": heading, "text": heading + GAP + p if heading else p} for heading, pieces in cuts(body, cap) for p in pieces]
 
 
 def chunks(body: Column, cap: int = CAP) -> Column:
@@ -83,7 +88,38 @@ def chunks(body: Column, cap: int = CAP) -> Column:
     return cut(body)
 
 
+def section_batches(batches: Iterable[pa.RecordBatch], cap: int, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """A row for each section of (doc_id, body): doc_id, ordinal of its first chunk, heading, pieces; of about so many characters a batch."""
+    for batch in batches:
+        ids, bodies = batch.columns
+        held, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            at, starts, headings, pieces = zip(*held, strict=True)
+            return pa.record_batch([ids.take(pa.array(at)), pa.array(starts, pa.int32()), pa.array(headings, pa.string()), pa.array(pieces, pa.list_(pa.string()))], ["doc_id", "start", "heading", "pieces"])
+
+        for i, body in enumerate(bodies):
+            start = 0
+            for heading, pieces in cuts(body.as_py() or "", cap):
+                held.append((i, start, heading, pieces))
+                start += len(pieces)
+                size += len(heading) + sum(map(len, pieces)) + PIECE * len(pieces)
+                if size >= most:
+                    yield made()
+                    held, size = [], 0
+        if held:
+            yield made()
+
+
 def chunk_table(documents: DataFrame, cap: int = CAP) -> DataFrame:
-    """A row for each chunk: doc_id, ordinal, heading, text, content_hash."""
-    rows = documents.select("doc_id", F.posexplode(chunks(F.col("body"), cap)).alias("ordinal", "c"))
-    return rows.select("doc_id", "ordinal", "c.heading", "c.text", sha256(F.col("c.text")).alias("content_hash"))
+    """A row for each chunk: doc_id, ordinal, heading, text, content_hash.
+
+    A path of headings can be longer than the cap, so that each character of the section becomes a chunk with all of the path before it: hundreds of
+    times the text. So Python gives the heading once and the bare pieces, and the texts are put together row by row.
+    """
+    kind = T.StructType([documents.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("pieces", T.ArrayType(T.StringType()))])
+    found = documents.select("doc_id", "body").mapInArrow(lambda batches: section_batches(batches, cap), kind)
+    rows = found.select("doc_id", "start", "heading", F.posexplode("pieces").alias("at", "piece"))
+    text = F.when(F.col("heading") == "", F.col("piece")).otherwise(F.concat("heading", F.lit(GAP), "piece"))
+    rows = rows.select("doc_id", (F.col("start") + F.col("at")).alias("ordinal"), "heading", text.alias("text"))
+    return rows.withColumn("content_hash", sha256(F.col("text")))
