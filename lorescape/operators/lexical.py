@@ -76,22 +76,30 @@ def statistics(corpus: DataFrame, wanted: list[str]) -> Statistics:
     return Statistics(row["n"], row["mean"] or 0.0, {t: row[f"t{i}"] for i, t in enumerate(distinct)})
 
 
+def measured(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """With what a score is made of: _dl, the length, and _f0, _f1, ..., how often each distinct token occurs."""
+    return rows.withColumns({"_dl": length(), **{f"_f{i}": frequency(t) for i, t in enumerate(dict.fromkeys(wanted))}})
+
+
+def weighed(rows: DataFrame, wanted: list[str], known: Statistics) -> DataFrame:
+    """Measured rows with their bm25 score instead."""
+    distinct, score = list(dict.fromkeys(wanted)), F.lit(0.0)
+    norm = K1 * (1 - B + B * F.col("_dl") / (known.mean_length or 1.0))
+    for t in wanted:
+        f = F.col(f"_f{distinct.index(t)}")
+        score = score + known.idf(t) * (f * (K1 + 1)) / (f + norm)
+    return rows.withColumn("bm25", score).drop("_dl", *[f"_f{i}" for i in range(len(distinct))])
+
+
 def scored(corpus: DataFrame, wanted: list[str], known: Statistics | None = None) -> DataFrame:
     """The matching documents with their bm25 score, higher is better."""
     if not wanted:
         return corpus.where("false").withColumn("bm25", F.lit(0.0))
     known = known or statistics(corpus, wanted)
-    match, score = F.lit(True), F.lit(0.0)
-    distinct = list(dict.fromkeys(wanted))
-    rows = corpus
-    for t in distinct:
+    match = F.lit(True)
+    for t in dict.fromkeys(wanted):
         match = match & holds(t)
-    rows = rows.where(match).withColumns({"_dl": length(), **{f"_f{i}": frequency(t) for i, t in enumerate(distinct)}})
-    norm = K1 * (1 - B + B * F.col("_dl") / (known.mean_length or 1.0))
-    for t in wanted:
-        f = F.col(f"_f{distinct.index(t)}")
-        score = score + known.idf(t) * (f * (K1 + 1)) / (f + norm)
-    return rows.withColumn("bm25", score).drop("_dl", *[f"_f{i}" for i in range(len(distinct))])
+    return weighed(measured(corpus.where(match), wanted), wanted, known)
 
 
 def best(corpus: DataFrame, query: str, limit: int, known: Statistics | None = None) -> DataFrame:
