@@ -17,7 +17,8 @@ fall on one offset between the texts. likeness() is the number of such pairs tha
 next_document() puts the following row by ascending id beside each one with a single shuffle of the texts: ids are cut into
 buckets of about BUCKET_ROWS at knots of their distribution, a window within each bucket finds the next row, and the last
 row of a bucket takes the first one of the next bucket that has any. Only the knots, KNOTS numbers, come to the driver. Anchors of a
-text are computed behind that shuffle, once, so that only texts are exchanged.
+text are computed behind that shuffle, once, so that only texts are exchanged. An edited text takes over those of its own first part and
+of the next document's (found_joined()); only where the two meet and at its end are anchors found anew, and of a kind that one of the two texts hasn't.
 
 Defined cases: a null text counts as empty. A text without a closed syncmer (one of fewer than POINTS code points) has one anchor, the
 hash of the whole text; a text with one anchor matches only another such text, by its hash. Equal texts have equal
@@ -28,6 +29,8 @@ are ordered by their text. Rows whose id is null come first. An empty table give
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +48,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _from(a: Column, skip: int, n: Column) -> Column:
-    return F.slice(a, skip + 1, n)
-
-
 def units(text: Column) -> Column:
     """A text's words, and the code points of long words."""
     words = F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
@@ -62,56 +61,136 @@ def points(text: Column) -> Column:
     return F.array_remove(F.split(text, ""), "")
 
 
-def anchors(units: Column, k: int = K, s: int = S) -> Column:
-    """Closed syncmers of an array of units in order: an array of (at: place of its first unit from 0, hash: 64 bits)."""
+def _struct(at: Column, hash: Column) -> Column:
+    return F.struct(at.alias("at"), hash.alias("hash"))
+
+
+def anchors(units: Column, k: int = K, s: int = S, form: Callable[[Column, Column], Column] = _struct) -> Column:
+    """Closed syncmers of an array of units in order: an array of (at: place of its first unit from 0, hash: 64 bits), or of what form makes of the two."""
     if not 1 <= s < k:
         raise ValueError("an inner stretch must be shorter than its syncmer")
-    inner = k - s + 1
-
-    def smallest(g: Column, n: Column) -> Column:
-        """For each of n starts the smallest of the inner hashes behind it, by doubling."""
-        m, width = g, 1
-        while width < inner:
-            step = min(width, inner - width)
-            rest = F.size(m) - step
-            m = F.zip_with(F.slice(m, 1, rest), F.slice(m, step + 1, rest), lambda a, b: F.least(a, b))
-            width += step
-        return m
+    last = k - s
 
-    def of(words: Column) -> Column:
-        def with_stretches(g: Column) -> Column:
-            def chosen(x: Column, i: Column) -> Column:
-                parts = [F.get(g, i + j) for j in range(0, inner, s)] + ([F.get(g, i + inner - 1)] if (inner - 1) % s else [])
-                hit = (x == F.get(g, i)) | (x == F.get(g, i + inner - 1))
-                return F.when(hit, F.struct(i.alias("at"), F.xxhash64(*parts).alias("hash")))
+    def chosen(g: Column) -> Callable[[Column, Column], Column]:
+        def of(x: Column, i: Column) -> Column:
+            """Of the inner hashes from place i on, x is the smaller one of the first and the last."""
+            hit = reduce(lambda a, b: a & b, [x <= F.get(g, i + j) for j in range(1, last)], F.lit(True))  # ends at the first smaller one
+            parts = [F.get(g, i + j) for j in range(0, last + 1, s)] + ([F.get(g, i + last)] if last % s else [])
+            return F.when(hit, form(i, F.xxhash64(*parts)))
 
-            return F.array_compact(F.transform(smallest(g, F.size(g)), chosen))
+        return of
 
+    def of(words: Column) -> Column:
         g = words if s > 1 else F.transform(words, lambda w: F.xxhash64(w))
         for extra in range(1, s):  # hashes of inner stretches, a unit longer at a time
             n = F.size(words) - extra
-            g = F.zip_with(_from(g, 0, n), _from(words, extra, n), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(words) >= k, let(g, with_stretches)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+            g = F.zip_with(F.slice(g, 1, n), F.slice(words, extra + 1, n), lambda a, b: F.xxhash64(a, b))
+        ends = lambda g: F.zip_with(F.slice(g, 1, F.size(g) - last), F.slice(g, last + 1, F.size(g)), lambda a, b: F.least(a, b))
+        return F.when(F.size(words) >= k, let(g, lambda g: F.array_compact(F.transform(ends(g), chosen(g))))).otherwise(F.array())
 
     return let(units, of)
 
 
-def prints(text: Column) -> Column:
+def placed(units: Column, k: int) -> Column:
+    """Anchors of k units as numbers: the place, and behind it 32 bits of the hash."""
+    return anchors(units, k, form=lambda at, hash: _place(at) + F.shiftrightunsigned(hash, 32))
+
+
+def _place(at: Column) -> Column:
+    return F.shiftleft(at.cast("long"), 32)
+
+
+def found(text: Column) -> Column:
+    """The placed anchors of a text, a struct (words, points). Either is null where a text has no such fingerprint."""
+    return let(units(text), lambda words: _kinds(F.size(words), placed(words, K), placed(points(text), POINTS)))
+
+
+def _kinds(n: Column, words: Column, points: Column) -> Column:
+    return F.struct(F.when(n >= SHORT, words).alias("words"), F.when(n < REACH, points).alias("points"))
+
+
+@dataclass
+class Part:
+    """A stretch of units: how many, the first and last few (one less than an anchor has), and the anchors that lie within it, placed from its start."""
+
+    n: Column
+    first: Column
+    last: Column
+    found: Column
+
+
+def within(found: Column, k: int, n: Column, otherwise: Column, skip: Column | None = None) -> Column:
+    """Those of a text's placed anchors that lie within n units behind the first skip ones, placed from there; otherwise if the text has none of the kind."""
+    if skip is None:
+        inside = F.filter(found, lambda a: a < _place(n - (k - 1)))
+    else:
+        inside = F.filter(found, lambda a: (a >= _place(skip)) & (a < _place(skip + n - (k - 1))))
+        inside = F.transform(inside, lambda a: a - _place(skip))
+    return F.coalesce(inside, otherwise)
+
+
+def joined(k: int, left: Part, middle: Column, right: Part, end: Column) -> Column:
+    """The placed anchors of two parts with units between and behind them: those of the parts, and those that lie across their limits."""
+    moved = lambda found, to: F.transform(found, lambda a: a + _place(to))
+    at = left.n + F.size(middle)
+    few = right.n < k - 1
+    seam = F.concat(left.last, middle, right.first, F.when(few, end).otherwise(F.array()))
+    behind = F.when(few, F.array()).otherwise(moved(placed(F.concat(right.last, end), k), at + right.n - (k - 1)))
+    return F.concat(left.found, moved(placed(seam, k), left.n - F.size(left.last)), moved(right.found, at), behind)
+
+
+def found_joined(left: Column, right: Column, before: Column, after: Column) -> Column:
+    """What found() gives for left + right, where left begins a text whose anchors are before, and right begins one whose are after.
+
+    Only anchors across the limit, and of the word that right's end cuts, are computed anew, and those of kinds that a text hasn't.
+    """
+    plain = lambda t: F.translate(t, WHITE, " " * len(WHITE))
+
+    def of_words(a: Column, b: Column) -> Column:
+        """The words of left before its last white space, the word across the limit, those of right behind its first white space, and right's last word."""
+        tail, head = F.substring_index(a, " ", -1), F.substring_index(b, " ", 1)
+        behind = F.substring(b, F.char_length(head) + 1, F.char_length(b) - F.char_length(head))
+        rest = F.substring_index(behind, " ", -1)
+        whole = lambda t, end: F.substring(t, F.lit(1), F.char_length(t) - F.char_length(end))
+        return F.struct(
+            units(whole(a, tail)).alias("left"),
+            units(F.concat(tail, head)).alias("middle"),
+            units(whole(behind, rest)).alias("right"),
+            units(rest).alias("end"),
+            F.size(units(head)).alias("skip"),
+        )
+
+    def words(w: Column) -> Column:
+        def part(u: Column, anchors: Column, skip: Column | None = None) -> Part:
+            n = F.size(u)
+            last = F.slice(u, F.greatest(n - (K - 2), F.lit(1)), F.lit(K - 1))
+            return Part(n, F.slice(u, 1, K - 1), last, within(anchors, K, n, placed(u, K), skip))
+
+        return joined(K, part(w["left"], before["words"]), w["middle"], part(w["right"], after["words"], w["skip"]), w["end"])
+
+    def part(t: Column, anchors: Column) -> Part:
+        n, side = F.char_length(t), F.lit(POINTS - 1)
+        return Part(n, points(F.left(t, side)), points(F.right(t, side)), within(anchors, POINTS, n, placed(points(t), POINTS)))
+
+    none = F.array().cast("array<string>")
+    fine = joined(POINTS, part(left, before["points"]), none, part(right, after["points"]), none)
+    size = lambda w: sum((F.size(w[x]) for x in ("middle", "right", "end")), F.size(w["left"]))
+    return let(of_words(plain(left), plain(right)), lambda w: _kinds(size(w), words(w), fine))
+
+
+def prints(found: Column, text: Column) -> Column:
     """The anchors of a text in order, each as 16 times 32 bits of its hash plus its distance from the one before: a struct (words, points).
 
     Either is null where a text has no such fingerprint.
     """
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("hash")))
+    whole = F.array(F.shiftrightunsigned(F.xxhash64(text), 32))
 
     def of(found: Column) -> Column:
-        distance = lambda a, i: a["at"] - F.coalesce(F.get(found, i - 1)["at"], F.lit(0))
-        return F.transform(found, lambda a, i: F.shiftleft(F.shiftrightunsigned(a["hash"], 32), 4) + distance(a, i))
-
-    def both(words: Column) -> Column:
-        fine = let(anchors(points(text), POINTS), lambda found: of(F.when(F.size(found) > 0, found).otherwise(whole)))
-        return F.struct(F.when(F.size(words) >= SHORT, let(anchors(words), of)).alias("words"), F.when(F.size(words) < REACH, fine).alias("points"))
+        distance = lambda a, i: F.shiftright(a, 32) - F.coalesce(F.shiftright(F.get(found, i - 1), 32), F.lit(0))
+        return F.transform(found, lambda a, i: F.shiftleft(a.bitwiseAND(F.lit(0xFFFFFFFF)), 4) + distance(a, i))
 
-    return let(units(text), both)
+    points = F.when(F.size(found["points"]) == 0, whole).otherwise(found["points"])
+    return F.struct(let(found["words"], of).alias("words"), let(points, of).alias("points"))
 
 
 def links(prints: Column) -> Column:
@@ -196,14 +275,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
     def derived(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("prints", prints(F.col("text"))).withColumn("links", links(F.col("prints")))
+        return rows.withColumn("found", found(F.col("text"))).withColumn("prints", prints(F.col("found"), F.col("text"))).withColumn("links", links(F.col("prints")))
 
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half))
-    both = next_document(own, "doc_id", ["text"], derived, ("links",))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "prints", "links", F.col("_next.links").alias("after"), edited.alias("edited"))
-    both = both.withColumn("edited_prints", prints(F.col("edited"))).withColumn("edited_links", links(F.col("edited_prints")))
+    left, right = F.substring("text", F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half)
+    both = next_document(own, "doc_id", ["text"], derived, ("found", "links"))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "found", "prints", "links", "_next", left.alias("left"), right.alias("right"))
+    both = both.withColumn("edited", F.concat("left", "right"))
+    shared = found_joined(F.col("left"), F.col("right"), F.col("found"), F.col("_next.found"))
+    made = let(shared, lambda f: let(prints(f, F.col("edited")), lambda p: F.struct(p.alias("edited_prints"), links(p).alias("edited_links"))))
+    # generated, so that a filter on the result doesn't repeat all this
+    both = both.select("n_chars", "doc_id", "prints", "links", F.col("_next.links").alias("after"), "edited", F.inline(F.array(made)))
     return both.select(
         "doc_id",
         "n_chars",

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import xxhash
@@ -91,6 +92,54 @@ def test_whole_table_equals_brute_force(spark):
     assert got == {i: brute_row(t, o) for (i, t), (_, o) in zip(texts, texts[1:] + texts[:1], strict=True)}
 
 
+def test_joined_texts_have_the_anchors_of_their_whole(spark):
+    """Cuts in and beside words, in white space and in long words, at either end, around the lengths at which kinds change."""
+    chance = random.Random(5)
+    words = prose(41, 400).split()
+
+    def text(n):
+        parts = [chance.choice(words) for _ in range(n)]
+        for i in range(0, n, 17):
+            parts[i] = chance.choice(["漢字仮名", "𠀀" * 20, "x" * 32, "y" * 33, "ab" * 40])
+        return "".join(w + chance.choice([" ", " ", " ", "\n", " \t ", "\x0b\x0c\r"]) for w in parts)[chance.randrange(3) :]
+
+    whole = [text(n) for n in (0, 1, 2, 5, 8, 9, 10, 16, 17, 18, 30, 39, 40, 41, 60, 90, 159, 160, 161, 200, 330)]
+    whole += [" ", "\n" * 30, "a" * 31, "ab" * 60, " " + "b" * 32, "漢字仮名交じり文𠀀" * 30]
+    rows = []
+    for i in range(500):
+        a, b = chance.choice(whole), chance.choice(whole)
+        x, y = (chance.choice([0, len(t), len(t) // 2, chance.randint(0, len(t)), chance.randint(0, min(len(t), 80))]) for t in (a, b))
+        rows.append((i, a, b, a[:x], b[:y]))
+    df = spark.createDataFrame(rows, "i long, a string, b string, l string, r string")
+    df = df.select("i", *(syncmers.found(F.col(c)).alias(f"found_{c}") for c in "ab"), "l", "r", syncmers.found(F.concat("l", "r")).alias("plain")).cache()
+    got = df.select("i", "l", "r", "plain", syncmers.found_joined(F.col("l"), F.col("r"), F.col("found_a"), F.col("found_b")).alias("joined")).collect()
+    assert [r["i"] for r in got if r["joined"] != r["plain"]] == []
+    for r in got[::10]:
+        t = r["l"] + r["r"]
+        u = units(t)
+        assert r["joined"]["words"] == ([(i << 32) + (h >> 32) for i, h in brute(u, syncmers.K)] if len(u) >= syncmers.SHORT else None)
+        assert r["joined"]["points"] == ([(i << 32) + (h >> 32) for i, h in brute(list(t), syncmers.POINTS)] if len(u) < syncmers.REACH else None)
+
+
+def test_edited_texts_take_anchors_over(spark):
+    """Behind its own first half and the next document's, an edited text has only the anchors across the limit and at its end to find."""
+    df = spark.createDataFrame([(prose(43, 3000), prose(44, 3000))], "l string, r string")
+    empty = F.struct(F.array().cast("array<bigint>").alias("words"), F.array().cast("array<bigint>").alias("points"))
+    row = df.select(syncmers.found(F.concat("l", "r")).alias("plain"), syncmers.found_joined(F.col("l"), F.col("r"), empty, empty).alias("joined")).first()
+    assert len(row["plain"]["words"]) > 1000 and 0 < len(row["joined"]["words"]) < 3 * syncmers.K
+    assert set(row["joined"]["words"]) <= set(row["plain"]["words"])
+
+
+def test_tables_of_mixed_texts_equal_brute_force(spark):
+    """Neighbours of all lengths, so that either, both or none of them has the kind of fingerprint that the edited text has."""
+    chance = random.Random(6)
+    words = prose(45, 500).split()
+    texts = ["\n ".join(chance.choices(words, k=chance.choice([0, 1, 3, 12, 38, 41, 90, 158, 161, 240, 420]))) + chance.choice(["", " ", "z" * 40]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in syncmers.fingerprints(df).collect()}
+    assert got == {i: brute_row(t, o) for i, (t, o) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))}
+
+
 def test_short_texts_are_alike(spark):
     """From 20 code points on a text of which half is kept is like itself, and so is one that lacks its last word, at any length."""
     long = prose(31, 400).split()
